@@ -16,6 +16,7 @@ gets a numbered name, see ``added_columns``.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import pairwise
@@ -32,11 +33,14 @@ from .common import arrow_map, fresh_name, utf8_values
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
+#: Bytes of ASCII letters and of all code points beyond ASCII.
+LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
+WITH_SYMBOL = re.compile(b"[" + re.escape(SYMBOLS) + b"]")
 MIN_WORDS = 50
 #: A base failure as well: more than this share (in hundredths) of the words lies in repeated 3-word windows.
 MAX_REPEAT_PERCENT = 50
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct", "n_symbol_words", "n_letters", "n_other")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -57,16 +61,20 @@ def text_counts(text: bytes | None, n_chars: int) -> tuple[int, ...]:
         return (0,) * len(COUNTS)
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip()]
+    n_symbols = len(text) - len(text.translate(None, SYMBOLS))
     return (
         len(words),
         n_chars - (len(text) - len(text.translate(None, WHITE))),
-        len(text) - len(text.translate(None, SYMBOLS)),
+        n_symbols,
         len(lines) - len(set(lines)),
         repeated_words(words),
         len(lines),
         len(text) - len(text.translate(None, UPPER)),
         text.count(b"!") + text.count(b"?"),
         len(set(words)),
+        sum(1 for w in words if WITH_SYMBOL.search(w)) if n_symbols else 0,
+        len(text) - len(text.translate(None, LETTERS)),
+        len(text.translate(None, LETTERS + WHITE)),
     )
 
 
@@ -100,16 +108,22 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rule_votes(names: dict[str, str]) -> dict[str, Column]:
-    """Rule name -> vote expression over the count columns.  Nothing can be said of texts without words."""
+    """Rule name -> vote expression over the count columns.
+
+    Each kind of junk is seen by two or three rules from different sides: a rule that nothing else backs
+    is what the model takes for noise.
+    """
     n = {c: F.col(f"`{names[c]}`").cast("double") for c in COUNTS}
     words, chars, lines = (F.greatest(n[c], F.lit(1.0)) for c in ("n_words", "word_chars", "n_lines"))
-    enough = n["n_words"] >= 20
+    enough, letters = n["n_words"] >= 20, n["n_letters"] / F.greatest(n["n_letters"] + n["n_other"], F.lit(1.0))
     return {
-        "length": _vote(n["n_words"] < MIN_WORDS, n["n_words"] >= 100),
+        "length": _vote(n["n_words"] < 10, n["n_words"] >= 100),
         "repeats": _vote(n["n_repeat_words"] > 0.30 * words, enough & (n["n_repeat_words"] < 0.10 * words)),
         "symbols": _vote(n["n_symbols"] > 0.25 * words, n["n_symbols"] < 0.02 * words),
+        "symbol_words": _vote(n["n_symbol_words"] > 0.15 * words, n["n_symbol_words"] < 0.02 * words),
+        "letters": _vote(letters < 0.85, letters > 0.93),
         "capitals": _vote(n["n_upper"] > 0.40 * chars, n["n_upper"] < 0.10 * chars),
-        "lines": _vote((n["n_dup_lines"] > 0.30 * lines) & (n["n_lines"] >= 3), (n["n_dup_lines"] == 0) & (n["n_lines"] >= 2)),
+        "lines": _vote((n["n_dup_lines"] > 0.30 * lines) & (n["n_dup_lines"] >= 2), (n["n_dup_lines"] == 0) & (n["n_lines"] >= 2)),
         "word_length": _vote((chars < 2.5 * words) | (chars > 14.0 * words), (chars > 3.0 * words) & (chars < 9.0 * words)),
         "marks": _vote(n["n_marks"] > 0.20 * words, n["n_marks"] < 0.03 * words),
         "variety": _vote(enough & (n["n_distinct"] < 0.15 * words), enough & (n["n_distinct"] > 0.30 * words)),
@@ -134,20 +148,22 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
     """Expectation-maximisation over vote patterns.
 
     ``patterns`` is (P, R) of -1, 0, 1 and ``counts`` how many documents have each.  Given the class,
-    rules are taken as independent, and abstaining says nothing.  Weak Beta priors keep every accuracy
-    inside (0, 1) and tie the classes to the votes' meaning, so the classes can't swap.
+    rules are taken as independent, and abstaining says nothing.  Beta priors keep every accuracy inside (0, 1).
+    The one for bad documents weighs as much as the class itself and has mean 0.3: junk comes in several kinds,
+    each seen by a few rules only, so a good vote must not count as proof.  The start (two bad votes: very
+    probably bad) ties the classes to the votes' meaning, so they can't swap.
     """
     rules = patterns.shape[1]
     plus, minus = (patterns == 1).astype(float), (patterns == -1).astype(float)
     weight = counts.astype(float)
-    good = np.where(minus.sum(1) > 0, 0.3 ** minus.sum(1), 0.95)
+    good = np.where(minus.sum(1) > 1, 0.02, np.where(minus.sum(1) > 0, 0.3, 0.95))
     last = np.inf
     prior, if_good, if_bad = 0.8, np.full(rules, 0.9), np.full(rules, 0.6)
     for _ in range(rounds):
         g, b = weight * good, weight * (1 - good)
         prior = (g.sum() + 8) / (g.sum() + b.sum() + 10)
         if_good = (g @ plus + 9.5) / (g @ (plus + minus) + 10)
-        if_bad = (b @ minus + 1.0) / (b @ (plus + minus) + 2)
+        if_bad = (b @ minus + 0.3 * b.sum() + 0.3) / (b @ (plus + minus) + b.sum() + 1)
         logit = np.log(prior / (1 - prior)) + plus @ np.log(if_good / (1 - if_bad)) + minus @ np.log((1 - if_good) / if_bad)
         good = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
         change, last = abs(prior - last), prior

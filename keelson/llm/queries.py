@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, urlfilter
+from . import quality, secrets, urlfilter
 from .common import read_table
 
 
@@ -39,12 +39,49 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document: counts and digest of the base kinds, and all spans."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, spans = secrets.find_secrets(docs)
+    base = F.filter(F.col(spans), lambda s: s["rank"] < len(secrets.BASE_RULES))
+    kinds = F.transform(F.col(spans), lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_string(base).cast("binary"), 256).alias("base_sha256"), secrets.spans_string(F.col(spans)).alias("spans"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "op9_secret_scans": op9_secret_scans,
 }
 
+def _secret_sql() -> str:
+    """Spans by gap and match lengths: a match starts where all earlier gaps and matches and its own gap end."""
+    found = []
+    for i, r in enumerate(secrets.RULES):
+        whole = f"(?s)(.*?)({r.pattern})".replace("'", "''")
+        group = lambda g, w=whole: f"unnest(regexp_extract_all(text, '{w}', {g}))"
+        found.append(f"SELECT rid, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least, {group(1)} AS gap, {group(2)} AS hit, {group(2 + r.group)} AS tested, unnest(range(length(regexp_extract_all(text, '{whole}', 1)))) AS i FROM d")
+    base = len(secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        m AS ({" UNION ALL ".join(found)}),
+        placed AS (
+            SELECT *, coalesce(sum(length(gap) + length(hit)) OVER (PARTITION BY rid, rank ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gap) AS s FROM m
+        ),
+        sp AS (SELECT rid, rank, kind, s, kind || ':' || s || ':' || (s + length(hit)) AS span FROM placed WHERE length(tested) >= least),
+        g AS (
+            SELECT rid, {counts}, string_agg(span, ',' ORDER BY s, rank) FILTER (rank < {base}) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM sp GROUP BY rid
+        )
+        SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)},
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (rid)
+    """
+
+
 ORACLE = {
+    "op9_secret_scans": _secret_sql(),
     "op7_url_filters": r"""
         WITH cut AS (
             SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^?#]*)', 1), '') AS tail FROM pages

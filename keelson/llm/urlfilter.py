@@ -38,6 +38,8 @@ DEFAULT_VERDICT = "allow"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: 10 million rules are 80 MB of digests and about 400 MB of strings on each machine's disk.
 MAX_LOCAL_RULES = 10_000_000
+#: (application, name) of the rule files that the file server already has.
+_SERVED: set[tuple[str, str]] = set()
 
 
 @dataclass(frozen=True)
@@ -135,8 +137,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", m
         return _filter_by_join(pages, rules, url_col)
     folder = os.path.realpath(tempfile.mkdtemp(prefix="keelson-rules-"))
     name = DigestArray.write(rules, folder)
-    for kind in ("keys", "offsets", "strings"):
-        spark.sparkContext.addFile(f"{folder}/{name}.{kind}")
+    if (served := (spark.sparkContext.applicationId, name)) not in _SERVED:
+        for kind in ("keys", "offsets", "strings"):
+            spark.sparkContext.addFile(f"{folder}/{name}.{kind}")
+        _SERVED.add(served)
     sizes = sorted({len(r.path) for r in rules})
     where, names = pages.columns.index(url_col), added_columns(pages.columns)
     schema = T.StructType([*pages.schema.fields, *(T.StructField(names[c], T.StringType()) for c in ADDED)])
