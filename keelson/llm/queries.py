@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, urlfilter
+from . import chat, quality, secrets, urlfilter
 from .common import read_table
 
 
@@ -39,6 +39,30 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: A conversation that the query adds; fixed values.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+CONTROL_TURNS = ((-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted windows of each conversation hold, read back from them."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string"))
+    windows = chat.format_chats(turns)
+    back = windows.select(
+        "conv_id", "bucket", "big", F.length("formatted").alias("chars"),
+        chat.read_turns(F.col("formatted"), F.col("n_context")).alias("turns"), chat.read_targets(F.col("formatted"), F.col("loss")).alias("targets"),
+    )
+    read = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    parts = F.array_sort(F.collect_list(F.struct("bucket", "big", F.size("turns").alias("n"), F.array_join(read, "").alias("said"), "targets")))
+    convs = back.groupBy("conv_id").agg(parts.alias("w"), F.sum("chars").cast("long").alias("formatted_chars"))
+    said, loss = F.array_join(F.col("w.said"), ""), F.array_join(F.col("w.targets"), "")
+    return convs.select(
+        "conv_id", F.aggregate(F.col("w.n"), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document: counts and digest of the base kinds, and all spans."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +76,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scans": op9_secret_scans,
 }
 
@@ -80,7 +105,47 @@ def _secret_sql() -> str:
     """
 
 
+def _chat_sql(b: chat.Budget = chat.Budget()) -> str:
+    """The same windows from plain prefix sums; their length is that of their turns and marks."""
+    marks = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+    esc = lambda x: f"length(replace(replace({x}, '\\', '\\\\'), '<|', '<\\|'))"
+    tokens = f"(len(regexp_extract_all(text, '{chat.TOKEN}')) + {chat.TURN_TOKENS})"
+    control = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in CONTROL_TURNS)
+    return f"""
+        WITH d AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES {control}) v(conv_id, turn, role, text)
+        ),
+        k AS (
+            SELECT *, {tokens} AS tokens, {esc('role')} + {esc('text')} + {marks} AS chars,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d
+        ),
+        s AS (SELECT conv_id, tokens AS st, chars AS sc FROM k WHERE i = 1 AND role = 'system'),
+        o AS (
+            SELECT k.*, greatest(floor(({b.window - b.history} - coalesce(st, 0)) / 2.0), {b.least_half}) AS half,
+                   coalesce(sum(tokens) OVER (PARTITION BY k.conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+            FROM k LEFT JOIN s ON k.conv_id IS NOT DISTINCT FROM s.conv_id WHERE NOT (i = 1 AND role = 'system')
+        ),
+        p AS (SELECT *, floor(a / half) AS bucket, tokens > half AS big FROM o),
+        w AS (SELECT conv_id, bucket, big, min(a) AS start, sum(chars) AS own FROM p GROUP BY ALL),
+        h AS (
+            SELECT w.conv_id, sum(p.chars) AS hist FROM w JOIN p
+              ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND p.a + p.tokens <= w.start AND p.a >= w.start - {b.history} GROUP BY w.conv_id
+        ),
+        n AS (SELECT conv_id, count(*) AS windows, sum(own) AS own FROM w GROUP BY conv_id),
+        c AS (
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+                   coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM k GROUP BY conv_id
+        )
+        SELECT c.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               CAST(coalesce(own, 0) + coalesce(hist, 0) + coalesce(sc, 0) * greatest(coalesce(windows, 1), 1) AS BIGINT) AS formatted_chars
+        FROM c LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN h ON c.conv_id IS NOT DISTINCT FROM h.conv_id
+               LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
+    """
+
+
 ORACLE = {
+    "op8_chat_formatting": _chat_sql(),
     "op9_secret_scans": _secret_sql(),
     "op7_url_filters": r"""
         WITH cut AS (
