@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, secrets, urlfilter
+from . import chat, decontam, quality, secrets, urlfilter
 from .common import read_table
 
 
@@ -23,6 +23,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows cover, and the items they belong to."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = decontam.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    ids = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 #: Fixed values of the query.
 URL_RULES = (
     urlfilter.Rule("block", "com", "/en/"),
@@ -75,6 +84,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scans": op9_secret_scans,
@@ -144,7 +154,24 @@ def _chat_sql(b: chat.Budget = chat.Budget()) -> str:
     """
 
 
+#: Words are numbered per document; a window's words in a row are compared as one string.
+_DECONTAMINATION_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS p
+           FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM bw),
+    dw AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+    hits AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.p = bw.p AND dw.n = bw.n),
+    words AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM hits) GROUP BY rid),
+    items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY rid)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
 ORACLE = {
+    "op2_benchmark_decontamination": _DECONTAMINATION_SQL,
     "op8_chat_formatting": _chat_sql(),
     "op9_secret_scans": _secret_sql(),
     "op7_url_filters": r"""
