@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, quality, secrets, urlfilter
+from . import chat, decontam, packing, quality, secrets, urlfilter
 from .common import read_table
 
 
@@ -82,12 +82,18 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.spans_string(base).cast("binary"), 256).alias("base_sha256"), secrets.spans_string(F.col(spans)).alias("spans"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces and their places in sequences of 2048 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scans": op9_secret_scans,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 def _secret_sql() -> str:
