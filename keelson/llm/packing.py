@@ -7,7 +7,7 @@ places its own pieces:
 1. Tokenise once; write each piece's length and checksum to the shared folder.
 2. Rank the pieces of each length without gathering a length in one task: count per (length, partition), prefix sums
    over these counts, local ranks.
-3. ``reduce_dominated`` fixes bins by the Martello-Toth dominance criterion: for the longest remaining length, a bin of
+3. ``reduce_dominated`` fixes bins by the Martello-Toth dominance criterion: for each length, longest first, a bin of
    one, two or three pieces is fixed for good when it provably dominates every other bin that could hold such a
    piece.  Bins are fixed for as many equal pieces as there are at once.
 4. ``best_fit`` packs the remainder, longest first, each into the open sequence it leaves least room in.
@@ -144,6 +144,11 @@ class Lengths:
             del self.counts[w]
             del self.sizes[bisect_left(self.sizes, w)]
 
+    def give(self, w: int, n: int) -> None:
+        if w not in self.counts:
+            self.sizes.insert(bisect_left(self.sizes, w), w)
+        self.counts[w] = self.counts.get(w, 0) + n
+
     def largest_upto(self, limit: int) -> int | None:
         i = bisect_right(self.sizes, limit)
         return self.sizes[i - 1] if i else None
@@ -186,25 +191,20 @@ class Lengths:
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[Bins, dict[int, int]]:
-    """Fix bins that dominate all others for the longest remaining length; returns them and the lengths left over.
+    """Fix bins that dominate all others for some length, longest first; returns them and the lengths left over.
 
-    With room r beside the longest piece j, a set S of others dominates all alternatives if each can be cut into parts that fit
+    With room r beside a piece j and all other remaining pieces to choose from, a set S of others dominates all alternatives if each can be cut into parts that fit
     into the pieces of S one by one.  So {j} alone wins if nothing fits; {j, k}, k the longest that fits, wins if k fills
     r, if no two pieces fit together, or if k is as long as any two (no three fitting) that do; {j, k, b}, b the longest
-    beside k, wins if no three fit and no two that fit together are both longer than b.  When none of these holds, j and all shorter pieces stay.
+    beside k, wins if no three fit and no two that fit together are both longer than b.  When none of these holds, pieces as long as j stay,
+    and the next shorter length is tried.
     """
     left, fixed = Lengths(counts), []
-    kept: dict[int, int] = {}
-    while left.sizes:
-        j = left.sizes[-1]
-        n_j, room = left.counts[j], capacity - j
-        left.counts[j] -= 1  # the piece itself is not its own partner
-        single = left.counts[j] == 0
-        if single:
-            left.sizes.pop()
-            del left.counts[j]
-        k = left.largest_upto(room)
-        few, chosen = left.smallest(3), None
+    j = left.largest_upto(capacity)
+    while j is not None:
+        room = capacity - j
+        left.take(j, 1)  # the piece itself is not its own partner
+        k, few, chosen = left.largest_upto(room), left.smallest(3), None
         if k is None:
             chosen = ()
         elif k == room or len(few) < 2 or sum(few[:2]) > room:
@@ -215,19 +215,17 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[Bins, dict[
                 chosen = (k,)
             elif (b := left.partner(k, room)) is not None and left.longest_second(room) <= b:
                 chosen = (k, b)
-        left.counts[j] = left.counts.get(j, 0) + 1
-        if single:
-            left.sizes.append(j)
+        left.give(j, 1)
         if chosen is None:
-            kept[j] = n_j
-            left.take(j, n_j)
+            j = left.largest_upto(j - 1)
             continue
         whole = (j, *chosen)
         times = min(left.counts[w] // whole.count(w) for w in set(whole))
         for w in set(whole):
             left.take(w, times * whole.count(w))
         fixed.append((whole, times))
-    return fixed, kept
+        j = left.largest_upto(j)
+    return fixed, left.counts
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Bins:
