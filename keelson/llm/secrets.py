@@ -154,7 +154,8 @@ def trigram_index(docs: DataFrame, key: str, text: Column, wanted: list[str], bl
     """(block, postings: map trigram -> keys) over ``wanted``; blocks deal documents out by their key."""
     low = docs.select(F.col(f"`{key}`").alias("k"), F.lower(text).alias("low"))
     present = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted)))
-    entries = low.select("k", F.pmod("k", F.lit(blocks)).alias("block"), present.alias("ts")).select("k", "block", F.explode("ts").alias("t"))
+    # The outer form: for the plain one the optimizer adds a filter that computes all of `present` once more, unshared.
+    entries = low.select("k", F.pmod("k", F.lit(blocks)).alias("block"), present.alias("ts")).select("k", "block", F.explode_outer("ts").alias("t")).where("t IS NOT NULL")
     lists = entries.groupBy("block", "t").agg(F.collect_set("k").alias("ks"))
     return lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("t", "ks"))).alias("postings"))
 
@@ -172,7 +173,8 @@ def candidates(docs: DataFrame, key: str, text: Column, rules: tuple[SecretRule,
 
 def match_spans(text: Column, rule: SecretRule, rank: int) -> Column:
     """Array of (start, rank, end, kind) of the leftmost non-overlapping matches of ``rule`` that pass its test."""
-    whole = f"(?s)(.*?)({rule.pattern})"
+    # The end of the text matches too: without it, a text after its last match would be searched from each of its positions.
+    whole = rf"(?s)(.*?)({rule.pattern}|\z)"
     gaps, matches = (F.regexp_extract_all(text, F.lit(whole), F.lit(i)) for i in (1, 2))
     tested = matches if not rule.group else F.regexp_extract_all(text, F.lit(whole), F.lit(2 + rule.group))
     parts = F.arrays_zip(gaps.alias("gap"), matches.alias("hit"), tested.alias("tested"))
