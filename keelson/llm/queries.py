@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, quality, secrets, urlfilter
+from . import chat, decontam, packing, quality, secrets, urlfilter, warc
 from .common import read_table
 
 
@@ -32,6 +32,14 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, found through the capture index and read back from the archives."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archive = warc.write_archive(pages)
+    keys = pages.select(warc.surt_key(F.col("url")).alias("surt"), F.col("page_id").cast("long"))
+    return archive.read(archive.lookup(keys)).drop("payload")
+
+
 #: Fixed values of the query.
 URL_RULES = (
     urlfilter.Rule("block", "com", "/en/"),
@@ -90,6 +98,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_warc_index": op4_warc_index,
     "op7_url_filters": op7_url_filters,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scans": op9_secret_scans,
@@ -176,7 +185,18 @@ _DECONTAMINATION_SQL = r"""
 """
 
 
+_WARC_SQL = """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+    FROM t
+"""
+
+
 ORACLE = {
+    "op4_warc_index": _WARC_SQL,
     "op2_benchmark_decontamination": _DECONTAMINATION_SQL,
     "op8_chat_formatting": _chat_sql(),
     "op9_secret_scans": _secret_sql(),
