@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, quality, secrets, urlfilter, warc
+from . import chat, decontam, packing, quality, secrets, substring, urlfilter, warc
 from .common import read_table
 
 
@@ -40,6 +40,12 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read(archive.lookup(keys)).drop("payload")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeated windows of 20 words cover, and a digest of what is left."""
+    kept, _ = substring.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 #: Fixed values of the query.
 URL_RULES = (
     urlfilter.Rule("block", "com", "/en/"),
@@ -99,6 +105,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_warc_index": op4_warc_index,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scans": op9_secret_scans,
