@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, quality, secrets, substring, urlfilter, warc
+from . import chat, decontam, jaccard, packing, quality, secrets, substring, urlfilter, warc
 from .common import read_table
 
 
@@ -40,6 +40,11 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read(archive.lookup(keys)).drop("payload")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links (Jaccard of word 5-grams of 0.8 or more) of every document."""
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeated windows of 20 words cover, and a digest of what is left."""
     kept, _ = substring.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -105,6 +110,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_warc_index": op4_warc_index,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_chat_formatting": op8_chat_formatting,
