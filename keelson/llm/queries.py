@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, packing, quality, secrets, substring, urlfilter, warc
+from . import chat, decontam, jaccard, packing, quality, secrets, substring, toxicity, urlfilter, warc
 from .common import read_table
 
 
@@ -32,6 +32,14 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a network fitted to the labels that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    net, share = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, net, share)
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, found through the capture index and read back from the archives."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -109,6 +117,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_warc_index": op4_warc_index,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
