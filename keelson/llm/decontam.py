@@ -306,3 +306,43 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
         at = int(ends[b - 1])
     out.append(raw[at:])
     return b"".join(out).decode()
+
+
+def clean_texts(texts: list[bytes | None], phrases: Phrases) -> list[bytes | None]:
+    """Texts without the words that phrases cover, searched again until nothing is found (a cut may bring words together)."""
+    out, todo = list(texts), [i for i, t in enumerate(texts) if t]
+    while todo:
+        found, shard, held, at = [], [], 0, []
+        for i in todo:
+            words = fold_words(out[i])
+            shard.append(np.fromiter((phrases.vocabulary.get(w, 0) for w in words), dtype=np.int64, count=len(words)))
+            at.append(i)
+            held += len(words)
+            if held >= SHARD_WORDS:
+                found += zip(at, search_shard(shard, phrases), strict=True)
+                shard, held, at = [], 0, []
+        found += zip(at, search_shard(shard, phrases), strict=True)
+        todo = []
+        for i, (spans, _) in found:
+            if spans:
+                out[i] = remove_spans(out[i].decode(), spans).encode()
+                todo.append(i)
+    return out
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
+    """``docs`` with the words that benchmark windows cover cut out of ``text_col``; clean texts stay as they are, null stays null."""
+    where = docs.columns.index(text_col)
+
+    def cut(phrases: Phrases):
+        def run(batches):
+            for b in batches:
+                cleaned = pa.array([None if t is None else t.decode() for t in clean_texts(utf8_values(b.column(where)), phrases)], pa.string())
+                yield pa.RecordBatch.from_arrays([cleaned if i == where else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+        return run
+
+    out = docs
+    for block in _phrase_blocks(benchmark, id_col, item_text_col, phrase_bytes):
+        out = arrow_map(out, cut(Phrases.of(block, window)), docs.schema)
+    return out

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage, unstage
-from .common import arrow_map, one_batch, utf8_values
+from .common import arrow_map, fresh_name, one_batch, utf8_values
 from .substring import Hasher, mix
 
 SHINGLE = 5
@@ -308,15 +308,27 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kind[keep]), pa.array(x[keep]), pa.array(y[keep])], names=["kind", "x", "y"])
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that lead their classes, each once; all columns stay."""
+    found = near_duplicates(docs, id_col, text_col)
+    leads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")))
+    lead_id, lead_hash = (fresh_name(x, docs.columns) for x in ("lead_id", "lead_hash"))
+    leads = leads.select(F.col("doc_id").alias(lead_id), F.col("text_hash").alias(lead_hash)).distinct()
+    ident, hashed = F.col(f"`{id_col}`").cast("long"), F.xxhash64(f"`{text_col}`")
+    rows = docs.join(leads, ident.eqNullSafe(F.col(lead_id)) & (hashed == F.col(lead_hash)))
+    return rows.dropDuplicates([lead_id, lead_hash]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (least id of its class), n_links (other documents at ``THRESHOLD`` or above)."""
+    """One row per row of ``docs``: doc_id, text_hash (xxhash64), class_id and class_hash (those of the least row of its
+    class), n_links (other documents at ``THRESHOLD`` or above)."""
     if recall_of(THRESHOLD) < RECALL:
         raise ValueError("more runs are needed for this recall")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("th"), F.col(f"`{text_col}`").alias("text"))
     rows = stage(arrow_map(texts, _set_rows, _SETS_SQL), "sets")
     # One set per class of equal sets; its id is a hash of its 128-bit name.
     named = F.xxhash64("low", "high")
-    sets = rows.where("low IS NOT NULL").groupBy(named.alias("id"), "low", "high").agg(F.count(F.lit(1)).alias("copies"), F.min("doc").alias("doc"), F.min(F.struct("doc", "th")).alias("one"), F.first("sketch").alias("sketch"))
+    sets = rows.where("low IS NOT NULL").groupBy(named.alias("id"), "low", "high").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th")).alias("one"), F.first("sketch").alias("sketch"))
     sets = stage(sets, "distinct-sets")
     leaves = _tiles(_paths(sets), "path", "n").join(sets.select("id", "sketch"), "id").select("path", "a", "b", "tile", "id", "sketch")
     links = stage(arrow_map(leaves.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b"), _sketch_links, "x long, y long").distinct(), "links")
@@ -329,11 +341,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stage(arrow_map(tiles.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b"), _exact, "kind long, x long, y long"), "exact")
     counts = found.where("kind = 0").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("linked"))
     classes = stage(components(found.where("kind = 1").select("x", "y")), "classes")
-    per_set = sets.select("id", "copies", "doc").join(classes, "id", "left").join(counts, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    named_classes = per_set.groupBy("comp").agg(F.min("doc").alias("class_id"))
-    answer = per_set.join(named_classes, "comp").select("id", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_set = sets.select("id", "copies", "one").join(classes, "id", "left").join(counts, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named_classes = per_set.groupBy("comp").agg(F.min("one").alias("lead"))
+    answer = per_set.join(named_classes, "comp").select("id", "lead", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.withColumn("id", F.when(F.col("low").isNotNull(), named)).join(answer, "id", "left")
-    class_id = F.when(F.col("low").isNull(), F.col("doc")).otherwise(F.col("class_id"))
-    result = out.select(F.col("doc").alias("doc_id"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = F.col("low").isNull()
+    result = out.select(
+        F.col("doc").alias("doc_id"), F.col("th").alias("text_hash"), F.when(alone, F.col("doc")).otherwise(F.col("lead.doc")).alias("class_id"),
+        F.when(alone, F.col("th")).otherwise(F.col("lead.th")).alias("class_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
     unstage(links, groups)
     return result

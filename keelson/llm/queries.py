@@ -50,7 +50,7 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links (Jaccard of word 5-grams of 0.8 or more) of every document."""
-    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
