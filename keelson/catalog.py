@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import integrity
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "op_counts"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+FLAGSHIP = "detect_cascade"
+QUERIES = dict(integrity.QUERIES)
+ORACLE = dict(integrity.ORACLE)
