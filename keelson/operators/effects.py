@@ -1,0 +1,86 @@
+"""What a datastore call touches: SQL strings, filter documents and method names, as field paths."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+EFFECT = "array<struct<op:string,path:string,role:string>>"
+_N = r"[`\"]?([\w.]+)[`\"]?"
+#: Operators of filter documents that are no field names and carry nothing.
+IGNORED = ("$each", "$position", "$addToSet")
+
+
+def _column(name: str, table: str, aliases: dict[str, str]) -> str:
+    prefix, _, column = name.rpartition(".")
+    return f"{aliases.get(prefix, prefix) or table}.{column}"
+
+
+def _conditions(text: str, table: str, aliases: dict[str, str]) -> list[str]:
+    return [_column(m[1], table, aliases) for m in re.finditer(rf"{_N}\s*(?:=|<>|!=|<=|>=|<|>|\bIN\b|\bLIKE\b)\s*(?:\(?\s*\?)", text, re.I)]
+
+
+def sql_effects(statement: str | None) -> list[tuple[str, str, str]]:
+    """(op, table.column, key | value) of a parametrised statement: key for bound conditions, value for what is written or read."""
+    s = " ".join((statement or "").split()).rstrip(";")
+    if m := re.match(rf"INSERT INTO {_N}\s*\(([^)]*)\)\s*VALUES\s*\(([^)]*)\)", s, re.I):
+        columns, values = ([x.strip(" `\"") for x in g.split(",")] for g in (m[2], m[3]))
+        return [("write", f"{m[1]}.{c}", "value") for c, v in zip(columns, values, strict=False) if v == "?"]
+    if m := re.match(rf"UPDATE {_N} SET (.*?)(?: WHERE (.*))?$", s, re.I):
+        sets = [("update", f"{m[1]}.{x[1]}", "value") for x in re.finditer(rf"{_N}\s*=\s*\?", m[2])]
+        return sets + [("update", c, "key") for c in _conditions(m[3] or "", m[1], {})]
+    if m := re.match(rf"DELETE FROM {_N}(?: WHERE (.*))?$", s, re.I):
+        return [("delete", c, "key") for c in _conditions(m[2] or "", m[1], {})] or [("delete", f"{m[1]}.*", "key")]
+    if m := re.match(rf"SELECT (.*?) FROM {_N}(?:\s+(?:AS\s+)?(?!WHERE\b|JOIN\b|ORDER\b|LIMIT\b)(\w+))?(.*)$", s, re.I):
+        table, aliases = m[2], {m[3] or m[2]: m[2]}
+        for j in re.finditer(rf"JOIN {_N}(?:\s+(?:AS\s+)?(?!ON\b)(\w+))?", m[4], re.I):
+            aliases[j[2] or j[1]] = j[1]
+        where = re.search(r"WHERE (.*?)(?:ORDER BY|GROUP BY|LIMIT|$)", m[4], re.I)
+        listed = [x.strip(" ()`\"") for x in m[1].split(",")]
+        read = [("read", f"{table}.*", "value")] if listed == ["*"] else [("read", _column(x, table, aliases), "value") for x in listed]
+        return read + [("read", c, "key") for c in _conditions(where[1] if where else "", table, aliases)]
+    return []
+
+
+def filter_paths(document: object, prefix: str = "") -> list[str]:
+    """Field paths of a filter or update document (nested lists and mappings).
+
+    ``$and`` and ``$or`` are walked through, other leading operators give what they hold, operators below a field mean its elements if they hold
+    lists, and a plain nested key stands for its outer field.
+    """
+    out: list[str] = []
+    if isinstance(document, list):
+        for x in document:
+            out += filter_paths(x, prefix)
+    elif isinstance(document, dict):
+        for key, value in document.items():
+            if key in IGNORED:
+                continue
+            if key.startswith("$"):
+                if prefix and isinstance(value, list) and key in ("$in", "$nin", "$all"):
+                    out.append(f"{prefix}[*]")
+                elif prefix and not isinstance(value, (dict, list)):
+                    out.append(prefix)
+                else:
+                    out += filter_paths(value, prefix)
+            elif prefix:
+                out.append(prefix)
+            elif isinstance(value, dict) and any(k.startswith("$") for k in value):
+                out += filter_paths(value, key) or [key]
+            else:
+                out.append(key)
+    return list(dict.fromkeys(out))
+
+
+@F.pandas_udf(EFFECT)
+def sql_effects_udf(statements: pd.Series) -> pd.Series:
+    return statements.map(lambda s: [{"op": a, "path": b, "role": c} for a, b, c in sql_effects(s)])
+
+
+@F.pandas_udf("array<string>")
+def filter_paths_udf(documents: pd.Series) -> pd.Series:
+    import json
+
+    return documents.map(lambda x: filter_paths(json.loads(x)) if x else [])

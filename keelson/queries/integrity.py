@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, order, paths
-from ..operators import checks, detectors, graph, references
+from ..operators import checks, detectors, effects, graph, references
 from ..plans.facts import is_primary, operation_facts
 
 QUERIES: dict = {}
@@ -393,3 +393,14 @@ def ri_orphans(spark, d):
 def pk_duplicates(spark, d):
     """Repeated keys of line items."""
     return checks.duplicate_keys(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("sql_effects", """WITH p AS (SELECT p_partkey, p_partkey % 4 AS m FROM part)
+    SELECT p_partkey, op, path, role FROM p JOIN (VALUES (0, 'write', 'part.p_name', 'value'), (0, 'write', 'part.p_size', 'value'), (1, 'read', 'part.p_name', 'value'), (1, 'read', 'part.p_partkey', 'key'),
+        (2, 'update', 'part.p_size', 'value'), (2, 'update', 'part.p_partkey', 'key'), (3, 'delete', 'part.p_partkey', 'key')) v(m, op, path, role) ON p.m = v.m""")
+def sql_effects(spark, d):
+    """Columns that parametrised statements touch."""
+    s = F.element_at(F.array(*map(F.lit, (
+        "INSERT INTO part (p_name, p_brand, p_size) VALUES (?, 'x', ?)", "SELECT p.p_name FROM part p WHERE p.p_partkey = ?", "update part set p_size = ? where p_partkey = ?", "DELETE FROM part WHERE p_partkey = ?",
+    ))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.explode(effects.sql_effects_udf(s)).alias("e")).select("p_partkey", "e.op", "e.path", "e.role")
