@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import ship_package
+
 EFFECT = "array<struct<op:string,path:string,role:string>>"
 _N = r"[`\"]?([\w.]+)[`\"]?"
 #: Operators of filter documents that are no field names and carry nothing.
@@ -74,13 +78,21 @@ def filter_paths(document: object, prefix: str = "") -> list[str]:
     return list(dict.fromkeys(out))
 
 
-@F.pandas_udf(EFFECT)
-def sql_effects_udf(statements: pd.Series) -> pd.Series:
+def _sql_effects(statements: pd.Series) -> pd.Series:
     return statements.map(lambda s: [{"op": a, "path": b, "role": c} for a, b, c in sql_effects(s)])
 
 
-@F.pandas_udf("array<string>")
-def filter_paths_udf(documents: pd.Series) -> pd.Series:
-    import json
-
+def _filter_paths(documents: pd.Series) -> pd.Series:
     return documents.map(lambda x: filter_paths(json.loads(x)) if x else [])
+
+
+def sql_effects_of(statement: Column) -> Column:
+    """``sql_effects`` of a string column, in Arrow batches."""
+    ship_package(SparkSession.active())
+    return F.pandas_udf(_sql_effects, EFFECT)(statement)
+
+
+def filter_paths_of(document: Column) -> Column:
+    """``filter_paths`` of a JSON string column, in Arrow batches."""
+    ship_package(SparkSession.active())
+    return F.pandas_udf(_filter_paths, "array<string>")(document)

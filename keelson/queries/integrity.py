@@ -403,4 +403,4 @@ def sql_effects(spark, d):
     s = F.element_at(F.array(*map(F.lit, (
         "INSERT INTO part (p_name, p_brand, p_size) VALUES (?, 'x', ?)", "SELECT p.p_name FROM part p WHERE p.p_partkey = ?", "update part set p_size = ? where p_partkey = ?", "DELETE FROM part WHERE p_partkey = ?",
     ))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", F.explode(effects.sql_effects_udf(s)).alias("e")).select("p_partkey", "e.op", "e.path", "e.role")
+    return table(spark, d, "part").select("p_partkey", F.explode(effects.sql_effects_of(s)).alias("e")).select("p_partkey", "e.op", "e.path", "e.role")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import ship_package
+
 _CREATE = re.compile(r"^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([^\s(]+)\s*\((.*)\)[^)]*$", re.I | re.S)
 _NAME = r"[`\"\[]?(\w+)[`\"\]]?"
 _LIST = r"\(([^)]*)\)"
@@ -60,16 +62,16 @@ def parse_ddl(text: str) -> list[tuple[str, str, list[str]]]:
     return out
 
 
-@F.pandas_udf(KEYS)
 def _parse(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"table": a, "type": b, "fields": c} for a, b, c in parse_ddl(t)])
 
 
 def keys_from_ddl(spark: SparkSession, files: dict[str, str], app: str = "app") -> DataFrame:
     """``constraint`` facts of DDL files given as database -> path."""
-    out = None
+    ship_package(spark)
+    parse, out = F.pandas_udf(_parse, KEYS), None
     for db, path in files.items():
-        rows = spark.read.text(path, wholetext=True).select(F.explode(_parse("value")).alias("k"))
+        rows = spark.read.text(path, wholetext=True).select(F.explode(parse("value")).alias("k"))
         full = F.transform("k.fields", lambda f: F.when(F.col("k.type") != "FOREIGN_KEY", F.concat_ws(".", F.lit(db), F.col("k.table"), f)).when(F.contains(f, F.lit(".")), F.concat_ws(".", F.lit(db), f)).otherwise(F.concat_ws(".", F.lit(db), F.col("k.table"), f)))
         cid = F.concat(F.col("k.type"), F.lit(":"), F.array_join(full, ","))
         rows = rows.select(F.lit(app).alias("app"), cid.alias("cid"), F.col("k.type").alias("type"), full.alias("fields"), F.lit(False).alias("transitive"))
