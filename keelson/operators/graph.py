@@ -50,7 +50,7 @@ def fixpoint(seed: DataFrame, step, name: str = "fixpoint", max_rounds: int = 10
 
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) connected by one edge or more."""
-    e = edges.select("src", "dst").distinct()
+    e = stage(edges.select("src", "dst").distinct(), "closure-edges")
     nxt = e.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
     return fixpoint(e, lambda f: f.join(nxt, f["dst"] == nxt["mid"]).select("src", F.col("next").alias("dst")), "closure")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, order, paths
 from ..operators import checks, detectors, effects, graph, references
 from ..plans.facts import is_primary, operation_facts
+from ..plans.staging import stage
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -49,6 +50,11 @@ fk AS (SELECT src, dst, bool_and(vote) AS mandatory, count(*) AS n_votes, split_
 _NUM = "CAST(regexp_extract({0}, 'f([0-9]+)$', 1) AS INT)"
 
 
+def staged_refs_of(spark: SparkSession, d: str) -> DataFrame:
+    """The inferred references, written once: detectors read this small table several times."""
+    return stage(refs_of(spark, d), "references")
+
+
 def query(name: str, sql: str | None):
     def put(f):
         QUERIES[name] = f
@@ -283,14 +289,14 @@ cascades AS (SELECT l.req, l.seq, l.event_id, l.db, r.pending_db, string_agg(r.p
 @query("detect_cascade", f"WITH {_CASCADE} SELECT * FROM cascades")
 def detect_cascade(spark, d):
     """Deletes without the cascades that references ask for."""
-    return detectors.missing_cascades(daily_ops_of(spark, d), refs_of(spark, d))
+    return detectors.missing_cascades(daily_ops_of(spark, d), staged_refs_of(spark, d))
 
 
 @query("cascade_suppressed", f"WITH {_CASCADE} SELECT * FROM cascades WHERE pending_db <> 'db1' AND NOT (pending_db = 'db2' AND db = 'db3')")
 def cascade_suppressed(spark, d):
     """Missing cascades less the suppressed ones: db1 always, db2 when triggered by db3."""
     ignored = spark.createDataFrame([("db1", None), ("db2", "db3")], "db string, trigger_db string")
-    return detectors.missing_cascades(daily_ops_of(spark, d), refs_of(spark, d), ignored)
+    return detectors.missing_cascades(daily_ops_of(spark, d), staged_refs_of(spark, d), ignored)
 
 
 @query("detect_concurrency", f"""WITH {_FK}, r AS (SELECT DISTINCT dst_db AS db, src AS field FROM fk WHERE NOT mandatory),
@@ -298,7 +304,7 @@ def cascade_suppressed(spark, d):
     SELECT db, field, (SELECT count(*) FROM ops x WHERE x.op = 'D' AND x.db = hits.db) AS n_deletes, (SELECT count(*) FROM ops w WHERE w.op = 'W' AND w.field = hits.field) AS n_writes, n_conflicts FROM hits""")
 def detect_concurrency(spark, d):
     """Deletes that race with writes of other requests."""
-    return detectors.concurrent_writes(ops_of(spark, d), refs_of(spark, d))
+    return detectors.concurrent_writes(ops_of(spark, d), staged_refs_of(spark, d))
 
 
 _COORD = f"""{_FK}, trues AS (SELECT src, dst, req FROM votes WHERE vote),
@@ -312,13 +318,13 @@ cf AS (SELECT rp.*, {_NUM.format("f1")} % 5 = 0 AND {_NUM.format("f2")} % 5 = 0
 @query("detect_fk_coord", f"WITH {_COORD} SELECT req, e1, e2, f1, f2 FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b)")
 def detect_fk_coord(spark, d):
     """Uncoordinated reads along references."""
-    return detectors.key_coordination(ops_of(spark, d), refs_of(spark, d), primary=False)
+    return detectors.key_coordination(ops_of(spark, d), staged_refs_of(spark, d), primary=False)
 
 
 @query("detect_pk_coord", f"WITH {_COORD} SELECT req, e1, e2, f1, f2 FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END")
 def detect_pk_coord(spark, d):
     """Uncoordinated reads of primary keys."""
-    return detectors.key_coordination(ops_of(spark, d), refs_of(spark, d), primary=True)
+    return detectors.key_coordination(ops_of(spark, d), staged_refs_of(spark, d), primary=True)
 
 
 _UNIQUE = f"""{_OPS}, uniq AS (SELECT req, event_id, field, n_affected FROM (SELECT *, count(*) OVER (PARTITION BY req, obj ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n_affected FROM ops WHERE op = 'W')
@@ -334,7 +340,7 @@ def detect_unique(spark, d):
 @query("warning_summary", f"WITH {_CASCADE}, {_COORD.removeprefix(_FK + ', ')}, {_UNIQUE.removeprefix(_OPS + ', ')} SELECT 'missing_cascade' AS pattern, count(*) AS n FROM cascades UNION ALL SELECT 'fk_coordination', count(*) FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b) UNION ALL SELECT 'pk_coordination', count(*) FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END UNION ALL SELECT 'unique_conflict', count(*) FROM uniq")
 def warning_summary(spark, d):
     """Number of findings of each detector."""
-    ops, refs = ops_of(spark, d), refs_of(spark, d)
+    ops, refs = ops_of(spark, d), staged_refs_of(spark, d)
     found = {
         "missing_cascade": detectors.missing_cascades(daily_ops_of(spark, d), refs), "fk_coordination": detectors.key_coordination(ops, refs, False),
         "pk_coordination": detectors.key_coordination(ops, refs, True), "unique_conflict": detectors.unique_conflicts(ops),
@@ -369,7 +375,7 @@ def taint_fixpoint(spark, d):
     """Values that taints of writes reach over value-flow edges."""
     o = ops_of(spark, d)
     has = o.select("req", (F.col("k") % 12).alias("v")).distinct()
-    e = has.where("v <> 11").select("req", F.col("v").alias("src"), ((F.col("v") + 1) % 12).alias("dst")).join(has.withColumnRenamed("v", "dst"), ["req", "dst"])
+    e = stage(has.where("v <> 11").select("req", F.col("v").alias("src"), ((F.col("v") + 1) % 12).alias("dst")).join(has.withColumnRenamed("v", "dst"), ["req", "dst"]), "flow")
     seeds = o.where("op = 'W' AND k % 5 = 0").select("req", (F.col("k") % 12).alias("v"))
     return graph.fixpoint(seeds, lambda f: f.join(e, (f["req"] == e["req"]) & (f["v"] == e["src"])).select(f["req"], e["dst"].alias("v")), "taints")
 

@@ -1 +1 @@
-
+"""Nothing here yet: the analysis works on finite fact tables, and queues are modelled datastores, not streams."""
