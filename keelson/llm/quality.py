@@ -118,10 +118,10 @@ def rule_votes(names: dict[str, str]) -> dict[str, Column]:
     enough, letters = n["n_words"] >= 20, n["n_letters"] / F.greatest(n["n_letters"] + n["n_other"], F.lit(1.0))
     return {
         "length": _vote(n["n_words"] < 10, n["n_words"] >= 100),
-        "repeats": _vote(n["n_repeat_words"] > 0.30 * words, enough & (n["n_repeat_words"] < 0.10 * words)),
+        "repeats": _vote(n["n_repeat_words"] > 0.45 * words, enough & (n["n_repeat_words"] < 0.10 * words)),
         "symbols": _vote(n["n_symbols"] > 0.25 * words, n["n_symbols"] < 0.02 * words),
         "symbol_words": _vote(n["n_symbol_words"] > 0.15 * words, n["n_symbol_words"] < 0.02 * words),
-        "letters": _vote(letters < 0.85, letters > 0.93),
+        "letters": _vote(letters < 0.80, letters > 0.93),
         "capitals": _vote(n["n_upper"] > 0.40 * chars, n["n_upper"] < 0.10 * chars),
         "lines": _vote((n["n_dup_lines"] > 0.30 * lines) & (n["n_dup_lines"] >= 2), (n["n_dup_lines"] == 0) & (n["n_lines"] >= 2)),
         "word_length": _vote((chars < 2.5 * words) | (chars > 14.0 * words), (chars > 3.0 * words) & (chars < 9.0 * words)),
