@@ -241,7 +241,8 @@ def repeat_factors(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     many = firsts.where("c > 1").select(F.col("anchor").alias("fa"), F.col("phrase").alias("fp"), F.struct("f.doc", "f.th", "f.s").alias("first"))
     whole = travelling.join(many, (F.col("anchor") == F.col("fa")) & (F.col("phrase") == F.col("fp"))).where(~spot.eqNullSafe(F.col("first"))).select("doc", "th", "s", "n")
     # Blocks with different phrases: their distinct phrases are looked at window by window.
-    mixed = firsts.groupBy(F.col("anchor").alias("ma")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    # Written by itself, so that the join below can split an anchor with many phrases over tasks.
+    mixed = stage(firsts.groupBy(F.col("anchor").alias("ma")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ma"), "mixed-anchors")
     ask = firsts.join(mixed, F.col("anchor") == F.col("ma"), "left_semi").select("f.doc", "f.th", "f.s", "f.n", "anchor")
     asked = ask.groupBy(F.col("doc").alias("ad"), F.col("th").alias("ah")).agg(F.collect_list(F.struct("s", "n", "anchor")).alias("runs"))
     located = texts.join(asked, F.col("doc").eqNullSafe(F.col("ad")) & (F.col("th") == F.col("ah"))).select("doc", "th", "text", "runs")
@@ -257,7 +258,7 @@ def repeat_factors(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         .unionByName(later.select("doc", "th", "s", one))
     )
     out = stage(found, "factors")
-    unstage(shared, both, firsts, windows)
+    unstage(shared, both, firsts, mixed, windows)
     return out
 
 
