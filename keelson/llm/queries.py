@@ -217,7 +217,31 @@ _WARC_SQL = """
 """
 
 
+_SUBSTRING_SQL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+    later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY p ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+    cut AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM later)),
+    words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t FROM words ANTI JOIN cut USING (doc_id, j) GROUP BY doc_id),
+    gone AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+_JACCARD_SQL = r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM both_ JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 10 * k >= 8 * (x.n + y.n - k)),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, coalesce(k, 0) AS n_links
+    FROM d LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON doc_id = r.a LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) l ON doc_id = l.a
+"""
+
+
 ORACLE = {
+    "op5_ngram_jaccard_join": _JACCARD_SQL,
+    "op6_substring_dedup": _SUBSTRING_SQL,
     "op4_warc_index": _WARC_SQL,
     "op2_benchmark_decontamination": _DECONTAMINATION_SQL,
     "op8_chat_formatting": _chat_sql(),
