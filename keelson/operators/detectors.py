@@ -13,6 +13,7 @@ from ..functions.names import is_delete, is_read, is_write
 from ..functions.paths import database_name
 from ..plans.config import AnalysisConfig
 from ..plans.facts import is_primary, is_queue, is_unique
+from ..plans.ranking import global_row_number
 
 
 def with_databases(refs: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def missing_cascades(ops: DataFrame, refs: DataFrame, ignored: DataFrame | None
     pending = live.join(referencing, "db").join(settled, ["req", "seq", "pending_db"], "left_anti")
     if ignored is not None:
         i = ignored.select(F.col("db").alias("i_db"), F.col("trigger_db").alias("i_trigger"))
-        pending = pending.join(F.broadcast(i), (F.col("pending_db") == F.col("i_db")) & (F.col("i_trigger").isNull() | (F.col("i_trigger") == F.col("db"))), "left_anti")
+        pending = pending.join(i, (F.col("pending_db") == F.col("i_db")) & (F.col("i_trigger").isNull() | (F.col("i_trigger") == F.col("db"))), "left_anti")
     return pending.groupBy("req", "seq", "event_id", "db", "pending_db").agg(F.array_join(F.array_sort(F.collect_set("pending")), ", ").alias("fields"))
 
 
@@ -104,4 +105,4 @@ def unique_conflicts(ops: DataFrame) -> DataFrame:
 
 def numbered(findings: DataFrame, *order: str) -> DataFrame:
     """Findings with a running number in report order."""
-    return findings.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return global_row_number(findings, "n", *order)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, order, paths
 from ..operators import checks, detectors, effects, graph, references
 from ..plans.facts import is_primary, operation_facts
+from ..plans.ranking import global_row_number
 from ..plans.staging import stage
 
 QUERIES: dict = {}
@@ -107,8 +108,7 @@ def t_order_sort(spark, d):
     part = lambda x: F.concat(F.lit("t"), x.cast("string"))
     t = F.concat(part(F.col("event_id") % 13), F.lit("."), part(k % 24), F.when(k % 3 == 0, F.concat(F.lit("."), part(k % 7))).otherwise(F.lit("")))
     s = ops_of(spark, d).select("event_id", t.alias("t"), part(k % 13).alias("u")).withColumn("v", order.parse_stamp(F.col("t")))
-    rank = F.row_number().over(Window.orderBy("v", "event_id")).cast("long")
-    return s.select("event_id", "t", F.size("v").cast("long").alias("depth"), order.less(F.col("t"), F.col("u")).alias("is_less"), order.greater(F.col("t"), F.col("u")).alias("is_greater"), rank.alias("rank"))
+    return global_row_number(s, "rank", "v", "event_id").select("event_id", "t", F.size("v").cast("long").alias("depth"), order.less(F.col("t"), F.col("u")).alias("is_less"), order.greater(F.col("t"), F.col("u")).alias("is_greater"), "rank")
 
 
 _PATH = "field || CASE WHEN k % 3 = 0 THEN '.sub' WHEN k % 3 = 1 THEN '[*].item.id' ELSE '' END"
