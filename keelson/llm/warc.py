@@ -65,6 +65,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), surt_key(F.col("url")).alias("surt"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
     groups = rows.where(F.col("n_bytes") >= REVISIT_BYTES).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 AND top IS NOT NULL")
+    groups = stage(groups.select("d", "top"), "payload-groups")  # written by itself, so that the join can split a common payload over tasks
     joined = rows.join(groups, F.col("digest") == F.col("d"), "left")
     is_revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return joined.select("page_id", "url", "html", "surt", "digest", "n_bytes", F.when(is_revisit, F.col("top")).alias("response_id"))
