@@ -333,7 +333,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaves = _tiles(_paths(sets), "path", "n").join(sets.select("id", "sketch"), "id").select("path", "a", "b", "tile", "id", "sketch")
     links = stage(arrow_map(leaves.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b"), _sketch_links, "x long, y long").distinct(), "links")
     groups = stage(components(links), "groups")
-    sized = groups.join(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp")
+    # Sizes and leads are written by themselves, so that joins can split a large group over tasks.
+    sizes = stage(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    sized = groups.join(sizes, "comp")
     # One text stands for each set: that of its least (id, text hash).
     wanted = sized.join(sets.select("id", "copies", F.col("one.doc").alias("wd"), F.col("one.th").alias("wh")), "id")
     text_of = texts.join(wanted, F.col("doc").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wh"))).select("comp", "id", "n", "copies", "text")
@@ -342,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = found.where("kind = 0").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("linked"))
     classes = stage(components(found.where("kind = 1").select("x", "y")), "classes")
     per_set = sets.select("id", "copies", "one").join(classes, "id", "left").join(counts, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    named_classes = per_set.groupBy("comp").agg(F.min("one").alias("lead"))
+    named_classes = stage(per_set.groupBy("comp").agg(F.min("one").alias("lead")), "class-leads")
     answer = per_set.join(named_classes, "comp").select("id", "lead", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.withColumn("id", F.when(F.col("low").isNotNull(), named)).join(answer, "id", "left")
     alone = F.col("low").isNull()
@@ -350,5 +352,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("doc").alias("doc_id"), F.col("th").alias("text_hash"), F.when(alone, F.col("doc")).otherwise(F.col("lead.doc")).alias("class_id"),
         F.when(alone, F.col("th")).otherwise(F.col("lead.th")).alias("class_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    unstage(links, groups)
+    unstage(links, groups, sizes)
     return result
