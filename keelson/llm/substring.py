@@ -249,6 +249,7 @@ def repeat_factors(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = stage(arrow_map(located, _window_rows(window), "settled boolean, anchor long, w long, doc long, th long, s int"), "windows")
     loose = windows.where("NOT settled")
     first_windows = loose.groupBy(F.col("anchor").alias("wa"), F.col("w").alias("ww")).agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first_windows = stage(first_windows.drop("c"), "window-firsts")
     later = loose.join(first_windows, (F.col("anchor") == F.col("wa")) & (F.col("w") == F.col("ww"))).where(~spot.eqNullSafe(F.col("first")))
     one = F.lit(1).alias("n")
     found = (
@@ -258,7 +259,7 @@ def repeat_factors(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         .unionByName(later.select("doc", "th", "s", one))
     )
     out = stage(found, "factors")
-    unstage(shared, both, firsts, mixed, windows)
+    unstage(shared, both, firsts, mixed, windows, first_windows)
     return out
 
 
