@@ -15,7 +15,7 @@ Groups are then compared exactly: all pairs inside a group, in tiles again, by a
 of the tokens that two sets share.  This gives each set's number of links and the links of the final classes.  A pair is in one
 group only, so nothing is counted twice; copies are counted by multiplicity.
 
-Components are found in rounds of hashed minimum labels with shortcuts, all in DataFrames.
+Components are found in rounds of star operations, all in DataFrames.
 
 Defined results for odd input: texts without words have no similarity, each is a class of its own without links; texts of fewer
 than five words have one shingle, all their words; the class id is the least doc_id of the class (null ids count
@@ -257,8 +257,9 @@ def _sketch_links(batches):
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for all ids in ``links`` (x, y): the least id that each is connected with.
 
-    Rounds of star contraction: each node's neighbours are tied to the least of them; the links left over shrink at least by
-    halves, and a few hundred rounds' worth of path length is folded in each.
+    Rounds of large-star and small-star operations: the first ties each larger neighbour of a node to the node's least
+    neighbour, the second ties a node and its smaller neighbours to the least of them.  Trees get flatter every round, until each node
+    has one link, to the least node of its component.  Every round is written to the shared folder.
     """
     both = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct()
     edges = stage(both, "edges")
