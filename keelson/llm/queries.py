@@ -8,14 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from . import chat, decontam, jaccard, packing, quality, secrets, substring, toxicity, urlfilter, warc
 from .common import read_table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts, base test and the label model's verdict for every document."""
-    from ..plans.staging import stage
-
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     names = quality.added_columns(docs.columns)
     counted = stage(quality.with_counts(docs).drop("text"), "quality-counts")
@@ -28,8 +27,9 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = decontam.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    ids = F.array_join(F.array_sort("items"), ",")
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    items = F.array_sort(F.array_distinct("items"))
+    ids = F.array_join(items, ",")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

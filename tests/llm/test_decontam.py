@@ -72,3 +72,9 @@ def test_empty_tables_and_clashing_columns(spark, tables):
 def test_cutting_keeps_the_rest():
     assert decontam.remove_spans("One, two; three four.", [(1, 3)]) == "One,  four."
     assert decontam.remove_spans("x", []) == "x"
+
+
+def test_an_item_that_repeats_counts_once(spark, tables):
+    folder = tables(documents=([(1, "a b c")], "doc_id long, text string"), benchmark=([(7, "b c"), (7, "b c"), (7, "a")], "item_id long, text string"))
+    r = queries.op2_benchmark_decontamination(spark, folder).first()
+    assert (r.n_hit, r.n_items) == (3, 1)
