@@ -10,27 +10,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_delete, is_read, is_write
-from ..functions.paths import database_name
+from ..functions.paths import database_name, schema_name
 from ..plans.config import AnalysisConfig
 from ..plans.facts import is_primary, is_queue, is_unique
 from ..plans.ranking import global_row_number
+from .graph import fields_with_prefix
 
 
 def with_databases(refs: DataFrame) -> DataFrame:
     return refs.withColumns({"src_db": database_name(F.col("src")), "dst_db": database_name(F.col("dst"))})
 
 
-def missing_cascades(ops: DataFrame, refs: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+def written_fields(writes: DataFrame, fields: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """Rows of ``writes`` once for each of ``fields`` (field) that their own field is or is above; a write of a whole entity writes all its fields."""
+    placed = lambda df, name: df.select(F.col("field").alias(name), database_name(F.col("field")).alias("db"), schema_name(F.col("field")).alias("schema")).distinct()
+    below = fields_with_prefix(placed(fields, "path"), placed(writes, "prefix"), config)
+    return writes.withColumnRenamed("field", "prefix").join(below, "prefix").drop("prefix").withColumnRenamed("path", "field")
+
+
+def missing_cascades(ops: DataFrame, refs: DataFrame, ignored: DataFrame | None = None, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Deletes that leave referencing fields in other databases behind: req, seq, event_id, db, pending_db, fields.
 
-    A write of the request to a field that optionally references the deleted entity silences this delete and all later ones of the
+    A write of the request to a field, or to a path above it, that optionally references the deleted entity silences this delete and all later ones of the
     request.  A later delete on the same object in a referencing database settles that database, if it has referencing
     fields itself and is not silenced.  ``ignored`` (db, trigger_db or null) suppresses findings.
     """
     r = with_databases(refs)
     deletes = ops.where(is_delete(F.col("op"))).select("req", "seq", "event_id", "db", "obj")
     optional = r.where("NOT mandatory").select(F.col("src").alias("field"), F.col("dst_db").alias("db")).distinct()
-    written = ops.where(is_write(F.col("op"))).select("req", "field").distinct().join(optional, "field").select("req", "db").distinct().withColumn("hit", F.lit(1))
+    writes = ops.where(is_write(F.col("op"))).select("req", "field").distinct()
+    written = written_fields(writes, optional, config).join(optional, "field").select("req", "db").distinct().withColumn("hit", F.lit(1))
     sticky = Window.partitionBy("req").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     open_ = deletes.join(written, ["req", "db"], "left").withColumn("silent", F.max(F.coalesce("hit", F.lit(0))).over(sticky)).where("silent = 0").drop("hit", "silent")
     referencing = r.where(~is_queue(F.col("src_db")) & (F.col("src_db") != F.col("dst_db"))).select(F.col("dst_db").alias("db"), F.col("src_db").alias("pending_db"), F.col("src").alias("pending")).distinct()
@@ -52,12 +61,14 @@ def missing_cascades(ops: DataFrame, refs: DataFrame, ignored: DataFrame | None
 def concurrent_writes(ops: DataFrame, refs: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """(db, field, n_deletes, n_writes, n_conflicts): writes of fields that optionally reference the entity a delete of another request removes.
 
+    A write of a path above such a field counts as a write of it.
     Conflicts are pairs of requests that differ; they are counted from per-request totals, never listed.
     """
     r = with_databases(refs).where("NOT mandatory").select(F.col("dst_db").alias("db"), F.col("src").alias("field")).distinct()
     deletes = ops.where(is_delete(F.col("op"))).groupBy("req", "db").agg(F.count(F.lit(1)).alias("d"))
     is_conflicting = is_write(F.col("op")) | (F.lit(config.concurrency_includes_upserts) & (F.col("op") == "U"))
-    writes = ops.where(is_conflicting).groupBy("req", "field").agg(F.count(F.lit(1)).alias("w"))
+    direct = ops.where(is_conflicting).groupBy("req", "field").agg(F.count(F.lit(1)).alias("w"))
+    writes = written_fields(direct, r, config).groupBy("req", "field").agg(F.sum("w").alias("w"))
     total_d, total_w = deletes.groupBy("db").agg(F.sum("d").alias("n_deletes")), writes.groupBy("field").agg(F.sum("w").alias("n_writes"))
     own = r.join(deletes, "db").join(writes, ["req", "field"]).groupBy("db", "field").agg(F.sum(F.col("d") * F.col("w")).alias("own"))
     out = r.join(total_d, "db").join(total_w, "field").join(own, ["db", "field"], "left")

@@ -4,11 +4,18 @@ import os
 
 import pytest
 from test_queries import DATA, duck, same_rows
+from test_references import ops, refs
 
 from keelson import catalog
+from keelson.operators import detectors
+from keelson.plans.config import AnalysisConfig
 
 #: What to put for a part of the registered SQL.
 WHOLE = {
+    "detect_cascade": [("o.field = p.field", "starts_with(p.field, o.field)")],
+    "cascade_suppressed": [("o.field = p.field", "starts_with(p.field, o.field)")],
+    "warning_summary": [("o.field = p.field", "starts_with(p.field, o.field)")],
+    "detect_concurrency": [("w.field = r.field", "starts_with(r.field, w.field)"), ("w.field = hits.field", "starts_with(hits.field, w.field)")],
     "ri_orphans": [("o_custkey % 10 = 0 AND ", ""), (" WHERE c_custkey % 20 <> 0", "")],
 }
 
@@ -27,3 +34,18 @@ def test_orphans_of_any_key(spark, tmp_path):
     spark.createDataFrame([(20,), (40,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     found = sorted((r.o_orderkey, r.o_custkey) for r in catalog.QUERIES["ri_orphans"](spark, str(tmp_path)).collect())
     assert found == [(1, 7), (3, 30)]
+
+
+def test_writes_of_upper_paths_conflict(spark):
+    known = refs(spark, [("b.c.f13", "a.c.f", False, [])])
+    facts = ops(spark, [(1, 1, "D", "a.c.f"), (2, 1, "W", "b.c"), (3, 1, "W", "b.c.f1"), (4, 1, "W", "b.c.f13"), (5, 1, "W", "b.c.f2"), (6, 1, "W", "b.other")])
+    assert [tuple(r) for r in detectors.concurrent_writes(facts, known).collect()] == [("a", "b.c.f13", 1, 3, 3)]
+    by_segments = detectors.concurrent_writes(facts, known, AnalysisConfig(segment_aware_paths=True)).collect()
+    assert [tuple(r) for r in by_segments] == [("a", "b.c.f13", 1, 2, 2)]
+
+
+def test_writes_of_upper_paths_silence(spark):
+    known = refs(spark, [("b.c.f13", "a.c.f", False, [])])
+    facts = ops(spark, [(1, 1, "W", "b.c"), (1, 1, "D", "a.c.f"), (2, 1, "W", "b.c.f1"), (2, 1, "D", "a.c.f"), (3, 1, "W", "b.c.f2"), (3, 1, "D", "a.c.f")])
+    assert [r.req for r in detectors.missing_cascades(facts, known).collect()] == [3]
+    assert sorted(r.req for r in detectors.missing_cascades(facts, known, config=AnalysisConfig(segment_aware_paths=True)).collect()) == [2, 3]
