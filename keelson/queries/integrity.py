@@ -376,7 +376,7 @@ def taint_fixpoint(spark, d):
     o = ops_of(spark, d)
     has = o.select("req", (F.col("k") % 12).alias("v")).distinct()
     e = stage(has.where("v <> 11").select("req", F.col("v").alias("src"), ((F.col("v") + 1) % 12).alias("dst")).join(has.withColumnRenamed("v", "dst"), ["req", "dst"]), "flow")
-    seeds = o.where("op = 'W' AND k % 5 = 0").select("req", (F.col("k") % 12).alias("v"))
+    seeds = o.where("op = 'W'").select("req", (F.col("k") % 12).alias("v"))
     return graph.fixpoint(seeds, lambda f: f.join(e, (f["req"] == e["req"]) & (f["v"] == e["src"])).select(f["req"], e["dst"].alias("v")), "taints")
 
 

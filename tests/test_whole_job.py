@@ -17,6 +17,7 @@ WHOLE = {
     "warning_summary": [("o.field = p.field", "starts_with(p.field, o.field)")],
     "detect_concurrency": [("w.field = r.field", "starts_with(r.field, w.field)"), ("w.field = hits.field", "starts_with(hits.field, w.field)")],
     "ri_orphans": [("o_custkey % 10 = 0 AND ", ""), (" WHERE c_custkey % 20 <> 0", "")],
+    "taint_fixpoint": [("op = 'W' AND k % 5 = 0", "op = 'W'")],
 }
 
 
