@@ -34,18 +34,17 @@ def neighbours(nodes: DataFrame, edges: DataFrame, outgoing: bool = True) -> Dat
     return nodes.join(edges, nodes["node"] == edges[near]).select(nodes["node"], edges[far].alias("neighbour"))
 
 
-def fixpoint(seed: DataFrame, step, name: str = "fixpoint", max_rounds: int = 1000) -> DataFrame:
+def fixpoint(seed: DataFrame, step, name: str = "fixpoint") -> DataFrame:
     """All rows reachable from ``seed`` by ``step``: each round extends only the rows that the last one found."""
     columns = seed.columns
     frontier = stage(seed.distinct(), name)
     seen = frontier
-    for _ in range(max_rounds):
+    while True:
         new = stage(step(frontier).select(*columns).distinct().join(seen, columns, "left_anti"), name)
         if new.isEmpty():
             unstage(new)
-            break
+            return seen
         seen, frontier = seen.unionByName(new), new
-    return seen
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -60,11 +59,13 @@ def transitive_targets(refs: DataFrame) -> DataFrame:
     return refs.where("split(src, '[.]')[0] <> split(dst, '[.]')[0]").select(F.col("src").alias("via"), "dst", "mandatory")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, config: AnalysisConfig = AnalysisConfig(), max_rounds: int = 200) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Taints (id, objpath, fieldpath) that reach each value over edges (etype, src, dst, segment, op).
 
     ``segment`` is the path part that field, index and map edges add or remove; ``op`` names the operator or callee of BINOP and ARG
-    edges.  Values used inside filter documents (``used_in_bson`` of the seeds' edges) should be left out of ``edges``.
+    edges.  Values used inside filter documents (``used_in_bson`` of the seeds' edges) should be left out of ``edges``.  Paths have no
+    greatest length; only a cycle that would lengthen one without end is cut where it repeats: a value does not get the same segment
+    again while the first one is still in the path.
     """
     rules = edges.sparkSession.createDataFrame([(k, d, r) for k, pair in EDGE_RULES.items() for d, r in zip(("f", "b"), pair, strict=True)], "etype string, dir string, how string")
     usable = edges.where(~(F.col("etype").isin("BINOP_X", "BINOP_Y") & F.col("op").isin(*COMPARISONS)) & ~((F.col("etype") == "ARG_ON_CALL") & ~F.col("op").isin(*FLOWING_CALLS)))
@@ -83,11 +84,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, config: AnalysisConfig = Analy
         )
         deeper = F.when((F.col("how") == "pop") & (F.col("objpath") == "_obj"), F.concat(F.col("fieldpath"), F.col("segment"))).otherwise(F.col("fieldpath"))
         path = F.when((F.col("how") == "pop") & (F.col("objpath") == "_obj"), F.lit("_obj")).otherwise(moved)
-        # A path that grows through a cycle of pushes would never end.
-        short = F.size(F.split("objpath", r"[.\[]")) <= config.max_depth
-        return front.join(moves, front["id"] == moves["a"]).select(F.col("b").alias("id"), path.alias("objpath"), deeper.alias("fieldpath")).where(F.col("objpath").isNotNull() & short & (F.size(F.split("fieldpath", r"[.\[]")) <= config.max_depth))
+        # Where pushes and field steps took place, a push until it is popped.
+        mark, top = F.struct(F.col("b").alias("at"), "segment"), F.try_element_at("pushed", F.lit(-1))
+        is_push, is_deep, is_pop = F.col("how") == "push", (F.col("how") == "pop") & (F.col("objpath") == "_obj"), (F.col("how") == "pop") & fits
+        pushed = F.when(is_push, F.concat("pushed", F.array(mark))).when(is_pop & F.coalesce(top["segment"] == F.col("segment"), F.lit(False)), F.slice("pushed", F.lit(1), F.size("pushed") - 1)).otherwise(F.col("pushed"))
+        deepened = F.when(is_deep, F.concat("deepened", F.array(mark))).otherwise(F.col("deepened"))
+        repeats = (is_push & F.array_contains("pushed", mark)) | (is_deep & F.array_contains("deepened", mark))
+        reached = front.join(moves, front["id"] == moves["a"]).where(~repeats)
+        return reached.select(F.col("b").alias("id"), path.alias("objpath"), deeper.alias("fieldpath"), pushed.alias("pushed"), deepened.alias("deepened")).where(F.col("objpath").isNotNull())
 
-    return fixpoint(seeds.select("id", "objpath", "fieldpath"), step, "taints", max_rounds)
+    none = F.array().cast("array<struct<at:string,segment:string>>")
+    found = fixpoint(seeds.select("id", "objpath", "fieldpath", none.alias("pushed"), none.alias("deepened")), step, "taints")
+    return found.select("id", "objpath", "fieldpath").distinct()
 
 
 TAINT_KEYS = {
@@ -129,17 +137,17 @@ def fields_with_prefix(fields: DataFrame, prefixes: DataFrame, config: AnalysisC
     return joined.where(is_prefix(F.col("prefix"), F.col("path"), not inclusive, config.segment_aware_paths)).select("prefix", "path")
 
 
-def traverse(edges: DataFrame, entries: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def traverse(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Operations of each request in call order: (req, path array<int>, node, edge_id).
 
     Depth-first order is the order of the arrays of edge numbers on the way down.  Entries named Run or Init are skipped but keep their
-    number; a node already on the way is not entered again, and no way is longer than ``max_depth``.
+    number; a node already on the way is not entered again, which ends every cycle.
     """
     numbered = entries.withColumn("req", F.row_number().over(Window.orderBy("entry")).cast("int") - 1).where(~F.element_at(F.split("entry", r"\."), -1).isin("Run", "Init"))
     front = numbered.select("req", F.col("node"), F.array().cast("array<int>").alias("path"), F.array("node").alias("way"), F.lit(None).cast("string").alias("edge_id"))
     e = edges.select("src", F.col("dst"), "ord", F.col("edge_id").alias("eid"))
     levels, front = [], stage(front, "traverse")
-    for _ in range(config.max_depth):
+    while True:
         nxt = front.join(e, (front["node"] == e["src"]) & ~F.array_contains(front["way"], e["dst"]))
         nxt = stage(nxt.select("req", F.col("dst").alias("node"), F.concat("path", F.array(F.col("ord").cast("int"))).alias("path"), F.concat("way", F.array("dst")).alias("way"), F.col("eid").alias("edge_id")), "traverse")
         if nxt.isEmpty():

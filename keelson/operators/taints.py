@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import trace_argument, trace_object_path
-from ..plans.config import AnalysisConfig
 from .graph import fixpoint, insert_new
 
 
@@ -55,7 +54,7 @@ def later_edges(edges: DataFrame) -> DataFrame:
     return edges.join(l, "src").where("_later > ord").select("edge_id", "later_id")
 
 
-def combine_calls(calls: DataFrame, taints: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def combine_calls(calls: DataFrame, taints: DataFrame) -> DataFrame:
     """Taints (fn, obj, objpath, fieldpath, stamp array<int>, way array<string>) seen from every caller.
 
     Calls map a callee's parameter or result to the caller's object: (caller, callee, site int, inner, outer).  A taint of ``inner`` becomes one of
@@ -66,7 +65,6 @@ def combine_calls(calls: DataFrame, taints: DataFrame, config: AnalysisConfig =
 
     def step(front: DataFrame) -> DataFrame:
         up = front.join(c, (F.col("fn") == F.col("callee")) & (F.col("obj") == F.col("inner")) & ~F.array_contains("way", F.col("caller")))
-        up = up.where(F.size("way") < config.max_depth)
         return up.select(F.col("caller").alias("fn"), F.col("outer").alias("obj"), "objpath", "fieldpath", F.concat(F.array("site"), "stamp").alias("stamp"), F.concat("way", F.array("caller")).alias("way"))
 
     return fixpoint(seeds, step, "combined")

@@ -18,5 +18,3 @@ class AnalysisConfig:
     dual_pass: bool = False
     #: False: "db.t.ID" counts as upper path of "db.t.IDCard", as in plain string comparison.
     segment_aware_paths: bool = False
-    #: Longest call chain that a traversal follows; cycles are cut by the path itself.
-    max_depth: int = 16

@@ -7,7 +7,7 @@ from test_queries import DATA, duck, same_rows
 from test_references import ops, refs
 
 from keelson import catalog
-from keelson.operators import detectors
+from keelson.operators import detectors, graph, taints
 from keelson.plans.config import AnalysisConfig
 
 #: What to put for a part of the registered SQL.
@@ -50,3 +50,24 @@ def test_writes_of_upper_paths_silence(spark):
     facts = ops(spark, [(1, 1, "W", "b.c"), (1, 1, "D", "a.c.f"), (2, 1, "W", "b.c.f1"), (2, 1, "D", "a.c.f"), (3, 1, "W", "b.c.f2"), (3, 1, "D", "a.c.f")])
     assert [r.req for r in detectors.missing_cascades(facts, known).collect()] == [3]
     assert sorted(r.req for r in detectors.missing_cascades(facts, known, config=AnalysisConfig(segment_aware_paths=True)).collect()) == [2, 3]
+
+
+def test_walks_have_no_greatest_depth(spark):
+    n = 18
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1, f"e{i}") for i in range(n)], "src string, dst string, ord int, edge_id string")
+    entries = spark.createDataFrame([("n0", "S.Handle")], "node string, entry string")
+    assert {r.node for r in graph.traverse(edges, entries).collect()} == {f"n{i}" for i in range(1, n + 1)}
+    calls = spark.createDataFrame([(f"f{i + 1}", f"f{i}", i, "p", "p") for i in range(n)], "caller string, callee string, site int, inner string, outer string")
+    seed = spark.createDataFrame([("f0", "p", "_obj", "db.t.f", [2])], "fn string, obj string, objpath string, fieldpath string, stamp array<int>")
+    assert {r.fn for r in taints.combine_calls(calls, seed).collect()} == {f"f{i}" for i in range(n + 1)}
+
+
+def test_long_paths_stay_and_growing_cycles_end(spark):
+    schema, start = "etype string, src string, dst string, segment string, op string", "id string, objpath string, fieldpath string"
+    n = 18
+    pushes = spark.createDataFrame([("MAP_UPDATE", f"v{i}", f"v{i + 1}", f".s{i}", None) for i in range(n)], schema)
+    seed = spark.createDataFrame([("v0", "_obj", "db.t.f")], start)
+    found = {(r.id, r.objpath) for r in graph.propagate(pushes, seed).collect()}
+    assert found == {(f"v{i}", "_obj" + "".join(f".s{j}" for j in reversed(range(i)))) for i in range(n + 1)}
+    cycle = spark.createDataFrame([("MAP_UPDATE", "v0", "v1", ".a", None), ("MAP_UPDATE", "v1", "v0", ".b", None)], schema)
+    assert {(r.id, r.objpath) for r in graph.propagate(cycle, seed).collect()} == {("v0", "_obj"), ("v1", "_obj.a"), ("v0", "_obj.b.a")}
