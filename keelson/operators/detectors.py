@@ -33,10 +33,11 @@ def missing_cascades(ops: DataFrame, refs: DataFrame, ignored: DataFrame | None
 
     A write of the request to a field, or to a path above it, that optionally references the deleted entity silences this delete and all later ones of the
     request.  A later delete on the same object in a referencing database settles that database, if it has referencing
-    fields itself and is not silenced.  ``ignored`` (db, trigger_db or null) suppresses findings.
+    fields itself and is not silenced.  ``ignored`` (db, trigger_db or null; entity and
+    trigger_entity, if it has them) suppresses pending fields of that entity.
     """
     r = with_databases(refs)
-    deletes = ops.where(is_delete(F.col("op"))).select("req", "seq", "event_id", "db", "obj")
+    deletes = ops.where(is_delete(F.col("op"))).select("req", "seq", "event_id", "db", "obj", schema_name(F.col("field")).alias("entity"))
     optional = r.where("NOT mandatory").select(F.col("src").alias("field"), F.col("dst_db").alias("db")).distinct()
     writes = ops.where(is_write(F.col("op"))).select("req", "field").distinct()
     written = written_fields(writes, optional, config).join(optional, "field").select("req", "db").distinct().withColumn("hit", F.lit(1))
@@ -53,8 +54,11 @@ def missing_cascades(ops: DataFrame, refs: DataFrame, ignored: DataFrame | None
     )
     pending = live.join(referencing, "db").join(settled, ["req", "seq", "pending_db"], "left_anti")
     if ignored is not None:
-        i = ignored.select(F.col("db").alias("i_db"), F.col("trigger_db").alias("i_trigger"))
-        pending = pending.join(i, (F.col("pending_db") == F.col("i_db")) & (F.col("i_trigger").isNull() | (F.col("i_trigger") == F.col("db"))), "left_anti")
+        entity = lambda name: F.col(name) if name in ignored.columns else F.lit(None).cast("string")
+        i = ignored.select(F.col("db").alias("i_db"), F.col("trigger_db").alias("i_trigger"), entity("entity").alias("i_entity"), entity("trigger_entity").alias("i_trigger_entity"))
+        same = (F.col("pending_db") == F.col("i_db")) & (F.col("i_entity").isNull() | (F.col("i_entity") == schema_name(F.col("pending"))))
+        trigger = F.col("i_trigger").isNull() | ((F.col("i_trigger") == F.col("db")) & (F.col("i_trigger_entity").isNull() | (F.col("i_trigger_entity") == F.col("entity"))))
+        pending = pending.join(i, same & trigger, "left_anti")
     return pending.groupBy("req", "seq", "event_id", "db", "pending_db").agg(F.array_join(F.array_sort(F.collect_set("pending")), ", ").alias("fields"))
 
 

@@ -71,3 +71,12 @@ def test_long_paths_stay_and_growing_cycles_end(spark):
     assert found == {(f"v{i}", "_obj" + "".join(f".s{j}" for j in reversed(range(i)))) for i in range(n + 1)}
     cycle = spark.createDataFrame([("MAP_UPDATE", "v0", "v1", ".a", None), ("MAP_UPDATE", "v1", "v0", ".b", None)], schema)
     assert {(r.id, r.objpath) for r in graph.propagate(cycle, seed).collect()} == {("v0", "_obj"), ("v1", "_obj.a"), ("v0", "_obj.b.a")}
+
+
+def test_suppressions_name_entities(spark):
+    known = refs(spark, [("b.x.f", "a.c.f", True, []), ("b.y.g", "a.c.f", True, [])])
+    facts = ops(spark, [(1, 1, "D", "a.c.f"), (2, 1, "D", "a.d.f")])
+    schema = "db string, entity string, trigger_db string, trigger_entity string"
+    left = lambda *rows: sorted((r.req, r.fields) for r in detectors.missing_cascades(facts, known, spark.createDataFrame(list(rows), schema)).collect())
+    assert left(("b", "x", None, None)) == [(1, "b.y.g"), (2, "b.y.g")]
+    assert left(("b", "x", "a", "c")) == [(1, "b.y.g"), (2, "b.x.f, b.y.g")]
