@@ -12,9 +12,7 @@ class AnalysisConfig:
     transitive_references: bool = True
     references_from_read_read: bool = True
     references_from_read_value_key: bool = False
-    propagate_across_queues: bool = True
     nosql_indexes_as_primary_keys: bool = False
     concurrency_includes_upserts: bool = False
-    dual_pass: bool = False
     #: False: "db.t.ID" counts as upper path of "db.t.IDCard", as in plain string comparison.
     segment_aware_paths: bool = False
