@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against content-addressed reference blocks.
+"""Substring dedup by joining phrases and windows in content-addressed blocks, in place of relative Lempel-Ziv parsing.
 
 Parsing every document against every block of every other document would cost the square of the corpus.  Here the
 reference is cut by content instead: each window of ``WINDOW`` words belongs to the block named by its anchor, the least
