@@ -276,7 +276,7 @@ def schema_json(spark, d):
 
 _CASCADE = f"""{_FK}, {_DAILY},
 optional AS (SELECT DISTINCT src AS field, dst_db AS db FROM fk WHERE NOT mandatory),
-written AS (SELECT DISTINCT o.req, p.db FROM dops o JOIN optional p ON o.field = p.field WHERE o.op = 'W'),
+written AS (SELECT DISTINCT o.req, p.db FROM dops o JOIN optional p ON starts_with(p.field, o.field) WHERE o.op = 'W'),
 dels AS (SELECT o.req, o.seq, o.event_id, o.db, o.obj, max(CASE WHEN w.db IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY o.req ORDER BY o.seq ROWS UNBOUNDED PRECEDING) AS silent
          FROM dops o LEFT JOIN written w ON o.req = w.req AND o.db = w.db WHERE o.op = 'D'),
 referencing AS (SELECT DISTINCT dst_db AS db, src_db AS pending_db, src AS pending FROM fk WHERE src_db <> 'db5' AND src_db <> dst_db),
@@ -300,8 +300,8 @@ def cascade_suppressed(spark, d):
 
 
 @query("detect_concurrency", f"""WITH {_FK}, r AS (SELECT DISTINCT dst_db AS db, src AS field FROM fk WHERE NOT mandatory),
-    hits AS (SELECT r.db, r.field, count(*) AS n_conflicts FROM r JOIN ops x ON x.op = 'D' AND x.db = r.db JOIN ops w ON w.op = 'W' AND w.field = r.field AND w.req <> x.req GROUP BY ALL)
-    SELECT db, field, (SELECT count(*) FROM ops x WHERE x.op = 'D' AND x.db = hits.db) AS n_deletes, (SELECT count(*) FROM ops w WHERE w.op = 'W' AND w.field = hits.field) AS n_writes, n_conflicts FROM hits""")
+    hits AS (SELECT r.db, r.field, count(*) AS n_conflicts FROM r JOIN ops x ON x.op = 'D' AND x.db = r.db JOIN ops w ON w.op = 'W' AND starts_with(r.field, w.field) AND w.req <> x.req GROUP BY ALL)
+    SELECT db, field, (SELECT count(*) FROM ops x WHERE x.op = 'D' AND x.db = hits.db) AS n_deletes, (SELECT count(*) FROM ops w WHERE w.op = 'W' AND starts_with(hits.field, w.field)) AS n_writes, n_conflicts FROM hits""")
 def detect_concurrency(spark, d):
     """Deletes that race with writes of other requests."""
     return detectors.concurrent_writes(ops_of(spark, d), staged_refs_of(spark, d))
@@ -370,7 +370,7 @@ def request_traversal(spark, d):
 
 
 @query("taint_fixpoint", f"""WITH RECURSIVE {_OPS}, has AS (SELECT DISTINCT req, k % 12 AS v FROM ops), e AS (SELECT a.req, a.v AS src, b.v AS dst FROM has a JOIN has b ON a.req = b.req AND b.v = (a.v + 1) % 12 WHERE a.v % 12 <> 11),
-    r AS (SELECT req, k % 12 AS v FROM ops WHERE op = 'W' AND k % 5 = 0 UNION SELECT e.req, e.dst FROM r JOIN e ON r.req = e.req AND r.v = e.src) SELECT req, v FROM r""")
+    r AS (SELECT req, k % 12 AS v FROM ops WHERE op = 'W' UNION SELECT e.req, e.dst FROM r JOIN e ON r.req = e.req AND r.v = e.src) SELECT req, v FROM r""")
 def taint_fixpoint(spark, d):
     """Values that taints of writes reach over value-flow edges."""
     o = ops_of(spark, d)
@@ -388,7 +388,7 @@ def field_predicates(spark, d):
     return f.join(refs, "field", "left").select("field", is_primary(F.col("field")).alias("is_pk"), F.coalesce("has_fk", F.lit(False)).alias("has_fk"), F.coalesce("optional", F.lit(False)).alias("has_optional_fk"))
 
 
-@query("ri_orphans", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 10 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 20 <> 0)")
+@query("ri_orphans", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def ri_orphans(spark, d):
     """Orders whose customer is missing."""
     return checks.orphans(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(spark, d, "customer"), "c_custkey")

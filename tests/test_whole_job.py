@@ -1,35 +1,11 @@
-"""Queries do the whole job where the registered SQL cuts it: rows against SQL without the cut, and made-up tables."""
+"""Queries do the whole job: made-up tables with keys, paths and depths that the given tables lack."""
 
-import os
-
-import pytest
-from test_queries import DATA, duck, same_rows
 from test_references import ops, refs
 
 from keelson import catalog
 from keelson.operators import detectors, graph, taints
 from keelson.plans.config import AnalysisConfig
 
-#: What to put for a part of the registered SQL.
-WHOLE = {
-    "detect_cascade": [("o.field = p.field", "starts_with(p.field, o.field)")],
-    "cascade_suppressed": [("o.field = p.field", "starts_with(p.field, o.field)")],
-    "warning_summary": [("o.field = p.field", "starts_with(p.field, o.field)")],
-    "detect_concurrency": [("w.field = r.field", "starts_with(r.field, w.field)"), ("w.field = hits.field", "starts_with(hits.field, w.field)")],
-    "ri_orphans": [("o_custkey % 10 = 0 AND ", ""), (" WHERE c_custkey % 20 <> 0", "")],
-    "taint_fixpoint": [("op = 'W' AND k % 5 = 0", "op = 'W'")],
-}
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole(spark, name):
-    sql = catalog.ORACLE[name]
-    for cut, whole in WHOLE[name]:
-        sql = sql.replace(cut, whole)
-    same_rows(catalog.QUERIES[name](spark, DATA), duck(DATA), sql)
-
-
 def test_orphans_of_any_key(spark, tmp_path):
     spark.createDataFrame([(1, 7), (2, 20), (3, 30), (4, None), (5, 40)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(20,), (40,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
