@@ -9,8 +9,12 @@ Rules without a mandatory trigram (a run of hex digits) are verified on every do
 Keys are 64-bit hashes of the row; two rows with one key are at worst verified in vain.  Posting lists are
 bounded by ``BLOCK_DOCS``, so a trigram that every document has makes no large group.
 
+Positions of the matches of one text are sums over their lengths, taken in short runs (``running``), so finding and redacting grow in
+proportion to the text and its matches.
+
 Defined results for odd input: null texts are empty, rows repeat as often as in the input, null ids are kept,
-positions count code points, and added columns never replace existing ones (``fresh_name``).
+positions count code points, a text of any length with any number of matches is searched whole, an empty table gives an empty
+result, and added columns never replace existing ones (``fresh_name``).
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from .common import fresh_name
 
 #: Documents of one block of the index, on average.
@@ -171,23 +176,58 @@ def candidates(docs: DataFrame, key: str, text: Column, rules: tuple[SecretRule,
     return hits.groupBy(key).agg(F.collect_set("kind").alias("cand"))
 
 
+#: Elements that one level of a running fold handles by itself.
+FOLD = 32
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(xs: Column, join, levels: int = 3) -> Column:
+    """For each element of an int array the ``join`` (a sum, a greatest one) of all before it, 0 for the first.
+
+    A plain fold copies its output for every element.  Here short runs are folded, their totals are carried by a fold of the next level,
+    and only flat ``transform`` steps see the whole array: the work grows in proportion to the array.
+    """
+
+    def fold(c: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(c, zero, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    if not levels:
+        return fold(xs)
+
+    def runs(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLD).cast("int")), lambda i: F.size(v) > 0)
+        return F.transform(starts, lambda i: F.slice(v, i * FOLD + 1, F.lit(FOLD)))
+
+    def spread(cs: Column) -> Column:
+        totals = F.transform(cs, lambda c: F.aggregate(c, F.lit(0), join))
+        return F.flatten(F.zip_with(cs, running(totals, join, levels - 1), lambda c, o: F.transform(fold(c), lambda x: join(x, o))))
+
+    return _bind(xs, lambda v: _bind(runs(v), spread))
+
+
 def match_spans(text: Column, rule: SecretRule, rank: int) -> Column:
-    """Array of (start, rank, end, kind) of the leftmost non-overlapping matches of ``rule`` that pass its test."""
-    # The end of the text matches too: without it, a text after its last match would be searched from each of its positions.
-    whole = rf"(?s)(.*?)({rule.pattern}|\z)"
-    gaps, matches = (F.regexp_extract_all(text, F.lit(whole), F.lit(i)) for i in (1, 2))
-    tested = matches if not rule.group else F.regexp_extract_all(text, F.lit(whole), F.lit(2 + rule.group))
-    parts = F.arrays_zip(gaps.alias("gap"), matches.alias("hit"), tested.alias("tested"))
-    span = "struct<start:int,rank:int,end:int,kind:string>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+    """Array of (start, rank, end, kind) of the leftmost non-overlapping matches of ``rule`` that pass its test.
+
+    What stands between matches comes from a split, so every pass over the text is one scan; starts are sums of lengths.
+    """
+    lengths = lambda xs: F.transform(xs, F.length)
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else None
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        new = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")).cast(span))
-        return F.struct(end.alias("at"), F.when(F.length(x["tested"]) >= rule.least, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+    def spans(n: Column) -> Column:
+        gap, hit, test = n["gap"], n["hit"], n["hit" if tested is None else "test"]
+        before = running(F.zip_with(hit, F.slice(gap, F.lit(1), F.size(hit)), lambda h, g: h + g), lambda x, y: x + y)
+        start = F.zip_with(before, gap, lambda x, g: x + g)
+        rows = F.transform(F.arrays_zip(start.alias("s"), hit.alias("h"), test.alias("t")), lambda x: F.when(x["t"] >= rule.least, F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), (x["s"] + x["h"]).alias("end"), F.lit(rule.kind).alias("kind"))))
+        return F.array_compact(rows)
 
-    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    parts = [lengths(F.split(text, rule.pattern, -1)).alias("gap"), lengths(hits).alias("hit")]
+    return _bind(F.struct(*parts, *([] if tested is None else [lengths(tested).alias("test")])), spans)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretRule, ...] = RULES) -> tuple[DataFrame, str]:
@@ -197,14 +237,15 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretRul
     ids = [F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]
     keyed = docs.withColumn(key, F.xxhash64(*ids))
     found = candidates(keyed, key, text, rules).withColumnRenamed("cand", cand)
-    joined = keyed.join(found, key, "left")
+    # Written by itself: the join can then split a row that repeats very often over tasks.
+    joined = keyed.join(stage(found, "secret-candidates"), key, "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     lists = []
     for i, r in enumerate(rules):
         ask = F.coalesce(F.array_contains(cand, r.kind), F.lit(False)) if trigram_query(r.pattern) else F.rlike(text, F.lit(r.pattern))
         lists.append(F.when(ask, match_spans(text, r, i)).otherwise(none))
     spans = fresh_name("spans", docs.columns)
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.array_sort(F.concat(*lists)).alias(spans)), spans
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.sort_array(F.concat(*lists)).alias(spans)), spans
 
 
 def spans_string(spans: Column) -> Column:
@@ -212,15 +253,32 @@ def spans_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with every run of overlapping or touching spans replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+#: Code points of one piece of a text that is cut at many places.
+PIECE = 1024
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] > acc["at"]
-        first = (acc["at"] == 0) & (s["start"] == 0) & (acc["out"] == "")
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(apart | first, F.concat(acc["out"], F.when(apart, gap).otherwise(F.lit("")), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """``text`` with every run of overlapping or touching spans replaced by ``mark``.
+
+    A place in a text is found by counting from its start, so the text is first cut into pieces; what stays is put together from these.
+    """
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        """Code points [a, b), touching only the pieces they lie in."""
+        i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        piece = lambda k: F.coalesce(F.try_element_at(pieces, k + 1), F.lit(""))
+        inner = F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        apart = F.concat(F.substring(piece(i), a % PIECE + 1, F.lit(PIECE)), inner, F.substring(piece(j), F.lit(1), b % PIECE))
+        return F.when(i == j, F.substring(piece(i), a % PIECE + 1, b - a)).otherwise(apart)
+
+    def build(n: Column) -> Column:
+        ends = F.transform(n["spans"], lambda x: x["end"])
+        reach = running(ends, lambda x, y: F.greatest(x, y))
+        zipped = F.zip_with(n["spans"], reach, lambda x, r: F.struct(x["start"].alias("start"), r.alias("reach")))
+        # A run of spans begins where the text is past all spans before, or with the first span.
+        firsts = F.filter(zipped, lambda x, i: (i == 0) | (x["start"] > x["reach"]))
+        kept = F.transform(firsts, lambda x: F.concat(cut(n["pieces"], x["reach"], x["start"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), cut(n["pieces"], F.array_max(ends), F.length(text)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(_bind(F.struct(spans.alias("spans"), pieces.alias("pieces")), build))
