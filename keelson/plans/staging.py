@@ -3,22 +3,28 @@
 Every multi-step operator materialises its intermediate tables as Parquet in the
 folder named by ``spark.checkpoint.dir``, which the driver and all executors share.
 A lost executor then costs the tasks it was running, never the rows it had produced.
+Files for the workers (the package, lists) go through the same folder, and the application's part of it is deleted when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
-import os
+import io
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Folders that are deleted when the driver ends.
+_ROOTS: set[str] = set()
+#: Bytes that go to a file of the shared folder at once.
+_CHUNK = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,7 +41,11 @@ def scratch_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="keelson-scratch-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/keelson-{spark.sparkContext.applicationId}"
+    path = f"{root.rstrip('/')}/keelson-{spark.sparkContext.applicationId}"
+    if path not in _ROOTS:
+        _ROOTS.add(path)
+        atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -69,12 +79,27 @@ def unstage(*tables: DataFrame) -> None:
             delete_path(table.sparkSession, path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` recursively through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
+def _delete(jvm, conf, path: str) -> None:
     target = jvm.org.apache.hadoop.fs.Path(path)
     with contextlib.suppress(Exception):
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` recursively through Hadoop's file system layer."""
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def write_file(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
+    """Write ``parts`` one after the other to the file ``path`` through Hadoop's file system layer."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        for part in parts:
+            for i in range(0, len(part), _CHUNK):
+                out.write(bytes(part[i : i + _CHUNK]))
+    finally:
+        out.close()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -82,13 +107,12 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    top = Path(__file__).resolve().parents[1]
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="keelson-ship-"))
-    atexit.register(shutil.rmtree, folder, True)
-    target = f"{folder}/{top.name}_src.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    top, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, f"{top.name}/{p.relative_to(top)}")
+    target = f"{scratch_path(spark, 'package')}/{top.name}_src.zip"
+    write_file(spark, target, [packed.getvalue()])
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
 
