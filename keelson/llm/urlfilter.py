@@ -1,25 +1,27 @@
 """URL rules behind a sorted array of 64-bit digests.
 
 A rule is a host and a path prefix with a verdict; it fits the host and all its subdomains.  The rule
-list is written once as two files: the sorted xxhash64 digests of the rule strings (8 bytes each) and the full
-strings in the same order.  Spark's file server hands both to the executors, which memory-map the digests:
+list is written once to the shared folder as files: the sorted xxhash64 digests of the rule strings (8 bytes each), and the full
+strings in the same order with their offsets.  Spark's file server hands them to the executors, which memory-map the digests:
 all tasks of a machine share the pages and none holds the list on its heap.  For every url the possible rule strings
-(each suffix of the host, joined with each prefix of the path whose length some rule has) are hashed together for a whole
-batch and probed by one vectorised binary search; a hit counts only when the stored full string is the same, so
-a digest collision can't decide anything.
+(each suffix of the host with as many labels as some rule's host, joined with each prefix of the path whose length some rule has) are
+hashed together for a whole batch and probed by one vectorised binary search; a hit counts only when the stored full string is the
+same, so a digest collision can't decide anything.  What a url costs thus depends on the shapes that rules have, not on its length.
 
 Lists above ``max_local_rules`` are not shipped; the same candidates are then exploded and joined with the rule table.
 
-The longest fitting rule string wins.  Two rules with the same string are a contradiction and refused.  Urls without
-``://`` and null urls have empty host and path, fit no rule and are allowed.  Extra columns are kept; when a computed name is
-taken (ignoring case), ``added_columns`` numbers it.
+The longest fitting rule string wins; if two rules spell the same string (``a`` + ``.b/x``, ``a.b`` + ``/x``), the longer host.  Two rules
+with the same host and path are a contradiction and refused, however long the list is.
+
+Defined results for odd input: urls without ``://`` and null urls have empty host and path, fit no rule and are allowed; a host of any
+length is judged whole; equal rows get equal verdicts, each row its own; an empty table gives an empty result, an empty rule list
+allows everything; extra columns are kept, and when a computed name is taken (ignoring case), ``added_columns`` numbers it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.staging import scratch_path, write_file
 from .common import arrow_map, fresh_name
 
 ADDED = ("host", "path", "rule", "verdict")
@@ -64,15 +67,40 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (rest, "") if slash < 0 else (rest[:slash], rest[slash:])
 
 
-def candidates(host: str, path: str, path_sizes: Sequence[int]) -> list[tuple[str, str]]:
-    """(host, path) of every rule that could fit, for rules whose paths have one of ``path_sizes`` code points."""
-    hosts, at = [], 0
-    while host:
-        hosts.append(host[at:])
-        at = host.find(".", at) + 1
-        if not at:
-            break
-    return [(h, path[:n]) for h in hosts for n in path_sizes if n <= len(path)]
+def refuse_contradictions(rules: Sequence[Rule]) -> None:
+    if len({(r.host, r.path) for r in rules}) != len(rules):
+        raise ValueError("two rules have the same host and path")
+
+
+@dataclass(frozen=True)
+class Shapes:
+    """What rules of a list look like: label counts of hosts, the longest host, lengths of paths."""
+
+    labels: tuple[int, ...]
+    longest_host: int
+    path_sizes: tuple[int, ...]
+
+    @classmethod
+    def of(cls, rules: Sequence[Rule]) -> Shapes:
+        hosts = {r.host for r in rules}
+        return cls(tuple(sorted({h.count(".") + 1 for h in hosts})), max(map(len, hosts), default=0), tuple(sorted({len(r.path) for r in rules})))
+
+    def hosts(self, host: str) -> list[str]:
+        """Suffixes of ``host`` that could be a rule's host."""
+        if not host or not self.labels:
+            return []
+        parts, out = host.rsplit(".", self.labels[-1]), []
+        cut, whole = len(parts) > self.labels[-1], len(parts)
+        for n in self.labels:
+            if n <= whole - cut or (n == whole and not cut):
+                suffix = ".".join(parts[whole - n :])
+                if len(suffix) <= self.longest_host:
+                    out.append(suffix)
+        return out
+
+    def candidates(self, host: str, path: str) -> list[tuple[str, str]]:
+        """(host, path) of every rule that could fit."""
+        return [(h, path[:n]) for h in self.hosts(host) for n in self.path_sizes if n <= len(path)]
 
 
 def added_columns(columns: list[str]) -> dict[str, str]:
@@ -92,18 +120,14 @@ class DigestArray:
         self.strings = np.memmap(f"{top}.strings", dtype=np.uint8, mode="r")
 
     @staticmethod
-    def write(rules: Sequence[Rule], folder: str) -> str:
-        """Write the files of ``rules`` into ``folder``; returns their common name, made from their content."""
-        if len({(r.host, r.path) for r in rules}) != len(rules):
-            raise ValueError("two rules have the same host and path")
+    def files(rules: Sequence[Rule]) -> tuple[str, dict[str, bytes]]:
+        """The files of ``rules`` by kind, and their common name, made from their content."""
+        refuse_contradictions(rules)
         records = sorted((xxhash.xxh64_intdigest(r.key.encode()), f"{r.verdict}\0{r.host}\0{r.path}".encode()) for r in rules)
         blob = b"".join(s for _, s in records)
-        name = "rules-" + hashlib.sha256(blob + repr([len(s) for _, s in records]).encode()).hexdigest()[:24]
-        np.array([k for k, _ in records], dtype=np.uint64).tofile(f"{folder}/{name}.keys")
-        np.cumsum([0, *(len(s) for _, s in records)]).astype(np.uint64).tofile(f"{folder}/{name}.offsets")
-        with open(f"{folder}/{name}.strings", "wb") as f:
-            f.write(blob or b"\0")
-        return name
+        sizes = [len(s) for _, s in records]
+        name = "rules-" + hashlib.sha256(blob + repr(sizes).encode()).hexdigest()[:24]
+        return name, {"keys": np.array([k for k, _ in records], dtype=np.uint64).tobytes(), "offsets": np.cumsum([0, *sizes]).astype(np.uint64).tobytes(), "strings": blob or b"\0"}
 
     def record(self, i: int) -> tuple[str, str, str]:
         verdict, host, path = bytes(self.strings[int(self.offsets[i]) : int(self.offsets[i + 1])]).decode().split("\0")
@@ -133,15 +157,18 @@ def longest(hits: list[tuple[str, str, str]]) -> tuple[str, str] | None:
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", max_local_rules: int = MAX_LOCAL_RULES) -> DataFrame:
     """``pages`` with host, path, rule and verdict of ``url_col`` appended."""
     spark = pages.sparkSession
+    refuse_contradictions(rules)
     if len(rules) > max_local_rules:
         return _filter_by_join(pages, rules, url_col)
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="keelson-rules-"))
-    name = DigestArray.write(rules, folder)
+    name, files = DigestArray.files(rules)
     if (served := (spark.sparkContext.applicationId, name)) not in _SERVED:
-        for kind in ("keys", "offsets", "strings"):
+        folder = scratch_path(spark, "rules")
+        for kind, content in files.items():
+            write_file(spark, f"{folder}/{name}.{kind}", [content])
             spark.sparkContext.addFile(f"{folder}/{name}.{kind}")
         _SERVED.add(served)
-    sizes = sorted({len(r.path) for r in rules})
+    del files
+    shapes = Shapes.of(rules)
     where, names = pages.columns.index(url_col), added_columns(pages.columns)
     schema = T.StructType([*pages.schema.fields, *(T.StructField(names[c], T.StringType()) for c in ADDED)])
 
@@ -152,7 +179,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", m
             parts = [(h.translate(LOWER), p) for h, p in parts]
             flat, owner = [], []
             for i, (h, p) in enumerate(parts):
-                c = candidates(h, p, sizes)
+                c = shapes.candidates(h, p)
                 flat += c
                 owner += [i] * len(c)
             hits: list[list] = [[] for _ in parts]
@@ -172,7 +199,7 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 
 def _filter_by_join(pages: DataFrame, rules: Sequence[Rule], url_col: str) -> DataFrame:
     """The same verdicts for lists too long to ship: distinct (host, path) are exploded into candidates and joined."""
-    names = added_columns(pages.columns)
+    names, shapes = added_columns(pages.columns), Shapes.of(rules)
     host, path = names["host"], names["path"]
     tail = F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"(?s)^.*?://([^?#]*)", 1)
     slash = F.instr(tail, "/")
@@ -183,13 +210,14 @@ def _filter_by_join(pages: DataFrame, rules: Sequence[Rule], url_col: str) -> Da
             path: F.when(slash > 0, F.substring(tail, slash, F.length(tail))).otherwise(F.lit("")),
         }
     )
-    sizes = F.array(*(F.lit(n) for n in sorted({len(r.path) for r in rules})))
-    labels = F.split("h", r"\.")
+    sizes = F.array(*map(F.lit, shapes.path_sizes))
+    suffixes = F.array_distinct(F.transform(F.array(*map(F.lit, shapes.labels)), lambda n: F.call_function("substring_index", F.col("h"), F.lit("."), -n)))
+    fitting = F.filter(suffixes, lambda x: F.length(x) <= shapes.longest_host)
     wanted = (
         split.select(F.col(f"`{host}`").alias("h"), F.col(f"`{path}`").alias("p"))
         .distinct()
         .where(F.col("h") != "")
-        .withColumn("rule_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+        .withColumn("rule_host", F.explode(fitting))
         .withColumn("n", F.explode(F.filter(sizes, lambda n: n <= F.length("p"))))
         .withColumn("rule_path", F.substring(F.col("p"), F.lit(1), F.col("n")))
     )

@@ -31,10 +31,31 @@ def test_against_brute_force(spark, local):
 
 def test_collisions_are_confirmed_by_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda b: 1)
-    index = urlfilter.DigestArray(str(tmp_path), urlfilter.DigestArray.write([urlfilter.Rule("block", "a", "/x"), urlfilter.Rule("allow", "b", "/y")], str(tmp_path)))
+    name, files = urlfilter.DigestArray.files([urlfilter.Rule("block", "a", "/x"), urlfilter.Rule("allow", "b", "/y")])
+    for kind, content in files.items():
+        (tmp_path / f"{name}.{kind}").write_bytes(content)
+    index = urlfilter.DigestArray(str(tmp_path), name)
     assert index.probe([("b", "/y"), ("c", "/z")]) == [("b/y", "allow"), None]
+
+
+@pytest.mark.parametrize("limit", [10, 1])
+def test_contradictions_are_refused(spark, limit):
+    pages = spark.createDataFrame([(1, "http://a/b")], "page_id long, url string")
+    rules = [urlfilter.Rule("block", "a", ""), urlfilter.Rule("allow", "a", ""), urlfilter.Rule("allow", "b", "")]
     with pytest.raises(ValueError):
-        urlfilter.DigestArray.write([urlfilter.Rule("block", "a", ""), urlfilter.Rule("allow", "a", "")], str(tmp_path))
+        urlfilter.filter_urls(pages, rules, max_local_rules=limit)
+    same_string = [urlfilter.Rule("block", "a", "b/x"), urlfilter.Rule("allow", "ab", "/x")]
+    assert urlfilter.filter_urls(pages, same_string, max_local_rules=limit).first()["verdict"] == "allow"
+
+
+@pytest.mark.parametrize("limit", [10, 1])
+def test_long_hosts(spark, limit):
+    long = "a." * 500_000 + "example.net"
+    urls = [f"http://{long}/de/80", "http://" + "x" * 1_000_000 + "/en/", "http://" + "." * 1_000_000 + "com/en/", "http://com./en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [*queries.URL_RULES, urlfilter.Rule("block", "", "/en/")]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, rules, max_local_rules=limit).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
 
 
 def test_no_rules_and_no_rows(spark):
