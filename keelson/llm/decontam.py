@@ -1,17 +1,19 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-A shard is a run of documents with at most ``SHARD_WORDS`` words (one document is never split).  Its words become
+A shard is a run of documents of one record batch with about ``SHARD_WORDS`` words at most (one document is never split).  Its words become
 numbers of the phrase vocabulary; whatever the vocabulary lacks is 0, and runs between zeros that are shorter than
 the shortest phrase are left out, as no phrase can lie in them.  Over what remains ``FMIndex`` builds the suffix
 array, the Burrows-Wheeler transform in a wavelet matrix (ranks by popcounts), and a sample of suffix positions.  All
 phrases are searched backward together, one word per step; the rows that a phrase ends up with are located by
 walking to the next sampled position.  Occurrences become word spans, merged per document.
 
-The phrases travel to the executors inside the task closure, in blocks of at most ``PHRASE_BYTES`` of item text: a larger benchmark
-takes several passes over the documents, each adding its spans to those of the pass before.
+The phrases travel to the executors inside the task closure, in blocks of at most ``PHRASE_BYTES`` of item text.  A larger benchmark
+takes a pass over the documents for each block; a pass writes only what it finds, by a digest of the text, and the driver holds one
+block at a time.  The finds of all blocks are merged, then joined to the documents once, so results don't depend on the blocks.
 
 Defined results for odd input: null or wordless texts have no words and no hits; null or wordless items have no
-windows; items with equal windows are all reported; repeated rows are judged alike, each on its own; columns
+windows; items with equal windows are all reported, an item id that repeats once; repeated rows are judged alike, each on its own; long
+texts are searched whole; an empty table gives an empty result, an empty benchmark finds nothing; columns
 whose names clash with the added ones stay, the added ones get numbers (``added_columns``).
 """
 
@@ -19,6 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.staging import stage, unstage
 from .common import arrow_map, fresh_name, utf8_values
 
 WINDOW = 10
@@ -242,54 +247,83 @@ def _phrase_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int)
         yield block
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_SPANS_SQL = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def _search_batch(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+    """Number of words, merged spans and ids of found items of each text."""
+    sizes, found, shard, held, get = [], [], [], 0, phrases.vocabulary.get
+    for text in texts:
+        words = fold_words(text)
+        sizes.append(len(words))
+        shard.append(np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words)))
+        held += len(words)
+        if held >= SHARD_WORDS:
+            found += search_shard(shard, phrases)
+            shard, held = [], 0
+    found += search_shard(shard, phrases)
+    spans = [[{"start": a, "end": b} for a, b in s] for s, _ in found]
+    return sizes, spans, [sorted({str(phrases.item_ids[k]) for k in i}) for _, i in found]
+
+
+def _hits_of(texts: DataFrame, phrases: Phrases, block: int) -> DataFrame:
+    """(digest, block, spans, items) of the texts (digest, text) that a block's phrases are found in; a batch reports equal texts once."""
+
+    def run(batches):
+        for b in batches:
+            distinct = dict(zip(b.column(0).to_pylist(), utf8_values(b.column(1)), strict=True))
+            _, spans, items = _search_batch(list(distinct.values()), phrases)
+            rows = [(d, s, i) for d, s, i in zip(distinct, spans, items, strict=True) if s]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([block] * len(rows), pa.int32()), pa.array([r[1] for r in rows], _SPANS), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
+                names=["digest", "block", "spans", "items"],
+            )
+
+    schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("block", T.IntegerType()), T.StructField("spans", _SPANS_SQL), T.StructField("items", T.ArrayType(T.StringType()))])
+    return arrow_map(texts, run, schema)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with n_words (long), spans (merged word spans that benchmark windows cover) and items (ids, as
     strings, of the items with a window in the text); and the names of these columns."""
-    names = added_columns(docs.columns)
-    schema = T.StructType([
-        *docs.schema.fields, T.StructField(names["n_words"], T.LongType()),
-        T.StructField(names["spans"], T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-        T.StructField(names["items"], T.ArrayType(T.StringType())),
-    ])
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    where, out = docs.columns.index(text_col), docs
-
-    def pass_over(phrases: Phrases, again: bool):
-        def run(batches):
-            get = phrases.vocabulary.get
+    names, where = added_columns(docs.columns), docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names["n_words"], T.LongType()), T.StructField(names["spans"], _SPANS_SQL), T.StructField(names["items"], T.ArrayType(T.StringType()))])
+    blocks = _phrase_blocks(benchmark, id_col, item_text_col, phrase_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+
+    def add(batch: pa.RecordBatch, columns: int, sizes: list[int], spans: list, items: list) -> pa.RecordBatch:
+        arrays = [*batch.columns[:columns], pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:columns], *names.values()])
+
+    if second is None:
+        phrases = Phrases.of(first, window)
+
+        def whole(batches):
             for b in batches:
-                spans, items, sizes, shard, held = [], [], [], [], 0
-                for text in utf8_values(b.column(where)):
-                    words = fold_words(text)
-                    sizes.append(len(words))
-                    shard.append(np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words)))
-                    held += len(words)
-                    if held >= SHARD_WORDS:
-                        _collect(search_shard(shard, phrases), spans, items)
-                        shard, held = [], 0
-                _collect(search_shard(shard, phrases), spans, items)
-                if again:
-                    n = b.num_columns
-                    old_spans, old_items = b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist()
-                    spans = [merge_spans(s + [(x["start"], x["end"]) for x in o]) for s, o in zip(spans, old_spans, strict=True)]
-                    items = [i + o for i, o in zip(items, old_items, strict=True)]
-                    b = b.select(range(n - 3))
-                made = [[{"start": s, "end": e} for s, e in x] for x in spans]
-                arrays = [*b.columns, pa.array(sizes, pa.int64()), pa.array(made, span_type), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, *names.values()])
-
-        def _collect(found, spans, items):
-            for s, i in found:
-                spans.append(s)
-                items.append([str(phrases.item_ids[k]) for k in i])
-
-        return run
-
-    passes = 0
-    for block in _phrase_blocks(benchmark, id_col, item_text_col, phrase_bytes):
-        out = arrow_map(out, pass_over(Phrases.of(block, window), passes > 0), schema)
-        passes += 1
-    return (out if passes else arrow_map(out, pass_over(Phrases(), False), schema)), names
+                yield add(b, b.num_columns, *_search_batch(utf8_values(b.column(where)), phrases))
+
+        return arrow_map(docs, whole, schema), names
+
+    text = F.col(f"`{text_col}`")
+    digest = F.md5(text.cast("binary"))
+    texts, hits = docs.select(digest.alias("digest"), text.alias("text")).where(text.isNotNull()), []
+    for number, items in enumerate(chain([first, second], blocks)):
+        hits.append(stage(_hits_of(texts, Phrases.of(items, window), number), "benchmark-hits"))
+    merged = reduce(DataFrame.unionByName, hits).groupBy("digest", "block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+    found_digest, found_spans, found_items = (fresh_name(x, docs.columns) for x in ("hit_digest", "hit_spans", "hit_items"))
+    merged = merged.groupBy(F.col("digest").alias(found_digest)).agg(F.flatten(F.collect_list("spans")).alias(found_spans), F.array_distinct(F.flatten(F.collect_list("items"))).alias(found_items))
+    merged = stage(merged, "merged-hits")  # written by itself, so that the join can split a text that repeats over tasks
+    unstage(*hits)
+    joined = docs.join(merged, digest == F.col(found_digest), "left").select(*docs.columns, found_spans, found_items)
+
+    def finish(batches):
+        for b in batches:
+            n = b.num_columns - 2
+            spans = [[{"start": x, "end": y} for x, y in merge_spans([(s["start"], s["end"]) for s in row or []])] for row in b.column(n).to_pylist()]
+            yield add(b, n, [len(fold_words(t)) for t in utf8_values(b.column(where))], spans, [sorted(i or []) for i in b.column(n + 1).to_pylist()])
+
+    return arrow_map(joined, finish, schema), names
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -331,18 +365,42 @@ def clean_texts(texts: list[bytes | None], phrases: Phrases) -> list[bytes | Non
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
-    """``docs`` with the words that benchmark windows cover cut out of ``text_col``; clean texts stay as they are, null stays null."""
+    """``docs`` with the words that benchmark windows cover cut out of ``text_col``; clean texts stay as they are, null stays null.
+
+    Windows are judged on the whole text by all items, then cut together; cut texts are judged again until nothing is found.  With one block of
+    items that takes one pass; with more, a round of passes for the texts that the last round cut.
+    """
     where = docs.columns.index(text_col)
+    blocks = _phrase_blocks(benchmark, id_col, item_text_col, phrase_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    blocks.close()
 
-    def cut(phrases: Phrases):
-        def run(batches):
-            for b in batches:
-                cleaned = pa.array([None if t is None else t.decode() for t in clean_texts(utf8_values(b.column(where)), phrases)], pa.string())
-                yield pa.RecordBatch.from_arrays([cleaned if i == where else c for i, c in enumerate(b.columns)], names=b.schema.names)
+    def with_texts(batch: pa.RecordBatch, texts: list[bytes | None], columns: int) -> pa.RecordBatch:
+        cleaned = pa.array([None if t is None else t.decode() for t in texts], pa.string())
+        return pa.RecordBatch.from_arrays([cleaned if i == where else c for i, c in enumerate(batch.columns[:columns])], names=batch.schema.names[:columns])
 
-        return run
+    if second is None:
+        phrases = Phrases.of(first, window)
 
-    out = docs
-    for block in _phrase_blocks(benchmark, id_col, item_text_col, phrase_bytes):
-        out = arrow_map(out, cut(Phrases.of(block, window)), docs.schema)
-    return out
+        def clean(batches):
+            for b in batches:
+                yield with_texts(b, clean_texts(utf8_values(b.column(where)), phrases), b.num_columns)
+
+        return arrow_map(docs, clean, docs.schema)
+
+    def cut(batches):
+        for b in batches:
+            n, texts = b.num_columns - 1, utf8_values(b.column(where))
+            spans = [[(s["start"], s["end"]) for s in row] for row in b.column(n).to_pylist()]
+            yield with_texts(b, [remove_spans(t.decode(), s).encode() for t, s in zip(texts, spans, strict=True)], n)
+
+    todo, done = docs, []
+    while True:
+        found, names = find_contamination(todo, benchmark, text_col, id_col, item_text_col, window, phrase_bytes)
+        judged = stage(found, "judged")
+        is_hit = F.size(F.col(f"`{names['spans']}`")) > 0
+        done.append(judged.where(~is_hit).select(*(F.col(f"`{c}`") for c in docs.columns)))
+        hit = judged.where(is_hit).select(*(F.col(f"`{c}`") for c in (*docs.columns, names["spans"])))
+        if hit.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        todo = stage(arrow_map(hit, cut, docs.schema), "cut-texts")

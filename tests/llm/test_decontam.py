@@ -9,8 +9,12 @@ from keelson.llm import decontam, queries
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def low(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
 def fold(t):
-    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return WORD.findall(low(t))
 
 
 def brute(text, items):
@@ -54,9 +58,41 @@ def test_against_brute_force(spark, odd_docs):
         found, names = decontam.find_contamination(d, b, phrase_bytes=size)
         got = [(r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), sorted(set(r["items"]))) for r in found.collect()]
         assert sorted(got, key=repr) == want
-    cleaned = decontam.remove_contamination(d, b)
-    assert all(brute(r["text"], items)[1] == 0 for r in cleaned.collect())
-    assert {r["doc_id"]: r["text"] for r in cleaned.collect()}[5] == dict(odd_docs)[5]
+    want = sorted(((i, cleaned_brute(t, items)) for i, t in docs), key=repr)
+    for size in (8 << 20, 60):
+        cleaned = decontam.remove_contamination(d, b, phrase_bytes=size).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in cleaned), key=repr) == want
+
+
+def cleaned_brute(text, items):
+    """Windows of all items, cut together, until none is found."""
+    while text and brute(text, items)[1]:
+        w, hit = fold(text), set()
+        for _, t in items:
+            b = fold(t)
+            n = min(10, len(b))
+            windows = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if b else set()
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+        places, out, at, k = [m.span() for m in WORD.finditer(low(text))], "", 0, 0
+        while k < len(w):
+            if k in hit:
+                out += text[at : places[k][0]]
+                while k + 1 < len(w) and k + 1 in hit:
+                    k += 1
+                at = places[k][1]
+            k += 1
+        text = out + text[at:]
+    return text
+
+
+@pytest.mark.parametrize("size", [8 << 20, 60])
+def test_overlapping_windows_of_two_blocks_are_cut_together(spark, size):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j " + "pad " * 20), (2, "f g h i j k l m n o")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j k l m n o y"), (2, None), (1, "x y")], "doc_id long, text string")
+    cleaned = decontam.remove_contamination(docs, items, phrase_bytes=size).collect()
+    assert sorted((r.doc_id, r.text or "") for r in cleaned) == [(1, "x  y"), (1, "x y"), (2, "")]
 
 
 def test_empty_tables_and_clashing_columns(spark, tables):
