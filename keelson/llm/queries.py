@@ -86,11 +86,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns.unionByName(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string"))
     windows = chat.format_chats(turns)
     back = windows.select(
-        "conv_id", "bucket", "big", F.length("formatted").alias("chars"),
+        "conv_id", "block", "nth", F.length("formatted").alias("chars"),
         chat.read_turns(F.col("formatted"), F.col("n_context")).alias("turns"), chat.read_targets(F.col("formatted"), F.col("loss")).alias("targets"),
     )
     read = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    parts = F.array_sort(F.collect_list(F.struct("bucket", "big", F.size("turns").alias("n"), F.array_join(read, "").alias("said"), "targets")))
+    parts = F.array_sort(F.collect_list(F.struct("block", "nth", F.size("turns").alias("n"), F.array_join(read, "").alias("said"), "targets")))
     convs = back.groupBy("conv_id").agg(parts.alias("w"), F.sum("chars").cast("long").alias("formatted_chars"))
     said, loss = F.array_join(F.col("w.said"), ""), F.array_join(F.col("w.targets"), "")
     return convs.select(
@@ -159,7 +159,7 @@ def _chat_sql(b: chat.Budget = chat.Budget()) -> str:
     tokens = f"(len(regexp_extract_all(text, '{chat.TOKEN}')) + {chat.TURN_TOKENS})"
     control = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in CONTROL_TURNS)
     return f"""
-        WITH d AS (
+        WITH RECURSIVE d AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT * FROM (VALUES {control}) v(conv_id, turn, role, text)
         ),
@@ -169,17 +169,24 @@ def _chat_sql(b: chat.Budget = chat.Budget()) -> str:
         ),
         s AS (SELECT conv_id, tokens AS st, chars AS sc FROM k WHERE i = 1 AND role = 'system'),
         o AS (
-            SELECT k.*, greatest(floor(({b.window - b.history} - coalesce(st, 0)) / 2.0), {b.least_half}) AS half,
+            SELECT k.*, greatest({b.window - b.history} - coalesce(st, 0), {b.least_room}) AS room,
                    coalesce(sum(tokens) OVER (PARTITION BY k.conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
             FROM k LEFT JOIN s ON k.conv_id IS NOT DISTINCT FROM s.conv_id WHERE NOT (i = 1 AND role = 'system')
         ),
-        p AS (SELECT *, floor(a / half) AS bucket, tokens > half AS big FROM o),
-        w AS (SELECT conv_id, bucket, big, min(a) AS start, sum(chars) AS own FROM p GROUP BY ALL),
+        p AS (SELECT *, a // (room * {chat.BLOCK_ROOMS}) AS block FROM o),
+        -- Inside a block, the first turn that passes the room of a window starts the next one.
+        w AS (
+            SELECT conv_id, block, room, min(a) AS start FROM p GROUP BY ALL
+            UNION ALL
+            SELECT w.conv_id, w.block, w.room, (SELECT min(a) FROM p WHERE p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.block = w.block AND p.a > w.start AND p.a + p.tokens - w.start > w.room) AS next
+            FROM w WHERE next IS NOT NULL
+        ),
         h AS (
             SELECT w.conv_id, sum(p.chars) AS hist FROM w JOIN p
               ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND p.a + p.tokens <= w.start AND p.a >= w.start - {b.history} GROUP BY w.conv_id
         ),
-        n AS (SELECT conv_id, count(*) AS windows, sum(own) AS own FROM w GROUP BY conv_id),
+        u AS (SELECT conv_id, sum(chars) AS own FROM p GROUP BY conv_id),
+        n AS (SELECT w.conv_id, count(*) AS windows, any_value(own) AS own FROM w JOIN u ON w.conv_id IS NOT DISTINCT FROM u.conv_id GROUP BY w.conv_id),
         c AS (
             SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
                    coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM k GROUP BY conv_id
