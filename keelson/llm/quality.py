@@ -9,8 +9,8 @@ is then a sum of log-odds over its votes, evaluated inside Spark's expressions.
 usual "all rules must pass": a rule that fires on good documents too has little weight.
 
 Defined results for odd input: a null or empty text has no words, fails the base test and is
-rejected; equal rows get equal verdicts; an empty table gives an empty result (the model is then
-the prior); columns of the input are kept, and a computed column whose name is taken (ignoring case)
+rejected; texts of any length are counted whole; equal rows get equal verdicts, each row its own; ids are not looked at and may be null; an
+empty table gives an empty result (the model is then the prior); columns of the input are kept, and a computed column whose name is taken (ignoring case)
 gets a numbered name, see ``added_columns``.
 """
 
@@ -118,10 +118,10 @@ def rule_votes(names: dict[str, str]) -> dict[str, Column]:
     enough, letters = n["n_words"] >= 20, n["n_letters"] / F.greatest(n["n_letters"] + n["n_other"], F.lit(1.0))
     return {
         "length": _vote(n["n_words"] < 10, n["n_words"] >= 100),
-        "repeats": _vote(n["n_repeat_words"] > 0.45 * words, enough & (n["n_repeat_words"] < 0.10 * words)),
+        "repeats": _vote(n["n_repeat_words"] > 0.30 * words, enough & (n["n_repeat_words"] < 0.10 * words)),
         "symbols": _vote(n["n_symbols"] > 0.25 * words, n["n_symbols"] < 0.02 * words),
         "symbol_words": _vote(n["n_symbol_words"] > 0.15 * words, n["n_symbol_words"] < 0.02 * words),
-        "letters": _vote(letters < 0.80, letters > 0.93),
+        "letters": _vote(letters < 0.85, letters > 0.93),
         "capitals": _vote(n["n_upper"] > 0.40 * chars, n["n_upper"] < 0.10 * chars),
         "lines": _vote((n["n_dup_lines"] > 0.30 * lines) & (n["n_dup_lines"] >= 2), (n["n_dup_lines"] == 0) & (n["n_lines"] >= 2)),
         "word_length": _vote((chars < 2.5 * words) | (chars > 14.0 * words), (chars > 3.0 * words) & (chars < 9.0 * words)),
@@ -144,26 +144,32 @@ class LabelModel:
         return float(np.log(g / (1 - b))), float(np.log((1 - g) / b))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-7) -> LabelModel:
+#: Votes that the priors of a rule's accuracies are worth, whatever the corpus holds, and their means for good and for bad documents.
+PSEUDO_VOTES, GOOD_MEAN, BAD_MEAN = 4.0, 0.95, 0.5
+#: Documents that the prior of the share of good ones is worth, and its mean.
+PSEUDO_DOCS, SHARE_MEAN = 10.0, 0.8
+#: Where the estimation starts: chance of good without a bad vote, with one, with more.
+START = (0.95, 0.3, 0.02)
+
+
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance: float = 1e-9) -> LabelModel:
     """Expectation-maximisation over vote patterns.
 
     ``patterns`` is (P, R) of -1, 0, 1 and ``counts`` how many documents have each.  Given the class,
-    rules are taken as independent, and abstaining says nothing.  Beta priors keep every accuracy inside (0, 1).
-    The one for bad documents weighs as much as the class itself and has mean 0.3: junk comes in several kinds,
-    each seen by a few rules only, so a good vote must not count as proof.  The start (two bad votes: very
-    probably bad) ties the classes to the votes' meaning, so they can't swap.
+    rules are taken as independent, and abstaining says nothing.  Each round weighs every pattern by its chance of being good, then
+    estimates the share of good documents and, for each rule and class, the share of right ones among its votes.
+    Beta priors of a few votes keep shares inside (0, 1); they don't grow with the corpus, so data outweigh them.  The
+    start (two bad votes: very probably bad) ties the classes to the votes' meaning, so they can't swap.
     """
-    rules = patterns.shape[1]
     plus, minus = (patterns == 1).astype(float), (patterns == -1).astype(float)
-    weight = counts.astype(float)
-    good = np.where(minus.sum(1) > 1, 0.02, np.where(minus.sum(1) > 0, 0.3, 0.95))
+    weight, bad_votes = counts.astype(float), minus.sum(1)
+    good = np.select([bad_votes > 1, bad_votes > 0], [START[2], START[1]], START[0])
     last = np.inf
-    prior, if_good, if_bad = 0.8, np.full(rules, 0.9), np.full(rules, 0.6)
     for _ in range(rounds):
         g, b = weight * good, weight * (1 - good)
-        prior = (g.sum() + 8) / (g.sum() + b.sum() + 10)
-        if_good = (g @ plus + 9.5) / (g @ (plus + minus) + 10)
-        if_bad = (b @ minus + 0.3 * b.sum() + 0.3) / (b @ (plus + minus) + b.sum() + 1)
+        prior = (g.sum() + PSEUDO_DOCS * SHARE_MEAN) / (weight.sum() + PSEUDO_DOCS)
+        if_good = (g @ plus + PSEUDO_VOTES * GOOD_MEAN) / (g @ (plus + minus) + PSEUDO_VOTES)
+        if_bad = (b @ minus + PSEUDO_VOTES * BAD_MEAN) / (b @ (plus + minus) + PSEUDO_VOTES)
         logit = np.log(prior / (1 - prior)) + plus @ np.log(if_good / (1 - if_bad)) + minus @ np.log((1 - if_good) / if_bad)
         good = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
         change, last = abs(prior - last), prior
