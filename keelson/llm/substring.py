@@ -1,29 +1,37 @@
-"""Substring dedup by joining phrases and windows in content-addressed blocks, in place of relative Lempel-Ziv parsing.
+"""Substring dedup by relative Lempel-Ziv parsing of content-addressed reference blocks.
 
 Parsing every document against every block of every other document would cost the square of the corpus.  Here the
 reference is cut by content instead: each window of ``WINDOW`` words belongs to the block named by its anchor, the least
 hash of its ``ANCHOR``-word grams.  Equal windows have equal anchors, so one block is all that a window has to be looked up in, and
-looking up all windows of a document in their blocks is looking them up in every block.
+parsing a document against the blocks of its anchors is parsing it against every block.
 
-1. A document is parsed into phrases, the longest runs of windows with one anchor.  A phrase is cut by its content alone, so a long
+1. A document is cut into phrases, the longest runs of windows with one anchor.  A phrase is cut by its content alone, so a long
    repeat consists of equal phrases, except at its two ends.
 2. Anchors that occur once in the corpus can hold no repeat; their phrases are dropped before anything is shuffled twice.
 3. In each block a phrase equal to an earlier one (smaller document id, or same document and earlier start) is a factor
-   as a whole.  Where a block holds different phrases, repeats may end inside a phrase: there, at the factor
-   boundaries, the single windows of each distinct phrase are compared by their hashes.
-4. A document's factors are joined; every word under one is removed.
+   as a whole; a block keeps one of each.
+4. Where a block holds different phrases, they are its reference, in document order, under a suffix array.  Each phrase is factored greedily
+   against all before it: the longest match that starts earlier, then on from its end.  Factors of ``WINDOW`` words or more are duplicate
+   spans; windows that reach over the end of a factor are looked up by themselves, as they may occur earlier too.
+5. A document's factors are joined; every word under one is removed.
+
+A block of more than ``BLOCK_WORDS`` words (a passage that very many documents end differently) would be too much for one task: the single windows of
+its distinct phrases are compared by their hashes instead, which splits over tasks and finds the same windows.
 
 Before any shuffle, repeats inside one batch of documents are settled on the spot (of equal phrases only the first travels), so
-a passage that every document has costs one row per batch.  Windows are told apart by two 64-bit hashes, the anchor and
-the window's own.
+a passage that every document has costs one row per batch.  Phrases and windows are told apart by two 64-bit hashes, the anchor and
+their own; inside a parsed block words are compared themselves.
 
 Defined results for odd input: null or wordless texts have no words; a null doc_id sorts before all others; rows with equal
 id and text count as one document and get equal results; rows with equal id and different texts are ordered by a hash of
-the text; texts shorter than a window lose nothing; ``dedup`` keeps extra columns, under numbered names where they clash.
+the text; texts shorter than a window lose nothing, texts of any length are parsed whole; an empty table gives an empty result; ``dedup``
+keeps extra columns, under numbered names where they clash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.staging import stage, unstage
+from ..plans.staging import input_tasks, stage, unstage
 from .common import arrow_map, fresh_name, one_batch, utf8_values
 
 WINDOW = 20
 ANCHOR = 5
 #: Words whose hashes a task remembers before it starts anew.
 CACHE_WORDS = 400_000
+#: Words of a block that one task may parse; and of all blocks that it parses together.
+BLOCK_WORDS, PARSE_WORDS = 1 << 20, 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -227,7 +237,142 @@ def _window_rows(window: int):
     return run
 
 
-def repeat_factors(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+class Reference:
+    """Phrases one after the other, each followed by a mark of its own, under a suffix array."""
+
+    def __init__(self, phrases: list[bytes], sizes: np.ndarray) -> None:
+        number: dict[bytes, int] = {}
+        words = np.fromiter((number.setdefault(w, len(number)) for w in b" ".join(phrases).split()), np.int64, int(sizes.sum()))
+        self.start = np.cumsum(sizes + 1) - (sizes + 1)
+        self.stop = self.start + sizes
+        text = np.empty(int((sizes + 1).sum()), np.int64)
+        inside = np.ones(len(text), bool)
+        inside[self.stop] = False
+        text[inside], text[self.stop] = words, len(number) + np.arange(len(sizes))
+        # Ranks of all runs of 1, 2, 4 ... words; marks make the last ones distinct.
+        self.ranks = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
+        while (last := self.ranks[-1]).max(initial=0) + 1 < len(text):
+            width = 1 << (len(self.ranks) - 1)
+            second = np.concatenate([last[width:] + 1, np.zeros(min(width, len(last)), np.int64)])
+            self.ranks.append(np.unique(last * (len(text) + 1) + second, return_inverse=True)[1].astype(np.int64))
+        self.order = np.argsort(self.ranks[-1])
+
+    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Number of words that the suffixes at ``p`` and ``q`` begin with alike."""
+        size = np.zeros(len(p), np.int64)
+        top = len(self.order) - 1
+        for k in range(len(self.ranks) - 1, -1, -1):
+            a, b = p + size, q + size
+            same = (np.maximum(a, b) <= top) & (self.ranks[k][np.minimum(a, top)] == self.ranks[k][np.minimum(b, top)])
+            size[same] += 1 << k
+        return size
+
+    def longest_earlier(self) -> np.ndarray:
+        """For each position the length of its longest match that starts earlier: that with one of the two nearest suffixes in order that do."""
+        n, out = len(self.order), np.zeros(len(self.order), np.int64)
+        for order in (self.order, self.order[::-1]):
+            near = nearest_smaller(order)
+            have = near >= 0
+            p, q = order[have], order[near[have]]
+            out[p] = np.maximum(out[p], self.common(p, q))
+        return out[:n]
+
+    def factors(self, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the greedy factors of all phrases; a word that does not occur earlier is a factor of one word."""
+        at, stop, starts, sizes = self.start.copy(), self.stop, [], []
+        while len(at):
+            size = np.maximum(longest[at], 1)
+            starts.append(at)
+            sizes.append(size)
+            at = at + size
+            at, stop = at[at < stop], stop[at < stop]
+        return np.concatenate(starts), np.concatenate(sizes)
+
+    def repeated(self, window: int) -> np.ndarray:
+        """Positions at which windows start that also start earlier."""
+        longest = self.longest_earlier()
+        start, size = self.factors(longest)
+        wide = size >= window
+        edge = np.zeros(len(longest) + 1, np.int64)
+        np.add.at(edge, start[wide], 1)
+        np.add.at(edge, (start + size)[wide] - window + 1, -1)
+        inside = np.cumsum(edge[:-1]) > 0
+        # Windows that reach over the end of a factor are looked up in the same array.
+        return np.flatnonzero(inside | (longest >= window))
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each element the nearest one before it that is smaller, or -1: jumps from one candidate to that candidate's own."""
+    near = np.arange(-1, len(values) - 1)
+    todo = np.flatnonzero(near >= 0)
+    todo = todo[values[near[todo]] > values[todo]]
+    while len(todo):
+        near[todo] = near[near[todo]]
+        todo = todo[near[todo] >= 0]
+        todo = todo[values[near[todo]] > values[todo]]
+    return near
+
+
+def _phrase_texts(window: int):
+    """The phrases asked for in column 3 (list of (s, n, anchor)) as texts."""
+
+    def run(batches):
+        for b in batches:
+            asked = dict(zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(3).to_pylist(), strict=True))
+            rows = []
+            for i, h, text in _ordered_texts(b):
+                words = text.split()
+                rows += [(r["anchor"], i, h, r["s"], r["n"], b" ".join(words[r["s"] : r["s"] + r["n"] + window - 1])) for r in asked[i, h]]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "doc", "th", "s", "n", "words"])
+
+    return run
+
+
+def _parse_blocks(window: int):
+    """Runs of repeated windows from phrases (anchor, doc, th, s, n, words) sorted by anchor, doc, th and start.
+
+    Whole blocks are parsed together: a match of a window's length can't lie in another block, as that has another anchor.
+    """
+
+    def parse(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        n = table.column(4).to_numpy().astype(np.int64)
+        ref = Reference(table.column(5).to_pylist(), n + window - 1)
+        at, runs = as_runs(ref.repeated(window))
+        who = np.searchsorted(ref.start, at, side="right") - 1
+        s = table.column(3).to_numpy().astype(np.int64)[who] + at - ref.start[who]
+        take = lambda i: table.column(i).combine_chunks().take(pa.array(who))
+        return pa.RecordBatch.from_arrays([take(1), take(2), pa.array(s.astype(np.int32)), pa.array(runs.astype(np.int32))], names=["doc", "th", "s", "n"])
+
+    def run(batches):
+        held, words, last = [], 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            anchor, sizes = b.column(0).to_numpy(), b.column(4).to_numpy().astype(np.int64) + window
+            new = np.concatenate([[last is not None and anchor[0] != last], anchor[1:] != anchor[:-1]])
+            cuts = np.flatnonzero(new)
+            if words + int(sizes.sum()) > PARSE_WORDS and len(cuts) and (held or cuts[-1]):
+                yield parse([*held, b.slice(0, int(cuts[-1]))])
+                b, sizes, held, words = b.slice(int(cuts[-1])), sizes[int(cuts[-1]) :], [], 0
+            held.append(b)
+            words, last = words + int(sizes.sum()), anchor[-1]
+        if held:
+            yield parse(held)
+
+    return run
+
+
+def _located(texts: DataFrame, firsts: DataFrame, anchors_of: DataFrame) -> DataFrame:
+    """Texts (doc, th, text) with the distinct phrases, list of (s, n, anchor), that lie in the blocks named in ``anchors_of`` (ma)."""
+    ask = firsts.join(anchors_of.select("ma"), F.col("anchor") == F.col("ma"), "left_semi").select("f.doc", "f.th", "f.s", "f.n", "anchor")
+    asked = ask.groupBy(F.col("doc").alias("ad"), F.col("th").alias("ah")).agg(F.collect_list(F.struct("s", "n", "anchor")).alias("runs"))
+    return texts.join(asked, F.col("doc").eqNullSafe(F.col("ad")) & (F.col("th") == F.col("ah"))).select("doc", "th", "text", "runs")
+
+
+def repeat_factors(texts: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Runs (doc, th, s, n) of window starts whose window also starts earlier, from rows (doc, th, text)."""
     counts = arrow_map(texts, _anchor_counts(window), "anchor long, c int")
     shared = stage(counts.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select(F.col("anchor").alias("a")), "anchors")
@@ -240,26 +385,25 @@ def repeat_factors(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     # Whole phrases that occur earlier.
     many = firsts.where("c > 1").select(F.col("anchor").alias("fa"), F.col("phrase").alias("fp"), F.struct("f.doc", "f.th", "f.s").alias("first"))
     whole = travelling.join(many, (F.col("anchor") == F.col("fa")) & (F.col("phrase") == F.col("fp"))).where(~spot.eqNullSafe(F.col("first"))).select("doc", "th", "s", "n")
-    # Blocks with different phrases: their distinct phrases are looked at window by window.
-    # Written by itself, so that the join below can split an anchor with many phrases over tasks.
-    mixed = stage(firsts.groupBy(F.col("anchor").alias("ma")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ma"), "mixed-anchors")
-    ask = firsts.join(mixed, F.col("anchor") == F.col("ma"), "left_semi").select("f.doc", "f.th", "f.s", "f.n", "anchor")
-    asked = ask.groupBy(F.col("doc").alias("ad"), F.col("th").alias("ah")).agg(F.collect_list(F.struct("s", "n", "anchor")).alias("runs"))
-    located = texts.join(asked, F.col("doc").eqNullSafe(F.col("ad")) & (F.col("th") == F.col("ah"))).select("doc", "th", "text", "runs")
-    windows = stage(arrow_map(located, _window_rows(window), "settled boolean, anchor long, w long, doc long, th long, s int"), "windows")
-    loose = windows.where("NOT settled")
-    first_windows = loose.groupBy(F.col("anchor").alias("wa"), F.col("w").alias("ww")).agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    first_windows = stage(first_windows.drop("c"), "window-firsts")
-    later = loose.join(first_windows, (F.col("anchor") == F.col("wa")) & (F.col("w") == F.col("ww"))).where(~spot.eqNullSafe(F.col("first")))
-    one = F.lit(1).alias("n")
-    found = (
-        both.where("settled").select("doc", "th", "s", "n")
-        .unionByName(whole)
-        .unionByName(windows.where("settled").select("doc", "th", "s", one))
-        .unionByName(later.select("doc", "th", "s", one))
-    )
-    out = stage(found, "factors")
-    unstage(shared, both, firsts, mixed, windows, first_windows)
+    found = [both.where("settled").select("doc", "th", "s", "n"), whole]
+    # Blocks with different phrases.  Written by itself, so that the joins can split an anchor with many phrases over tasks.
+    size = F.sum(F.col("f.n") + window - 1)
+    mixed = stage(firsts.groupBy(F.col("anchor").alias("ma")).agg(F.count(F.lit(1)).alias("k"), size.alias("words")).where("k > 1").select("ma", "words"), "mixed-blocks")
+    spoken = arrow_map(_located(texts, firsts, mixed.where(F.col("words") <= block_words)), _phrase_texts(window), "anchor long, doc long, th long, s int, n int, words binary")
+    blocks = spoken.repartition(input_tasks(texts.sparkSession), "anchor").sortWithinPartitions("anchor", "doc", "th", "s")
+    found.append(arrow_map(blocks, _parse_blocks(window), "doc long, th long, s int, n int"))
+    temporary = [shared, both, firsts, mixed]
+    large = mixed.where(F.col("words") > block_words)
+    if not large.isEmpty():
+        windows = stage(arrow_map(_located(texts, firsts, large), _window_rows(window), "settled boolean, anchor long, w long, doc long, th long, s int"), "windows")
+        loose = windows.where("NOT settled")
+        first_windows = loose.groupBy(F.col("anchor").alias("wa"), F.col("w").alias("ww")).agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        first_windows = stage(first_windows.drop("c"), "window-firsts")
+        later = loose.join(first_windows, (F.col("anchor") == F.col("wa")) & (F.col("w") == F.col("ww"))).where(~spot.eqNullSafe(F.col("first")))
+        found += [x.select("doc", "th", "s", F.lit(1).alias("n")) for x in (windows.where("settled"), later)]
+        temporary += [windows, first_windows]
+    out = stage(reduce(DataFrame.unionByName, found), "factors")
+    unstage(*temporary)
     return out
 
 
@@ -293,11 +437,11 @@ def _finish(where: int, runs_at: int, names: tuple[str, ...]):
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, tuple[str, str, str]]:
+def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, tuple[str, str, str]]:
     """``docs`` with the number of words, of removed words, and the kept words joined by blanks; and these columns' names."""
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     texts = docs.select(ident.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
-    factors = repeat_factors(texts, window)
+    factors = repeat_factors(texts, window, block_words)
     taken = list(docs.columns)
     runs, fd, fh = (fresh_name(x, taken) for x in ("runs", "factor_doc", "factor_hash"))
     names = tuple(fresh_name(x, taken) for x in ("n_words", "n_removed", "kept_text"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from keelson.llm import queries, substring
@@ -22,8 +23,41 @@ def brute(docs):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_against_brute_force(spark, tables, odd_docs, seed):
+def longest_before(text, p):
+    best = 0
+    for q in range(p):
+        n = 0
+        while p + n < len(text) and text[q + n] == text[p + n]:
+            n += 1
+        best = max(best, n)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_greedy_factors(seed):
+    rng = random.Random(seed)
+    phrases = [[rng.choice("abc") for _ in range(rng.randint(1, 14))] for _ in range(12)] + [["a"] * 30]
+    ref = substring.Reference([" ".join(p).encode() for p in phrases], np.array([len(p) for p in phrases]))
+    text = [x for i, p in enumerate(phrases) for x in (*p, i)]
+    longest = ref.longest_earlier()
+    assert longest.tolist() == [longest_before(text, p) for p in range(len(text))]
+    want = []
+    for a, b in zip(ref.start.tolist(), ref.stop.tolist(), strict=True):
+        while a < b:
+            want.append((a, max(1, longest_before(text, a))))
+            a += want[-1][1]
+    start, size = ref.factors(longest)
+    assert sorted(zip(start.tolist(), size.tolist(), strict=True)) == want
+    first = {}
+    for p in range(len(text) - 4):
+        first.setdefault(tuple(text[p : p + 4]), p)
+    assert ref.repeated(4).tolist() == [p for p in range(len(text) - 3) if first.get(tuple(text[p : p + 4]), p) < p]
+
+
+@pytest.mark.parametrize(("seed", "block_words"), [(0, 1 << 20), (1, 200), (2, 0), (3, 1 << 20)])
+def test_against_brute_force(spark, tables, odd_docs, monkeypatch, seed, block_words):
+    monkeypatch.setattr(substring.repeat_factors, "__defaults__", (20, block_words))
+    monkeypatch.setattr(substring.dedup, "__defaults__", (20, "doc_id", "text", block_words))
     rng = random.Random(seed)
     word = lambda: rng.choice(["a", "b", "é", f"w{rng.randint(0, 200)}"])
     passages = [[word() for _ in range(rng.randint(15, 60))] for _ in range(6)]
