@@ -3,16 +3,20 @@
 A word enters as two vectors: one of its own (hashed), and the mean of its character 3- and 4-grams' vectors (hashed,
 with marks for the word's ends), so unseen forms of a known stem are read by their characters.  A text is cut into overlapping
 windows of ``WINDOW`` words; the network reads each window in both directions, attention pools the states, and the
-window gets a probability.  A document's score is that of its worst window: all windows of whole texts are scored.
+window gets a probability.  Windows start every ``STRIDE`` words, half a window: any run of up to that many words lies whole in some window.
+A document's score is that of its worst window: all windows of whole texts are scored.
 
 Labels belong to documents, so training looks for the window that carries the label: each round, the current
 network picks the highest window of each document, and gradients go through it (plus a random one of clean documents).
 
 The network is fitted on the driver to at most ``SAMPLE`` labelled documents of each class, chosen by a hash of the id among
-labels; its size is fixed.  Scoring is one pass over the documents, without a shuffle.
+labels, each of at most ``SAMPLE_CHARS`` code points (longer ones are scored, but not learned from), so what the driver gets is bounded; its
+size is fixed.  Scoring is one pass over the documents, without a shuffle.
 
 Defined results for odd input: null or wordless texts score 0; without labels of both classes every text scores the
-share of toxic labels (0 if there are none); equal texts get equal scores; rows with a null doc_id are never held out or learned from.
+share of toxic labels (0 if there are none); equal texts get equal scores, each row its own; an id with several labels is toxic if one of
+them says so; of several rows with a labelled id the one with the least hash of its text is learned from; rows with a null doc_id are
+never held out or learned from; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, utf8_values
 from .decontam import fold_words
 
-WINDOW, STRIDE = 32, 24
-#: Labelled documents of each class that are learned from, at most.
-SAMPLE = 1500
+WINDOW, STRIDE = 32, 16
+#: Labelled documents of each class that are learned from, at most, and code points that one of them may have.
+SAMPLE, SAMPLE_CHARS = 1500, 65_536
 BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 8, 12, 8
 ROUNDS, BATCH, RATE = 8, 64, 0.01
 CUT = 0.3
@@ -256,8 +260,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net
     usable = labels.where(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_class = [usable.where((F.col("toxic") > 0) == bool(c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = F.broadcast(by_class[0].unionByName(by_class[1]))  # at most twice `sample` rows
-    rows = docs.where(~is_held_out(F.col("doc_id"))).select("doc_id", "text").join(chosen, "doc_id").collect()
-    rows = sorted((r["doc_id"], r["text"] or "", int(r["toxic"] > 0)) for r in rows)
+    short = docs.where(~is_held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").join(chosen, "doc_id")
+    rows = short.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", "toxic").collect()
+    rows = sorted((r["doc_id"], r["text"], int(r["toxic"] > 0)) for r in rows)
     y = [r[2] for r in rows]
     share = sum(y) / len(y) if y else 0.0
     if len(set(y)) < 2:

@@ -59,3 +59,29 @@ def test_held_out_accuracy_and_odd_rows(spark, tables, odd_docs):
 def test_without_labels(spark, tables):
     folder = tables(documents=([(1, "a b")], "doc_id long, text string"), labels=([], "doc_id long, quality int, toxic int"))
     assert [r.score for r in queries.op3_toxicity(spark, folder).collect()] == [0.0]
+
+
+def test_what_the_driver_learns_from_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, seed=7: seen.append((texts, labels)))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = [(i, f"t{i}", "mine") for i in ids] + [(ids[0], "other", "mine")] * 50 + [(ids[1], "x " * toxicity.SAMPLE_CHARS, "mine"), (ids[2], None, "mine"), (None, "n", "mine")]
+    labels = [(i, k % 2) for k, i in enumerate(ids)] + [(ids[0], 1), (None, 1)]
+    toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string, toxic string"), spark.createDataFrame(labels, "doc_id long, toxic int"), sample=40)
+    (texts, y), = seen
+    assert len(texts) <= 80 and max(map(len, texts)) <= toxicity.SAMPLE_CHARS and set(y) == {0, 1}
+    again = dict(zip(texts, y, strict=True))
+    assert len(again) == len(texts) and all(again[f"t{i}".encode()] == k % 2 for k, i in enumerate(ids) if k > 2 and f"t{i}".encode() in again)
+
+
+def test_empty_table_and_other_columns(spark, tables):
+    labels = ([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert queries.op3_toxicity(spark, tables(documents=([], "doc_id long, text string"), labels=labels)).collect() == []
+    clash = tables(documents=([(1, "a b", 0.5, "x")], "doc_id long, text string, score double, toxic string"), labels=labels)
+    assert [(r.doc_id, r.predicted) for r in queries.op3_toxicity(spark, clash).collect()] == [(1, 1)]
+
+
+def test_any_half_window_lies_whole_in_a_window():
+    doc, first = toxicity.windows_of(np.array([300]))
+    for at in range(300 - toxicity.STRIDE):
+        assert any(s <= at and at + toxicity.STRIDE <= s + toxicity.WINDOW for s in first.tolist())
