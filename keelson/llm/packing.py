@@ -16,7 +16,7 @@ places its own pieces:
    the corpus; every piece finds its run by binary search.
 
 Defined results for odd input: a null text is empty; an empty document is the end mark alone (one token); equal rows are separate
-documents; null ids are kept; other columns are ignored; an empty table gives no pieces.
+documents; null ids are kept; long texts are tokenised whole; other columns are ignored, whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -305,7 +305,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     runs = Runs(solve(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_part.select(F.col("length").alias("bl"), F.col("part").alias("bp"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, (F.col("length") == F.col("bl")) & (F.col("part") == F.col("bp"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
+    # Both sides grow with the input, so neither is broadcast, whatever its size looks like.
+    ranked = pieces.join(bases.hint("merge"), (F.col("length") == F.col("bl")) & (F.col("part") == F.col("bp"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
 
     def run(batches):
         for b in batches:

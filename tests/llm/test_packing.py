@@ -61,3 +61,9 @@ def test_pieces_and_places(spark, tables, odd_docs):
         assert end <= 2048
     assert len(by) <= -(-sum(r.length for r in rows) // 2048) + 1
     assert queries.op10_best_fit_packing(spark, tables(documents=([], "doc_id long, text string"))).collect() == []
+
+
+def test_other_columns_are_ignored(spark):
+    docs = spark.createDataFrame([(7, "a b", 3, "x"), (7, "a b", 3, "x")], "doc_id long, text string, length int, bp string")
+    rows = packing.pack(docs).collect()
+    assert len(rows) == 2 and len({(r.sequence_id, r.offset) for r in rows}) == 2 and {r.doc_id for r in rows} == {7}
