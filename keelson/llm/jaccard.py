@@ -19,7 +19,9 @@ Components are found in rounds of star operations, all in DataFrames.
 
 Defined results for odd input: texts without words have no similarity, each is a class of its own without links; texts of fewer
 than five words have one shingle, all their words; the class id is the least doc_id of the class (null ids count
-as largest, a class of null ids has a null id); rows with equal ids and equal texts are copies of each other; extra columns are kept by ``near_duplicates``.
+as largest, a class of null ids has a null id); rows with equal ids and equal texts are copies of each other; texts of any length count whole; an
+empty table gives an empty result.  ``near_duplicates`` returns its own columns only, whatever the input's are called; ``one_of_each`` keeps
+the input's columns and adds none.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage, unstage
+from ..plans.staging import input_tasks, stage, unstage
 from .common import arrow_map, fresh_name, one_batch, utf8_values
 from .substring import Hasher, mix
 
@@ -51,6 +53,8 @@ STUCK = 0.7
 #: Sketches this far below the threshold are no candidates: five standard deviations of 64 draws at 0.8.
 SKETCH_MARGIN = 0.25
 TILE = 512
+#: Tasks that tile pairs are dealt over, as a multiple of the usual number.
+SPREAD = 4
 
 
 def recall_of(similarity: float, branch: int = BRANCH, depth: int = MAX_DEPTH, runs: int = RUNS) -> float:
@@ -114,13 +118,13 @@ def _children(run_salt: int):
     return run
 
 
-def _paths(sets: DataFrame) -> DataFrame:
-    """Leaf buckets: (path, id, n: how many sets the bucket has)."""
+def _paths(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaf buckets (path, id, n: how many sets the bucket has), and the staged tables they are read from."""
     level = sets.select("id", F.explode(F.array(*(F.lit(r + 1).cast("long") for r in range(RUNS)))).alias("path"), "sketch")
-    leaves, open_rows, parents = [], None, None
+    leaves, open_rows, parents, staged = [], None, None, []
     for depth in range(MAX_DEPTH):
         rows = stage(arrow_map(level, _children(depth), "id long, parent long, path long"), "paths")
-        sizes = stage(rows.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+        sizes = counted = stage(rows.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
         if parents is not None:
             stuck = sizes.groupBy("parent").agg(F.max("n").alias("top")).join(parents, "parent").where(F.col("top") > STUCK * F.col("parent_n"))
             stuck = stuck.select(F.col("parent").alias("path"), F.col("parent_n").alias("n"))
@@ -129,12 +133,13 @@ def _paths(sets: DataFrame) -> DataFrame:
         last = F.lit(depth == MAX_DEPTH - 1)
         leaves.append(rows.join(sizes.where((F.col("n") <= BUCKET) | last).select("path", "n"), "path").select("path", "id", "n"))
         large = stage(sizes.where((F.col("n") > BUCKET) & ~last).select("path", "n"), "large-buckets")
+        staged += [rows, counted, large]
         if depth == MAX_DEPTH - 1 or large.isEmpty():
             break
         parents = large.select(F.col("path").alias("parent"), F.col("n").alias("parent_n"))
         open_rows = rows.join(large.select("path"), "path", "left_semi").select("id", "path")
         level = open_rows.join(sets.select("id", "sketch"), "id").select("id", "path", "sketch")
-    return reduce(DataFrame.unionByName, leaves)
+    return reduce(DataFrame.unionByName, leaves), staged
 
 
 def _tiles(members: DataFrame, group: str, count: str, tile: int = TILE) -> DataFrame:
@@ -265,18 +270,19 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(both, "edges")
     while True:
         # Large star: every larger neighbour of a node is tied to the node's least neighbour (itself included).
-        least = edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        # Both least neighbours are written by themselves, so that the joins can split a node with many links over tasks.
+        least = stage(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")), "least")
         big = edges.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         big = stage(big.distinct(), "large-star")
         # Small star: a node's smaller neighbours and itself are tied to its least neighbour.
-        low = big.groupBy("x").agg(F.min("y").alias("m"))
+        low = stage(big.groupBy("x").agg(F.min("y").alias("m")), "low")
         small = big.join(low, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(low.select("x", F.col("m").alias("y"))).distinct()
         new = stage(small, "small-star")
         # Done when every node has one link, to a root.
         many = new.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         chained = new.select("x").join(new.select(F.col("y").alias("x")), "x", "left_semi")
         done = many.isEmpty() and chained.isEmpty()
-        unstage(edges, big)
+        unstage(edges, big, least, low)
         if done:
             roots = new.select(F.col("y").alias("id"), F.col("y").alias("comp")).distinct()
             return new.select(F.col("x").alias("id"), F.col("y").alias("comp")).unionByName(roots)
@@ -327,21 +333,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("more runs are needed for this recall")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("th"), F.col(f"`{text_col}`").alias("text"))
     rows = stage(arrow_map(texts, _set_rows, _SETS_SQL), "sets")
+    spread = SPREAD * input_tasks(docs.sparkSession)  # few tile pairs a task: a pair is never split
     # One set per class of equal sets; its id is a hash of its 128-bit name.
     named = F.xxhash64("low", "high")
     sets = rows.where("low IS NOT NULL").groupBy(named.alias("id"), "low", "high").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th")).alias("one"), F.first("sketch").alias("sketch"))
     sets = stage(sets, "distinct-sets")
-    leaves = _tiles(_paths(sets), "path", "n").join(sets.select("id", "sketch"), "id").select("path", "a", "b", "tile", "id", "sketch")
-    links = stage(arrow_map(leaves.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b"), _sketch_links, "x long, y long").distinct(), "links")
+    buckets, staged = _paths(sets)
+    leaves = _tiles(buckets, "path", "n").join(sets.select("id", "sketch"), "id").select("path", "a", "b", "tile", "id", "sketch")
+    links = stage(arrow_map(leaves.repartition(spread, "path", "a", "b").sortWithinPartitions("path", "a", "b"), _sketch_links, "x long, y long").distinct(), "links")
+    unstage(*staged)
     groups = stage(components(links), "groups")
     # Sizes and leads are written by themselves, so that joins can split a large group over tasks.
     sizes = stage(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     sized = groups.join(sizes, "comp")
-    # One text stands for each set: that of its least (id, text hash).
+    # One text stands for each set: that of its least (id, text hash).  Where rows repeat it, one of them is taken before texts are dealt out.
+    repeats = rows.groupBy(F.col("doc").alias("rd"), F.col("th").alias("rh")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     wanted = sized.join(sets.select("id", "copies", F.col("one.doc").alias("wd"), F.col("one.th").alias("wh")), "id")
-    text_of = texts.join(wanted, F.col("doc").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wh"))).select("comp", "id", "n", "copies", "text")
-    tiles = _tiles(text_of, "comp", "n").select("comp", "a", "b", "tile", "id", "copies", "text")
-    found = stage(arrow_map(tiles.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b"), _exact, "kind long, x long, y long"), "exact")
+    wanted = stage(wanted.join(repeats, F.col("wd").eqNullSafe(F.col("rd")) & (F.col("wh") == F.col("rh")), "left").drop("rd", "rh"), "wanted-texts")
+    text_of = texts.join(wanted, F.col("doc").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wh"))).select("comp", "id", "n", "copies", "text", "rows")
+    once = text_of.where("rows IS NULL").drop("rows").unionByName(text_of.where("rows IS NOT NULL").drop("rows").dropDuplicates(["id"]))
+    tiles = _tiles(once, "comp", "n").select("comp", "a", "b", "tile", "id", "copies", "text")
+    found = stage(arrow_map(tiles.repartition(spread, "comp", "a", "b").sortWithinPartitions("comp", "a", "b"), _exact, "kind long, x long, y long"), "exact")
     counts = found.where("kind = 0").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("linked"))
     classes = stage(components(found.where("kind = 1").select("x", "y")), "classes")
     per_set = sets.select("id", "copies", "one").join(classes, "id", "left").join(counts, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -353,5 +365,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("doc").alias("doc_id"), F.col("th").alias("text_hash"), F.when(alone, F.col("doc")).otherwise(F.col("lead.doc")).alias("class_id"),
         F.when(alone, F.col("th")).otherwise(F.col("lead.th")).alias("class_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    unstage(links, groups, sizes)
+    unstage(links, groups, sizes, wanted)
     return result

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -46,6 +47,36 @@ def test_against_brute_force(spark, odd_docs, monkeypatch, groups, size, words):
     assert got == brute(docs)
 
 
+def test_recall_of_every_fiftieth_document(spark, data):
+    """Links of the documents whose id is divisible by 50 to all documents, from an inverted index of exact shingles."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    sets, posting = {}, {}
+    for d, t in docs:
+        w = (t or "").encode().split()
+        n = min(5, len(w))
+        sets[d] = {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+        for g in sets[d]:
+            posting.setdefault(g, []).append(d)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    links = kept = 0
+    for q in (d for d in sets if d % 50 == 0):
+        shared = Counter(d for g in sets[q] for d in posting[g] if d != q)
+        near = [d for d, k in shared.items() if 10 * k >= 8 * (len(sets[q]) + len(sets[d]) - k)]
+        links += len(near)
+        kept += sum(found[d][0] == found[q][0] for d in near)
+        assert found[q][1] <= len(near)
+        kept -= (len(near) - found[q][1]) * (len(near) > 0)
+    print(f"{links} links, {kept} kept")
+    assert kept >= 0.9 * links
+
+
+def test_repeated_rows_meet_once(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = [(1, text, "a")] * 300 + [(2, text + " more", "b")] * 40 + [(3, "x", "c")] * 5
+    got = {(r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string, class_id string")).collect()}
+    assert got == {(1, 1, 339), (2, 1, 339), (3, 3, 4)}
+
+
 def test_one_of_each_and_empty_tables(spark):
     d = spark.createDataFrame([(2, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (1, "a b c d e f g", "y"), (None, "a b c d e f g", "z"), (5, "other words", "u"), (6, "", "v")], "doc_id long, text string, lead_id string")
     assert sorted((r.doc_id, r.lead_id) for r in jaccard.one_of_each(d).collect()) == [(1, "y"), (5, "u"), (6, "v")]
