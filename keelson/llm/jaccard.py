@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import input_tasks, stage, unstage
+from ..plans.staging import stage, unstage
 from .common import arrow_map, fresh_name, one_batch, utf8_values
 from .substring import Hasher, mix
 
@@ -53,8 +53,6 @@ STUCK = 0.7
 #: Sketches this far below the threshold are no candidates: five standard deviations of 64 draws at 0.8.
 SKETCH_MARGIN = 0.25
 TILE = 512
-#: Tasks that tile pairs are dealt over, as a multiple of the usual number.
-SPREAD = 4
 
 
 def recall_of(similarity: float, branch: int = BRANCH, depth: int = MAX_DEPTH, runs: int = RUNS) -> float:
@@ -333,14 +331,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("more runs are needed for this recall")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("th"), F.col(f"`{text_col}`").alias("text"))
     rows = stage(arrow_map(texts, _set_rows, _SETS_SQL), "sets")
-    spread = SPREAD * input_tasks(docs.sparkSession)  # few tile pairs a task: a pair is never split
     # One set per class of equal sets; its id is a hash of its 128-bit name.
     named = F.xxhash64("low", "high")
     sets = rows.where("low IS NOT NULL").groupBy(named.alias("id"), "low", "high").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th")).alias("one"), F.first("sketch").alias("sketch"))
     sets = stage(sets, "distinct-sets")
     buckets, staged = _paths(sets)
     leaves = _tiles(buckets, "path", "n").join(sets.select("id", "sketch"), "id").select("path", "a", "b", "tile", "id", "sketch")
-    links = stage(arrow_map(leaves.repartition(spread, "path", "a", "b").sortWithinPartitions("path", "a", "b"), _sketch_links, "x long, y long").distinct(), "links")
+    links = stage(arrow_map(leaves.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b"), _sketch_links, "x long, y long").distinct(), "links")
     unstage(*staged)
     groups = stage(components(links), "groups")
     # Sizes and leads are written by themselves, so that joins can split a large group over tasks.
@@ -350,10 +347,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeats = rows.groupBy(F.col("doc").alias("rd"), F.col("th").alias("rh")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     wanted = sized.join(sets.select("id", "copies", F.col("one.doc").alias("wd"), F.col("one.th").alias("wh")), "id")
     wanted = stage(wanted.join(repeats, F.col("wd").eqNullSafe(F.col("rd")) & (F.col("wh") == F.col("rh")), "left").drop("rd", "rh"), "wanted-texts")
-    text_of = texts.join(wanted, F.col("doc").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wh"))).select("comp", "id", "n", "copies", "text", "rows")
-    once = text_of.where("rows IS NULL").drop("rows").unionByName(text_of.where("rows IS NOT NULL").drop("rows").dropDuplicates(["id"]))
+    text_of = lambda w: texts.join(w, F.col("doc").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wh"))).select("comp", "id", "n", "copies", "text")
+    repeated = wanted.where("rows IS NOT NULL")
+    once = text_of(wanted) if repeated.isEmpty() else text_of(wanted.where("rows IS NULL")).unionByName(text_of(repeated).dropDuplicates(["id"]))
     tiles = _tiles(once, "comp", "n").select("comp", "a", "b", "tile", "id", "copies", "text")
-    found = stage(arrow_map(tiles.repartition(spread, "comp", "a", "b").sortWithinPartitions("comp", "a", "b"), _exact, "kind long, x long, y long"), "exact")
+    found = stage(arrow_map(tiles.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b"), _exact, "kind long, x long, y long"), "exact")
     counts = found.where("kind = 0").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("linked"))
     classes = stage(components(found.where("kind = 1").select("x", "y")), "classes")
     per_set = sets.select("id", "copies", "one").join(classes, "id", "left").join(counts, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
