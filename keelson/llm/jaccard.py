@@ -347,7 +347,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeats = rows.groupBy(F.col("doc").alias("rd"), F.col("th").alias("rh")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     wanted = sized.join(sets.select("id", "copies", F.col("one.doc").alias("wd"), F.col("one.th").alias("wh")), "id")
     wanted = stage(wanted.join(repeats, F.col("wd").eqNullSafe(F.col("rd")) & (F.col("wh") == F.col("rh")), "left").drop("rd", "rh"), "wanted-texts")
-    text_of = lambda w: texts.join(w, F.col("doc").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wh"))).select("comp", "id", "n", "copies", "text")
+    # The list grows with the input, so it is not broadcast, whatever its size looks like.
+    text_of = lambda w: texts.join(w.hint("merge"), F.col("doc").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wh"))).select("comp", "id", "n", "copies", "text")
     repeated = wanted.where("rows IS NOT NULL")
     once = text_of(wanted) if repeated.isEmpty() else text_of(wanted.where("rows IS NULL")).unionByName(text_of(repeated).dropDuplicates(["id"]))
     tiles = _tiles(once, "comp", "n").select("comp", "a", "b", "tile", "id", "copies", "text")
