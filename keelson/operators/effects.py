@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import ship_package
@@ -96,3 +96,9 @@ def filter_paths_of(document: Column) -> Column:
     """``filter_paths`` of a JSON string column, in Arrow batches."""
     ship_package(SparkSession.active())
     return F.pandas_udf(_filter_paths, "array<string>")(document)
+
+
+def with_sql_effects(rows: DataFrame, statement: str, name: str = "effects") -> DataFrame:
+    """``rows`` with the effects of their statement: each distinct statement is parsed once, however many rows have it."""
+    parsed = rows.select(F.col(statement).alias("_statement")).distinct().withColumn(name, sql_effects_of(F.col("_statement")))
+    return rows.join(parsed, F.col(statement).eqNullSafe(F.col("_statement")), "left").drop("_statement")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, is_prefix
 from ..plans.config import AnalysisConfig
+from ..plans.ranking import global_row_number
 from ..plans.staging import stage, unstage
 
+#: Rounds after which the tables of a fixpoint are written together, so that a long one does not read ever more of them.
+COMPACT_ROUNDS = 16
+
 #: How each kind of value-flow edge hands a taint on: forward, backward.  ``copy`` keeps the object path, ``push``
 #: appends the edge's segment to it, ``pop`` removes it, ``stop`` ends the walk.
 EDGE_RULES = {
@@ -38,13 +44,18 @@ def fixpoint(seed: DataFrame, step, name: str = "fixpoint") -> DataFrame:
     """All rows reachable from ``seed`` by ``step``: each round extends only the rows that the last one found."""
     columns = seed.columns
     frontier = stage(seed.distinct(), name)
-    seen = frontier
+    seen, parts = frontier, [frontier]
     while True:
         new = stage(step(frontier).select(*columns).distinct().join(seen, columns, "left_anti"), name)
         if new.isEmpty():
             unstage(new)
             return seen
+        parts.append(new)
         seen, frontier = seen.unionByName(new), new
+        if len(parts) == COMPACT_ROUNDS:
+            seen = stage(seen, name)
+            unstage(*parts[:-1])
+            parts = [seen]
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -54,11 +65,6 @@ def closure(edges: DataFrame) -> DataFrame:
     return fixpoint(e, lambda f: f.join(nxt, f["dst"] == nxt["mid"]).select("src", F.col("next").alias("dst")), "closure")
 
 
-def transitive_targets(refs: DataFrame) -> DataFrame:
-    """References that a new one to ``src`` would be replaced by: (via, dst, mandatory), other databases only."""
-    return refs.where("split(src, '[.]')[0] <> split(dst, '[.]')[0]").select(F.col("src").alias("via"), "dst", "mandatory")
-
-
 def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Taints (id, objpath, fieldpath) that reach each value over edges (etype, src, dst, segment, op).
 
@@ -137,37 +143,49 @@ def fields_with_prefix(fields: DataFrame, prefixes: DataFrame, config: AnalysisC
     return joined.where(is_prefix(F.col("prefix"), F.col("path"), not inclusive, config.segment_aware_paths)).select("prefix", "path")
 
 
-def traverse(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """Operations of each request in call order: (req, path array<int>, node, edge_id).
+def traverse(edges: DataFrame, entries: DataFrame, hops: DataFrame | None = None) -> DataFrame:
+    """Operations of each request in call order: (req, path array<int>, node, edge_id, req_idx).
 
     Depth-first order is the order of the arrays of edge numbers on the way down.  Entries named Run or Init are skipped but keep their
-    number; a node already on the way is not entered again, which ends every cycle.
+    number; a node already on the way is not entered again, which ends every cycle.  ``hops`` (edge_id, consumer) name pushes to queues and the nodes that
+    pop them: the consumer is walked right after its push, below the push's path, as part of the request, but under an index of its own.  Indices count what is opened, requests
+    and consumers, in call order.
     """
-    numbered = entries.withColumn("req", F.row_number().over(Window.orderBy("entry")).cast("int") - 1).where(~F.element_at(F.split("entry", r"\."), -1).isin("Run", "Init"))
-    front = numbered.select("req", F.col("node"), F.array().cast("array<int>").alias("path"), F.array("node").alias("way"), F.lit(None).cast("string").alias("edge_id"))
-    e = edges.select("src", F.col("dst"), "ord", F.col("edge_id").alias("eid"))
+    entry = global_row_number(entries, "req", "entry").withColumn("req", (F.col("req") - 1).cast("int"))
+    open_ = entry.where(~F.element_at(F.split("entry", r"\."), -1).isin("Run", "Init"))
+    ints = F.array().cast("array<int>")
+    front = open_.select("req", F.col("node"), ints.alias("path"), F.array("node").alias("way"), F.lit(None).cast("string").alias("edge_id"), ints.alias("opened"))
+    e = edges.select("src", F.col("dst"), F.col("ord").cast("int").alias("step"), F.col("edge_id").alias("eid"), F.lit(False).alias("is_hop"))
+    if hops is not None:
+        h = edges.select("src", "ord", "edge_id").join(hops.select("edge_id", "consumer"), "edge_id")
+        e = e.unionByName(h.select("src", F.col("consumer").alias("dst"), F.col("ord").cast("int").alias("step"), F.col("edge_id").alias("eid"), F.lit(True).alias("is_hop")))
     levels, front = [], stage(front, "traverse")
     while True:
         nxt = front.join(e, (front["node"] == e["src"]) & ~F.array_contains(front["way"], e["dst"]))
-        nxt = stage(nxt.select("req", F.col("dst").alias("node"), F.concat("path", F.array(F.col("ord").cast("int"))).alias("path"), F.concat("way", F.array("dst")).alias("way"), F.col("eid").alias("edge_id")), "traverse")
+        path = F.concat("path", F.array(F.col("step")))
+        nxt = nxt.select("req", F.col("dst").alias("node"), path.alias("path"), F.concat("way", F.array("dst")).alias("way"), F.col("eid").alias("edge_id"), F.when(F.col("is_hop"), path).otherwise(F.col("opened")).alias("opened"), "is_hop")
+        nxt = stage(nxt, "traverse")
         if nxt.isEmpty():
             break
         levels.append(nxt)
-        front = nxt
+        front = nxt.drop("is_hop")
     if not levels:
-        return front.select("req", "path", "node", "edge_id").where("edge_id IS NOT NULL")
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.select("req", "path", "node", "edge_id")
+        return front.select("req", "path", "node", "edge_id", F.col("req").alias("req_idx")).where("edge_id IS NOT NULL")
+    out = reduce(DataFrame.unionByName, levels)
+    # A consumer opens an index where it is entered, a request where it starts.
+    opened = out.where("is_hop").select(F.col("req").alias("o_req"), F.col("path").alias("o_path")).unionByName(entry.select(F.col("req").alias("o_req"), ints.alias("o_path")))
+    numbered = global_row_number(opened, "req_idx", "o_req", "o_path").withColumn("req_idx", (F.col("req_idx") - 1).cast("int"))
+    joined = out.where("NOT is_hop").join(numbered, (F.col("req") == F.col("o_req")) & (F.col("opened") == F.col("o_path")))
+    return joined.select("req", "path", "node", "edge_id", "req_idx")
 
 
 def queue_hops(pushes: DataFrame, pops: DataFrame) -> DataFrame:
-    """Each push with the first pop of its queue that comes after it: (push, pop, queue)."""
-    p = pops.select(F.col("queue").alias("pq"), F.col("id").alias("pop"), F.col("ord").alias("pop_ord"))
-    joined = pushes.select("queue", F.col("id").alias("push"), "ord").join(p, (F.col("queue") == F.col("pq")) & (F.col("pop_ord") > F.col("ord")))
-    first = F.min(F.struct("pop_ord", "pop")).alias("first")
-    return joined.groupBy("queue", "push").agg(first).select("push", F.col("first.pop").alias("pop"), "queue")
+    """Each push with the first pop of its queue that comes after it: (push, pop, queue).  One window over a queue, no pairs."""
+    p = pushes.select("queue", F.col("id").alias("push"), F.lit(None).cast(pops.schema["id"].dataType).alias("pop"), "ord")
+    rows = p.unionByName(pops.select("queue", F.lit(None).cast(pushes.schema["id"].dataType).alias("push"), F.col("id").alias("pop"), "ord"))
+    # Of a push and a pop with one number the push comes second, so that the pop is not after it.
+    later = Window.partitionBy("queue").orderBy("ord", F.col("pop").isNull()).rowsBetween(1, Window.unboundedFollowing)
+    return rows.withColumn("next", F.first("pop", ignorenulls=True).over(later)).where("push IS NOT NULL AND next IS NOT NULL").select("push", F.col("next").alias("pop"), "queue")
 
 
 def match_arguments(args: DataFrame, params: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Taints and traces across calls: matching traces to objects, pushing new taints, combining callees into callers."""
+"""Taints and traces of values and across calls: seeding, look-ups by place, matching traces to objects, merging, pushing new taints, combining
+callees into callers, and the abstract graph of services that comes out of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import trace_argument, trace_object_path
-from .graph import fixpoint, insert_new
+from ..functions.paths import is_prefix, trace_argument, trace_object_path
+from ..plans.config import AnalysisConfig
+from .graph import TAINT_KEYS, closure, fixpoint, insert_new
 
 
 def traces_to_arguments(traces: DataFrame, args: DataFrame) -> DataFrame:
@@ -68,3 +70,175 @@ def combine_calls(calls: DataFrame, taints: DataFrame) -> DataFrame:
         return up.select(F.col("caller").alias("fn"), F.col("outer").alias("obj"), "objpath", "fieldpath", F.concat(F.array("site"), "stamp").alias("stamp"), F.concat("way", F.array("caller")).alias("way"))
 
     return fixpoint(seeds, step, "combined")
+
+
+def primary_taints(taints: DataFrame, primary: bool = True) -> DataFrame:
+    """Taints that belong to an object itself, or (``primary`` false) those it got from elsewhere."""
+    return taints.where(F.col("primary") if primary else ~F.col("primary"))
+
+
+def fields_of_calls(taints: DataFrame) -> DataFrame:
+    """(call_id, fieldpath): the distinct fields that each datastore call touches."""
+    return taints.select("call_id", "fieldpath").distinct()
+
+
+def callee_parameters(params: DataFrame) -> DataFrame:
+    """Parameters (callee, pos, ...) without receiver and context, numbered from 0."""
+    return params.where("pos >= 2").withColumn("pos", F.col("pos") - 2)
+
+
+def edges_of_kind(edges: DataFrame, *kinds: str) -> DataFrame:
+    return edges.where(F.col("etype").isin(*kinds))
+
+
+def taints_at_or_below(taints: DataFrame, places: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """Taints of ``places`` (obj_id, place) and of all lower paths of the same object, with what the path adds (rest)."""
+    joined = taints.join(places.select("obj_id", "place").distinct(), "obj_id").where(is_prefix(F.col("place"), F.col("objpath"), False, config.segment_aware_paths))
+    return joined.withColumn("rest", F.substring(F.col("objpath"), F.length("place") + 1, F.length("objpath")))
+
+
+def taints_of_traced_places(taints: DataFrame, traced: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """Taints written onto the places (obj_id, place) of their object that lie at or below them: the field path grows by the difference."""
+    joined = taints.join(traced.select("obj_id", "place").distinct(), "obj_id").where(is_prefix(F.col("objpath"), F.col("place"), False, config.segment_aware_paths))
+    return joined.withColumn("fieldpath", F.concat("fieldpath", F.substring(F.col("place"), F.length("objpath") + 1, F.length("place")))).withColumn("objpath", F.col("place")).drop("place")
+
+
+def place_of_upper_taint(taints: DataFrame, wanted: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """For each of ``wanted`` (id, obj_id, fieldpath, call_id) the first place, by path, whose taint is the same or an upper one of the same call;
+    below an upper taint the place goes on with the rest of the field path."""
+    t = taints.select("obj_id", "objpath", F.col("fieldpath").alias("own"), "call_id")
+    joined = wanted.join(t, ["obj_id", "call_id"]).where(is_prefix(F.col("own"), F.col("fieldpath"), False, config.segment_aware_paths))
+    place = F.concat("objpath", F.substring(F.col("fieldpath"), F.length("own") + 1, F.length("fieldpath")))
+    return joined.groupBy("id").agg(F.min(F.struct("objpath", place.alias("place"))).alias("first")).select("id", "first.place")
+
+
+def specific_places_first(places: DataFrame) -> DataFrame:
+    """Places (obj_id, place) with their rank in the object in reverse order of their paths: lower paths come before upper ones."""
+    return places.select("obj_id", "place").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("obj_id").orderBy(F.desc("place"))).cast("long"))
+
+
+def first_operation_of_call(ops: DataFrame) -> DataFrame:
+    """The first operation of each call id in each request."""
+    return ops.groupBy("req", "call_id").agg(F.min(F.struct("seq", "event_id", "op")).alias("o")).select("req", "call_id", "o.seq", "o.event_id", "o.op")
+
+
+def callee_graphs(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """A copy of the callee's edges (fn, ...) for each call (caller, callee, site): ``context`` tells the copies apart."""
+    e = edges.withColumnRenamed("fn", "callee")
+    return calls.select("caller", "callee", "site").join(e, "callee").withColumn("context", F.concat_ws("@", "caller", F.col("site").cast("string"))).drop("caller", "site")
+
+
+def references_to(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, src): all fields that reference a target."""
+    return targets.select(F.col("path").alias("target")).distinct().join(refs, F.col("target") == F.col("dst")).select("target", "src")
+
+
+def cursor_calls(collection_calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fn, call, cursor, cursor_call): calls on the cursor that a collection call (fn, call) returns as its first value."""
+    first = edges_of_kind(edges, "EXTRACT").where("index = 0").select("fn", F.col("src").alias("call"), F.col("dst").alias("cursor"))
+    later = edges_of_kind(edges, "RECEIVER_ON_CALL").select("fn", F.col("src").alias("cursor"), F.col("dst").alias("cursor_call"))
+    return collection_calls.select("fn", "call").join(first, ["fn", "call"]).join(later, ["fn", "cursor"]).select("fn", "call", "cursor", "cursor_call")
+
+
+def returned_values(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fn, call, value): what a call (fn, call, results) returns: the extracted values of several, or the call itself."""
+    e = edges_of_kind(edges, "EXTRACT").select("fn", F.col("src").alias("call"), F.col("dst").alias("extracted"))
+    many = calls.where("results > 1").join(e, ["fn", "call"]).select("fn", "call", F.col("extracted").alias("value"))
+    return many.unionByName(calls.where("results <= 1").select("fn", "call", F.col("call").alias("value")))
+
+
+def merge_returns(returns: DataFrame) -> DataFrame:
+    """Taints of all return tuples (node, tuple, pos, objpath, fieldpath, call_id, op) as those of one tuple: by position, the first tuple's first."""
+    first = Window.partitionBy("node", "pos", "objpath", *TAINT_KEYS["similar"]).orderBy("tuple", "op")
+    return returns.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth", "tuple")
+
+
+def concatenate(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two taint maps with all their rows, equal ones too."""
+    return first.unionByName(second)
+
+
+def seed_taints(db_args: DataFrame, service_values: DataFrame) -> DataFrame:
+    """Where propagation starts: (fn, id, objpath, fieldpath, call_id, op, kind).
+
+    Values of datastore calls (fn, id, field, call_id, op, many) carry their field at the root, those that arrays were read into (``many``) at
+    their elements.  Arguments and results of service calls (fn, id, call_id, name) carry the service path of the call.
+    """
+    d = db_args.select("fn", "id", F.when(F.col("many"), F.lit("_obj[*]")).otherwise(F.lit("_obj")).alias("objpath"), F.col("field").alias("fieldpath"), "call_id", "op", F.lit("database").alias("kind"))
+    s = service_values.select("fn", "id", F.lit("_obj").alias("objpath"), F.concat_ws(".", "call_id", "name").alias("fieldpath"), "call_id", F.lit(None).cast("string").alias("op"), F.lit("service").alias("kind"))
+    return d.unionByName(s).distinct()
+
+
+def write_taints(new: DataFrame) -> DataFrame:
+    """Taints (id, objpath, fieldpath, kind, mode) as a value gets them: nearby ones as they are; datastore taints fetched upwards with their object
+    path behind the field path, whose root is rebuilt."""
+    below = F.substring(F.col("objpath"), F.lit(5), F.length("objpath"))
+    up = (F.col("mode") == "upwards") & (F.col("kind") == "database")
+    return new.withColumn("fieldpath", F.when(up, F.concat("fieldpath", below)).otherwise(F.col("fieldpath"))).drop("mode").distinct()
+
+
+def abstract_taints(ssa_taints: DataFrame) -> DataFrame:
+    """Datastore taints of values as primary taints of objects (the value's id is the object's)."""
+    d = ssa_taints.where("kind = 'database'")
+    return d.select(F.concat_ws(".", "fn", "id").alias("obj_id"), "objpath", "fieldpath", "call_id", "op", F.lit(True).alias("primary"), F.lit(False).alias("traced")).distinct()
+
+
+def abstract_traces(ssa_taints: DataFrame) -> DataFrame:
+    """Service taints of values as traces of objects."""
+    s = ssa_taints.where("kind = 'service'")
+    return s.select(F.concat_ws(".", "fn", "id").alias("obj_id"), "objpath", F.col("fieldpath").alias("svpath"), F.col("call_id").alias("sv_call_id")).distinct()
+
+
+def datastore_nodes(ssa_taints: DataFrame, known: DataFrame) -> DataFrame:
+    """(db, schema, is_new): the nodes that datastore taints bring into the abstract graph, and whether their schema was unknown."""
+    path = F.split("fieldpath", r"\.")
+    seen = ssa_taints.where("kind = 'database'").select(path[0].alias("db"), F.try_element_at(path, F.lit(2)).alias("schema")).distinct()
+    k = known.select("db", "schema").distinct().withColumn("_known", F.lit(True))
+    return seen.join(k, ["db", "schema"], "left").select("db", "schema", F.col("_known").isNull().alias("is_new"))
+
+
+def merge_taints(existing: DataFrame, incoming: DataFrame, mode: str) -> DataFrame:
+    """``existing`` taints of objects and those of ``incoming`` that they lack; the mode tells what new ones are.
+
+    ``parse``: taints of the object itself (primary); ``taint``: taken over from another object; ``trace``: taken over along a trace; ``debug``: nothing is
+    written.  Equality is that of field path, call and operation at one place.
+    """
+    if mode not in ("parse", "taint", "trace", "debug"):
+        raise ValueError(f"no such mode: {mode}")
+    if mode == "debug":
+        return existing
+    new = incoming.withColumns({"primary": F.lit(mode == "parse"), "traced": F.lit(mode == "trace")})
+    return insert_new(existing, new, ("obj_id", "objpath", "fieldpath", "call_id", "op"))
+
+
+def request_taints(taints: DataFrame, pairs: DataFrame, hops: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """Taints (req, obj_id, objpath, fieldpath, call_id, op, primary) of a request after its traversal.
+
+    ``pairs`` (src, dst) are objects that stand for each other across calls: arguments and parameters (both ways: forward before the callee is
+    entered, backward after it) and a callee's results and the caller's (backward only).  ``hops`` (src, dst) lead from arguments of a push to those of
+    its pop; only primary taints take them, if ``propagate_across_queues``.  Requests start with primary taints: what they got from others does not outlive them.
+    """
+    columns = ("req", "obj_id", "objpath", "fieldpath", "call_id", "op")
+    own = primary_taints(taints).select(*columns).distinct()
+    moves = pairs.select(F.col("src").alias("obj_id"), "dst").distinct()
+    seeds = own
+    if config.propagate_across_queues:
+        seeds = own.unionByName(own.join(hops.select(F.col("src").alias("obj_id"), "dst").distinct(), "obj_id").withColumn("obj_id", F.col("dst")).select(*columns))
+    reached = fixpoint(seeds, lambda f: f.join(moves, "obj_id").withColumn("obj_id", F.col("dst")), "request-taints")
+    return reached.join(own.withColumn("primary", F.lit(True)), list(columns), "left").withColumn("primary", F.coalesce("primary", F.lit(False)))
+
+
+def abstract_graph(entries: DataFrame, calls: DataFrame) -> DataFrame:
+    """Edges (src, dst, etype, call_id) of the abstract graph that entries (node) reach.
+
+    ``calls`` (fn, call_id, callee, kind) are those of single functions; a call of a method of the same service is inlined: its calls become those of
+    the function around it.  Nodes are shared per service method, edges are per call site.
+    """
+    inner = calls.where("kind = 'method'").select(F.col("fn").alias("src"), F.col("callee").alias("dst"))
+    names = calls.select(F.col("fn").alias("src")).distinct()
+    bodies = names.select("src", F.col("src").alias("fn")).unionByName(closure(inner).select("src", F.col("dst").alias("fn"))).distinct()
+    outer = calls.where("kind <> 'method'").select("fn", "call_id", F.col("callee").alias("dst"), F.col("kind").alias("etype"))
+    edges = bodies.join(outer, "fn").select("src", "dst", "etype", "call_id").distinct()
+    rpc = edges.where("etype = 'service'").select(F.col("src").alias("node"), "dst")
+    reached = fixpoint(entries.select("node"), lambda f: f.join(rpc, "node").select(F.col("dst").alias("node")), "abstract-nodes")
+    return edges.join(reached, edges["src"] == reached["node"], "left_semi")

@@ -14,5 +14,8 @@ class AnalysisConfig:
     references_from_read_value_key: bool = False
     nosql_indexes_as_primary_keys: bool = False
     concurrency_includes_upserts: bool = False
+    propagate_across_queues: bool = True
+    #: A first pass over reads only, before the one over all operations.
+    dual_pass: bool = False
     #: False: "db.t.ID" counts as upper path of "db.t.IDCard", as in plain string comparison.
     segment_aware_paths: bool = False

@@ -14,10 +14,17 @@ def global_row_number(df: DataFrame, name: str, *order: str) -> DataFrame:
     Rows are dealt out by ranges of the order; each range is numbered by itself and moved by the sizes of the ranges before it.  The window
     without partitions sees one row per range.
     """
-    ranged = df.repartitionByRange(input_tasks(df.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    place, local, size, before = (_unused(df, x) for x in ("range", "local", "size", "before"))
+    ranged = df.repartitionByRange(input_tasks(df.sparkSession), *order).withColumn(place, F.spark_partition_id())
     placed = stage(ranged, "ranges")
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return placed.withColumn("_local", local).join(offsets, "_range").withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_range", "_local", "_before")
+    sizes = placed.groupBy(place).agg(F.count(F.lit(1)).alias(size))
+    earlier = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(place, F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(before))
+    number = F.row_number().over(Window.partitionBy(place).orderBy(*order))
+    return placed.withColumn(local, number).join(offsets, place).withColumn(name, (F.col(local) + F.col(before)).cast("long")).drop(place, local, before)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, order, paths
@@ -307,6 +309,25 @@ def detect_concurrency(spark, d):
     return detectors.concurrent_writes(ops_of(spark, d), staged_refs_of(spark, d))
 
 
+_RACES = """optref AS (SELECT DISTINCT dst_db AS db, src AS field FROM fk WHERE NOT mandatory),
+race_w AS (SELECT w.req, w.event_id, r.db, r.field FROM optref r JOIN ops w ON w.op = 'W' AND starts_with(r.field, w.field)),
+races AS (SELECT x.req, x.event_id, x.db, count(*) AS n_writes, array_to_string(list_sort(list_distinct(list(w.field))), ', ') AS fields
+          FROM ops x JOIN race_w w ON w.db = x.db AND w.req <> x.req WHERE x.op = 'D' GROUP BY ALL)"""
+
+
+@query("delete_races", f"WITH {_FK}, {_RACES} SELECT * FROM races")
+def delete_races(spark, d):
+    """Deletes with the writes of other requests that they race with."""
+    return detectors.dangerous_deletes(ops_of(spark, d), staged_refs_of(spark, d))
+
+
+@query("write_races", f"""WITH {_FK}, {_RACES} SELECT w.req, w.event_id, w.db, count(DISTINCT x.event_id) AS n_deletes, array_to_string(list_sort(list_distinct(list(w.field))), ', ') AS fields
+    FROM race_w w JOIN ops x ON x.op = 'D' AND x.db = w.db AND x.req <> w.req GROUP BY w.req, w.event_id, w.db""")
+def write_races(spark, d):
+    """Writes with the deletes of other requests that they race with, and the fields they hit, grouped."""
+    return detectors.conflicting_writes(ops_of(spark, d), staged_refs_of(spark, d))
+
+
 _COORD = f"""{_FK}, trues AS (SELECT src, dst, req FROM votes WHERE vote),
 rp AS (SELECT a.req, a.event_id AS e1, b.event_id AS e2, a.field AS f1, b.field AS f2 FROM ops a JOIN ops b ON a.req = b.req AND a.obj = b.obj AND b.seq < a.seq AND a.db <> b.db AND a.op = 'R' AND b.op = 'R'),
 cf AS (SELECT rp.*, {_NUM.format("f1")} % 5 = 0 AND {_NUM.format("f2")} % 5 = 0 AS both_pk, a.src IS NOT NULL AS a_exists,
@@ -337,16 +358,17 @@ def detect_unique(spark, d):
     return detectors.unique_conflicts(ops_of(spark, d))
 
 
-@query("warning_summary", f"WITH {_CASCADE}, {_COORD.removeprefix(_FK + ', ')}, {_UNIQUE.removeprefix(_OPS + ', ')} SELECT 'missing_cascade' AS pattern, count(*) AS n FROM cascades UNION ALL SELECT 'fk_coordination', count(*) FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b) UNION ALL SELECT 'pk_coordination', count(*) FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END UNION ALL SELECT 'unique_conflict', count(*) FROM uniq")
+@query("warning_summary", f"WITH {_CASCADE}, {_COORD.removeprefix(_FK + ', ')}, {_UNIQUE.removeprefix(_OPS + ', ')}, {_RACES} SELECT 'missing_cascade' AS pattern, count(*) AS n FROM cascades UNION ALL SELECT 'fk_coordination', count(*) FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b) UNION ALL SELECT 'pk_coordination', count(*) FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END UNION ALL SELECT 'unique_conflict', count(*) FROM uniq UNION ALL SELECT 'concurrent_write', CAST(coalesce(sum(n_writes), 0) AS BIGINT) FROM races")
 def warning_summary(spark, d):
-    """Number of findings of each detector."""
+    """Number of findings of each of the five detectors; a delete and a write that race count once for each field."""
     ops, refs = ops_of(spark, d), staged_refs_of(spark, d)
     found = {
         "missing_cascade": detectors.missing_cascades(daily_ops_of(spark, d), refs), "fk_coordination": detectors.key_coordination(ops, refs, False),
         "pk_coordination": detectors.key_coordination(ops, refs, True), "unique_conflict": detectors.unique_conflicts(ops),
     }
     counts = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("pattern"), "n") for k, x in found.items()]
-    return counts[0].unionAll(counts[1]).unionAll(counts[2]).unionAll(counts[3])
+    races = detectors.dangerous_deletes(ops, refs).agg(F.coalesce(F.sum("n_writes"), F.lit(0)).cast("long").alias("n"))
+    return reduce(DataFrame.unionAll, [*counts, races.select(F.lit("concurrent_write").alias("pattern"), "n")])
 
 
 @query("report_lines", f"WITH {_UNIQUE} SELECT row_number() OVER (ORDER BY req, event_id) AS n, '#' || row_number() OVER (ORDER BY req, event_id) || ' ' || field || ' @' || req || ': ' || n_affected AS line FROM uniq")
@@ -365,7 +387,7 @@ def request_traversal(spark, d):
     e = e.unionByName(s.select(name("nation", "s_nationkey").alias("src"), name("supplier", "s_suppkey").alias("dst"), F.col("s_suppkey").cast("int").alias("ord"))).withColumn("edge_id", F.concat_ws(".t", "dst", "ord"))
     entries = n.select(name("region", "n_regionkey").alias("node")).distinct().withColumn("entry", F.concat("node", F.lit(".Handle")))
     walked = graph.traverse(e, entries)
-    reqs = entries.withColumn("req", F.row_number().over(Window.orderBy("entry")).cast("int") - 1).select("req", F.col("node").alias("entry"))
+    reqs = global_row_number(entries, "req", "entry").select((F.col("req") - 1).cast("int").alias("req"), F.col("node").alias("entry"))
     return walked.join(reqs, "req").select("entry", "node", F.size("path").cast("int").alias("depth"))
 
 
@@ -408,4 +430,5 @@ def sql_effects(spark, d):
     s = F.element_at(F.array(*map(F.lit, (
         "INSERT INTO part (p_name, p_brand, p_size) VALUES (?, 'x', ?)", "SELECT p.p_name FROM part p WHERE p.p_partkey = ?", "update part set p_size = ? where p_partkey = ?", "DELETE FROM part WHERE p_partkey = ?",
     ))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", F.explode(effects.sql_effects_of(s)).alias("e")).select("p_partkey", "e.op", "e.path", "e.role")
+    parsed = effects.with_sql_effects(table(spark, d, "part").select("p_partkey", s.alias("statement")), "statement")
+    return parsed.select("p_partkey", F.explode("effects").alias("e")).select("p_partkey", "e.op", "e.path", "e.role")
