@@ -80,28 +80,33 @@ def concurrent_writes(ops: DataFrame, refs: DataFrame, config: AnalysisConfig =
     return out.select("db", "field", "n_deletes", "n_writes", conflicts.alias("n_conflicts")).where("n_conflicts > 0")
 
 
+def _hits(ops: DataFrame, refs: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """(req, event_id, db, field): writes of fields that optionally reference a field of db."""
+    r = with_databases(refs).where("NOT mandatory").select(F.col("dst_db").alias("db"), F.col("src").alias("field")).distinct()
+    is_conflicting = is_write(F.col("op")) | (F.lit(config.concurrency_includes_upserts) & (F.col("op") == "U"))
+    return written_fields(ops.where(is_conflicting).select("req", "event_id", "field"), r, config).join(r, "field").select("req", "event_id", "db", "field")
+
+
 def dangerous_deletes(ops: DataFrame, refs: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """(req, event_id, db, n_writes, fields): each delete that races with writes of other requests, with their number (one for each field and database
-    they conflict on) and the distinct fields they write, sorted.
+    """(req, event_id, db, n_writes, fields): each delete that races with writes of other requests, with their number and the distinct fields they
+    write, sorted.
 
-    Writes are counted per field and per field and request; what other requests write is the difference.  A delete meets the fields of its
-    database, never single writes.
+    Writes are counted per database, and per field, over all requests and in each one; what other requests write is the difference.  A
+    delete meets the counts of its database, never single writes.
     """
-    r = with_databases(refs).where("NOT mandatory").select(F.col("dst_db").alias("db"), F.col("src").alias("field")).distinct()
-    is_conflicting = is_write(F.col("op")) | (F.lit(config.concurrency_includes_upserts) & (F.col("op") == "U"))
-    writes = written_fields(ops.where(is_conflicting).groupBy("req", "field").agg(F.count(F.lit(1)).alias("w")), r, config).groupBy("req", "field").agg(F.sum("w").alias("own"))
-    totals = r.join(writes.groupBy("field").agg(F.sum("own").alias("total")), "field")
-    deletes = ops.where(is_delete(F.col("op"))).select("req", "event_id", "db").join(totals, "db").join(writes, ["req", "field"], "left")
-    others = F.col("total") - F.coalesce("own", F.lit(0))
-    return deletes.withColumn("others", others).where("others > 0").groupBy("req", "event_id", "db").agg(F.sum("others").alias("n_writes"), F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields"))
+    hits = _hits(ops, refs, config)
+    writes = hits.groupBy("req", "event_id", "db").agg(F.count(F.lit(1)).alias("n")).groupBy("req", "db").agg(F.count(F.lit(1)).alias("own"))
+    fields = hits.groupBy("req", "db", "field").agg(F.count(F.lit(1)).alias("own_field"))
+    n_writes, per_field = writes.groupBy("db").agg(F.sum("own").alias("total")), fields.groupBy("db", "field").agg(F.sum("own_field").alias("all_field"))
+    deletes = ops.where(is_delete(F.col("op"))).select("req", "event_id", "db")
+    counted = deletes.join(n_writes, "db").join(writes, ["req", "db"], "left").withColumn("n_writes", F.col("total") - F.coalesce("own", F.lit(0))).where("n_writes > 0")
+    written = counted.join(per_field, "db").join(fields, ["req", "db", "field"], "left").where(F.col("all_field") > F.coalesce("own_field", F.lit(0)))
+    return written.groupBy("req", "event_id", "db", "n_writes").agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields"))
 
 
 def conflicting_writes(ops: DataFrame, refs: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """(req, event_id, db, n_deletes, fields): each write with the number of deletes of other requests it races with, by database, and the fields it hits."""
-    r = with_databases(refs).where("NOT mandatory").select(F.col("dst_db").alias("db"), F.col("src").alias("field")).distinct()
-    is_conflicting = is_write(F.col("op")) | (F.lit(config.concurrency_includes_upserts) & (F.col("op") == "U"))
-    writes = written_fields(ops.where(is_conflicting).select("req", "event_id", "field"), r, config).join(r, "field")
-    grouped = writes.groupBy("req", "event_id", "db").agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields"))
+    grouped = _hits(ops, refs, config).groupBy("req", "event_id", "db").agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields"))
     per_request = ops.where(is_delete(F.col("op"))).groupBy("req", "db").agg(F.count(F.lit(1)).alias("own"))
     totals = per_request.groupBy("db").agg(F.sum("own").alias("total"))
     joined = grouped.join(totals, "db").join(per_request, ["req", "db"], "left").withColumn("n_deletes", F.col("total") - F.coalesce("own", F.lit(0)))

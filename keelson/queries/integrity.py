@@ -311,7 +311,7 @@ def detect_concurrency(spark, d):
 
 _RACES = """optref AS (SELECT DISTINCT dst_db AS db, src AS field FROM fk WHERE NOT mandatory),
 race_w AS (SELECT w.req, w.event_id, r.db, r.field FROM optref r JOIN ops w ON w.op = 'W' AND starts_with(r.field, w.field)),
-races AS (SELECT x.req, x.event_id, x.db, count(*) AS n_writes, array_to_string(list_sort(list_distinct(list(w.field))), ', ') AS fields
+races AS (SELECT x.req, x.event_id, x.db, count(DISTINCT w.event_id) AS n_writes, array_to_string(list_sort(list_distinct(list(w.field))), ', ') AS fields
           FROM ops x JOIN race_w w ON w.db = x.db AND w.req <> x.req WHERE x.op = 'D' GROUP BY ALL)"""
 
 
@@ -360,7 +360,7 @@ def detect_unique(spark, d):
 
 @query("warning_summary", f"WITH {_CASCADE}, {_COORD.removeprefix(_FK + ', ')}, {_UNIQUE.removeprefix(_OPS + ', ')}, {_RACES} SELECT 'missing_cascade' AS pattern, count(*) AS n FROM cascades UNION ALL SELECT 'fk_coordination', count(*) FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b) UNION ALL SELECT 'pk_coordination', count(*) FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END UNION ALL SELECT 'unique_conflict', count(*) FROM uniq UNION ALL SELECT 'concurrent_write', CAST(coalesce(sum(n_writes), 0) AS BIGINT) FROM races")
 def warning_summary(spark, d):
-    """Number of findings of each of the five detectors; a delete and a write that race count once for each field."""
+    """Number of findings of each of the five detectors; a delete and a write that race are one."""
     ops, refs = ops_of(spark, d), staged_refs_of(spark, d)
     found = {
         "missing_cascade": detectors.missing_cascades(daily_ops_of(spark, d), refs), "fk_coordination": detectors.key_coordination(ops, refs, False),
