@@ -66,8 +66,8 @@ def call_id(service: Column, method: Column, number: Column) -> Column:
 
 
 def instruction_id(*parts: Column) -> Column:
-    """A repeatable id for an instruction without a position."""
-    return F.concat(F.lit("i"), F.hex(F.xxhash64(*parts)))
+    """A repeatable id for an instruction without a position: ``i`` and the MD5 digest of its parts."""
+    return F.concat(F.lit("i"), F.md5(F.concat_ws("|", *parts).cast("binary")))
 
 
 def strip_client(name: Column) -> Column:
@@ -96,6 +96,32 @@ def edge_label(src: Column, dst: Column, method: Column) -> Column:
     return F.concat(src, F.lit(" -> "), dst, F.lit("."), method)
 
 
+def field_label(path: Column, kinds: Column) -> Column:
+    """``a.b.c (PRIMARY, UNIQUE)``; only the path without constraints."""
+    return F.when(F.size(kinds) > 0, F.concat(path, F.lit(" ("), F.array_join(F.array_sort(kinds), ", "), F.lit(")"))).otherwise(path)
+
+
+def import_alias(app: Column) -> Column:
+    """Name under which an application's specs are imported."""
+    return F.concat(F.lit("specs_"), F.replace(app, F.lit("-"), F.lit("_")))
+
+
+def spec_method(app: Column, spec: Column) -> Column:
+    """Method of a spec named ``app_method``: the rest with a capital; null if the name does not begin with the application's."""
+    rest = F.when(F.startswith(spec, F.concat(app, F.lit("_"))), F.substring(spec, F.length(app) + 2, F.length(spec)))
+    return F.when(rest != "", F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest))))
+
+
+def module_paths(root: Column) -> Column:
+    """Struct of an application's wiring module, workflow module and local folder."""
+    return F.struct(F.concat(root, F.lit("/wiring")).alias("wiring"), F.concat(root, F.lit("/workflow")).alias("workflow"), F.concat(F.lit("./blueprint/examples/"), F.substring_index(root, "/", -1)).alias("folder"))
+
+
+def output_file(config: Column, folder: str) -> Column:
+    """Generated file of a configuration file: its name without the extension, in ``folder``."""
+    return F.concat(F.lit(folder + "/"), F.regexp_replace(F.substring_index(config, "/", -1), r"\.[^.]*$", ""), F.lit(".go"))
+
+
 def app_package(root: Column, package: Column) -> Column:
     return F.concat_ws("/", root, package)
 

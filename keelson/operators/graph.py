@@ -36,8 +36,9 @@ def one_edge_per_pair(edges: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, outgoing: bool = True) -> DataFrame:
+    """(node, neighbour) over the edges out of ``nodes``, or into them."""
     near, far = ("src", "dst") if outgoing else ("dst", "src")
-    return nodes.join(edges, nodes["node"] == edges[near]).select(nodes["node"], edges[far].alias("neighbour"))
+    return nodes.select("node").join(edges.select(F.col(near).alias("node"), F.col(far).alias("neighbour")), "node")
 
 
 def fixpoint(seed: DataFrame, step, name: str = "fixpoint") -> DataFrame:

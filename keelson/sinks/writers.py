@@ -1,15 +1,15 @@
-"""Sinks: application and schema JSON, numbered text reports with their changes, DOT graphs, run metrics."""
+"""Sinks: application and schema JSON, numbered text reports with their changes, DOT graphs and text of value graphs, registry source, run metrics."""
 
 from __future__ import annotations
 
-import json
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import constraint_label, dot_id, dot_label
+from ..functions.names import constraint_label, dot_id, dot_label, import_alias, spec_method
+from ..plans.ranking import global_row_number
 from ..sources.files import changed_lines
 
 
@@ -54,8 +54,54 @@ def value_graph_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return call_graph_dot(nodes.select(F.concat_ws(" ", "id", "name").alias("node"), F.lit("VALUE").alias("kind")), edges.select("src", "dst", F.col("etype").alias("method"), F.lit("").alias("op"), "ord"))
 
 
+def value_graph_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One line (fn, n, line) per value of a function, in order of node ids: its name, kind, and the edges out of it."""
+    out = edges.groupBy("fn", F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.col("etype"), F.lit(" -> "), F.col("dst")).alias("to")))).alias("e"))
+    rows = nodes.join(out, ["fn", "id"], "left")
+    to = F.array_join(F.transform(F.coalesce("e", F.array().cast("array<struct<ord:int,to:string>>")), lambda x: x["to"]), ", ")
+    n = F.row_number().over(Window.partitionBy("fn").orderBy("id")).cast("long")
+    return rows.select("fn", n.alias("n"), F.concat(F.col("id"), F.lit(" = "), F.col("kind"), F.when(to != "", F.concat(F.lit(": "), to)).otherwise(F.lit(""))).alias("line"))
+
+
+def registry_source(apps: DataFrame) -> DataFrame:
+    """Lines (part, name, line) of a generated registry: an import and a case for each application (name, app_root, spec_name, spec_path)."""
+    alias, method = import_alias(F.col("name")), spec_method(F.col("name"), F.col("spec_name"))
+    imports = apps.select(F.lit("import").alias("part"), "name", F.format_string('\t%s "%s"', alias, F.concat_ws("/", "app_root", "spec_path")).alias("line"))
+    cases = apps.select(F.lit("case").alias("part"), "name", F.format_string('\tcase "%s": return %s.%s', "name", alias, method).alias("line"))
+    return imports.unionByName(cases)
+
+
+def cascade_report(findings: DataFrame) -> DataFrame:
+    """Numbered lines (n, line) of missing cascades, by request, delete and database."""
+    f = global_row_number(findings, "n", "req", "seq", "pending_db")
+    return f.select("n", F.format_string("delete %d.%d: %s\tmissing cascade #%d: database={%s}, pending_fields={%s}", "req", "seq", "db", "n", "pending_db", "fields").alias("line"))
+
+
+def race_report(findings: DataFrame) -> DataFrame:
+    """Numbered lines of deletes that race with writes of other requests."""
+    f = global_row_number(findings, "n", "req", "event_id", "db")
+    return f.select("n", F.format_string("delete #%d: %d.%d, database={%s}, writes=%d, written_fields={%s}", "n", "req", "event_id", "db", "n_writes", "fields").alias("line"))
+
+
+def coordination_report(findings: DataFrame, primary: bool) -> DataFrame:
+    """Numbered lines of uncoordinated reads of primary keys or along references."""
+    f = global_row_number(findings, "n", "req", "e1", "e2", "f1", "f2")
+    return f.select("n", F.format_string(("PRIMARY" if primary else "FOREIGN") + " KEY READS #%d: request %d, READ %d: %s, READ %d: %s", "n", "req", "e1", "f1", "e2", "f2").alias("line"))
+
+
+def unique_report(findings: DataFrame) -> DataFrame:
+    """Numbered lines of writes of unique fields that taint later writes."""
+    f = global_row_number(findings, "n", "req", "event_id")
+    return f.select("n", F.format_string("write #%d: %d.%d, field (constrained): %s (UNIQUE), affected writes=%d", "n", "req", "event_id", "field", "n_affected").alias("line"))
+
+
+def metrics_yaml(metrics: DataFrame) -> DataFrame:
+    """Lines (value) ``name: number`` of metrics (name, number)."""
+    return metrics.select(F.concat_ws(": ", "name", F.col("number").cast("string")).alias("value"))
+
+
 class Metrics:
-    """Seconds of named steps and counters of a run, written as one JSON line."""
+    """Seconds of named steps and counters of a run, written as YAML: one ``name: number`` a line, sorted by name."""
 
     def __init__(self) -> None:
         self.values: dict[str, float] = {}
@@ -66,5 +112,9 @@ class Metrics:
         yield
         self.values[f"{name}_s"] = round(time.perf_counter() - began, 6)
 
+    def count(self, name: str, number: int) -> None:
+        self.values[name] = number
+
     def write(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(json.dumps(self.values, sort_keys=True),)], "value string").write.mode("overwrite").text(path)
+        lines = spark.createDataFrame([(k, str(v)) for k, v in sorted(self.values.items())], "name string, number string")
+        metrics_yaml(lines).coalesce(1).write.mode("overwrite").text(path)

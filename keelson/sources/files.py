@@ -81,6 +81,24 @@ def app_registry(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([tuple(a.get(c) for c in columns) for a in parse_mapping_lists(text)["apps"]], ", ".join(f"{c} string" for c in columns))
 
 
+def read_whole(spark: SparkSession, path: str) -> str:
+    """The text of one small file."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def suppressions_of_file(spark: SparkSession, path: str, app: str) -> DataFrame:
+    return suppressions(spark, read_whole(spark, path), app)
+
+
+def app_registry_of_file(spark: SparkSession, path: str) -> DataFrame:
+    return app_registry(spark, read_whole(spark, path))
+
+
+def previous_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of an earlier report."""
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 def changed_lines(old: DataFrame, new: DataFrame) -> DataFrame:
     """(status, line): what a new report adds, drops and keeps, with multiplicity."""
     mark = lambda df, s: df.select(F.lit(s).alias("status"), "line")

@@ -17,12 +17,37 @@ METHODS = [
     ("NoSQLDatabase", "UpdateOne", "update", 1, None), ("NoSQLDatabase", "UpdateMany", "update", 1, None), ("NoSQLDatabase", "ReplaceOne", "update", 1, None),
     ("NoSQLDatabase", "Upsert", "update", 1, None), ("NoSQLDatabase", "DeleteOne", "delete", 1, None), ("NoSQLDatabase", "DeleteMany", "delete", 1, None),
 ]
+#: Methods that calls are recognised by; the catalogue lists more.
+LIVE_METHODS = {
+    "Queue": ("Push", "Pop"), "Cache": ("Put", "Get", "Mget"), "RelationalDB": ("Select", "Get", "Exec"),
+    "NoSQLDatabase": ("InsertOne", "InsertMany", "FindOne", "FindMany", "UpdateOne", "UpdateMany", "ReplaceOne", "Upsert", "DeleteOne", "DeleteMany"),
+}
 
 
 def method_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(METHODS, "kind string, method string, op string, key_arg int, value_arg int")
 
 
+def live_methods(spark: SparkSession) -> DataFrame:
+    """(kind, method) that calls of datastores are recognised by."""
+    return spark.createDataFrame([(k, m) for k, ms in LIVE_METHODS.items() for m in ms], "kind string, method string")
+
+
+def datastore_calls(calls: DataFrame) -> DataFrame:
+    """Calls (kind, method, ...) of live methods, with the operation and the arguments of the catalogue."""
+    spark = calls.sparkSession
+    known = method_catalogue(spark).join(live_methods(spark), ["kind", "method"])
+    return calls.join(F.broadcast(known), ["kind", "method"])  # one row per method of the catalogue
+
+
+def lookups(services: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Services (service, impl_path, constructor) by any of their names: (name, service, found_by), the service's own name first, then path, then constructor."""
+    by = [services.select(F.col(c).alias("name"), "service", F.lit(i).alias("rank"), F.lit(c).alias("found_by")) for i, c in enumerate(("service", "impl_path", "constructor"))]
+    names = by[0].unionByName(by[1]).unionByName(by[2])
+    first = wanted.select("name").distinct().join(names, "name").groupBy("name").agg(F.min(F.struct("rank", "service", "found_by")).alias("f"))
+    return first.select("name", "f.service", "f.found_by")
+
+
 def databases(clients: DataFrame) -> DataFrame:
     """(app, db, kind) from client instances (app, name, client_type)."""
     kind = F.coalesce(*(F.when(F.contains("client_type", F.lit(k)), F.lit(v)) for k, v in STORE_KINDS.items()))
