@@ -1,6 +1,6 @@
 """The five anti-pattern detectors over operation facts and inferred references.
 
-Operations: req, seq, event_id, op, rk, rv, db, field, obj.  References: src, dst, mandatory, true_reqs.  The entity of an operation
+Operations: req, seq, event_id, op, rk, rv, db, field, obj.  References: src, dst, mandatory.  The entity of an operation
 is its database; an operation is tainted by earlier ones of its request on the same object.
 """
 
@@ -121,20 +121,25 @@ def read_pairs(ops: DataFrame) -> DataFrame:
     return later.join(earlier, ["req", "obj"]).where("seq2 < seq1 AND db1 <> db2")
 
 
-def _votes_of(refs: DataFrame, prefix: str, forward: bool) -> DataFrame:
+def _known(refs: DataFrame, votes: DataFrame, prefix: str, forward: bool) -> tuple[DataFrame, DataFrame]:
+    """References by the two fields of a read pair, and the requests that made them mandatory."""
     a, b = ("f1", "f2") if forward else ("f2", "f1")
-    return refs.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("mandatory").alias(f"{prefix}_mandatory"), F.col("true_reqs").alias(f"{prefix}_reqs"), F.lit(True).alias(f"{prefix}_exists"))
+    made = votes.where("vote").select(F.col("src").alias(a), F.col("dst").alias(b), "req", F.lit(True).alias(f"{prefix}_own"))
+    return refs.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("mandatory").alias(f"{prefix}_mandatory"), F.lit(True).alias(f"{prefix}_exists")), made
 
 
-def key_coordination(ops: DataFrame, refs: DataFrame, primary: bool, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def key_coordination(ops: DataFrame, refs: DataFrame, votes: DataFrame, primary: bool, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Uncoordinated reads (req, e1, e2, f1, f2) of references (``primary`` false) or of primary keys.
 
-    A reference that this very request has made mandatory is no finding.  For primary keys the direction field 1 -> field 2, if it
-    exists, is the only one looked at.
+    A reference that this very request has made mandatory (``votes``: src, dst, req, vote) is no finding.  For primary keys the direction field 1 ->
+    field 2, if it exists, is the only one looked at.
     """
-    pairs = read_pairs(ops).join(_votes_of(refs, "a", True), ["f1", "f2"], "left").join(_votes_of(refs, "b", False), ["f1", "f2"], "left")
+    pairs = read_pairs(ops)
+    for prefix, forward in (("a", True), ("b", False)):
+        known, made = _known(refs, votes, prefix, forward)
+        pairs = pairs.join(known, ["f1", "f2"], "left").join(made, ["f1", "f2", "req"], "left")
     both_primary = is_primary(F.col("f1")) & is_primary(F.col("f2"))
-    fresh = lambda p: F.coalesce(F.col(f"{p}_mandatory") & ~F.array_contains(f"{p}_reqs", F.col("req")), F.lit(False))
+    fresh = lambda p: F.coalesce(F.col(f"{p}_mandatory") & F.col(f"{p}_own").isNull(), F.lit(False))
     if primary:
         found = F.when(F.col("a_exists"), fresh("a")).otherwise(fresh("b")) if config.restrictive_pk_coordination else F.lit(True)
         found = both_primary & found

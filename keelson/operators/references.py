@@ -76,14 +76,19 @@ def reference_votes(rules: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def mandatory_references(votes: DataFrame) -> DataFrame:
-    """(src, dst, mandatory, n_votes, true_reqs) of every reference."""
-    return votes.groupBy("src", "dst").agg(F.bool_and("vote").alias("mandatory"), F.count(F.lit(1)).alias("n_votes"), F.sort_array(F.collect_set(F.when(F.col("vote"), F.col("req")))).alias("true_reqs"))
+    """(src, dst, mandatory, n_votes) of every reference."""
+    return votes.groupBy("src", "dst").agg(F.bool_and("vote").alias("mandatory"), F.count(F.lit(1)).alias("n_votes"))
+
+
+def infer_votes(ops: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """(src, dst, req, vote) of all references of the operations."""
+    rules = pair_rules(operation_pairs(ops), config)
+    return reference_votes(rules, first_references(rules))
 
 
 def infer_references(ops: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """All references of the operations, by set operations: no transitive replacement, see ``fold_references`` for it."""
-    rules = pair_rules(operation_pairs(ops), config)
-    return mandatory_references(reference_votes(rules, first_references(rules)))
+    return mandatory_references(infer_votes(ops, config))
 
 
 @dataclass

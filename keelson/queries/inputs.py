@@ -12,7 +12,7 @@ from ..plans.facts import SCHEMAS, is_primary, is_unique
 from ..plans.staging import scratch_path, write_file
 from ..sinks import writers
 from ..sources import ddl, files, wiring
-from .integrity import _CASCADE, _COORD, _FK, _OPS, _RACES, _UNIQUE, daily_ops_of, ops_of, query, staged_refs_of, table
+from .integrity import _CASCADE, _COORD, _FK, _OPS, _RACES, _UNIQUE, daily_ops_of, ops_of, query, refs_and_votes_of, staged_refs_of, table
 from .program import text
 
 
@@ -109,7 +109,7 @@ _REGISTRY = """apps:
     spec_name: 'my-mail_plain'
     spec_path: wiring/specs
 """
-_APPS = "(VALUES ('shop', 'host.org/examples/shop', 'workflow/shop', 'shop_docker', 'wiring/specs', 'db/shop.sql', NULL), ('my-mail', 'host.org/examples/mail', NULL, 'my-mail_plain', 'wiring/specs', NULL, NULL)) v(name, app_root, package_path, spec_name, spec_path, sql_tables, nosql_path)"
+_APPS = "(VALUES ('shop', 'host.org/examples/shop', 'workflow/shop', 'shop_docker', 'wiring/specs', 'db/shop.sql', CAST(NULL AS VARCHAR)), ('my-mail', 'host.org/examples/mail', NULL, 'my-mail_plain', 'wiring/specs', NULL, NULL)) v(name, app_root, package_path, spec_name, spec_path, sql_tables, nosql_path)"
 
 
 @query("app_registry", f"SELECT * FROM {_APPS}")
@@ -243,7 +243,7 @@ def method_catalogue(spark, d):
     return wiring.method_catalogue(spark).groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n_methods"))
 
 
-@query("fact_files", "SELECT 'app' AS app, s_suppkey % 20 AS req, s_name AS entry FROM supplier")
+@query("fact_files", "SELECT 'app' AS app, CAST(s_suppkey % 20 AS INT) AS req, s_name AS entry FROM supplier")
 def fact_files(spark, d):
     """A fact table written as JSON lines and read by its declared schema."""
     folder = scratch_path(spark, "facts")
@@ -337,7 +337,7 @@ for _primary, _name, _kept in ((False, "fk_report", "NOT both_pk AND (fresh_a OR
         SELECT n, '{"PRIMARY" if _primary else "FOREIGN"} KEY READS #' || n || ': request ' || req || ', READ ' || e1 || ': ' || f1 || ', READ ' || e2 || ': ' || f2 AS line FROM x""")
     def _coordination(spark, d, primary=_primary):
         """The report of uncoordinated reads."""
-        return writers.coordination_report(detectors.key_coordination(ops_of(spark, d), staged_refs_of(spark, d), primary), primary)
+        return writers.coordination_report(detectors.key_coordination(ops_of(spark, d), *refs_and_votes_of(spark, d), primary), primary)
 
 
 @query("unique_report", f"""WITH {_UNIQUE}, x AS (SELECT *, row_number() OVER (ORDER BY req, event_id) AS n FROM uniq)

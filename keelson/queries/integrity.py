@@ -58,6 +58,12 @@ def staged_refs_of(spark: SparkSession, d: str) -> DataFrame:
     return stage(refs_of(spark, d), "references")
 
 
+def refs_and_votes_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """References and the votes they come from; the votes of requests stay rows."""
+    votes = stage(references.infer_votes(ops_of(spark, d)), "votes")
+    return stage(references.mandatory_references(votes), "references"), votes
+
+
 def query(name: str, sql: str | None):
     def put(f):
         QUERIES[name] = f
@@ -252,7 +258,7 @@ def fk_mandatory(spark, d):
 @query("fk_requests_true", f"WITH {_FK} SELECT src, dst, req FROM votes WHERE vote")
 def fk_requests_true(spark, d):
     """Requests that voted a reference mandatory."""
-    return refs_of(spark, d).select("src", "dst", F.explode("true_reqs").alias("req"))
+    return references.infer_votes(ops_of(spark, d)).where("vote").select("src", "dst", "req")
 
 
 @query("fk_infer_ordered", None)
@@ -339,13 +345,13 @@ cf AS (SELECT rp.*, {_NUM.format("f1")} % 5 = 0 AND {_NUM.format("f2")} % 5 = 0
 @query("detect_fk_coord", f"WITH {_COORD} SELECT req, e1, e2, f1, f2 FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b)")
 def detect_fk_coord(spark, d):
     """Uncoordinated reads along references."""
-    return detectors.key_coordination(ops_of(spark, d), staged_refs_of(spark, d), primary=False)
+    return detectors.key_coordination(ops_of(spark, d), *refs_and_votes_of(spark, d), primary=False)
 
 
 @query("detect_pk_coord", f"WITH {_COORD} SELECT req, e1, e2, f1, f2 FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END")
 def detect_pk_coord(spark, d):
     """Uncoordinated reads of primary keys."""
-    return detectors.key_coordination(ops_of(spark, d), staged_refs_of(spark, d), primary=True)
+    return detectors.key_coordination(ops_of(spark, d), *refs_and_votes_of(spark, d), primary=True)
 
 
 _UNIQUE = f"""{_OPS}, uniq AS (SELECT req, event_id, field, n_affected FROM (SELECT *, count(*) OVER (PARTITION BY req, obj ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n_affected FROM ops WHERE op = 'W')
@@ -361,10 +367,10 @@ def detect_unique(spark, d):
 @query("warning_summary", f"WITH {_CASCADE}, {_COORD.removeprefix(_FK + ', ')}, {_UNIQUE.removeprefix(_OPS + ', ')}, {_RACES} SELECT 'missing_cascade' AS pattern, count(*) AS n FROM cascades UNION ALL SELECT 'fk_coordination', count(*) FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b) UNION ALL SELECT 'pk_coordination', count(*) FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END UNION ALL SELECT 'unique_conflict', count(*) FROM uniq UNION ALL SELECT 'concurrent_write', CAST(coalesce(sum(n_writes), 0) AS BIGINT) FROM races")
 def warning_summary(spark, d):
     """Number of findings of each of the five detectors; a delete and a write that race are one."""
-    ops, refs = ops_of(spark, d), staged_refs_of(spark, d)
+    ops, (refs, votes) = ops_of(spark, d), refs_and_votes_of(spark, d)
     found = {
-        "missing_cascade": detectors.missing_cascades(daily_ops_of(spark, d), refs), "fk_coordination": detectors.key_coordination(ops, refs, False),
-        "pk_coordination": detectors.key_coordination(ops, refs, True), "unique_conflict": detectors.unique_conflicts(ops),
+        "missing_cascade": detectors.missing_cascades(daily_ops_of(spark, d), refs), "fk_coordination": detectors.key_coordination(ops, refs, votes, False),
+        "pk_coordination": detectors.key_coordination(ops, refs, votes, True), "unique_conflict": detectors.unique_conflicts(ops),
     }
     counts = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("pattern"), "n") for k, x in found.items()]
     races = detectors.dangerous_deletes(ops, refs).agg(F.coalesce(F.sum("n_writes"), F.lit(0)).cast("long").alias("n"))

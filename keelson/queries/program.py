@@ -405,7 +405,7 @@ _CALLGRAPH = """e AS (SELECT 'E' || n_regionkey AS src, 'N' || n_nationkey AS ds
              UNION ALL SELECT w.req, s.dst, list_append(w.path, s.ord), list_append(w.way, s.dst), s.eid, CASE WHEN s.hop THEN list_append(w.path, s.ord) ELSE w.opened END, s.hop
              FROM walk w JOIN steps s ON w.node = s.src WHERE NOT list_contains(w.way, s.dst)),
     opened AS (SELECT *, row_number() OVER (ORDER BY req, path) - 1 AS req_idx FROM (SELECT req, path FROM walk WHERE hop UNION ALL SELECT req, CAST([] AS BIGINT[]) FROM entries))
-    SELECT w.req, array_to_string(w.path, '.') AS path, w.node, w.eid AS edge_id, o.req_idx FROM walk w JOIN opened o ON w.req = o.req AND w.opened = o.path WHERE NOT w.hop AND w.eid IS NOT NULL""")
+    SELECT CAST(w.req AS INT) AS req, array_to_string(w.path, '.') AS path, w.node, w.eid AS edge_id, CAST(o.req_idx AS INT) AS req_idx FROM walk w JOIN opened o ON w.req = o.req AND w.opened = o.path WHERE NOT w.hop AND w.eid IS NOT NULL""")
 def request_walk(spark, d):
     """Operations of requests in call order; consumers of queues are walked where they are pushed to, under indices of their own."""
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
