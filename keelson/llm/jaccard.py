@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage, unstage
+from ..plans.staging import input_tasks, stage, unstage
 from .common import arrow_map, fresh_name, one_batch, utf8_values
 from .substring import Hasher, mix
 
@@ -151,6 +151,14 @@ def _tiles(members: DataFrame, group: str, count: str, tile: int = TILE) -> Data
     return members.withColumn("tile", mine).withColumn("p", F.explode(pairs)).select("*", "p.a", "p.b").drop("p", count)
 
 
+def _dealt(pairs: DataFrame, group: str) -> DataFrame:
+    """Rows of ``_tiles`` sorted by pair, each pair whole in one task; the pairs of one group go to tasks one after the other, so none gets two before all have one."""
+    tasks = input_tasks(pairs.sparkSession)
+    number = F.col("b").cast("long") * (F.col("b") + 1) / 2 + F.col("a")
+    place = F.pmod(F.pmod(F.xxhash64(group, F.lit(11)), F.lit(tasks)) + number.cast("long"), F.lit(tasks)).cast("int")
+    return pairs.repartitionById(tasks, place).sortWithinPartitions(group, "a", "b")
+
+
 def _by_group(batches, keys: int):
     """Regroup sorted record batches into tables that hold whole groups (equal leading ``keys`` columns)."""
     held: list[pa.RecordBatch] = []
@@ -337,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stage(sets, "distinct-sets")
     buckets, staged = _paths(sets)
     leaves = _tiles(buckets, "path", "n").join(sets.select("id", "sketch"), "id").select("path", "a", "b", "tile", "id", "sketch")
-    links = stage(arrow_map(leaves.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b"), _sketch_links, "x long, y long").distinct(), "links")
+    links = stage(arrow_map(_dealt(leaves, "path"), _sketch_links, "x long, y long").distinct(), "links")
     unstage(*staged)
     groups = stage(components(links), "groups")
     # Sizes and leads are written by themselves, so that joins can split a large group over tasks.
@@ -352,7 +360,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = wanted.where("rows IS NOT NULL")
     once = text_of(wanted) if repeated.isEmpty() else text_of(wanted.where("rows IS NULL")).unionByName(text_of(repeated).dropDuplicates(["id"]))
     tiles = _tiles(once, "comp", "n").select("comp", "a", "b", "tile", "id", "copies", "text")
-    found = stage(arrow_map(tiles.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b"), _exact, "kind long, x long, y long"), "exact")
+    found = stage(arrow_map(_dealt(tiles, "comp"), _exact, "kind long, x long, y long"), "exact")
     counts = found.where("kind = 0").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("linked"))
     classes = stage(components(found.where("kind = 1").select("x", "y")), "classes")
     per_set = sets.select("id", "copies", "one").join(classes, "id", "left").join(counts, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
