@@ -47,42 +47,63 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
 
 
-class WordIds:
-    """Token ids of whole texts, joined from remembered ids of blank-separated words.
+#: A lower-case ASCII word with ASCII marks behind it; an apostrophe may begin a piece of its own, so it is none of them.
+_MARKED = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+_MARKS = re.compile(rb"[!-&(-/:-@\[-`{-~]+")
+#: Letters up to here have one lower-case form and no other composition in any version of Unicode.
+_LAST_LATIN = "\u012f"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: visible bytes for themselves, the others numbered from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+class WordIds(dict):
+    """Token ids (little-endian 32-bit) of blank-separated words, remembered.
 
     The tokenizer cuts at white space before anything else and treats what stands between alone, so the ids of a text are those of
-    its words in a row.  Lower-casing A-Z first changes nothing, as the tokenizer lower-cases too.
+    its words in a row.  Lower-casing A-Z first changes nothing, as the tokenizer lower-cases too.  Words that it leaves in one
+    piece (only letters, or only marks) go to its merge table directly; all others take the whole way.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 512):
-            part = [w.decode() for w in words[i : i + 512]]
-            ends = np.cumsum([len(w) + 1 for w in part])
-            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            owner = np.searchsorted(ends, [s for s, _ in coded.offsets], side="right")
-            ids = np.array(coded.ids, dtype="<u4")
-            cut = np.searchsorted(owner, np.arange(len(part) + 1))
-            for w, a, b in zip(words[i : i + 512], cut, cut[1:], strict=False):
-                self.ids[w] = ids[a:b].tobytes()
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        raw = np.arange(self.tokenizer.get_vocab_size() + 1, dtype="<u4").tobytes()
+        self.coded = [raw[i : i + 4] for i in range(0, len(raw), 4)]
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[word] = self._ids(word)
+        return found
+
+    def _ids(self, word: bytes) -> bytes:
+        if word.isascii():
+            if (word.isalpha() and word.islower()) or _MARKS.fullmatch(word):
+                return self._merged(word.decode())
+            if m := _MARKED.fullmatch(word):
+                return self[m[1]] + self[m[2]]
+        elif (text := word.decode()).isalpha() and max(text) <= _LAST_LATIN:
+            return self._merged("".join([self.letters[b] for b in text.lower().encode()]))
+        coded = self.coded
+        return b"".join([coded[i] for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+
+    def _merged(self, piece: str) -> bytes:
+        coded = self.coded
+        return b"".join([coded[t.id] for t in self.model.tokenize(piece)])
 
     def encode(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids of ``text``."""
         if not text:
             return b""
-        words = _STOP.sub(rb" \1", text if b"<|" in text else text.translate(_LOWER)).split()
-        ids = self.ids
-        if missing := [w for w in set(words) if w not in ids]:
-            if len(ids) > CACHE_WORDS:
-                ids.clear()
-                missing = list(set(words))
-            self._learn(missing)
-        return b"".join([ids[w] for w in words])
+        return b"".join(map(self.__getitem__, _STOP.sub(rb" \1", text if b"<|" in text else text.translate(_LOWER)).split()))
 
 
 def word_ids(path: str) -> WordIds:

@@ -67,3 +67,16 @@ def test_other_columns_are_ignored(spark):
     docs = spark.createDataFrame([(7, "a b", 3, "x"), (7, "a b", 3, "x")], "doc_id long, text string, length int, bp string")
     rows = packing.pack(docs).collect()
     assert len(rows) == 2 and len({(r.sequence_id, r.offset) for r in rows}) == 2 and {r.doc_id for r in rows} == {7}
+
+
+def test_ids_of_odd_texts():
+    rng = random.Random(6)
+    coder, tokenizer = packing.word_ids(packing.tokenizer_path("word_bpe_49k.json")), Tokenizer.from_file(packing.tokenizer_path("word_bpe_49k.json"))
+    parts = ["a", "the", "Word", "it's", "'s", "'", "don't", "É", "ß", "İ", "ı", "ñ", "µ", "ª", "e\u0301", "\u0301", "漢字", "9", "12", "½", "²", "_", "-", "...", "###", "$%", "<|", "|>", "<|endoftext|>", "</w>", " ", "\n", "\u00a0", "\u2028", "\x1c", "\x85", ".", ",", "x.y", "🙂", "Σ", "ς", "ſ", "ŉ", "ǅ", "\u00ad", "\x00", "ĳ", "İstanbul", "ĭ", "į"]
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 8)))
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert coder.encode(text.encode()) == want, repr(text)
+    for i in range(1, 0x250):
+        for text in (chr(i), f"a{chr(i)}b", f"{chr(i)}{chr(i)}"):
+            assert coder.encode(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
