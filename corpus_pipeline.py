@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences.
 
 Each stage takes all that the one before kept; its result is written as Parquet in the shared folder and read again.  All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, whatever further ones it has and whatever they are called.
+
+Defined results for odd input: null, empty and short texts fail the base test of the first stage and go; of rows with equal ids and texts, as of all near
+duplicates, one stays; rows with equal ids and different texts are different documents; a null id counts as the largest; texts of any
+length are processed whole; an empty table of documents gives no pieces, an empty benchmark cuts nothing.
 """
 
 from __future__ import annotations

@@ -38,6 +38,33 @@ def test_stages(spark, data, tmp_path):
     assert all(r.n_chars == len(r.text) for r in before)
 
 
+def test_odd_rows_and_columns(spark, tables):
+    letters = str.maketrans("0123456789", "aeioubdglm")
+    words = lambda n, seed: " ".join(f"{100_000 * seed + i}".translate(letters) for i in range(n))
+    long = words(40_000, 5) + " secret=abcdefgh"
+    docs = [(1, words(200, 1), "a", 1, True, None), (1, words(200, 1), "a", 1, True, None), (2, words(200, 1), "b", 2, False, "x"), (None, words(150, 2), "c", 3, None, "y")]
+    docs += [(3, None, None, None, None, None), (4, "", "d", 4, True, "z"), (5, "too short", "e", 5, True, "z"), (6, long, "f", 6, True, "z"), (7, words(90, 7), "g", 7, True, "z"), (7, words(90, 8), "g", 7, True, "z"), (8, "one two three four five six seven eight nine ten " + words(80, 9), "h", 8, True, "z")]
+    schema = "doc_id long, text string, spans string, n_words int, kept boolean, LEAD_ID string"
+    folder = tables(documents=(docs, schema), benchmark=([(1, "one two three four five six seven eight nine ten"), (2, None)], "item_id long, text string"))
+    out, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, out, folder).write.parquet(f"{folder}/stage{i}")
+        out = spark.read.parquet(f"{folder}/stage{i}")
+        assert out.columns == docs_columns(schema)
+        kept.append(sorted(((r.doc_id or 0), r.spans) for r in out.collect()))
+    assert kept[1] == [(0, "c"), (1, "a"), (6, "f"), (7, "g"), (7, "g"), (8, "h")]
+    last = {r.spans: r for r in out.collect()}
+    assert last["f"].text == words(40_000, 5) + " [secret]" and not last["h"].text.startswith("one") and last["a"].n_words == 1 and last["f"].LEAD_ID == "z"
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in packed} == {None, 1, 6, 7, 8}
+    empty = tables(documents=([], schema), benchmark=([], "item_id long, text string"))
+    assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def docs_columns(schema):
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def test_run_is_its_stages(spark, data):
     packed = corpus_pipeline.run(spark, data)
     assert packed.count() > 0 and {"sequence_id", "offset"} <= set(packed.columns)
