@@ -29,6 +29,24 @@ def operation_pairs(ops: DataFrame) -> DataFrame:
     return side(1).join(side(2), ["req", "obj"]).where("seq1 < seq2 AND db1 <> db2").select(*PAIR_COLUMNS)
 
 
+def extreme_pairs(ops: DataFrame, first: bool) -> DataFrame:
+    """Of the pairs of two kinds of operations on an object, the first one, or the last: all that references and their votes depend on.
+
+    A kind is field and operation.  An object may see very many operations of a request, but few kinds: the first pair has the first operation of kind
+    1 and the first one of kind 2 after it, the last pair the last operation of kind 2 and the last one of kind 1 before it.  Operations
+    meet kinds, never each other.
+    """
+    names = (("db", "db"), ("field", "f"), ("op", "op"), ("rk", "rk"), ("rv", "rv"))
+    end = F.min("seq") if first else F.max("seq")
+    kinds = ops.groupBy("req", "obj", *(a for a, _ in names)).agg(end.alias("seq"))
+    side = lambda df, i: df.select("req", "obj", F.col("seq").alias(f"seq{i}"), *(F.col(a).alias(f"{b}{i}") for a, b in names))
+    near, far = (2, 1) if first else (1, 2)
+    met = side(ops, near).join(side(kinds, far), ["req", "obj"]).where("seq1 < seq2 AND db1 <> db2")
+    best = F.min(f"seq{near}") if first else F.max(f"seq{near}")
+    keys = ["req", "obj", f"seq{far}", *(f"{b}{i}" for i in (1, 2) for _, b in names)]
+    return met.groupBy(*keys).agg(best.alias(f"seq{near}"))
+
+
 def rule_of(config: AnalysisConfig = AnalysisConfig()) -> Column:
     """Name of the rule that a pair falls under, or null."""
     a, b = F.col("op1"), F.col("op2")
@@ -61,18 +79,17 @@ def first_references(rules: DataFrame) -> DataFrame:
 
 
 def reference_votes(rules: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(src, dst, req, vote): per request, true sticks."""
+    """(src, dst, req, vote): per request, true sticks.  The pair that made a reference votes by its rule; of the others, ``rules``, the later ones do."""
     made = firsts.select("lo", "hi", F.struct("req", "seq2", "seq1").alias("born"), F.col("src").alias("fk_src"), F.col("dst").alias("fk_dst"))
-    now = F.struct("req", "seq2", "seq1")
-    new = F.when(F.col("rule") == "R1", F.lit(True)).otherwise(F.lit(False))
     later = (
         F.when((F.col("rule") == "R1") & is_write(F.col("op1")) & is_write(F.col("op2")), F.lit(True))
         .when((F.col("rule") == "R2") & is_write(F.col("op2")), F.lit(False))
         .when((F.col("rule") == "R3") & is_write(F.col("op1")), F.lit(False))
     )
-    joined = rules.join(made, ["lo", "hi"]).where(now >= F.col("born"))
-    votes = joined.select(F.col("fk_src").alias("src"), F.col("fk_dst").alias("dst"), "req", F.when(now == F.col("born"), new).otherwise(later).alias("vote"))
-    return votes.where("vote IS NOT NULL").groupBy("src", "dst", "req").agg(F.bool_or("vote").alias("vote"))
+    joined = rules.join(made, ["lo", "hi"]).where(F.struct("req", "seq2", "seq1") > F.col("born"))
+    votes = joined.select(F.col("fk_src").alias("src"), F.col("fk_dst").alias("dst"), "req", later.alias("vote")).where("vote IS NOT NULL")
+    votes = votes.unionByName(firsts.select("src", "dst", "req", (F.col("rule") == "R1").alias("vote")))
+    return votes.groupBy("src", "dst", "req").agg(F.bool_or("vote").alias("vote"))
 
 
 def mandatory_references(votes: DataFrame) -> DataFrame:
@@ -82,8 +99,8 @@ def mandatory_references(votes: DataFrame) -> DataFrame:
 
 def infer_votes(ops: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """(src, dst, req, vote) of all references of the operations."""
-    rules = pair_rules(operation_pairs(ops), config)
-    return reference_votes(rules, first_references(rules))
+    firsts = first_references(pair_rules(extreme_pairs(ops, first=True), config))
+    return reference_votes(pair_rules(extreme_pairs(ops, first=False), config), firsts)
 
 
 def infer_references(ops: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:

@@ -240,7 +240,7 @@ for _rule, _name in (("R1", "fk_write_write"), ("R2", "fk_read_write"), ("R3", "
 @query("fk_first_pairs", f"WITH {_RULES} SELECT lo, hi, src, dst, rule, req, seq1, seq2 FROM firsts")
 def fk_first_pairs(spark, d):
     """The pair that fixed each reference's direction."""
-    return references.first_references(rules_of(spark, d)).select("lo", "hi", "src", "dst", "rule", "req", "seq1", "seq2")
+    return references.first_references(references.pair_rules(references.extreme_pairs(ops_of(spark, d), first=True))).select("lo", "hi", "src", "dst", "rule", "req", "seq1", "seq2")
 
 
 @query("fk_infer", f"WITH {_FK} SELECT src, dst, mandatory, n_votes FROM fk")

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -126,3 +127,15 @@ def test_empty_facts(spark):
     assert references.infer_references(nothing).count() == 0
     assert detectors.missing_cascades(nothing, none).count() == 0
     assert detectors.concurrent_writes(nothing, none).count() == 0
+
+
+def test_extreme_pairs_stand_for_all_pairs(spark):
+    rng = random.Random(2)
+    kinds = [(o, f"{d}.c.f{i}") for o in ("W", "U", "Rk", "Rv", "D") for d in "abc" for i in range(2)]
+    rows = [(r, rng.randint(1, 3), *rng.choice(kinds)) for r in range(1, 7) for _ in range(60)]
+    facts = ops(spark, rows)
+    rules = references.pair_rules(references.operation_pairs(facts))
+    firsts = references.first_references(rules)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(firsts) == key(references.first_references(references.pair_rules(references.extreme_pairs(facts, True))))
+    assert key(references.reference_votes(rules, firsts)) == key(references.infer_votes(facts))
