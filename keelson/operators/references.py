@@ -59,7 +59,8 @@ def rule_of(config: AnalysisConfig = AnalysisConfig()) -> Column:
 
 
 def pair_rules(pairs: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """Pairs with a rule, the reference they would create (src, dst) and whether they create one at all."""
+    """Pairs with a rule, the reference they would create (src, dst), whether they create one at all, and the pass that meets them (turn): with
+    ``dual_pass`` pairs of reads come after all others."""
     forward = F.col("rule").isin("R3", "R5")
     return (
         pairs.withColumn("rule", rule_of(config))
@@ -68,25 +69,26 @@ def pair_rules(pairs: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> D
             "src": F.when(forward, F.col("f1")).otherwise(F.col("f2")), "dst": F.when(forward, F.col("f2")).otherwise(F.col("f1")),
             "creates": ~((F.col("rule") == "R3") & F.col("rv2")),
             "lo": F.least("f1", "f2"), "hi": F.greatest("f1", "f2"),
+            "turn": (F.lit(config.dual_pass) & F.col("rule").isin("R4", "R5")).cast("int"),
         })
     )
 
 
 def first_references(rules: DataFrame) -> DataFrame:
     """For each unordered pair of fields the reference that its first creating pair made."""
-    first = F.min(F.struct("req", "seq2", "seq1", "src", "dst", "rule")).alias("first")
+    first = F.min(F.struct("turn", "req", "seq2", "seq1", "src", "dst", "rule")).alias("first")
     return rules.where("creates").groupBy("lo", "hi").agg(first).select("lo", "hi", "first.*")
 
 
 def reference_votes(rules: DataFrame, firsts: DataFrame) -> DataFrame:
     """(src, dst, req, vote): per request, true sticks.  The pair that made a reference votes by its rule; of the others, ``rules``, the later ones do."""
-    made = firsts.select("lo", "hi", F.struct("req", "seq2", "seq1").alias("born"), F.col("src").alias("fk_src"), F.col("dst").alias("fk_dst"))
+    made = firsts.select("lo", "hi", F.struct("turn", "req", "seq2", "seq1").alias("born"), F.col("src").alias("fk_src"), F.col("dst").alias("fk_dst"))
     later = (
         F.when((F.col("rule") == "R1") & is_write(F.col("op1")) & is_write(F.col("op2")), F.lit(True))
         .when((F.col("rule") == "R2") & is_write(F.col("op2")), F.lit(False))
         .when((F.col("rule") == "R3") & is_write(F.col("op1")), F.lit(False))
     )
-    joined = rules.join(made, ["lo", "hi"]).where(F.struct("req", "seq2", "seq1") > F.col("born"))
+    joined = rules.join(made, ["lo", "hi"]).where(F.struct("turn", "req", "seq2", "seq1") > F.col("born"))
     votes = joined.select(F.col("fk_src").alias("src"), F.col("fk_dst").alias("dst"), "req", later.alias("vote")).where("vote IS NOT NULL")
     votes = votes.unionByName(firsts.select("src", "dst", "req", (F.col("rule") == "R1").alias("vote")))
     return votes.groupBy("src", "dst", "req").agg(F.bool_or("vote").alias("vote"))
@@ -173,7 +175,7 @@ def folded_references(rules: DataFrame, app: str = "app", config: AnalysisConfig
     import pandas as pd
 
     def run(key, pdf):
-        ordered = pdf.sort_values(["req", "seq2", "seq1"]).to_dict("records")
+        ordered = pdf.sort_values(["turn", "req", "seq2", "seq1"]).to_dict("records")
         return pd.DataFrame([(key[0], *r) for r in fold_references(ordered, config).rows()], columns=[app, "src", "dst", "mandatory", "transitive"])
 
     return rules.groupBy(app).applyInPandas(run, f"{app} string, src string, dst string, mandatory boolean, transitive boolean")

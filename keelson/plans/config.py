@@ -15,7 +15,7 @@ class AnalysisConfig:
     nosql_indexes_as_primary_keys: bool = False
     concurrency_includes_upserts: bool = False
     propagate_across_queues: bool = True
-    #: A first pass over reads only, before the one over all operations.
+    #: Pairs of reads are met in a pass of their own, after all other pairs.
     dual_pass: bool = False
     #: False: "db.t.ID" counts as upper path of "db.t.IDCard", as in plain string comparison.
     segment_aware_paths: bool = False

@@ -469,3 +469,12 @@ def path_edits(spark, d):
     marked = F.concat(F.col("db"), F.lit(".c[*].x"))
     alias = F.when(k % 3 == 0, F.concat("db", F.lit(".c._id")))
     return ops_of(spark, d).select("event_id", paths.append_suffix(F.col("field"), F.lit(".ID")).alias("appended"), paths.cut_suffix(p, F.when(k % 2 == 0, ".B").otherwise(".C")).alias("cut"), paths.prepend_after_root(p, F.lit(".P")).alias("prepended"), paths.resolve_alias(F.col("field"), alias).alias("resolved"), paths.schema_name(marked).alias("schema"))
+
+
+_DUAL = _REFS.replace("ORDER BY req, seq2, seq1", "ORDER BY rule = 'R4', req, seq2, seq1").replace("(r.req, r.seq2, r.seq1) >= (f.req, f.seq2, f.seq1)", "(r.rule = 'R4', r.req, r.seq2, r.seq1) >= (f.rule = 'R4', f.req, f.seq2, f.seq1)")
+
+
+@query("fk_dual_pass", f"WITH {_DUAL} SELECT src, dst, mandatory, n_votes FROM fk")
+def fk_dual_pass(spark, d):
+    """References when pairs of reads are met after all other pairs."""
+    return references.infer_references(ops_of(spark, d), AnalysisConfig(dual_pass=True)).select("src", "dst", "mandatory", "n_votes")
