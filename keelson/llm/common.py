@@ -22,7 +22,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with bounded batches and with this package on the workers' path."""
+    """``mapInArrow`` with bounded batches and with this package on the workers' path.
+
+    The two limits stay set in the session: a plan reads them when it runs, which is after this returns.  They bound batches and change no result.
+    """
     spark = df.sparkSession
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
