@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..plans.staging import ship_package
 
@@ -33,6 +33,22 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def arrow_extend(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], added: list[StructField]) -> DataFrame:
+    """``df`` with the columns that ``f`` makes of each batch.
+
+    Columns travel under their positions, so they may have any names: dots, backticks, names that differ only in case.
+    """
+    n = len(df.columns)
+    names = [f"c{i}" for i in range(n + len(added))]
+    schema = StructType([*(StructField(names[i], x.dataType) for i, x in enumerate(df.schema)), *(StructField(names[n + i], x.dataType) for i, x in enumerate(added))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *f(b)], names=names)
+
+    return arrow_map(df.toDF(*names[:n]), run, schema).toDF(*df.columns, *(x.name for x in added))
+
+
 def utf8_values(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from . import chat, decontam, jaccard, packing, quality, secrets, substring, toxicity, urlfilter, warc
+from . import chat, decontam, jaccard, negatives, packing, pii, quality, repair, secrets, substring, toxicity, urlfilter, warc
 from .common import read_table
 
 
@@ -114,6 +114,47 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor (ids divisible by 100) and positive."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    usable = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", label.alias("label"), vector.alias("vector"))
+    return negatives.mine(usable, F.col("vec_id") % 100 == 0)
+
+
+def op12_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base kinds, and all spans."""
+    found, spans = pii.find_personal(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter(F.col(spans), lambda s: s["rank"] < len(pii.BASE_KINDS))
+    kinds = F.transform(F.col(spans), lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.spans_string(base).cast("binary"), 256).alias("base_sha256"), secrets.spans_string(F.col(spans)).alias("spans"))
+
+
+def damage(turns: DataFrame) -> DataFrame:
+    """Turns with the faults that the query plants by the checksum of their key; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    rows = rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the cheapest edits that repair it, and a digest of what they leave."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    audits, kept = repair.repair(damage(turns))
+    lines = F.array_sort(F.collect_list(F.struct("piece", "place", F.concat_ws(":", "role", "text").alias("line"))))
+    digests = kept.groupBy("conv_id").agg(lines.alias("lines")).select(F.struct("conv_id").alias("conv"), F.array_join("lines.line", "\n").alias("repaired"))
+    everyone = turns.select(F.struct("conv_id").alias("conv")).distinct()
+    joined = everyone.join(audits.withColumn("conv", F.struct("conv_id")).drop("conv_id"), "conv", "left").join(digests, "conv", "left")
+    numbers = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv.conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -125,8 +166,12 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scans": op9_secret_scans,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_pii_anchors": op12_pii_anchors,
+    "op13_structure_repair": op13_structure_repair,
 }
 
+
 def _secret_sql() -> str:
     """Spans by gap and match lengths: a match starts where all earlier gaps and matches and its own gap end."""
     found = []
@@ -246,7 +291,96 @@ _JACCARD_SQL = r"""
 """
 
 
+#: Scores of anchors with all rows; 6 positives and their ranges follow from them.
+_NEGATIVES_SQL = """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS q
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT a, b AS p, score AS ps FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE same) WHERE k <= 5),
+    n AS (SELECT p.a, p.p, s.b, ps, score, row_number() OVER (PARTITION BY p.a, p.p ORDER BY score DESC, b) AS k FROM p JOIN s ON p.a = s.a AND NOT same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps)
+    SELECT a AS anchor_id, p AS positive_id, CAST(k AS INT) AS rank, b AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE k <= 10
+"""
+
+
+def _pii_sql() -> str:
+    """Spans by gap and match lengths, as for secrets; a span is the last group of its match."""
+    count = "length(regexp_replace(hit, '[^0-9]', '', 'g'))"
+    digits = "[CAST(c AS INT) FOR c IN string_split(regexp_replace(hit, '[^0-9]', '', 'g'), '')]"
+    doubled = f"list_transform(list_reverse({digits}), lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END)"
+    part = lambda i: f"length(ltrim(split_part(hit, '.', {i}), '0')) <= 3 AND CAST(coalesce(nullif(right(ltrim(split_part(hit, '.', {i}), '0'), 3), ''), '0') AS INT) <= 255"
+    flat = "replace(hit, ' ', '')"
+    values = f"[CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END FOR c IN string_split(substr({flat}, 5) || left({flat}, 4), '')]"
+    mod = f"list_reduce(list_prepend(0, {values}), lambda r, x: (r * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97)"
+    cues = "|".join(sorted(pii.ACCOUNT_CUES))
+    kinds = (
+        (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", "true"), (r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)", " AND ".join(part(i) for i in range(1, 5))),
+        (r"([0-9](?:[\x20-]?[0-9])+)", f"{count} BETWEEN 14 AND 19 AND list_sum({doubled}) % 10 = 0"), (r"(\+[0-9][\x20().0-9-]+[0-9])", f"{count} BETWEEN 10 AND 15"),
+        (rf"([A-Za-z][{pii.SCHEME}]*://[{pii.USER}]+@[A-Za-z0-9.-]+)", "true"), (f"(?:{cues}){pii.ACCOUNT_TAIL}", f"{count} BETWEEN 6 AND 20"), (f"(?:iban|Iban|IBAN){pii.IBAN_TAIL}", f"{mod} = 1"),
+    )
+    found = []
+    for i, ((pattern, _), kind) in enumerate(zip(kinds, pii.KINDS, strict=True)):
+        whole = f"(?s)(.*?)({pattern})".replace("'", "''")
+        group = lambda g, w=whole: f"unnest(regexp_extract_all(text, '{w}', {g}))"
+        found.append(f"SELECT rid, {i} AS rank, '{kind}' AS kind, {group(1)} AS gap, {group(2)} AS matched, {group(3)} AS hit, unnest(range(length(regexp_extract_all(text, '{whole}', 1)))) AS i FROM d")
+    test = " ".join(f"WHEN {i} THEN {ok}" for i, (_, ok) in enumerate(kinds))
+    base = len(pii.BASE_KINDS)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        m AS ({" UNION ALL ".join(found)}),
+        placed AS (SELECT *, sum(length(gap) + length(matched)) OVER (PARTITION BY rid, rank ORDER BY i) AS e FROM m),
+        sp AS (SELECT rid, rank, kind, e - length(hit) AS s, kind || ':' || (e - length(hit)) || ':' || e AS span FROM placed WHERE CASE rank {test} END),
+        g AS (
+            SELECT rid, {", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate(pii.BASE_KINDS))}, string_agg(span, ',' ORDER BY s, rank) FILTER (rank < {base}) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM sp GROUP BY rid
+        )
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+    """
+
+
+def _repair_sql() -> str:
+    """The fold as a recursion over turns: each state is its cost, its audit and the text so far."""
+    state = "STRUCT(c BIGINT, k VARCHAR, t VARCHAR)"
+    plus = lambda s, c, k, t="''": f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {c}, 'k': {s}.k || '{k}', 't': {s}.t || {t}}} END"
+    best = lambda *x: f"list_sort(list_filter([{', '.join(x)}], lambda z: z IS NOT NULL))[1]"
+    stays = lambda cond, s, c, k, t: f"CASE WHEN {cond} THEN {plus(s, c, k, t)} END"
+    own, said = "chr(10) || role || ':' || text", lambda r: f"chr(10) || '{r}:' || text"
+    insert = lambda s, r: plus(s, repair.INSERT, "I", f"chr(10) || '{r}:'")
+    user = best("s2", *(insert(s, "user") for s in ("s0", "s1", "s3")))
+    cut = f"{repair.TRUNCATED} * CAST(fault = 'truncated' AS INT)"
+    gone = lambda s: plus(s, repair.DELETE, "D")
+    return rf"""
+        WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (
+            SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, [ascii(x) FOR x IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')] AS b FROM conversations),
+        x AS (SELECT k.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, y: xor(c // 256, tab[xor(c % 256, y) + 1])), 4294967295) % 20 AS f FROM k, tab),
+        d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE f WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM x WHERE f <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+        g AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM o),
+        n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND concat(prev, '|', ini) NOT IN ('s|u', 'u|a', 'a|u')) AS illegal FROM g GROUP BY conv_id),
+        r AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST({{'c': 0, 'k': '', 't': ''}} AS {state}) AS s0, CAST(NULL AS {state}) AS s1, CAST(NULL AS {state}) AS s2, CAST(NULL AS {state}) AS s3 FROM n
+            UNION ALL
+            SELECT conv_id, i, CAST({gone("s0")} AS {state}), CAST({best(gone("s1"), stays("stay AND ini = 's'", "s0", cut, "K", own))} AS {state}),
+                   CAST({best(gone("u"), stays("stay AND ini = 'u'", "b", cut, "K", own), stays("stay", "b", f"{repair.REROLE} + {cut}", "R", said("user")))} AS {state}),
+                   CAST({best(gone("a"), stays("stay AND ini = 'a'", "u", cut, "K", own), stays("stay", "u", f"{repair.REROLE} + {cut}", "R", said("assistant")))} AS {state})
+            FROM (SELECT *, {best("s3", insert("u", "assistant"))} AS a, {best("s0", "s1", "a")} AS b FROM (
+                SELECT r.conv_id, g.i, role, text, ini, fault, fault NOT IN ('blank', 'duplicate') AS stay, s0, s1, s2, s3, {user} AS u FROM r JOIN g ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = r.i + 1))
+        ),
+        z AS (SELECT conv_id, i, {best("s0", "s3", insert("u", "assistant"))} AS s FROM (SELECT *, {user} AS u FROM r))
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(s.c, 0) AS cost,
+               coalesce(s.k, '') AS audit, sha256(coalesce(substr(s.t, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN n ON e.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN z ON n.conv_id IS NOT DISTINCT FROM z.conv_id AND z.i = n.n
+    """
+
+
 ORACLE = {
+    "op11_hard_negatives": _NEGATIVES_SQL,
+    "op12_pii_anchors": _pii_sql(),
+    "op13_structure_repair": _repair_sql(),
     "op5_ngram_jaccard_join": _JACCARD_SQL,
     "op6_substring_dedup": _SUBSTRING_SQL,
     "op4_warc_index": _WARC_SQL,
