@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .queries import integrity
-from .queries import inputs, program  # noqa: F401  (they register their queries)
+from .queries import inputs, program, stores  # noqa: F401  (they register their queries)
 
 FLAGSHIP = "detect_cascade"
 QUERIES = dict(integrity.QUERIES)

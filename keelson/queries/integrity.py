@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, order, paths
-from ..operators import checks, detectors, effects, graph, references
+from ..operators import checks, detectors, graph, references, statements
 from ..plans.facts import is_primary, operation_facts
 from ..plans.ranking import global_row_number
 from ..plans.staging import stage
@@ -436,5 +436,5 @@ def sql_effects(spark, d):
     s = F.element_at(F.array(*map(F.lit, (
         "INSERT INTO part (p_name, p_brand, p_size) VALUES (?, 'x', ?)", "SELECT p.p_name FROM part p WHERE p.p_partkey = ?", "update part set p_size = ? where p_partkey = ?", "DELETE FROM part WHERE p_partkey = ?",
     ))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    parsed = effects.with_sql_effects(table(spark, d, "part").select("p_partkey", s.alias("statement")), "statement")
+    parsed = statements.with_effects(table(spark, d, "part").select("p_partkey", s.alias("statement")), "statement")
     return parsed.select("p_partkey", F.explode("effects").alias("e")).select("p_partkey", "e.op", "e.path", "e.role")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.operators import effects
+from keelson.operators import documents, statements
 from keelson.plans.config import AnalysisConfig
 from keelson.plans.facts import SCHEMAS
 from keelson.sinks import writers
@@ -64,28 +64,51 @@ def test_wiring(spark):
     assert wiring.method_catalogue(spark).where("kind = 'Queue'").count() == 2
 
 
-@pytest.mark.parametrize(
-    "sql, expected",
-    [
-        ("SELECT * FROM users WHERE id = ?", [("read", "users.*", "value"), ("read", "users.id", "key")]),
-        ("select u.name from users u join orgs o on o.id = u.org where o.id = ? and u.x > ?", [("read", "users.name", "value"), ("read", "orgs.id", "key"), ("read", "users.x", "key")]),
-        ("INSERT INTO t (a, b) VALUES (?, 1)", [("write", "t.a", "value")]),
-        ("update t set a = ?, b = ? where c = ?", [("update", "t.a", "value"), ("update", "t.b", "value"), ("update", "t.c", "key")]),
-        ("DELETE FROM t", [("delete", "t.*", "key")]),
-        ("", []),
-        (None, []),
+#: Statements and (op, path, role, placeholder) of what they touch, in order.
+STATEMENTS = {
+    "SELECT * FROM users WHERE id = ?": [("read", "users.*", "value", None), ("read", "users.id", "key", 1)],
+    "select u.name from users u join orgs o on o.id = u.org where o.id = ? and u.x > ?": [("read", "users.name", "value", None), ("read", "orgs.id", "key", 1), ("read", "users.x", "key", 2)],
+    "INSERT INTO t (a, b) VALUES (?, 1)": [("write", "t.a", "value", 1)],
+    "INSERT INTO t (a, b, c) VALUES (?, UPPER(?), 3), (4, 5, ?) ON DUPLICATE KEY UPDATE a = ?": [("write", "t.a", "value", 1), ("write", "t.b", "value", 2), ("write", "t.c", "value", 3), ("write", "t.a", "value", 4)],
+    "update t set a = ?, b = ? where c = ?": [("update", "t.a", "value", 1), ("update", "t.b", "value", 2), ("update", "t.c", "key", 3)],
+    "DELETE FROM t": [("delete", "t.*", "key", None)],
+    "DELETE FROM t WHERE t.x = ? AND y = 'a?b'": [("delete", "t.x", "key", 1)],
+    "SELECT a, COUNT(b) AS n, `x y`.c FROM t AS z, `x y` WHERE z.a IN (?, ?) AND (b LIKE ? OR ? = c) AND d BETWEEN ? AND ? AND e IN (SELECT f FROM g h WHERE h.k = ? AND z.q = ?) LIMIT ?": [
+        ("read", "t.a", "value", None), ("read", "t.b", "value", None), ("read", "x y.c", "value", None), ("read", "t.a", "key", 1), ("read", "t.a", "key", 2), ("read", "t.b", "key", 3), ("read", "t.c", "key", 4),
+        ("read", "t.d", "key", 5), ("read", "t.d", "key", 6), ("read", "g.f", "value", None), ("read", "g.k", "key", 7), ("read", "t.q", "key", 8), ("read", None, "limit", 9),
     ],
-)
-def test_sql_effects(sql, expected):
-    assert effects.sql_effects(sql) == expected
-
-
-def test_filter_documents(spark):
-    assert effects.filter_paths({"$and": [{"a": 1}, {"b": {"$in": [1, 2]}}]}) == ["a", "b[*]"]
-    assert effects.filter_paths({"$set": {"x": 1, "y": {"z": 2}}}) == ["x", "y"]
-    assert effects.filter_paths({"n": {"$gt": 5}}) == ["n"]
-    rows = spark.createDataFrame([('{"$inc": {"k": 1}}',), (None,)], "v string")
-    assert [r.p for r in rows.select(effects.filter_paths_of(F.col("v")).alias("p")).collect()] == [["k"], []]
+    "SELECT a FROM t UNION SELECT b FROM u WHERE u.c = ?": [("read", "t.a", "value", None), ("read", "u.b", "value", None), ("read", "u.c", "key", 1)],
+    "": [],
+    "not sql ((": [],
+}
+
+
+def test_statements(spark):
+    rows = spark.createDataFrame([(q,) for q in (*STATEMENTS, None, "DELETE FROM t")], "statement string")
+    found: dict = {}
+    for r in statements.statement_columns(rows).orderBy("pos").collect():
+        found.setdefault(r.statement, []).append((r.op, r.path, r.role, r.placeholder))
+    assert found == {q: e for q, e in STATEMENTS.items() if e}
+    one = {r.statement: [tuple(e) for e in r.effects] for r in statements.with_effects(rows, "statement").collect()}
+    assert one[None] == [] and one["DELETE FROM t"] == [("delete", "t.*", "key")] and len(one) == len(STATEMENTS) + 1
+
+
+#: Documents and (field, value) of what they hold.
+DOCUMENTS = {
+    '{"$and": [{"a": "t1"}, {"b": {"$in": ["t2", "t3"]}}]}': [("a", "t1"), ("b[*]", "t2"), ("b[*]", "t3")], '{"$set": {"x": 1, "y": {"z": 2}}}': [("x", "1"), ("y", "2")], '{"n": {"$gt": 5}}': [("n", "5")], '{"$inc": {"k": 1}}': [("k", "1")],
+    '{"e": {}, "f": [], "g": {"$each": [1], "$nin": ["u"], "h": {"$lt": "w"}}, "$or": [{"i": [1, {"j": 2}]}]}': [("e", None), ("f", None), ("g", "w"), ("g[*]", "u"), ("i", "1"), ("i", "2")], "[]": [], "{}": [], "{bad": [], '{"p": null}': [("p", None)], "7": [],
+}
+
+
+def test_documents(spark):
+    rows = spark.createDataFrame([(d,) for d in (*DOCUMENTS, None, "{}")], "document string")
+    found: dict = {}
+    for r in documents.document_values(rows).collect():
+        found.setdefault(r.document, []).append((r.field, r.value))
+    key = lambda x: (x[0], x[1] or "")
+    assert {d: sorted(v, key=key) for d, v in found.items()} == {d: v for d, v in DOCUMENTS.items() if v}
+    fields = {r.document: r.fields for r in documents.with_fields(rows, "document").collect()}
+    assert fields[None] == [] and fields['{"$set": {"x": 1, "y": {"z": 2}}}'] == ["x", "y"]
 
 
 def test_sinks(spark, tmp_path):
