@@ -45,13 +45,9 @@ def missing_cascades(ops: DataFrame, refs: DataFrame, ignored: DataFrame | None
     open_ = deletes.join(written, ["req", "db"], "left").withColumn("silent", F.max(F.coalesce("hit", F.lit(0))).over(sticky)).where("silent = 0").drop("hit", "silent")
     referencing = r.where(~is_queue(F.col("src_db")) & (F.col("src_db") != F.col("dst_db"))).select(F.col("dst_db").alias("db"), F.col("src_db").alias("pending_db"), F.col("src").alias("pending")).distinct()
     live = open_.join(referencing.select("db").distinct(), "db", "left_semi")
-    settled = (
-        live.select("req", "obj", F.col("seq").alias("seq"), F.col("db").alias("own"))
-        .join(live.select("req", "obj", F.col("seq").alias("seq2"), F.col("db").alias("pending_db")), ["req", "obj"])
-        .where("seq2 > seq AND own <> pending_db")
-        .select("req", "seq", "pending_db")
-        .distinct()
-    )
+    # Whether a database is settled later shows in its last delete; an object has one for each database, however many deletes it sees.
+    last = live.groupBy("req", "obj", F.col("db").alias("pending_db")).agg(F.max("seq").alias("last"))
+    settled = live.select("req", "obj", "seq", F.col("db").alias("own")).join(last, ["req", "obj"]).where("last > seq AND own <> pending_db").select("req", "seq", "pending_db").distinct()
     pending = live.join(referencing, "db").join(settled, ["req", "seq", "pending_db"], "left_anti")
     if ignored is not None:
         entity = lambda name: F.col(name) if name in ignored.columns else F.lit(None).cast("string")

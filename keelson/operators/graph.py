@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, is_prefix
+from ..functions.paths import ancestors, is_prefix, upper_path
 from ..plans.config import AnalysisConfig
 from ..plans.ranking import global_row_number
 from ..plans.staging import stage, unstage
@@ -137,6 +137,17 @@ def taints_of_ancestors(taints: DataFrame, inclusive: bool = True) -> DataFrame:
     return joined.withColumn("fieldpath", F.when(F.col("place") == F.col("objpath"), F.col("fieldpath")).otherwise(F.concat("fieldpath", tail)))
 
 
+def prefix_pairs(uppers: DataFrame, lowers: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """(upper, lower): which of the paths in the only column of ``uppers`` begin which of those in ``lowers``, equal ones too.
+
+    A dictionary of the distinct paths, without a join on prefixes: what stands above the last segment of an upper path is an ancestor of every path that it begins.
+    """
+    u, l = (df.toDF("p").where("p IS NOT NULL").distinct() for df in (uppers, lowers))  # noqa: E741
+    above = u.select(F.col("p").alias("upper"), F.coalesce(upper_path(F.col("p")), F.lit("")).alias("at"))
+    below = l.select(F.col("p").alias("lower"), F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("p"), True))).alias("at"))
+    return above.join(below, "at").where(is_prefix(F.col("upper"), F.col("lower"), False, config.segment_aware_paths)).select("upper", "lower").distinct()
+
+
 def fields_with_prefix(fields: DataFrame, prefixes: DataFrame, config: AnalysisConfig = AnalysisConfig(), inclusive: bool = True) -> DataFrame:
     """(prefix, path) in one schema; the equi-join on database and schema bounds the prefix test."""
     f = fields.select(F.col("db").alias("fdb"), F.col("schema").alias("fschema"), "path")

@@ -29,6 +29,13 @@ def operation_pairs(ops: DataFrame) -> DataFrame:
     return side(1).join(side(2), ["req", "obj"]).where("seq1 < seq2 AND db1 <> db2").select(*PAIR_COLUMNS)
 
 
+def unordered_pairs(ops: DataFrame) -> DataFrame:
+    """(req, lo, hi, obj): each two operations of one request on one object once, whichever comes first; of several objects the least."""
+    other = ops.select("req", "obj", F.col("event_id").alias("hi"))
+    pairs = ops.select("req", "obj", F.col("event_id").alias("lo")).join(other, ["req", "obj"]).where("lo < hi")
+    return pairs.groupBy("req", "lo", "hi").agg(F.min("obj").alias("obj"))
+
+
 def extreme_pairs(ops: DataFrame, first: bool) -> DataFrame:
     """Of the pairs of two kinds of operations on an object, the first one, or the last: all that references and their votes depend on.
 

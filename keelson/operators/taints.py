@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import is_prefix, trace_argument, trace_object_path
+from ..functions.paths import trace_argument, trace_object_path
 from ..plans.config import AnalysisConfig
-from .graph import TAINT_KEYS, closure, fixpoint, insert_new
+from .graph import TAINT_KEYS, closure, fixpoint, insert_new, prefix_pairs
 
 
 def traces_to_arguments(traces: DataFrame, args: DataFrame) -> DataFrame:
@@ -93,13 +93,17 @@ def edges_of_kind(edges: DataFrame, *kinds: str) -> DataFrame:
 
 def taints_at_or_below(taints: DataFrame, places: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Taints of ``places`` (obj_id, place) and of all lower paths of the same object, with what the path adds (rest)."""
-    joined = taints.join(places.select("obj_id", "place").distinct(), "obj_id").where(is_prefix(F.col("place"), F.col("objpath"), False, config.segment_aware_paths))
+    p = places.select("obj_id", "place").distinct()
+    pairs = prefix_pairs(p.select("place"), taints.select("objpath"), config).select(F.col("upper").alias("place"), F.col("lower").alias("objpath"))
+    joined = taints.join(pairs, "objpath").join(p, ["obj_id", "place"])
     return joined.withColumn("rest", F.substring(F.col("objpath"), F.length("place") + 1, F.length("objpath")))
 
 
 def taints_of_traced_places(taints: DataFrame, traced: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Taints written onto the places (obj_id, place) of their object that lie at or below them: the field path grows by the difference."""
-    joined = taints.join(traced.select("obj_id", "place").distinct(), "obj_id").where(is_prefix(F.col("objpath"), F.col("place"), False, config.segment_aware_paths))
+    p = traced.select("obj_id", "place").distinct()
+    pairs = prefix_pairs(taints.select("objpath"), p.select("place"), config).select(F.col("upper").alias("objpath"), F.col("lower").alias("place"))
+    joined = taints.join(p.join(pairs, "place"), ["obj_id", "objpath"])
     return joined.withColumn("fieldpath", F.concat("fieldpath", F.substring(F.col("place"), F.length("objpath") + 1, F.length("place")))).withColumn("objpath", F.col("place")).drop("place")
 
 
@@ -107,7 +111,8 @@ def place_of_upper_taint(taints: DataFrame, wanted: DataFrame, config: AnalysisC
     """For each of ``wanted`` (id, obj_id, fieldpath, call_id) the first place, by path, whose taint is the same or an upper one of the same call;
     below an upper taint the place goes on with the rest of the field path."""
     t = taints.select("obj_id", "objpath", F.col("fieldpath").alias("own"), "call_id")
-    joined = wanted.join(t, ["obj_id", "call_id"]).where(is_prefix(F.col("own"), F.col("fieldpath"), False, config.segment_aware_paths))
+    pairs = prefix_pairs(t.select("own"), wanted.select("fieldpath"), config).select(F.col("upper").alias("own"), F.col("lower").alias("fieldpath"))
+    joined = wanted.join(pairs, "fieldpath").join(t, ["obj_id", "call_id", "own"])
     place = F.concat("objpath", F.substring(F.col("fieldpath"), F.length("own") + 1, F.length("fieldpath")))
     return joined.groupBy("id").agg(F.min(F.struct("objpath", place.alias("place"))).alias("first")).select("id", "first.place")
 

@@ -39,7 +39,7 @@ def operation_facts(events: DataFrame, daily: bool = False) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     op = F.when(kind.isin("click", "view"), "R").when(kind == "purchase", "W").when(kind == "signup", "U").when(kind == "error", "D")
     db = F.concat(F.lit("db"), (k % DATABASES).cast("string"))
-    req = F.col("user_id") * 100 + F.dayofmonth("ts") if daily else F.col("user_id")
+    req = F.col("user_id") * 100_000 + F.unix_date(F.to_date("ts")) if daily else F.col("user_id")
     seq = F.row_number().over(Window.partitionBy(req).orderBy("ts", "event_id")).cast("long")
     return events.select(
         req.alias("req"), seq.alias("seq"), "event_id", op.alias("op"), (kind == "click").alias("rk"), (kind == "view").alias("rv"),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
-from ..operators import detectors
+from ..operators import detectors, references
 from ..plans.config import AnalysisConfig
 from ..plans.facts import SCHEMAS, is_primary, is_unique
 from ..plans.staging import scratch_path, write_file
@@ -141,14 +141,14 @@ def registry_names(spark, d):
     )
 
 
-@query("report_changes", """WITH o AS (SELECT 'order ' || o_custkey AS line FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT 'order ' || o_custkey AS line FROM orders WHERE o_orderkey % 3 = 0)
+@query("report_changes", """WITH o AS (SELECT 'order ' || o_custkey AS line FROM orders WHERE o_orderstatus <> 'O'), n AS (SELECT 'order ' || o_custkey AS line FROM orders WHERE o_orderstatus <> 'F')
     SELECT 'added' AS status, line FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) UNION ALL SELECT 'removed', line FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) UNION ALL SELECT 'unmodified', line FROM (SELECT * FROM n INTERSECT ALL SELECT * FROM o)""")
 def report_changes(spark, d):
-    """What a report adds to, drops and keeps of the one before, which is read from its file."""
+    """What a report adds to, drops and keeps of the one before, which is read from its file: orders that were not open, then those that are not finished."""
     o = table(spark, d, "orders")
     line = text("order ", F.col("o_custkey")).alias("line")
-    earlier = _written(o.where("o_orderkey % 2 = 0").select(line), "earlier-report")
-    return files.changed_lines(files.previous_lines(spark, earlier), o.where("o_orderkey % 3 = 0").select(line))
+    earlier = _written(o.where("o_orderstatus <> 'O'").select(line), "earlier-report")
+    return files.changed_lines(files.previous_lines(spark, earlier), o.where("o_orderstatus <> 'F'").select(line))
 
 
 @query("wiring_databases", "SELECT DISTINCT 'app' AS app, 'store' || s_suppkey AS db, CASE s_suppkey % 7 WHEN 0 THEN 'Cache' WHEN 1 THEN 'Cache' WHEN 2 THEN 'Queue' WHEN 3 THEN 'NoSQLDatabase' WHEN 4 THEN 'RelationalDB' END AS kind FROM supplier WHERE s_suppkey % 7 < 5")
@@ -399,10 +399,7 @@ def field_key_predicates(spark, d):
     SELECT req, lo, hi, min(obj) AS obj FROM p GROUP BY req, lo, hi""")
 def first_operation_pairs(spark, d):
     """Each unordered pair of reads once, whichever comes first."""
-    r = ops_of(spark, d).where("op = 'R'").select("req", "obj", "event_id")
-    pairs = r.join(r.withColumnRenamed("event_id", "other"), ["req", "obj"]).where("event_id <> other").select("req", "obj", F.least("event_id", "other").alias("lo"), F.greatest("event_id", "other").alias("hi"))
-    first = Window.partitionBy("req", "lo", "hi").orderBy("obj")
-    return pairs.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("req", "lo", "hi", "obj")
+    return references.unordered_pairs(ops_of(spark, d).where("op = 'R'"))
 
 
 @query("fact_schemas", "SELECT 'constraint' AS name, 5 AS n_columns UNION ALL SELECT 'taint', 11 UNION ALL SELECT 'op', 8")

@@ -23,8 +23,9 @@ ops AS (
            event_type = 'click' AS rk, event_type = 'view' AS rv, k, 'db' || (k % 6) AS db, 'db' || (k % 6) || '.c.f' || (k % 24) AS field, CAST(floor(value) AS BIGINT) AS obj
     FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
 )"""
+_DAY = "user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))"
 #: The same operations with a user's events of one day as a request.
-_DAILY = _OPS.replace("\nops AS", "dops AS").replace("SELECT user_id AS req", "SELECT user_id * 100 + day(ts) AS req").replace("PARTITION BY user_id ", "PARTITION BY user_id * 100 + day(ts) ")
+_DAILY = _OPS.replace("\nops AS", "dops AS").replace("SELECT user_id AS req", f"SELECT {_DAY} AS req").replace("PARTITION BY user_id ", f"PARTITION BY {_DAY} ")
 _PAIRS = f"""{_OPS},
 pairs AS (
     SELECT a.req, a.obj, a.seq AS seq1, b.seq AS seq2, a.event_id AS e1, b.event_id AS e2, a.op AS op1, b.op AS op2, a.rk AS rk1, b.rk AS rk2,

@@ -74,12 +74,12 @@ def taint_ancestors(spark, d):
     return graph.taints_of_ancestors(taints_of(spark, d)).select("obj_id", "place", "objpath", "fieldpath", "call_id", "event_id")
 
 
-@query("taint_traced_places", f"""WITH {_OPS}, {_TAINT}, p AS (SELECT DISTINCT obj_id, objpath AS place FROM taint WHERE event_id % 2 = 0)
+@query("taint_traced_places", f"""WITH {_OPS}, {_TAINT}, p AS (SELECT DISTINCT obj_id, objpath AS place FROM taint WHERE NOT own)
     SELECT t.obj_id, place AS objpath, fieldpath || substr(place, length(objpath) + 1) AS fieldpath, call_id, event_id FROM taint t JOIN p ON t.obj_id = p.obj_id AND starts_with(place, objpath) WHERE own""")
 def taint_traced_places(spark, d):
-    """Primary taints written onto the traced places at or below them."""
+    """Primary taints written onto the traced places at or below them; places with taints from elsewhere are traced."""
     t = taints_of(spark, d)
-    traced = t.where("event_id % 2 = 0").select("obj_id", F.col("objpath").alias("place"))
+    traced = t.where("NOT primary").select("obj_id", F.col("objpath").alias("place"))
     return taints.taints_of_traced_places(t.where("primary"), traced).select("obj_id", "objpath", "fieldpath", "call_id", "event_id")
 
 
@@ -350,15 +350,15 @@ def taint_inserts(spark, d):
     return graph.insert_new(side(0).distinct(), side(1), ("obj_id", "fieldpath"))
 
 
-@query("taint_pushes", f"""WITH {_OPS}, {_TAINT}, e AS (SELECT DISTINCT obj_id, objpath, fieldpath, call_id, op, own FROM taint WHERE event_id % 5 = 0),
-    n AS (SELECT DISTINCT t.obj_id || 'x' AS obj_id, '_obj.P' || substr(objpath, 5) AS objpath, fieldpath, call_id, op FROM taint t WHERE event_id % 5 = 1)
+@query("taint_pushes", f"""WITH {_OPS}, {_TAINT}, e AS (SELECT DISTINCT obj_id, objpath, fieldpath, call_id, op, own FROM taint WHERE op <> 'R'),
+    n AS (SELECT DISTINCT obj_id || 'x' AS obj_id, '_obj.P' || substr(objpath, 5) AS objpath, fieldpath, call_id, op FROM taint WHERE op = 'R')
     SELECT obj_id, objpath, fieldpath, call_id, op, own, false AS traced FROM e UNION ALL SELECT *, false, true FROM n""")
 def taint_pushes(spark, d):
-    """New taints written onto their target objects below a path."""
+    """Taints of reads, new ones, written onto their target objects below a path; those of other operations are there."""
     t = taints_of(spark, d)
     columns = ["obj_id", "objpath", "fieldpath", "call_id", "op", "primary", "traced"]
-    old = t.where("event_id % 5 = 0").withColumn("traced", F.lit(False)).select(*columns).distinct()
-    new = t.where("event_id % 5 = 1")
+    old = t.where("op <> 'R'").withColumn("traced", F.lit(False)).select(*columns).distinct()
+    new = t.where("op = 'R'")
     targets = new.select("obj_id", F.concat("obj_id", F.lit("x")).alias("target"), F.lit("_obj.P").alias("at"))
     return taints.push_taints(old, new.select(*columns), targets).withColumnRenamed("primary", "own")
 
@@ -394,13 +394,16 @@ def abstract_graph(spark, d):
     return taints.abstract_graph(n.select(text("n", F.col("n_regionkey")).alias("node")).distinct(), calls)
 
 
-#: Requests: five entries, one of them an initializer; suppliers divisible by 4 are pushes to the queue that the node of their number modulo 5 pops.
+#: Requests: five entries, one of them an initializer; suppliers divisible by 4 are pushes that the consumer of their number modulo 5 pops.  A consumer writes to a database and pushes on to the last one.
 _CALLGRAPH = """e AS (SELECT 'E' || n_regionkey AS src, 'N' || n_nationkey AS dst, n_nationkey AS ord, 'e' || n_nationkey AS eid FROM nation
-    UNION ALL SELECT 'N' || s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN 'queue' ELSE 'db' END, s_suppkey + 100, 's' || s_suppkey FROM supplier)"""
+    UNION ALL SELECT 'N' || s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN 'queue' ELSE 'db' END, s_suppkey + 100, 's' || s_suppkey FROM supplier
+    UNION ALL SELECT 'C' || r_regionkey, CASE p WHEN 2 THEN 'queue' ELSE 'db' END, p, 'c' || r_regionkey || '.' || p FROM region, (VALUES (1), (2)) v(p)
+    UNION ALL SELECT 'Z' || r_regionkey, 'db', 1, 'z' || r_regionkey FROM region)"""
 
 
 @query("request_walk", f"""WITH RECURSIVE {_CALLGRAPH}, entries AS (SELECT *, row_number() OVER (ORDER BY entry) - 1 AS req FROM (SELECT DISTINCT 'E' || n_regionkey AS node, 'E' || n_regionkey || CASE WHEN n_regionkey = 2 THEN '.Run' ELSE '.Handle' END AS entry FROM nation)),
-    steps AS (SELECT src, dst, ord, eid, false AS hop FROM e UNION ALL SELECT 'N' || s_nationkey, 'N' || (s_suppkey % 5), s_suppkey + 100, 's' || s_suppkey, true FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey < 40),
+    steps AS (SELECT src, dst, ord, eid, false AS hop FROM e UNION ALL SELECT 'N' || s_nationkey, 'C' || (s_suppkey % 5), s_suppkey + 100, 's' || s_suppkey, true FROM supplier WHERE s_suppkey % 4 = 0
+              UNION ALL SELECT 'C' || r_regionkey, 'Z' || r_regionkey, 2, 'c' || r_regionkey || '.2', true FROM region),
     walk AS (SELECT req, node, CAST([] AS BIGINT[]) AS path, [node] AS way, CAST(NULL AS VARCHAR) AS eid, CAST([] AS BIGINT[]) AS opened, false AS hop FROM entries WHERE NOT ends_with(entry, '.Run')
              UNION ALL SELECT w.req, s.dst, list_append(w.path, s.ord), list_append(w.way, s.dst), s.eid, CASE WHEN s.hop THEN list_append(w.path, s.ord) ELSE w.opened END, s.hop
              FROM walk w JOIN steps s ON w.node = s.src WHERE NOT list_contains(w.way, s.dst)),
@@ -408,20 +411,22 @@ _CALLGRAPH = """e AS (SELECT 'E' || n_regionkey AS src, 'N' || n_nationkey AS ds
     SELECT CAST(w.req AS INT) AS req, array_to_string(w.path, '.') AS path, w.node, w.eid AS edge_id, CAST(o.req_idx AS INT) AS req_idx FROM walk w JOIN opened o ON w.req = o.req AND w.opened = o.path WHERE NOT w.hop AND w.eid IS NOT NULL""")
 def request_walk(spark, d):
     """Operations of requests in call order; consumers of queues are walked where they are pushed to, under indices of their own."""
-    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
-    key = F.col("s_suppkey")
+    n, s, r = table(spark, d, "nation"), table(spark, d, "supplier"), table(spark, d, "region")
+    key, region, long = F.col("s_suppkey"), F.col("r_regionkey"), lambda x: F.lit(x).cast("long").alias("ord")
     edges = n.select(text("E", F.col("n_regionkey")).alias("src"), text("N", F.col("n_nationkey")).alias("dst"), F.col("n_nationkey").cast("long").alias("ord"), text("e", F.col("n_nationkey")).alias("edge_id"))
     edges = edges.unionByName(s.select(text("N", F.col("s_nationkey")).alias("src"), F.when(key % 4 == 0, "queue").otherwise("db").alias("dst"), (key + 100).alias("ord"), text("s", key).alias("edge_id")))
     entries = n.select(text("E", F.col("n_regionkey")).alias("node"), F.concat(text("E", F.col("n_regionkey")), F.when(F.col("n_regionkey") == 2, ".Run").otherwise(".Handle")).alias("entry")).distinct()
-    hops = s.where("s_suppkey % 4 = 0 AND s_suppkey < 40").select(text("s", key).alias("edge_id"), text("N", key % 5).alias("consumer"))
+    edges = edges.unionByName(r.select(text("C", region).alias("src"), F.lit("db").alias("dst"), long(1), text("c", region, ".1").alias("edge_id"))).unionByName(r.select(text("C", region).alias("src"), F.lit("queue").alias("dst"), long(2), text("c", region, ".2").alias("edge_id")))
+    edges = edges.unionByName(r.select(text("Z", region).alias("src"), F.lit("db").alias("dst"), long(1), text("z", region).alias("edge_id")))
+    hops = s.where(key % 4 == 0).select(text("s", key).alias("edge_id"), text("C", key % 5).alias("consumer")).unionByName(r.select(text("c", region, ".2").alias("edge_id"), text("Z", region).alias("consumer")))
     walked = graph.traverse(edges, entries, hops)
     return walked.select("req", F.array_join("path", ".").alias("path"), "node", "edge_id", "req_idx")
 
 
-@query("references_to", f"WITH {_REFS} SELECT f.path AS target, src FROM (SELECT DISTINCT field AS path FROM ops WHERE db = 'db1') f JOIN fk ON fk.dst = f.path")
+@query("references_to", f"WITH {_REFS} SELECT f.path AS target, src FROM (SELECT DISTINCT field AS path FROM ops) f JOIN fk ON fk.dst = f.path")
 def references_to(spark, d):
-    """All fields that reference a field of one database."""
-    targets = ops_of(spark, d).where("db = 'db1'").select(F.col("field").alias("path"))
+    """All fields that reference a field."""
+    targets = ops_of(spark, d).select(F.col("field").alias("path"))
     return taints.references_to(staged_refs_of(spark, d), targets)
 
 
