@@ -66,43 +66,116 @@ def closure(edges: DataFrame) -> DataFrame:
     return fixpoint(e, lambda f: f.join(nxt, f["dst"] == nxt["mid"]).select("src", F.col("next").alias("dst")), "closure")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Taints (id, objpath, fieldpath) that reach each value over edges (etype, src, dst, segment, op).
+def first_arrivals(seed: DataFrame, step, label: str, name: str) -> DataFrame:
+    """All keys (every column but ``label``) that ``step`` reaches from ``seed``, one row each: a key keeps the least label of the round that reaches it first."""
+    keys = [c for c in seed.columns if c != label]
+    least = lambda df: df.groupBy(*keys).agg(F.min(label).alias(label))
+    frontier = stage(least(seed), name)
+    seen, parts = frontier, [frontier]
+    while True:
+        new = stage(least(step(frontier)).join(seen.select(*keys), keys, "left_anti"), name)
+        if new.isEmpty():
+            unstage(new)
+            return seen
+        parts.append(new)
+        seen, frontier = seen.unionByName(new), new
+        if len(parts) == COMPACT_ROUNDS:
+            seen = stage(seen, name)
+            unstage(*parts[:-1])
+            parts = [seen]
+
 
-    ``segment`` is the path part that field, index and map edges add or remove; ``op`` names the operator or callee of BINOP and ARG
-    edges.  Values used inside filter documents (``used_in_bson`` of the seeds' edges) should be left out of ``edges``.  Paths have no
-    greatest length; only a cycle that would lengthen one without end is cut where it repeats: a value does not get the same segment
-    again while the first one is still in the path.
+def earliest_arrivals(seed: DataFrame, moves: DataFrame, at: str, on: str, name: str) -> DataFrame:
+    """Rows of ``seed`` carried over timed ``moves`` (src, dst, time): what is at ``on`` by an earlier time than that of a move takes it and arrives at its time.
+
+    Each row keeps its earliest arrival; a round goes on from what arrived, or arrived earlier than known.
+    """
+    keys = [c for c in seed.columns if c != at]
+    least = lambda df: df.groupBy(*keys).agg(F.min(at).alias(at))
+    frontier = stage(least(seed), name)
+    seen, parts = frontier, [frontier]
+    m = moves.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("time").alias("_time")).distinct()
+    while True:
+        met = frontier.join(m, (F.col(on) == F.col("_src")) & (F.col(at) < F.col("_time")))
+        moved = least(met.withColumns({on: F.col("_dst"), at: F.col("_time")}).select(*seed.columns))
+        known = seen.select(*(F.col(c).alias(f"_{c}") for c in seed.columns))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        new = stage(moved.join(known, [*same, F.col(f"_{at}") <= F.col(at)], "left_anti"), name)
+        if new.isEmpty():
+            unstage(new)
+            return least(seen)
+        parts.append(new)
+        seen, frontier = seen.unionByName(new), new
+        if len(parts) == COMPACT_ROUNDS:
+            seen = stage(least(seen), name)
+            unstage(*parts[:-1])
+            parts = [seen]
+
+
+_MARKS = "array<struct<at:string,segment:string>>"
+
+
+def edge_moves(edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """(a, b, segment, how): the steps that taints take over edges (etype, src, dst, segment, op), forward and backward.
+
+    Comparisons and calls that hand nothing on are left out, and so are edges of ``blocked`` values (id): those used inside filter documents neither get taints nor hand them on.
     """
     rules = edges.sparkSession.createDataFrame([(k, d, r) for k, pair in EDGE_RULES.items() for d, r in zip(("f", "b"), pair, strict=True)], "etype string, dir string, how string")
     usable = edges.where(~(F.col("etype").isin("BINOP_X", "BINOP_Y") & F.col("op").isin(*COMPARISONS)) & ~((F.col("etype") == "ARG_ON_CALL") & ~F.col("op").isin(*FLOWING_CALLS)))
-    both = usable.select("etype", F.lit("f").alias("dir"), F.col("src").alias("a"), F.col("dst").alias("b"), "segment").unionByName(
-        usable.select("etype", F.lit("b").alias("dir"), F.col("dst").alias("a"), F.col("src").alias("b"), "segment")
-    )
-    moves = stage(both.join(F.broadcast(rules), ["etype", "dir"]).where("how <> 'stop'").select("a", "b", "segment", "how").distinct(), "moves")
+    if blocked is not None:
+        inside = blocked.select("id").distinct()
+        for end in ("src", "dst"):
+            usable = usable.join(inside.withColumnRenamed("id", end), end, "left_anti")
+    side = lambda d, a, b: usable.select("etype", F.lit(d).alias("dir"), F.col(a).alias("a"), F.col(b).alias("b"), "segment")
+    both = side("f", "src", "dst").unionByName(side("b", "dst", "src"))
+    return both.join(F.broadcast(rules), ["etype", "dir"]).where("how <> 'stop'").select("a", "b", "segment", "how").distinct()
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
+    """Taints (id, objpath, fieldpath, stamp) that reach each value over value-flow edges and out of callees.
+
+    ``edges`` (etype, src, dst, segment, op): ``segment`` is the path part that field, index and map edges add or remove, ``op`` names the operator or callee of BINOP and ARG edges.  ``calls`` (inner, outer, site): a taint of a
+    callee's ``inner`` becomes one of the caller's ``outer``, its stamp begins with the site of the call, and from there it spreads inside the caller.
+
+    There is one state for each value and path, however many routes lead to it: it keeps the stamp and the open pushes of the first round that reaches it, the least of them.  Paths have no greatest length; only a
+    cycle that would lengthen one without end is cut where it repeats: a value does not get the same segment again while the first one is still in the path.
+    """
+    moves = edge_moves(edges, blocked).withColumn("site", F.lit(None).cast("int"))
+    if calls is not None:
+        moves = moves.unionByName(calls.select(F.col("inner").alias("a"), F.col("outer").alias("b"), F.lit("").alias("segment"), F.lit("copy").alias("how"), F.col("site").cast("int").alias("site")))
+    moves = stage(moves.distinct(), "moves")
 
     def step(front: DataFrame) -> DataFrame:
         rest = F.substring(F.col("objpath"), F.lit(5), F.length("objpath"))
-        fits = F.startswith(rest, F.col("segment"))
-        moved = (
-            F.when(F.col("how") == "copy", F.col("objpath"))
-            .when(F.col("how") == "push", F.concat(F.lit("_obj"), F.col("segment"), rest))
-            .when((F.col("how") == "pop") & fits, F.concat(F.lit("_obj"), F.substring(rest, F.length("segment") + 1, F.length(rest))))
+        at_root, is_push, is_pop = F.col("objpath") == "_obj", F.col("how") == "push", F.col("how") == "pop"
+        fits = is_pop & ~at_root & F.startswith(rest, F.col("segment"))
+        is_deep = is_pop & at_root
+        path = (
+            F.when((F.col("how") == "copy") | is_deep, F.col("objpath"))
+            .when(is_push, F.concat(F.lit("_obj"), F.col("segment"), rest))
+            .when(fits, F.concat(F.lit("_obj"), F.substring(rest, F.length("segment") + 1, F.length(rest))))
         )
-        deeper = F.when((F.col("how") == "pop") & (F.col("objpath") == "_obj"), F.concat(F.col("fieldpath"), F.col("segment"))).otherwise(F.col("fieldpath"))
-        path = F.when((F.col("how") == "pop") & (F.col("objpath") == "_obj"), F.lit("_obj")).otherwise(moved)
+        field = F.when(is_deep, F.concat(F.col("fieldpath"), F.col("segment"))).otherwise(F.col("fieldpath"))
         # Where pushes and field steps took place, a push until it is popped.
-        mark, top = F.struct(F.col("b").alias("at"), "segment"), F.try_element_at("pushed", F.lit(-1))
-        is_push, is_deep, is_pop = F.col("how") == "push", (F.col("how") == "pop") & (F.col("objpath") == "_obj"), (F.col("how") == "pop") & fits
-        pushed = F.when(is_push, F.concat("pushed", F.array(mark))).when(is_pop & F.coalesce(top["segment"] == F.col("segment"), F.lit(False)), F.slice("pushed", F.lit(1), F.size("pushed") - 1)).otherwise(F.col("pushed"))
-        deepened = F.when(is_deep, F.concat("deepened", F.array(mark))).otherwise(F.col("deepened"))
-        repeats = (is_push & F.array_contains("pushed", mark)) | (is_deep & F.array_contains("deepened", mark))
+        pushed, deepened, stamp = (F.col(f"label.{c}") for c in ("pushed", "deepened", "stamp"))
+        mark, top = F.struct(F.col("b").alias("at"), "segment"), F.try_element_at(pushed, F.lit(-1))
+        popped = F.slice(pushed, F.lit(1), F.greatest(F.size(pushed) - 1, F.lit(0)))
+        open_ = F.when(is_push, F.concat(pushed, F.array(mark))).when(fits & F.coalesce(top["segment"] == F.col("segment"), F.lit(False)), popped).otherwise(pushed)
+        deep = F.when(is_deep, F.concat(deepened, F.array(mark))).otherwise(deepened)
+        repeats = (is_push & F.array_contains(pushed, mark)) | (is_deep & F.array_contains(deepened, mark))
+        later = F.when(F.col("site").isNotNull(), F.concat(F.array("site"), stamp)).otherwise(stamp)
         reached = front.join(moves, front["id"] == moves["a"]).where(~repeats)
-        return reached.select(F.col("b").alias("id"), path.alias("objpath"), deeper.alias("fieldpath"), pushed.alias("pushed"), deepened.alias("deepened")).where(F.col("objpath").isNotNull())
+        return reached.select(F.col("b").alias("id"), path.alias("objpath"), field.alias("fieldpath"), _label(later, open_, deep)).where(F.col("objpath").isNotNull())
+
+    none = F.array().cast(_MARKS)
+    stamp = F.col("stamp").cast("array<int>") if "stamp" in seeds.columns else F.array().cast("array<int>")
+    found = first_arrivals(seeds.select(F.col("id").cast("string").alias("id"), "objpath", "fieldpath", _label(stamp, none, none)), step, "label", "taints")
+    return found.select("id", "objpath", "fieldpath", F.col("label.stamp").alias("stamp"))
+
 
-    none = F.array().cast("array<struct<at:string,segment:string>>")
-    found = fixpoint(seeds.select("id", "objpath", "fieldpath", none.alias("pushed"), none.alias("deepened")), step, "taints")
-    return found.select("id", "objpath", "fieldpath").distinct()
+def _label(stamp: Column, pushed: Column, deepened: Column) -> Column:
+    """What a state carries; shorter stamps come first."""
+    return F.struct(F.size(stamp).alias("depth"), stamp.alias("stamp"), pushed.alias("pushed"), deepened.alias("deepened")).alias("label")
 
 
 TAINT_KEYS = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import trace_argument, trace_object_path
 from ..plans.config import AnalysisConfig
-from .graph import TAINT_KEYS, closure, fixpoint, insert_new, prefix_pairs
+from .graph import TAINT_KEYS, closure, earliest_arrivals, fixpoint, insert_new, prefix_pairs, propagate
 
 
 def traces_to_arguments(traces: DataFrame, args: DataFrame) -> DataFrame:
@@ -56,20 +56,21 @@ def later_edges(edges: DataFrame) -> DataFrame:
     return edges.join(l, "src").where("_later > ord").select("edge_id", "later_id")
 
 
-def combine_calls(calls: DataFrame, taints: DataFrame) -> DataFrame:
-    """Taints (fn, obj, objpath, fieldpath, stamp array<int>, way array<string>) seen from every caller.
+def combine_calls(calls: DataFrame, taints: DataFrame, edges: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
+    """Taints (fn, obj, objpath, fieldpath, stamp array<int>) seen from every caller.
 
     Calls map a callee's parameter or result to the caller's object: (caller, callee, site int, inner, outer).  A taint of ``inner`` becomes one of
-    ``outer`` whose stamp begins with the call's; ``way`` lists the functions passed, and a function on it is not entered again.
+    ``outer`` whose stamp begins with the call's, and spreads over the caller's value-flow ``edges`` (fn, etype, src, dst, segment, op) before it is seen from the caller's callers.  A callee is summarised once:
+    of several call paths the shortest gives the stamp, of equal ones the first in program order, so that neither recursion nor layers of calls multiply rows.
     """
-    seeds = taints.select("fn", "obj", "objpath", "fieldpath", "stamp", F.array("fn").alias("way"))
-    c = calls.select("caller", "callee", "site", "inner", "outer")
-
-    def step(front: DataFrame) -> DataFrame:
-        up = front.join(c, (F.col("fn") == F.col("callee")) & (F.col("obj") == F.col("inner")) & ~F.array_contains("way", F.col("caller")))
-        return up.select(F.col("caller").alias("fn"), F.col("outer").alias("obj"), "objpath", "fieldpath", F.concat(F.array("site"), "stamp").alias("stamp"), F.concat("way", F.array("caller")).alias("way"))
-
-    return fixpoint(seeds, step, "combined")
+    at = lambda fn, obj: F.concat_ws("\u0001", F.col(fn).cast("string"), F.col(obj).cast("string"))
+    seeds = taints.select(at("fn", "obj").alias("id"), "objpath", "fieldpath", "stamp")
+    up = calls.select(at("callee", "inner").alias("inner"), at("caller", "outer").alias("outer"), "site")
+    flows = edges if edges is not None else taints.sparkSession.createDataFrame([], "fn string, etype string, src string, dst string, segment string, op string")
+    inside = flows.withColumns({"src": at("fn", "src"), "dst": at("fn", "dst")})
+    found = propagate(inside, seeds, None if blocked is None else blocked.select(at("fn", "obj").alias("id")), up)
+    where = F.split("id", "\u0001")
+    return found.select(where[0].cast(taints.schema["fn"].dataType).alias("fn"), where[1].cast(taints.schema["obj"].dataType).alias("obj"), "objpath", "fieldpath", "stamp")
 
 
 def primary_taints(taints: DataFrame, primary: bool = True) -> DataFrame:
@@ -217,19 +218,19 @@ def merge_taints(existing: DataFrame, incoming: DataFrame, mode: str) -> DataFra
 
 
 def request_taints(taints: DataFrame, pairs: DataFrame, hops: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """Taints (req, obj_id, objpath, fieldpath, call_id, op, primary) of a request after its traversal.
+    """Taints (req, obj_id, objpath, fieldpath, call_id, op, primary, at) of a request after its traversal.
 
-    ``pairs`` (src, dst) are objects that stand for each other across calls: arguments and parameters (both ways: forward before the callee is
-    entered, backward after it) and a callee's results and the caller's (backward only).  ``hops`` (src, dst) lead from arguments of a push to those of
-    its pop; only primary taints take them, if ``propagate_across_queues``.  Requests start with primary taints: what they got from others does not outlive them.
+    ``pairs`` (src, dst, time) are objects that stand for each other across calls, at the time when the walk hands taints on: from arguments to parameters before a callee is entered, from parameters and results to the
+    caller's objects after it has been left.  A taint takes a pair only if it was there before that time, so what reaches a callee after it has been left stays there.  ``hops`` (src, dst, time) lead from arguments of a push
+    to those of its pop; only primary taints take them, if ``propagate_across_queues``.  Requests start with primary taints, there from time 0: what they got from others does not outlive them.
     """
     columns = ("req", "obj_id", "objpath", "fieldpath", "call_id", "op")
     own = primary_taints(taints).select(*columns).distinct()
-    moves = pairs.select(F.col("src").alias("obj_id"), "dst").distinct()
-    seeds = own
+    seeds = own.withColumn("at", F.lit(0).cast("long"))
     if config.propagate_across_queues:
-        seeds = own.unionByName(own.join(hops.select(F.col("src").alias("obj_id"), "dst").distinct(), "obj_id").withColumn("obj_id", F.col("dst")).select(*columns))
-    reached = fixpoint(seeds, lambda f: f.join(moves, "obj_id").withColumn("obj_id", F.col("dst")), "request-taints")
+        over = own.join(hops.select(F.col("src").alias("obj_id"), "dst", F.col("time").cast("long").alias("at")).distinct(), "obj_id")
+        seeds = seeds.unionByName(over.withColumn("obj_id", F.col("dst")).select(*columns, "at"))
+    reached = earliest_arrivals(seeds, pairs, "at", "obj_id", "request-taints")
     return reached.join(own.withColumn("primary", F.lit(True)), list(columns), "left").withColumn("primary", F.coalesce("primary", F.lit(False)))
 
 

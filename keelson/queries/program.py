@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
@@ -124,57 +124,89 @@ def taint_merge_modes(spark, d):
     return out
 
 
-_WALK = """pairs2 AS (SELECT DISTINCT req, obj_id AS src, req || ':' || ((obj + 1) % 40) AS dst FROM (SELECT t.*, o.obj FROM taint t JOIN ops o USING (event_id)) WHERE obj < 40 AND obj % 4 <> 3),
-hops AS (SELECT DISTINCT req || ':' || obj AS src, req || ':' || (obj + 100) AS dst FROM ops WHERE db = 'db5' AND op = 'W' AND obj < 40)"""
+#: An operation calls the next one of its request if both act on one database; it is entered at twice its number and left three steps later.  Writes to the queue are pushes.
+_WALK = """steps AS (SELECT req, seq, obj, db, op, lead(obj) OVER w AS callee, lead(db) OVER w AS callee_db FROM ops WINDOW w AS (PARTITION BY req ORDER BY seq)),
+calls2 AS (SELECT req || ':' || obj AS caller, req || ':' || callee AS callee, seq FROM steps WHERE db = callee_db),
+pairs2 AS (SELECT caller AS src, callee AS dst, 2 * seq AS t FROM calls2 UNION SELECT callee, caller, 2 * seq + 3 FROM calls2),
+hops AS (SELECT DISTINCT req || ':' || obj AS src, req || ':' || (obj + 100) AS dst, 2 * seq + 1 AS t FROM ops WHERE db = 'db5' AND op = 'W')"""
 
 
 @query("request_taints", f"""WITH RECURSIVE {_OPS}, {_TAINT}, {_WALK},
-    o AS (SELECT DISTINCT req, obj_id, objpath, fieldpath, call_id, op FROM taint WHERE own AND event_id % 7 = 0),
-    r AS (SELECT * FROM o UNION SELECT o.req, h.dst, objpath, fieldpath, call_id, op FROM o JOIN hops h ON o.obj_id = h.src
-          UNION SELECT r.req, p.dst, objpath, fieldpath, call_id, op FROM r JOIN pairs2 p ON r.obj_id = p.src)
-    SELECT r.*, o.req IS NOT NULL AS own FROM r LEFT JOIN o USING (req, obj_id, objpath, fieldpath, call_id, op)""")
+    o AS (SELECT DISTINCT req, obj_id, objpath, fieldpath, call_id, op FROM taint WHERE own),
+    r AS (SELECT *, CAST(0 AS BIGINT) AS "at" FROM o UNION SELECT o.req, h.dst, objpath, fieldpath, call_id, op, h.t FROM o JOIN hops h ON o.obj_id = h.src
+          UNION SELECT r.req, p.dst, objpath, fieldpath, call_id, op, p.t FROM r JOIN pairs2 p ON r.obj_id = p.src AND r."at" < p.t),
+    e AS (SELECT req, obj_id, objpath, fieldpath, call_id, op, min("at") AS "at" FROM r GROUP BY ALL)
+    SELECT e.*, o.req IS NOT NULL AS own FROM e LEFT JOIN o USING (req, obj_id, objpath, fieldpath, call_id, op)""")
 def request_taints(spark, d):
-    """Taints that requests hand on between arguments, parameters and results, and across queues."""
+    """Taints that requests hand on between callers and callees in the order of the walk, and across queues."""
     t, o = taints_of(spark, d), ops_of(spark, d)
-    near = o.where("obj < 40 AND obj % 4 <> 3").select(text(F.col("req"), ":", F.col("obj")).alias("src"), text(F.col("req"), ":", (F.col("obj") + 1) % 40).alias("dst"))
-    hops = o.where("db = 'db5' AND op = 'W' AND obj < 40").select(text(F.col("req"), ":", F.col("obj")).alias("src"), text(F.col("req"), ":", F.col("obj") + 100).alias("dst"))
-    return taints.request_taints(t.where("event_id % 7 = 0 OR NOT primary"), near, hops).withColumnRenamed("primary", "own")
+    following = Window.partitionBy("req").orderBy("seq")
+    named = lambda c: text(F.col("req"), ":", F.col(c))
+    steps = o.withColumns({"callee": F.lead("obj").over(following), "callee_db": F.lead("db").over(following)}).where("db = callee_db").select(named("obj").alias("caller"), named("callee").alias("callee"), "seq")
+    down = steps.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), (2 * F.col("seq")).alias("time"))
+    back = steps.select(F.col("callee").alias("src"), F.col("caller").alias("dst"), (2 * F.col("seq") + 3).alias("time"))
+    hops = o.where("db = 'db5' AND op = 'W'").select(named("obj").alias("src"), text(F.col("req"), ":", F.col("obj") + 100).alias("dst"), (2 * F.col("seq") + 1).alias("time"))
+    return taints.request_taints(t, down.unionByName(back), hops).withColumnRenamed("primary", "own")
 
 
-#: Value flow: parts are values, ten in a row are a function; the kinds of edges take turns.
-_FLOW = """flow AS (
-    SELECT p_partkey // 10 AS fn, p_partkey AS src, p_partkey + 1 AS dst, CASE p_size % 8 WHEN 0 THEN 'USAGE' WHEN 1 THEN 'FIELD' WHEN 2 THEN 'INDEX' WHEN 3 THEN 'MAP_UPDATE' WHEN 4 THEN 'BINOP_X' WHEN 5 THEN 'ARG_ON_CALL' WHEN 6 THEN 'EXTRACT' ELSE 'RECEIVER_ON_CALL' END AS etype,
-           CASE p_size % 8 WHEN 1 THEN '.f' || (p_size % 3) WHEN 2 THEN '[*]' WHEN 3 THEN '.Key' ELSE '' END AS segment, CASE WHEN p_size % 8 = 4 THEN CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '==' END WHEN p_size % 8 = 5 THEN CASE WHEN p_partkey % 2 = 0 THEN 'append' ELSE 'Print' END END AS op
-    FROM part WHERE p_partkey % 10 <> 9
+#: Kinds of value-flow edges take turns; the fixed segment of each, and its steps forward and backward.
+_KINDS = tuple(graph.EDGE_RULES)
+_SEGMENTS = {"INDEX": "[*]", "MAP_UPDATE": ".MapVal", "MAP_KEY": ".MapKey.Key", "MAP_VALUE": ".MapVal", "LOOKUP_MAP": ".MapVal", "LOOKUP_MAP_INDEX": ".MapVal"}
+_OPERATORS, _CALLEES = ("+", "==", "-", "<"), ("append", "Print", "Itoa", "ParseInt", "Sprintf")
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+#: Value flow: parts are values, ten in a row are a function.
+_FLOW = f"""flow AS (
+    SELECT fn, src, dst, etype, CASE WHEN etype = 'FIELD' THEN '.f' || (src % 3) ELSE coalesce(s.segment, '') END AS segment,
+           CASE WHEN etype IN ('BINOP_X', 'BINOP_Y') THEN {_list(_OPERATORS)}[src % {len(_OPERATORS)} + 1] WHEN etype = 'ARG_ON_CALL' THEN {_list(_CALLEES)}[src % {len(_CALLEES)} + 1] END AS op
+    FROM (SELECT p_partkey // 10 AS fn, p_partkey AS src, p_partkey + 1 AS dst, {_list(_KINDS)}[(p_size + p_partkey) % {len(_KINDS)} + 1] AS etype FROM part WHERE p_partkey % 10 <> 9)
+    LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _SEGMENTS.items())}) s(etype, segment) USING (etype)
 )"""
 
 
 def flow_of(spark: SparkSession, d: str) -> DataFrame:
-    key, size = F.col("p_partkey"), F.col("p_size")
-    m = size % 8
-    kind = F.element_at(F.array(*map(F.lit, ("USAGE", "FIELD", "INDEX", "MAP_UPDATE", "BINOP_X", "ARG_ON_CALL", "EXTRACT", "RECEIVER_ON_CALL"))), (m + 1).cast("int"))
-    segment = F.when(m == 1, text(".f", size % 3)).when(m == 2, "[*]").when(m == 3, ".Key").otherwise("")
-    op = F.when(m == 4, F.when(key % 2 == 0, "+").otherwise("==")).when(m == 5, F.when(key % 2 == 0, "append").otherwise("Print"))
-    return table(spark, d, "part").where(key % 10 != 9).select(
-        F.floor(key / 10).alias("fn"), key.alias("src"), (key + 1).alias("dst"), kind.alias("etype"), segment.alias("segment"), op.alias("op"),
+    key = F.col("p_partkey")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    kind = pick(_KINDS, F.col("p_size") + key)
+    segment = F.when(F.col("etype") == "FIELD", text(".f", key % 3)).otherwise(F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in _SEGMENTS.items() for x in p)), F.col("etype")), F.lit("")))
+    op = F.when(F.col("etype").isin("BINOP_X", "BINOP_Y"), pick(_OPERATORS, key)).when(F.col("etype") == "ARG_ON_CALL", pick(_CALLEES, key))
+    return table(spark, d, "part").where(key % 10 != 9).withColumn("etype", kind).select(
+        F.floor(key / 10).alias("fn"), key.alias("src"), (key + 1).alias("dst"), "etype", segment.alias("segment"), op.alias("op"),
         F.lit(0).alias("index"), key.cast("int").alias("ord"),
     )
 
 
-@query("value_taints", f"""WITH RECURSIVE {_FLOW}, rules(etype, f, b) AS (VALUES ('USAGE', 'copy', 'copy'), ('FIELD', 'pop', 'push'), ('INDEX', 'pop', 'push'), ('MAP_UPDATE', 'push', 'stop'), ('BINOP_X', 'copy', 'stop'), ('ARG_ON_CALL', 'copy', 'stop'), ('EXTRACT', 'stop', 'stop'), ('RECEIVER_ON_CALL', 'copy', 'copy')),
-    u AS (SELECT f.src, f.dst, f.segment, r.f, r.b FROM flow f JOIN rules r USING (etype) WHERE coalesce(op, '') NOT IN ('==', 'Print') AND f.src % 10 NOT IN (7)),
-    moves AS (SELECT src AS a, dst AS z, segment, f AS how FROM u WHERE f <> 'stop' UNION SELECT dst, src, segment, b FROM u WHERE b <> 'stop'),
-    r AS (SELECT p_partkey AS id, '_obj' AS objpath, 'db.c.f' || (p_partkey % 5) AS fieldpath FROM part WHERE p_partkey % 10 = 3
-          UNION SELECT z, CASE WHEN how = 'copy' THEN objpath WHEN how = 'push' THEN '_obj' || segment || substr(objpath, 5) WHEN objpath = '_obj' THEN '_obj' ELSE '_obj' || substr(objpath, 5 + length(segment)) END,
-                CASE WHEN how = 'pop' AND objpath = '_obj' THEN fieldpath || segment ELSE fieldpath END
-          FROM r JOIN moves ON r.id = moves.a WHERE how <> 'pop' OR objpath = '_obj' OR starts_with(substr(objpath, 5), segment))
-    SELECT id, objpath, fieldpath FROM r""")
+_RULES = ", ".join(f"('{k}', '{f}', '{b}')" for k, (f, b) in graph.EDGE_RULES.items())
+_COMPARED, _FLOWING = (", ".join(f"'{x}'" for x in xs) for xs in (graph.COMPARISONS, graph.FLOWING_CALLS))
+_MOVES = f"""rules(etype, f, b) AS (VALUES {_RULES}),
+    inside AS (SELECT p_partkey AS id FROM part WHERE p_size = 13),
+    u AS (SELECT f.src, f.dst, f.segment, r.f, r.b FROM flow f JOIN rules r USING (etype) WHERE NOT (etype IN ('BINOP_X', 'BINOP_Y') AND op IN ({_COMPARED})) AND NOT (etype = 'ARG_ON_CALL' AND op NOT IN ({_FLOWING}))
+          AND src NOT IN (SELECT id FROM inside) AND dst NOT IN (SELECT id FROM inside)),
+    moves AS (SELECT src AS a, dst AS z, segment, f AS how FROM u WHERE f <> 'stop' UNION SELECT dst, src, segment, b FROM u WHERE b <> 'stop')"""
+_STEP = """SELECT z AS id, CASE WHEN how = 'copy' THEN objpath WHEN how = 'push' THEN '_obj' || segment || substr(objpath, 5) WHEN objpath = '_obj' THEN '_obj' ELSE '_obj' || substr(objpath, 5 + length(segment)) END AS objpath,
+                CASE WHEN how = 'pop' AND objpath = '_obj' THEN fieldpath || segment ELSE fieldpath END AS fieldpath
+          FROM r JOIN moves ON r.id = moves.a WHERE how <> 'pop' OR objpath = '_obj' OR starts_with(substr(objpath, 5), segment)"""
+_SEEDS = "SELECT p_partkey AS id, '_obj' AS objpath, 'db.c.f' || (p_partkey % 5) AS fieldpath FROM part"
+
+
+def _flow_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, seeds (every part) and the values used inside filter documents."""
+    part, key = table(spark, d, "part"), F.col("p_partkey")
+    seeds = part.select(key.alias("id"), F.lit("_obj").alias("objpath"), text("db.c.f", key % 5).alias("fieldpath"))
+    return flow_of(spark, d), seeds, part.where("p_size = 13").select(key.alias("id"))
+
+
+@query("value_taints", f"WITH RECURSIVE {_FLOW}, {_MOVES}, r AS ({_SEEDS} UNION {_STEP}) SELECT id, objpath, fieldpath FROM r")
 def value_taints(spark, d):
-    """Taints that seeds hand on inside functions, both ways over value-flow edges; values inside filter documents stop them."""
-    flow = flow_of(spark, d).where("src % 10 <> 7")  # the value after each eighth is used inside a filter document
-    seeds = table(spark, d, "part").where("p_partkey % 10 = 3").select(F.col("p_partkey").cast("string").alias("id"), F.lit("_obj").alias("objpath"), text("db.c.f", F.col("p_partkey") % 5).alias("fieldpath"))
-    edges = flow.withColumns({"src": F.col("src").cast("string"), "dst": F.col("dst").cast("string")})
-    return graph.propagate(edges, seeds).withColumn("id", F.col("id").cast("long"))
+    """Taints of every value inside its function, both ways over all kinds of value-flow edges; values inside filter documents stop them."""
+    flow, seeds, inside = _flow_parts(spark, d)
+    texts = lambda df, *cs: df.withColumns({c: F.col(c).cast("string") for c in cs})
+    found = graph.propagate(texts(flow, "src", "dst"), texts(seeds, "id"), texts(inside, "id"))
+    return found.select(F.col("id").cast("long").alias("id"), "objpath", "fieldpath")
 
 
 @query("flow_edges_of_kind", f"WITH {_FLOW} SELECT fn, src, dst, etype FROM flow WHERE etype IN ('FIELD', 'INDEX')")
@@ -363,18 +395,19 @@ def taint_pushes(spark, d):
     return taints.push_taints(old, new.select(*columns), targets).withColumnRenamed("primary", "own")
 
 
-@query("combine_calls", """WITH RECURSIVE c AS (SELECT n_nationkey AS callee, n_nationkey + 5 AS caller, n_regionkey AS site FROM nation UNION SELECT n_nationkey + 5, n_nationkey, 9 FROM nation WHERE n_nationkey % 3 = 0),
-    r AS (SELECT n_nationkey AS fn, 'db.c.f' || n_regionkey AS fieldpath, [n_nationkey] AS stamp, [n_nationkey] AS way FROM nation WHERE n_nationkey < 5
-          UNION ALL SELECT c.caller, fieldpath, list_prepend(c.site, stamp), list_append(way, c.caller) FROM r JOIN c ON r.fn = c.callee WHERE NOT list_contains(way, c.caller))
-    SELECT DISTINCT fn, fieldpath, array_to_string(stamp, '.') AS stamp FROM r""")
+@query("combine_calls", f"""WITH RECURSIVE {_FLOW}, {_MOVES.replace("moves AS (", "within AS (")},
+    moves AS (SELECT * FROM within UNION SELECT p_partkey, (p_partkey // 10) // 3 * 10 + (p_partkey // 10) % 3, '', 'copy' FROM part WHERE p_partkey % 10 = 5 AND p_partkey >= 10),
+    r AS ({_SEEDS} UNION {_STEP})
+    SELECT id // 10 AS fn, id AS obj, objpath, fieldpath FROM r""")
 def combine_calls(spark, d):
-    """Taints of callees seen from all their callers, stamps prefixed by call sites; cycles end."""
-    n = table(spark, d, "nation")
-    up = n.select(F.col("n_nationkey").alias("callee"), (F.col("n_nationkey") + 5).alias("caller"), F.col("n_regionkey").alias("site"))
-    down = n.where("n_nationkey % 3 = 0").select((F.col("n_nationkey") + 5).alias("callee"), F.col("n_nationkey").alias("caller"), F.lit(9).alias("site"))
-    calls = up.unionByName(down).withColumns({"inner": F.lit("p"), "outer": F.lit("p")})
-    seeds = n.where("n_nationkey < 5").select(F.col("n_nationkey").alias("fn"), F.lit("p").alias("obj"), F.lit("_obj").alias("objpath"), text("db.c.f", F.col("n_regionkey")).alias("fieldpath"), F.array("n_nationkey").alias("stamp"))
-    return taints.combine_calls(calls, seeds).select("fn", "fieldpath", F.array_join("stamp", ".").alias("stamp")).distinct()
+    """Taints of every function seen from its callers and spread inside them: three callees a function, a result of each is one of its first values."""
+    flow, seeds, inside = _flow_parts(spark, d)
+    key, fn = F.col("p_partkey"), F.floor(F.col("p_partkey") / 10)
+    of = lambda df: df.withColumnRenamed("id", "obj").withColumn("fn", F.floor(F.col("obj") / 10))
+    results = table(spark, d, "part").where((key % 10 == 5) & (key >= 10))
+    calls = results.select(F.floor(fn / 3).alias("caller"), fn.alias("callee"), (fn % 3).cast("int").alias("site"), key.alias("inner"), (F.floor(fn / 3) * 10 + fn % 3).alias("outer"))
+    found = taints.combine_calls(calls, of(seeds).withColumn("stamp", F.array(F.col("obj").cast("int"))), flow, of(inside))
+    return found.select("fn", "obj", "objpath", "fieldpath")
 
 
 _BODY = """calls AS (SELECT 'n' || n_nationkey AS fn, 'c' || n_nationkey AS call_id, 'n' || (n_nationkey + 5) AS callee, CASE WHEN n_nationkey % 2 = 0 THEN 'method' ELSE 'service' END AS kind FROM nation

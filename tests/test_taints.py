@@ -33,3 +33,31 @@ def test_combining_ends_on_recursion(spark):
     seed = spark.createDataFrame([("g", "q", "_obj", "db.t.f", [2])], "fn string, obj string, objpath string, fieldpath string, stamp array<int>")
     found = sorted((r.fn, r.obj, r.stamp) for r in taints.combine_calls(calls, seed).collect())
     assert found == [("f", "p", [7, 2]), ("g", "q", [2]), ("main", "x", [4, 7, 2])]
+
+
+def test_layers_of_calls_do_not_multiply(spark):
+    """Twenty levels with three callees each: 3^20 call paths, one row a function, with the first shortest stamp."""
+    calls = spark.createDataFrame([(f"{i}.{a}", f"{i + 1}.{b}", 10 * a + b, "p", "p") for i in range(20) for a in range(3) for b in range(3)], "caller string, callee string, site int, inner string, outer string")
+    seed = spark.createDataFrame([("20.1", "p", "_obj", "db.t.f", [7])], "fn string, obj string, objpath string, fieldpath string, stamp array<int>")
+    found = {r.fn: r.stamp for r in taints.combine_calls(calls, seed).collect()}
+    assert len(found) == 61 and found["0.2"] == [20, *[0] * 18, 1, 7]
+
+
+def test_taints_spread_inside_callers(spark):
+    calls = spark.createDataFrame([("g", "f", 3, "r", "x"), ("h", "g", 5, "z", "y")], "caller string, callee string, site int, inner string, outer string")
+    edges = spark.createDataFrame([("g", "USAGE", "x", "w", "", None), ("g", "FIELD", "w", "z", ".A", None), ("g", "USAGE", "x", "b", "", None), ("g", "USAGE", "b", "c", "", None)], "fn string, etype string, src string, dst string, segment string, op string")
+    seed = spark.createDataFrame([("f", "r", "_obj", "db.t", [1])], "fn string, obj string, objpath string, fieldpath string, stamp array<int>")
+    blocked = spark.createDataFrame([("g", "b")], "fn string, obj string")
+    found = {(r.fn, r.obj, r.objpath, r.fieldpath, tuple(r.stamp)) for r in taints.combine_calls(calls, seed, edges, blocked).collect()}
+    assert {("g", "x", "_obj", "db.t", (3, 1)), ("g", "w", "_obj", "db.t", (3, 1)), ("g", "z", "_obj", "db.t.A", (3, 1)), ("h", "y", "_obj", "db.t.A", (5, 3, 1))} <= found
+    assert not {o for _, o, *_ in found} & {"b", "c"}
+
+
+def test_taints_follow_the_order_of_the_walk(spark):
+    """a calls b, then b calls c; what c holds comes back to b, but the call from a has been left by then: a closure would say that a gets it."""
+    schema = "req long, obj_id string, objpath string, fieldpath string, call_id string, op string, primary boolean"
+    t = spark.createDataFrame([(1, "a", "_obj", "db.a", "k", "R", True), (1, "c", "_obj", "db.c", "k", "R", True), (1, "b", "_obj", "db.z", "k", "R", False)], schema)
+    pairs = spark.createDataFrame([("a", "b", 2), ("b", "a", 5), ("b", "c", 4), ("c", "b", 7)], "src string, dst string, time long")
+    hops = spark.createDataFrame([("c", "q", 3), ("b", "q", 3)], "src string, dst string, time long")
+    found = {(r.obj_id, r.fieldpath, r.at, r.primary) for r in taints.request_taints(t, pairs, hops).collect()}
+    assert found == {("a", "db.a", 0, True), ("b", "db.a", 2, False), ("c", "db.a", 4, False), ("c", "db.c", 0, True), ("b", "db.c", 7, False), ("q", "db.c", 3, False)}
