@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,7 +31,18 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+    if all(re.fullmatch(r"\w+", c) for c in df.columns):
+        return df.mapInArrow(f, schema)
+    # mapInArrow resolves columns by their names as expressions: odd ones travel under their positions, and ``f`` sees their own.
+    schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    own, out = df.columns, [f"c{i}" for i in range(len(schema))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in f(pa.RecordBatch.from_arrays(x.columns, names=own) for x in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=out)
+
+    moved = df.toDF(*(f"c{i}" for i in range(len(own)))).mapInArrow(run, StructType([StructField(n, x.dataType, x.nullable) for n, x in zip(out, schema, strict=True)]))
+    return moved.toDF(*schema.names)
 
 
 def arrow_extend(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], added: list[StructField]) -> DataFrame:
@@ -54,6 +66,11 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression: dots and backticks in it are taken as they are."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh_name(wanted: str, taken: list[str]) -> str:
     """``wanted``, or the first of ``wanted_2``, ``wanted_3`` ... that no column in ``taken`` has (ignoring case)."""
     low, k, name = {t.lower() for t in taken}, 2, wanted

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.staging import stage, unstage
-from .common import arrow_map, fresh_name, utf8_values
+from .common import arrow_map, fresh_name, quoted, utf8_values
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -315,7 +315,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     merged = merged.groupBy(F.col("digest").alias(found_digest)).agg(F.flatten(F.collect_list("spans")).alias(found_spans), F.array_distinct(F.flatten(F.collect_list("items"))).alias(found_items))
     merged = stage(merged, "merged-hits")  # written by itself, so that the join can split a text that repeats over tasks
     unstage(*hits)
-    joined = docs.join(merged, digest == F.col(found_digest), "left").select(*docs.columns, found_spans, found_items)
+    joined = docs.join(merged, digest == F.col(found_digest), "left").select(*(F.col(quoted(c)) for c in (*docs.columns, found_spans, found_items)))
 
     def finish(batches):
         for b in batches:
@@ -399,8 +399,8 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
         found, names = find_contamination(todo, benchmark, text_col, id_col, item_text_col, window, phrase_bytes)
         judged = stage(found, "judged")
         is_hit = F.size(F.col(f"`{names['spans']}`")) > 0
-        done.append(judged.where(~is_hit).select(*(F.col(f"`{c}`") for c in docs.columns)))
-        hit = judged.where(is_hit).select(*(F.col(f"`{c}`") for c in (*docs.columns, names["spans"])))
+        done.append(judged.where(~is_hit).select(*(F.col(quoted(c)) for c in docs.columns)))
+        hit = judged.where(is_hit).select(*(F.col(quoted(c)) for c in (*docs.columns, names["spans"])))
         if hit.isEmpty():
             return reduce(DataFrame.unionByName, done)
         todo = stage(arrow_map(hit, cut, docs.schema), "cut-texts")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import input_tasks, stage, unstage
-from .common import arrow_map, fresh_name, one_batch, utf8_values
+from .common import arrow_map, fresh_name, one_batch, quoted, utf8_values
 from .substring import Hasher, mix
 
 SHINGLE = 5
@@ -329,7 +329,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     leads = leads.select(F.col("doc_id").alias(lead_id), F.col("text_hash").alias(lead_hash)).distinct()
     ident, hashed = F.col(f"`{id_col}`").cast("long"), F.xxhash64(f"`{text_col}`")
     rows = docs.join(leads, ident.eqNullSafe(F.col(lead_id)) & (hashed == F.col(lead_hash)))
-    return rows.dropDuplicates([lead_id, lead_hash]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.dropDuplicates([lead_id, lead_hash]).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

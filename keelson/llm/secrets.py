@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .common import fresh_name
+from .common import fresh_name, quoted
 
 #: Documents of one block of the index, on average.
 BLOCK_DOCS = 4096
@@ -234,7 +234,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretRul
     """``docs`` with an array column of spans (start, rank, end, kind) by start, then rule order; and that column's name."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key, cand = fresh_name("row_key", docs.columns), fresh_name("cand", docs.columns)
-    ids = [F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]
+    ids = [F.col(quoted(c)) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]  # these have no hash; candidates depend on the text alone
     keyed = docs.withColumn(key, F.xxhash64(*ids))
     found = candidates(keyed, key, text, rules).withColumnRenamed("cand", cand)
     # Written by itself: the join can then split a row that repeats very often over tasks.
@@ -245,7 +245,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretRul
         ask = F.coalesce(F.array_contains(cand, r.kind), F.lit(False)) if trigram_query(r.pattern) else F.rlike(text, F.lit(r.pattern))
         lists.append(F.when(ask, match_spans(text, r, i)).otherwise(none))
     spans = fresh_name("spans", docs.columns)
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.sort_array(F.concat(*lists)).alias(spans)), spans
+    return joined.select(*(F.col(quoted(c)) for c in docs.columns), F.sort_array(F.concat(*lists)).alias(spans)), spans
 
 
 def spans_string(spans: Column) -> Column:

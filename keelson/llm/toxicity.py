@@ -9,9 +9,9 @@ A document's score is that of its worst window: all windows of whole texts are s
 Labels belong to documents, so training looks for the window that carries the label: each round, the current
 network picks the highest window of each document, and gradients go through it (plus a random one of clean documents).
 
-The network is fitted on the driver to at most ``SAMPLE`` labelled documents of each class, chosen by a hash of the id among
-labels, each of at most ``SAMPLE_CHARS`` code points (longer ones are scored, but not learned from), so what the driver gets is bounded; its
-size is fixed.  Scoring is one pass over the documents, without a shuffle.
+The network is fitted on the driver to at most ``SAMPLE`` labelled documents of each class, chosen by a hash of the id among the labels whose document has a text of at most ``SAMPLE_CHARS`` code
+points (longer ones are scored, but not learned from), and to those of a class together only up to ``SAMPLE_TEXT`` code points, so what the driver gets is bounded; its size is fixed.  Labels without such a document are not
+counted.  Scoring is one pass over the documents, without a shuffle.
 
 Defined results for odd input: null or wordless texts score 0; without labels of both classes every text scores the
 share of toxic labels (0 if there are none); equal texts get equal scores, each row its own; an id with several labels is toxic if one of
@@ -25,15 +25,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, utf8_values
 from .decontam import fold_words
 
 WINDOW, STRIDE = 32, 16
-#: Labelled documents of each class that are learned from, at most, and code points that one of them may have.
-SAMPLE, SAMPLE_CHARS = 1500, 65_536
+#: Labelled documents of each class that are learned from, at most, and code points that one of them, and all of a class, may have.
+SAMPLE, SAMPLE_CHARS, SAMPLE_TEXT = 1500, 65_536, 16 << 20
 BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 8, 12, 8
 ROUNDS, BATCH, RATE = 8, 64, 0.01
 CUT = 0.3
@@ -258,9 +258,14 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, float]:
     """A network from the labelled documents that are not held out, and the share of toxic ones among them."""
     usable = labels.where(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by_class = [usable.where((F.col("toxic") > 0) == bool(c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    chosen = F.broadcast(by_class[0].unionByName(by_class[1]))  # at most twice `sample` rows
-    short = docs.where(~is_held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").join(chosen, "doc_id")
+    fits = docs.where(~is_held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
+    # The sample is taken from labels that have a text to learn from, so that others do not use it up.
+    known = usable.join(fits.groupBy("doc_id").agg(F.max(F.length("text")).alias("chars")), "doc_id")
+    order = Window.partitionBy("is_toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = known.withColumn("is_toxic", F.col("toxic") > 0).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    within = ranked.withColumn("total", F.sum("chars").over(order)).where(F.col("total") <= SAMPLE_TEXT)  # a window over at most `sample` rows
+    chosen = F.broadcast(within.select("doc_id", "toxic"))  # at most twice `sample` rows
+    short = fits.join(chosen, "doc_id")
     rows = short.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", "toxic").collect()
     rows = sorted((r["doc_id"], r["text"], int(r["toxic"] > 0)) for r in rows)
     y = [r[2] for r in rows]

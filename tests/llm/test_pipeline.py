@@ -69,3 +69,26 @@ def test_run_is_its_stages(spark, data):
     packed = corpus_pipeline.run(spark, data)
     assert packed.count() > 0 and {"sequence_id", "offset"} <= set(packed.columns)
     assert len(corpus_pipeline.STAGES) == 5 and not re.search(r"limit\(|sample\(", open(corpus_pipeline.__file__).read())
+
+
+def test_odd_column_names(spark, tmp_path):
+    """Dots, backticks, blanks and arrays of maps in further columns, in every operator that keeps columns."""
+    from keelson.llm import decontam, pii, quality, secrets, substring
+
+    prose = "\n".join(" ".join("".join(chr(97 + (i * k * k + 7 * j + k) % 26) for k in range(3 + (i + j) % 5)) for i in range(12)) + "." for j in range(12)) + " token=abcdefgh"
+    docs = spark.createDataFrame([(1, prose, 0.5, "q", [{"k": 1}], 3), (2, prose + " end.", 0.5, "q", [{"k": 2}], 4)], "doc_id long, text string, `a.b` double, `back``tick` string, `m m` array<map<string,int>>, `A` int")
+    bench = spark.createDataFrame([("i", " ".join(prose.split()[5:16]))], "item_id string, text string")
+    found, names = decontam.find_contamination(docs, bench)
+    assert found.columns[: len(docs.columns)] == docs.columns and [r[names["n_words"]] > 0 for r in found.collect()] == [True, True]
+    small, names = decontam.find_contamination(docs, bench.union(bench), phrase_bytes=1)
+    assert small.count() == 2
+    assert decontam.remove_contamination(docs, bench).collect()[0]["back`tick"] == "q" and decontam.remove_contamination(docs, bench.union(bench), phrase_bytes=1).count() == 2
+    assert substring.dedup(docs)[0].columns[: len(docs.columns)] == docs.columns and substring.dedup(docs)[0].count() == 2
+    assert quality.with_counts(docs).count() == 2
+    spotted, spans = secrets.find_secrets(docs)
+    assert [len(r[spans]) for r in spotted.collect()] == [1, 1] and spotted.columns == [*docs.columns, spans]
+    assert pii.mask_personal(docs).columns == docs.columns
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage_of in corpus_pipeline.STAGES[:4]:
+        out = stage_of(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and all(r["m m"] in ([{"k": 1}], [{"k": 2}]) for r in out.collect())

@@ -85,3 +85,57 @@ def test_any_half_window_lies_whole_in_a_window():
     doc, first = toxicity.windows_of(np.array([300]))
     for at in range(300 - toxicity.STRIDE):
         assert any(s <= at and at + toxicity.STRIDE <= s + toxicity.WINDOW for s in first.tolist())
+
+
+def test_labels_without_usable_documents_do_not_use_up_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, seed=7: seen.append(dict(zip(texts, labels, strict=True))))
+    docs = [(i, f"t{i}" if i % 3 else "x " * toxicity.SAMPLE_CHARS) for i in range(600)]
+    labels = [(i, i % 2) for i in range(15_000)]
+    usable = {f"t{i}".encode(): i % 2 for i in range(600) if i % 3 and zlib.crc32(str(i).encode()) % 4 != 2}
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")  # noqa: E741
+    toxicity.learn(d, l, sample=200)
+    assert seen[0] == usable
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT", 100)
+    toxicity.learn(d, l, sample=200)
+    assert set(seen[1].items()) < set(usable.items()) and all(sum(len(t) for t, y in seen[1].items() if y == c) <= 100 for c in (0, 1))
+
+
+def plain_score(net, text):
+    """The score of a text word by word, with plain numbers: no batches, no masks, no padding."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p, words, best = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.fold_words(text.encode()), 0.0
+    inputs = []
+    for w in words:
+        f = toxicity.Features([w])
+        inputs.append(np.concatenate([p["words"][f.word[0]], sum(p["grams"][g] for g in f.gram) / len(f.gram)]))
+    starts = [0]
+    while starts[-1] + toxicity.WINDOW < len(words):
+        starts.append(starts[-1] + toxicity.STRIDE)
+    for s in starts:
+        part = inputs[s : s + toxicity.WINDOW]
+        states = {}
+        for d, seq in (("f", part), ("b", part[::-1])):
+            h, out = np.zeros(toxicity.HIDDEN), []
+            for x in seq:
+                g, u, n = x @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"], toxicity.HIDDEN
+                z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
+                h = (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :]) + z * h
+                out.append(h)
+            states[d] = out if d == "f" else out[::-1]
+        both = [np.concatenate(x) for x in zip(states["f"], states["b"], strict=True)]
+        e = [np.tanh(h @ p["A"] + p["a"]) @ p["v"] for h in both]
+        w = np.exp(np.array(e) - max(e))
+        pooled = sum(a * h for a, h in zip(w / w.sum(), both, strict=True))
+        best = max(best, float(sig(pooled @ p["u"] + p["bias"][0])))
+    return best
+
+
+def test_scores_word_by_word(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = ["alpha", "beta", "zukkan", "é", "漢字", "longerword" * 3, "x1"]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 5, 31, 32, 33, 48, 49, 150)]
+    net = toxicity.train([t.encode() for t in texts], [i % 2 for i in range(len(texts))])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, net).collect()}
+    assert all(abs(got[i] - plain_score(net, t)) < 1e-4 for i, t in enumerate(texts))
