@@ -10,19 +10,25 @@ length are processed whole; an empty table of documents gives no pieces, an empt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import decontam, jaccard, packing, quality, secrets
+from keelson.llm.common import quoted
 from keelson.plans.staging import stage, unstage
 
 
+def _named(columns: list[str]) -> list[Column]:
+    """Columns by their names, dots and backticks in them taken as they are."""
+    return [F.col(quoted(c)) for c in columns]
+
+
 def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
     """``docs`` with another text and the n_chars that belongs to it."""
     changed = docs.withColumn("text", text)
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*columns)
+    return changed.select(*_named(columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +38,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = quality.learn(narrow, quality.added_columns(["text"]))
     unstage(narrow)
     judged = quality.judge(quality.with_counts(docs), model, names)
-    return judged.where(F.col(f"`{names['kept']}`")).select(*docs.columns)
+    return judged.where(F.col(f"`{names['kept']}`")).select(*_named(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
