@@ -261,9 +261,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net
     fits = docs.where(~is_held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
     # The sample is taken from labels that have a text to learn from, so that others do not use it up.
     known = usable.join(fits.groupBy("doc_id").agg(F.max(F.length("text")).alias("chars")), "doc_id")
-    order = Window.partitionBy("is_toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.withColumn("is_toxic", F.col("toxic") > 0).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
-    within = ranked.withColumn("total", F.sum("chars").over(order)).where(F.col("total") <= SAMPLE_TEXT)  # a window over at most `sample` rows
+    by_class = [known.where((F.col("toxic") > 0) == bool(c)).withColumn("class", F.lit(c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
+    so_far = F.sum("chars").over(Window.partitionBy("class").orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at most `sample` rows
+    within = by_class[0].unionByName(by_class[1]).withColumn("total", so_far).where(F.col("total") <= SAMPLE_TEXT)
     chosen = F.broadcast(within.select("doc_id", "toxic"))  # at most twice `sample` rows
     short = fits.join(chosen, "doc_id")
     rows = short.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", "toxic").collect()
