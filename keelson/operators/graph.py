@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors, is_prefix, upper_path
 from ..plans.config import AnalysisConfig
 from ..plans.ranking import global_row_number
-from ..plans.staging import stage, unstage
+from ..plans.staging import input_tasks, stage, unstage
 
 #: Rounds after which the tables of a fixpoint are written together, so that a long one does not read ever more of them.
 COMPACT_ROUNDS = 16
@@ -265,12 +265,23 @@ def traverse(edges: DataFrame, entries: DataFrame, hops: DataFrame | None = None
 
 
 def queue_hops(pushes: DataFrame, pops: DataFrame) -> DataFrame:
-    """Each push with the first pop of its queue that comes after it: (push, pop, queue).  One window over a queue, no pairs."""
+    """Each push with the first pop of its queue that comes after it: (push, pop, queue).
+
+    Rows are dealt out by ranges of (queue, order), so a queue may span many tasks.  Inside a range a window looks for the next pop; where there is none, it is the first pop of the queue's next range
+    that has one, from one row a range.
+    """
     p = pushes.select("queue", F.col("id").alias("push"), F.lit(None).cast(pops.schema["id"].dataType).alias("pop"), "ord")
     rows = p.unionByName(pops.select("queue", F.lit(None).cast(pushes.schema["id"].dataType).alias("push"), F.col("id").alias("pop"), "ord"))
-    # Of a push and a pop with one number the push comes second, so that the pop is not after it.
-    later = Window.partitionBy("queue").orderBy("ord", F.col("pop").isNull()).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("next", F.first("pop", ignorenulls=True).over(later)).where("push IS NOT NULL AND next IS NOT NULL").select("push", F.col("next").alias("pop"), "queue")
+    # Of a push and a pop with one number the push comes second, so that the pop is not after it; pops with one number come by their ids.
+    order = ("ord", F.col("pop").isNull(), "pop")
+    ranged = stage(rows.repartitionByRange(input_tasks(rows.sparkSession), "queue", *order).withColumn("range", F.spark_partition_id()), "queue-ranges")
+    inside = Window.partitionBy("queue", "range").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    near = ranged.withColumn("next", F.first("pop", ignorenulls=True).over(inside)).where("push IS NOT NULL")
+    firsts = ranged.groupBy("queue", "range").agg(F.min(F.when(F.col("pop").isNotNull(), F.struct("ord", "pop")))["pop"].alias("first"))
+    after = Window.partitionBy("queue").orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    later = firsts.select("queue", "range", F.first("first", ignorenulls=True).over(after).alias("later"))
+    found = near.join(later, ["queue", "range"]).withColumn("next", F.coalesce("next", "later"))
+    return found.where("next IS NOT NULL").select("push", F.col("next").alias("pop"), "queue")
 
 
 def match_arguments(args: DataFrame, params: DataFrame) -> DataFrame:
@@ -278,6 +289,21 @@ def match_arguments(args: DataFrame, params: DataFrame) -> DataFrame:
     return args.join(params, ["callee", "pos"]).select("call_id", "callee", "pos", "obj", "param")
 
 
+def match_results(extracted: DataFrame, results: DataFrame) -> DataFrame:
+    """Values (call_id, callee, pos, obj) that a caller takes out of a call with the callee's results (callee, pos, result) at the same position."""
+    return extracted.join(results, ["callee", "pos"]).select("call_id", "callee", "pos", "obj", "result")
+
+
+def call_pairs(args: DataFrame, params: DataFrame, extracted: DataFrame, results: DataFrame, calls: DataFrame) -> DataFrame:
+    """(src, dst, time): what stands for each other across calls (call_id, enter, leave): arguments and parameters forward when the callee is entered, parameters and results back when it is left."""
+    when = calls.select("call_id", "enter", "leave")
+    a = match_arguments(args, params).join(when, "call_id")
+    r = match_results(extracted, results).join(when, "call_id")
+    down = a.select(F.col("obj").alias("src"), F.col("param").alias("dst"), F.col("enter").alias("time"))
+    up = a.select(F.col("param").alias("src"), F.col("obj").alias("dst"), F.col("leave").alias("time"))
+    return down.unionByName(up).unionByName(r.select(F.col("result").alias("src"), F.col("obj").alias("dst"), F.col("leave").alias("time")))
+
+
 def stamp_window(t: Column, stamp: Column, after: bool) -> Column:
     """Taints up to a stamp, or from it on; the stamp itself is in both."""
     return t >= stamp if after else t <= stamp

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_read, is_write, is_write_or_update
@@ -29,6 +29,21 @@ def operation_pairs(ops: DataFrame) -> DataFrame:
     return side(1).join(side(2), ["req", "obj"]).where("seq1 < seq2 AND db1 <> db2").select(*PAIR_COLUMNS)
 
 
+def pair_counts(ops: DataFrame) -> DataFrame:
+    """Pairs of kinds of operations (op1, rk1, rv1, f1, db1 and the same with 2) and the number ``n`` of ordered pairs of operations of one request and object in different databases that have them.
+
+    No pair is listed: an operation is repeated once for each kind that its object sees, and a running count over two kinds tells how many first operations come before each second one.
+    """
+    names = (("db", "db"), ("field", "f"), ("op", "op"), ("rk", "rk"), ("rv", "rv"))
+    side = lambda df, i, *more: df.select("req", "obj", *more, *(F.col(a).alias(f"{b}{i}") for a, b in names))
+    kinds = ops.groupBy("req", "obj", *(a for a, _ in names)).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    columns = [f"{b}{i}" for i in (1, 2) for _, b in names]
+    met = lambda near, far: side(ops, near, "seq").join(side(kinds, far), ["req", "obj"]).where("db1 <> db2").select("req", "obj", *columns, "seq", F.lit(near == 1).cast("int").alias("is_first"))
+    so_far = Window.partitionBy("req", "obj", *columns).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = met(1, 2).unionByName(met(2, 1)).withColumn("before", F.sum("is_first").over(so_far))
+    return counted.where("is_first = 0 AND before > 0").groupBy(*columns).agg(F.sum("before").alias("n"))
+
+
 def unordered_pairs(ops: DataFrame) -> DataFrame:
     """(req, lo, hi, obj): each two operations of one request on one object once, whichever comes first; of several objects the least."""
     other = ops.select("req", "obj", F.col("event_id").alias("hi"))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
-from ..operators import detectors, references
+from ..operators import detectors, references, taints
 from ..plans.config import AnalysisConfig
 from ..plans.facts import SCHEMAS, is_primary, is_unique
-from ..plans.staging import scratch_path, write_file
+from ..plans.staging import scratch_path, stage, write_file
 from ..sinks import writers
 from ..sources import ddl, files, wiring
-from .integrity import _CASCADE, _COORD, _FK, _OPS, _RACES, _UNIQUE, daily_ops_of, ops_of, query, refs_and_votes_of, staged_refs_of, table
-from .program import text
+from .integrity import _CASCADE, _COORD, _FK, _OPS, _RACES, _UNIQUE, daily_ops_and_refs_of, daily_ops_of, ops_and_refs_of, ops_of, ops_refs_votes_of, query, staged_refs_of, table
+from .program import _GRAPH, graph_input, text
 
 
 def _written(lines: DataFrame, name: str) -> str:
@@ -308,27 +308,35 @@ def value_graph_text(spark, d):
     return writers.value_graph_text(nodes, edges)
 
 
-@query("metrics_file", f"WITH {_OPS} SELECT 'callgraphs: ' || count(DISTINCT req) AS value FROM ops UNION ALL SELECT 'ds_count: ' || count(DISTINCT db) FROM ops UNION ALL SELECT 'ms_count: ' || count(*) FROM region UNION ALL SELECT 'rpcs: ' || count(*) FROM ops WHERE op = 'R'")
+@query("metrics_file", f"""WITH RECURSIVE {_GRAPH} SELECT 'app: tables' AS value UNION ALL SELECT 'callgraphs: ' || count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'ds_count: ' || count(DISTINCT dst) FROM reached WHERE etype = 'database'
+    UNION ALL SELECT 'dbaccesses: ' || count(*) FROM reached WHERE etype = 'database' UNION ALL SELECT 'rpcs: ' || count(*) FROM reached WHERE etype = 'service' UNION ALL SELECT 'ms_count: ' || count(DISTINCT src) FROM reached""")
 def metrics_file(spark, d):
-    """Workload counters as YAML, written and read back."""
-    o = ops_of(spark, d)
-    of = lambda name, df, n: df.agg(n.alias("number")).select(F.lit(name).alias("name"), "number")
-    rows = of("callgraphs", o, F.countDistinct("req")).unionByName(of("ds_count", o, F.countDistinct("db"))).unionByName(of("ms_count", table(spark, d, "region"), F.count(F.lit(1)))).unionByName(of("rpcs", o.where("op = 'R'"), F.count(F.lit(1))))
-    return spark.read.text(_written(writers.metrics_yaml(rows), "metrics.yaml"))
+    """Counters of the abstract graph, observed while it is written, and times of the phases, as YAML, written and read back; times differ from run to run and are left out here."""
+    metrics = writers.Metrics()
+    entries, calls = graph_input(spark, d)
+    with metrics.timed("parsing"):
+        edges = metrics.observed(taints.abstract_graph(entries, calls), "graph", rpcs=F.count_if(F.col("etype") == "service"), dbaccesses=F.count_if(F.col("etype") == "database"))
+        staged = stage(edges, "abstract-graph")
+    metrics.count("callgraphs", entries.count())
+    metrics.count("ms_count", staged.select("src").distinct().count())
+    metrics.count("ds_count", staged.where("etype = 'database'").select("dst").distinct().count())
+    path = scratch_path(spark, "metrics.yaml")
+    metrics.write(spark, path, app="tables")
+    return spark.read.text(path).where(~F.rlike("value", F.lit("_s: ")))
 
 
 @query("cascade_report", f"""WITH {_CASCADE}, x AS (SELECT *, row_number() OVER (ORDER BY req, seq, pending_db) AS n FROM cascades)
     SELECT n, 'delete ' || req || '.' || seq || ': ' || db || chr(9) || 'missing cascade #' || n || ': database={{' || pending_db || '}}, pending_fields={{' || fields || '}}' AS line FROM x""")
 def cascade_report(spark, d):
     """The report of missing cascades."""
-    return writers.cascade_report(detectors.missing_cascades(daily_ops_of(spark, d), staged_refs_of(spark, d)))
+    return writers.cascade_report(detectors.missing_cascades(*daily_ops_and_refs_of(spark, d)))
 
 
 @query("race_report", f"""WITH {_FK}, {_RACES}, x AS (SELECT *, row_number() OVER (ORDER BY req, event_id, db) AS n FROM races)
     SELECT n, 'delete #' || n || ': ' || req || '.' || event_id || ', database={{' || db || '}}, writes=' || n_writes || ', written_fields={{' || fields || '}}' AS line FROM x""")
 def race_report(spark, d):
     """The report of deletes that race with writes."""
-    return writers.race_report(detectors.dangerous_deletes(ops_of(spark, d), staged_refs_of(spark, d)))
+    return writers.race_report(detectors.dangerous_deletes(*ops_and_refs_of(spark, d)))
 
 
 for _primary, _name, _kept in ((False, "fk_report", "NOT both_pk AND (fresh_a OR fresh_b)"), (True, "pk_report", "both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END")):
@@ -337,7 +345,7 @@ for _primary, _name, _kept in ((False, "fk_report", "NOT both_pk AND (fresh_a OR
         SELECT n, '{"PRIMARY" if _primary else "FOREIGN"} KEY READS #' || n || ': request ' || req || ', READ ' || e1 || ': ' || f1 || ', READ ' || e2 || ': ' || f2 AS line FROM x""")
     def _coordination(spark, d, primary=_primary):
         """The report of uncoordinated reads."""
-        return writers.coordination_report(detectors.key_coordination(ops_of(spark, d), *refs_and_votes_of(spark, d), primary), primary)
+        return writers.coordination_report(detectors.key_coordination(*ops_refs_votes_of(spark, d), primary), primary)
 
 
 @query("unique_report", f"""WITH {_UNIQUE}, x AS (SELECT *, row_number() OVER (ORDER BY req, event_id) AS n FROM uniq)
@@ -347,6 +355,36 @@ def unique_report(spark, d):
     return writers.write_report(writers.unique_report(detectors.unique_conflicts(ops_of(spark, d))), scratch_path(spark, "unique.txt"))
 
 
+def _report_sql(kept: str, name: str) -> str:
+    """Lines of the five reports over the findings that ``kept`` holds for."""
+    of = {
+        "cascade": ("cascades", "req, seq, pending_db", "'delete ' || req || '.' || seq || ': ' || db || chr(9) || 'missing cascade #' || n || ': database={' || pending_db || '}, pending_fields={' || fields || '}'"),
+        "race": ("races", "req, event_id, db", "'delete #' || n || ': ' || req || '.' || event_id || ', database={' || db || '}, writes=' || n_writes || ', written_fields={' || fields || '}'"),
+        "foreign": ("(SELECT * FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b))", "req, e1, e2, f1, f2", "'FOREIGN KEY READS #' || n || ': request ' || req || ', READ ' || e1 || ': ' || f1 || ', READ ' || e2 || ': ' || f2"),
+        "primary": ("(SELECT * FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END)", "req, e1, e2, f1, f2", "'PRIMARY KEY READS #' || n || ': request ' || req || ', READ ' || e1 || ': ' || f1 || ', READ ' || e2 || ': ' || f2"),
+        "unique": ("uniq", "req, event_id", "'write #' || n || ': ' || req || '.' || event_id || ', field (constrained): ' || field || ' (UNIQUE), affected writes=' || n_affected"),
+    }
+    parts = [f"SELECT '{k}' AS report, {line} AS line FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS n FROM {source} x WHERE {kept})" for k, (source, order, line) in of.items()]
+    return f"{name} AS ({' UNION ALL '.join(parts)})"
+
+
+@query("report_statuses", f"""WITH {_CASCADE}, {_COORD.removeprefix(_FK + ', ')}, {_UNIQUE.removeprefix(_OPS + ', ')}, {_RACES}, {_report_sql("true", "new")}, {_report_sql("req % 3 > 0", "old")}
+    SELECT report, status, count(*) AS n FROM (SELECT 'added' AS status, * FROM (SELECT * FROM new EXCEPT ALL SELECT * FROM old) UNION ALL SELECT 'removed', * FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM new)
+        UNION ALL SELECT 'unmodified', * FROM (SELECT * FROM new INTERSECT ALL SELECT * FROM old)) GROUP BY ALL""")
+def report_statuses(spark, d):
+    """All five reports written, and what each changes in the one before; then, a third of the requests had not been seen."""
+    ops, refs, votes = ops_refs_votes_of(spark, d)
+    findings = {
+        "cascade": detectors.missing_cascades(stage(daily_ops_of(spark, d), "daily-operations"), refs), "race": detectors.dangerous_deletes(ops, refs), "foreign": detectors.key_coordination(ops, refs, votes, False),
+        "primary": detectors.key_coordination(ops, refs, votes, True), "unique": detectors.unique_conflicts(ops),
+    }
+    findings = {k: stage(f, f"findings-{k}") for k, f in findings.items()}
+    folder = scratch_path(spark, "reports")
+    writers.save_reports({k: f.where("req % 3 > 0") for k, f in findings.items()}, f"{folder}/earlier")
+    saved = writers.save_reports(findings, f"{folder}/now", f"{folder}/earlier")
+    return saved.groupBy("report", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("call_names", """SELECT s_suppkey, 'S.M.t' || s_suppkey AS call_id, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE -1 END AS number, 'store' || s_suppkey AS store, 'topic' || s_nationkey AS literal, 'i' || md5('f|' || s_suppkey) AS instruction,
     CASE WHEN s_suppkey % 2 = 0 THEN 'reviews' ELSE '*' END AS namespace, 'a\\"b' || s_suppkey || '\\nc' AS label, 'a_b_' || s_suppkey AS dot_id FROM supplier""")
 def call_names(spark, d):

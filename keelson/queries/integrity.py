@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, order, paths
 from ..operators import checks, detectors, graph, references, statements
+from ..plans.config import AnalysisConfig
 from ..plans.facts import is_primary, operation_facts
 from ..plans.ranking import global_row_number
 from ..plans.staging import stage
@@ -59,10 +60,26 @@ def staged_refs_of(spark: SparkSession, d: str) -> DataFrame:
     return stage(refs_of(spark, d), "references")
 
 
-def refs_and_votes_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """References and the votes they come from; the votes of requests stay rows."""
-    votes = stage(references.infer_votes(ops_of(spark, d)), "votes")
-    return stage(references.mandatory_references(votes), "references"), votes
+def staged_ops_of(spark: SparkSession, d: str) -> DataFrame:
+    """The operations, numbered and written once for a query that reads them several times."""
+    return stage(ops_of(spark, d), "operations")
+
+
+def ops_and_refs_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ops = staged_ops_of(spark, d)
+    return ops, stage(references.infer_references(ops), "references")
+
+
+def daily_ops_and_refs_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Operations by the day, and the references of all operations of a user."""
+    return stage(daily_ops_of(spark, d), "daily-operations"), ops_and_refs_of(spark, d)[1]
+
+
+def ops_refs_votes_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Operations, references and the votes they come from; the votes of requests stay rows."""
+    ops = staged_ops_of(spark, d)
+    votes = stage(references.infer_votes(ops), "votes")
+    return ops, stage(references.mandatory_references(votes), "references"), votes
 
 
 def query(name: str, sql: str | None):
@@ -91,6 +108,11 @@ def rules_of(spark: SparkSession, d: str) -> DataFrame:
     return references.pair_rules(references.operation_pairs(ops_of(spark, d)))
 
 
+def counted_rules_of(spark: SparkSession, d: str, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """Rules with the number of their pairs, which are counted and not listed."""
+    return references.pair_rules(references.pair_counts(ops_of(spark, d)), config)
+
+
 def refs_of(spark: SparkSession, d: str) -> DataFrame:
     return references.infer_references(ops_of(spark, d))
 
@@ -235,7 +257,7 @@ for _rule, _name in (("R1", "fk_write_write"), ("R2", "fk_read_write"), ("R3", "
     @query(_name, f"WITH {_RULES} SELECT src, dst, count(*) AS n FROM rules WHERE rule = '{_rule}' AND creates GROUP BY src, dst")
     def _of_rule(spark, d, rule=_rule):
         """Pairs that one rule makes references of."""
-        return rules_of(spark, d).where((F.col("rule") == rule) & F.col("creates")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+        return counted_rules_of(spark, d).where((F.col("rule") == rule) & F.col("creates")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 @query("fk_first_pairs", f"WITH {_RULES} SELECT lo, hi, src, dst, rule, req, seq1, seq2 FROM firsts")
@@ -298,14 +320,14 @@ cascades AS (SELECT l.req, l.seq, l.event_id, l.db, r.pending_db, string_agg(r.p
 @query("detect_cascade", f"WITH {_CASCADE} SELECT * FROM cascades")
 def detect_cascade(spark, d):
     """Deletes without the cascades that references ask for."""
-    return detectors.missing_cascades(daily_ops_of(spark, d), staged_refs_of(spark, d))
+    return detectors.missing_cascades(*daily_ops_and_refs_of(spark, d))
 
 
 @query("cascade_suppressed", f"WITH {_CASCADE} SELECT * FROM cascades WHERE pending_db <> 'db1' AND NOT (pending_db = 'db2' AND db = 'db3')")
 def cascade_suppressed(spark, d):
     """Missing cascades less the suppressed ones: db1 always, db2 when triggered by db3."""
     ignored = spark.createDataFrame([("db1", None), ("db2", "db3")], "db string, trigger_db string")
-    return detectors.missing_cascades(daily_ops_of(spark, d), staged_refs_of(spark, d), ignored)
+    return detectors.missing_cascades(*daily_ops_and_refs_of(spark, d), ignored)
 
 
 @query("detect_concurrency", f"""WITH {_FK}, r AS (SELECT DISTINCT dst_db AS db, src AS field FROM fk WHERE NOT mandatory),
@@ -313,7 +335,7 @@ def cascade_suppressed(spark, d):
     SELECT db, field, (SELECT count(*) FROM ops x WHERE x.op = 'D' AND x.db = hits.db) AS n_deletes, (SELECT count(*) FROM ops w WHERE w.op = 'W' AND starts_with(hits.field, w.field)) AS n_writes, n_conflicts FROM hits""")
 def detect_concurrency(spark, d):
     """Deletes that race with writes of other requests."""
-    return detectors.concurrent_writes(ops_of(spark, d), staged_refs_of(spark, d))
+    return detectors.concurrent_writes(*ops_and_refs_of(spark, d))
 
 
 _RACES = """optref AS (SELECT DISTINCT dst_db AS db, src AS field FROM fk WHERE NOT mandatory),
@@ -325,14 +347,14 @@ races AS (SELECT x.req, x.event_id, x.db, count(DISTINCT w.event_id) AS n_writes
 @query("delete_races", f"WITH {_FK}, {_RACES} SELECT * FROM races")
 def delete_races(spark, d):
     """Deletes with the writes of other requests that they race with."""
-    return detectors.dangerous_deletes(ops_of(spark, d), staged_refs_of(spark, d))
+    return detectors.dangerous_deletes(*ops_and_refs_of(spark, d))
 
 
 @query("write_races", f"""WITH {_FK}, {_RACES} SELECT w.req, w.event_id, w.db, count(DISTINCT x.event_id) AS n_deletes, array_to_string(list_sort(list_distinct(list(w.field))), ', ') AS fields
     FROM race_w w JOIN ops x ON x.op = 'D' AND x.db = w.db AND x.req <> w.req GROUP BY w.req, w.event_id, w.db""")
 def write_races(spark, d):
     """Writes with the deletes of other requests that they race with, and the fields they hit, grouped."""
-    return detectors.conflicting_writes(ops_of(spark, d), staged_refs_of(spark, d))
+    return detectors.conflicting_writes(*ops_and_refs_of(spark, d))
 
 
 _COORD = f"""{_FK}, trues AS (SELECT src, dst, req FROM votes WHERE vote),
@@ -346,13 +368,13 @@ cf AS (SELECT rp.*, {_NUM.format("f1")} % 5 = 0 AND {_NUM.format("f2")} % 5 = 0
 @query("detect_fk_coord", f"WITH {_COORD} SELECT req, e1, e2, f1, f2 FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b)")
 def detect_fk_coord(spark, d):
     """Uncoordinated reads along references."""
-    return detectors.key_coordination(ops_of(spark, d), *refs_and_votes_of(spark, d), primary=False)
+    return detectors.key_coordination(*ops_refs_votes_of(spark, d), primary=False)
 
 
 @query("detect_pk_coord", f"WITH {_COORD} SELECT req, e1, e2, f1, f2 FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END")
 def detect_pk_coord(spark, d):
     """Uncoordinated reads of primary keys."""
-    return detectors.key_coordination(ops_of(spark, d), *refs_and_votes_of(spark, d), primary=True)
+    return detectors.key_coordination(*ops_refs_votes_of(spark, d), primary=True)
 
 
 _UNIQUE = f"""{_OPS}, uniq AS (SELECT req, event_id, field, n_affected FROM (SELECT *, count(*) OVER (PARTITION BY req, obj ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n_affected FROM ops WHERE op = 'W')
@@ -368,9 +390,9 @@ def detect_unique(spark, d):
 @query("warning_summary", f"WITH {_CASCADE}, {_COORD.removeprefix(_FK + ', ')}, {_UNIQUE.removeprefix(_OPS + ', ')}, {_RACES} SELECT 'missing_cascade' AS pattern, count(*) AS n FROM cascades UNION ALL SELECT 'fk_coordination', count(*) FROM cf WHERE NOT both_pk AND (fresh_a OR fresh_b) UNION ALL SELECT 'pk_coordination', count(*) FROM cf WHERE both_pk AND CASE WHEN a_exists THEN fresh_a ELSE fresh_b END UNION ALL SELECT 'unique_conflict', count(*) FROM uniq UNION ALL SELECT 'concurrent_write', CAST(coalesce(sum(n_writes), 0) AS BIGINT) FROM races")
 def warning_summary(spark, d):
     """Number of findings of each of the five detectors; a delete and a write that race are one."""
-    ops, (refs, votes) = ops_of(spark, d), refs_and_votes_of(spark, d)
+    ops, refs, votes = ops_refs_votes_of(spark, d)
     found = {
-        "missing_cascade": detectors.missing_cascades(daily_ops_of(spark, d), refs), "fk_coordination": detectors.key_coordination(ops, refs, votes, False),
+        "missing_cascade": detectors.missing_cascades(stage(daily_ops_of(spark, d), "daily-operations"), refs), "fk_coordination": detectors.key_coordination(ops, refs, votes, False),
         "pk_coordination": detectors.key_coordination(ops, refs, votes, True), "unique_conflict": detectors.unique_conflicts(ops),
     }
     counts = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("pattern"), "n") for k, x in found.items()]

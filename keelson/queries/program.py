@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, paths
 from ..operators import graph, references, taints
 from ..plans.config import AnalysisConfig
-from .integrity import _OPS, _PAIRS, ops_of, query, rules_of, staged_refs_of, table
+from .integrity import _OPS, _PAIRS, counted_rules_of, ops_of, query, staged_refs_of, table
 from .integrity import _FK as _REFS
 
 
@@ -414,17 +414,25 @@ _BODY = """calls AS (SELECT 'n' || n_nationkey AS fn, 'c' || n_nationkey AS call
     UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'db' || (s_suppkey % 6), 'database' FROM supplier)"""
 
 
-@query("abstract_graph", f"""WITH RECURSIVE {_BODY}, body AS (SELECT DISTINCT fn AS src, fn FROM calls UNION SELECT b.src, c.callee FROM body b JOIN calls c ON b.fn = c.fn WHERE c.kind = 'method'),
+_GRAPH = f"""{_BODY}, body AS (SELECT DISTINCT fn AS src, fn FROM calls UNION SELECT b.src, c.callee FROM body b JOIN calls c ON b.fn = c.fn WHERE c.kind = 'method'),
     e AS (SELECT DISTINCT b.src, c.callee AS dst, c.kind AS etype, c.call_id FROM body b JOIN calls c ON b.fn = c.fn WHERE c.kind <> 'method'),
-    seen AS (SELECT DISTINCT 'n' || n_regionkey AS node FROM nation UNION SELECT e.dst FROM seen JOIN e ON seen.node = e.src WHERE e.etype = 'service')
-    SELECT e.* FROM e WHERE src IN (SELECT node FROM seen)""")
-def abstract_graph(spark, d):
-    """Calls that entries reach, with methods of a service inlined."""
+    seen AS (SELECT DISTINCT 'n' || n_regionkey AS node FROM nation UNION SELECT e.dst FROM seen JOIN e ON seen.node = e.src WHERE e.etype = 'service'),
+    reached AS (SELECT e.* FROM e WHERE src IN (SELECT node FROM seen))"""
+
+
+def graph_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and calls: nations call on as methods or services, and their suppliers are calls of databases."""
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     key = F.col("n_nationkey")
     calls = n.select(text("n", key).alias("fn"), text("c", key).alias("call_id"), text("n", key + 5).alias("callee"), F.when(key % 2 == 0, "method").otherwise("service").alias("kind"))
     calls = calls.unionByName(s.select(text("n", F.col("s_nationkey")).alias("fn"), text("s", F.col("s_suppkey")).alias("call_id"), text("db", F.col("s_suppkey") % 6).alias("callee"), F.lit("database").alias("kind")))
-    return taints.abstract_graph(n.select(text("n", F.col("n_regionkey")).alias("node")).distinct(), calls)
+    return n.select(text("n", F.col("n_regionkey")).alias("node")).distinct(), calls
+
+
+@query("abstract_graph", f"WITH RECURSIVE {_GRAPH} SELECT * FROM reached")
+def abstract_graph(spark, d):
+    """Calls that entries reach, with methods of a service inlined."""
+    return taints.abstract_graph(*graph_input(spark, d))
 
 
 #: Requests: five entries, one of them an initializer; suppliers divisible by 4 are pushes that the consumer of their number modulo 5 pops.  A consumer writes to a database and pushes on to the last one.
@@ -466,14 +474,14 @@ def references_to(spark, d):
 @query("fk_value_key", f"WITH {_PAIRS} SELECT f1 AS src, f2 AS dst, count(*) AS n FROM pairs WHERE op1 = 'R' AND op2 = 'R' AND NOT (rk1 AND rk2) AND rv1 AND rk2 GROUP BY f1, f2")
 def fk_value_key(spark, d):
     """References that pairs of value and key reads make, under their switch."""
-    rules = references.pair_rules(references.operation_pairs(ops_of(spark, d)), AnalysisConfig(references_from_read_value_key=True))
-    return rules.where("rule = 'R5' AND creates").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    rules = counted_rules_of(spark, d, AnalysisConfig(references_from_read_value_key=True))
+    return rules.where("rule = 'R5' AND creates").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 @query("fk_deletes_infer_nothing", f"WITH {_PAIRS} SELECT op1, op2, count(*) AS n FROM pairs WHERE op1 <> 'D' AND op2 <> 'D' AND NOT (op1 = 'R' AND op2 = 'R' AND NOT (rk1 AND rk2)) GROUP BY op1, op2")
 def fk_deletes_infer_nothing(spark, d):
     """Kinds of pairs that fall under a rule: none with a delete."""
-    return rules_of(spark, d).groupBy("op1", "op2").agg(F.count(F.lit(1)).alias("n"))
+    return counted_rules_of(spark, d).groupBy("op1", "op2").agg(F.sum("n").alias("n"))
 
 
 @query("operation_kinds", f"WITH {_OPS} SELECT event_id, CASE op WHEN 'W' THEN 'write' WHEN 'U' THEN 'update' WHEN 'D' THEN 'delete' ELSE 'read' END AS label, op = 'R' AS is_read, op = 'W' AS is_write, op IN ('W', 'U') AS is_write_or_update, op = 'U' AS is_update, op = 'D' AS is_delete FROM ops")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import constraint_label, dot_id, dot_label, import_alias, spec_method
 from ..plans.ranking import global_row_number
-from ..sources.files import changed_lines
+from ..sources.files import changed_lines, previous_lines
 
 
 def app_json(services: DataFrame, databases: DataFrame) -> DataFrame:
@@ -95,6 +96,16 @@ def unique_report(findings: DataFrame) -> DataFrame:
     return f.select("n", F.format_string("write #%d: %d.%d, field (constrained): %s (UNIQUE), affected writes=%d", "n", "req", "event_id", "field", "n_affected").alias("line"))
 
 
+def save_reports(findings: dict[str, DataFrame], folder: str, earlier: str | None = None) -> DataFrame:
+    """The five reports (cascade, race, foreign, primary, unique) written as text below ``folder``; (report, status, line) against those below ``earlier``."""
+    lines = {"cascade": cascade_report, "race": race_report, "foreign": lambda f: coordination_report(f, False), "primary": lambda f: coordination_report(f, True), "unique": unique_report}
+    out = []
+    for name, found in findings.items():
+        previous = previous_lines(found.sparkSession, f"{earlier}/{name}.txt") if earlier else None
+        out.append(write_report(lines[name](found), f"{folder}/{name}.txt", previous).select(F.lit(name).alias("report"), "status", "line"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def metrics_yaml(metrics: DataFrame) -> DataFrame:
     """Lines (value) ``name: number`` of metrics (name, number)."""
     return metrics.select(F.concat_ws(": ", "name", F.col("number").cast("string")).alias("value"))
@@ -105,6 +116,7 @@ class Metrics:
 
     def __init__(self) -> None:
         self.values: dict[str, float] = {}
+        self.pending: list[Observation] = []
 
     @contextmanager
     def timed(self, name: str):
@@ -115,6 +127,15 @@ class Metrics:
     def count(self, name: str, number: int) -> None:
         self.values[name] = number
 
-    def write(self, spark: SparkSession, path: str) -> None:
-        lines = spark.createDataFrame([(k, str(v)) for k, v in sorted(self.values.items())], "name string, number string")
+    def observed(self, df: DataFrame, name: str, **counters: Column) -> DataFrame:
+        """``df``, whose next job counts these as it runs; they are read when the metrics are written."""
+        self.pending.append(seen := Observation(name))
+        return df.observe(seen, *(c.alias(k) for k, c in counters.items()))
+
+    def write(self, spark: SparkSession, path: str, app: str | None = None) -> None:
+        """All values; those of jobs that were observed and have run, too."""
+        for seen in self.pending:
+            self.values |= seen.get
+        values = {**({"app": app} if app else {}), **self.values}
+        lines = spark.createDataFrame([(k, str(v)) for k, v in sorted(values.items())], "name string, number string")
         metrics_yaml(lines).coalesce(1).write.mode("overwrite").text(path)

@@ -56,3 +56,36 @@ def test_checks(spark):
     parent = spark.createDataFrame([(1,)], "id int")
     assert [r.k for r in checks.orphans(child, "p", parent, "id").collect()] == [2]
     assert [(r.k, r.n) for r in checks.duplicate_keys(child, "k").collect()] == [(3, 2)]
+
+
+def test_queue_ranges(spark):
+    """One queue with most rows: the next pop may lie ranges away."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.9 else f"q{rng.randint(0, 3)}", rng.choice(["push", "pop", "push"]), i // 2, f"{i:05d}") for i in range(3000)] + [("hot", "push", 2000 + i, f"z{i:05d}") for i in range(2000)] + [("hot", "pop", 9000, "end")]
+    q = "queue string, id string, ord int"
+    side = lambda kind: [(a, i, o) for a, k, o, i in rows if k == kind]
+    found = {(r.push, r.pop) for r in graph.queue_hops(spark.createDataFrame(side("push"), q), spark.createDataFrame(side("pop"), q)).collect()}
+    pops = sorted((o, i, a) for a, i, o in side("pop"))
+    want = set()
+    for a, i, o in side("push"):
+        first = next((p for po, p, pa in pops if pa == a and po > o), None)
+        want |= {(i, first)} if first else set()
+    assert found == want
+
+
+def test_pairs_across_calls(spark):
+    args = spark.createDataFrame([("c", "f", 0, "x")], "call_id string, callee string, pos int, obj string")
+    params = spark.createDataFrame([("f", 0, "p")], "callee string, pos int, param string")
+    taken = spark.createDataFrame([("c", "f", 1, "y")], "call_id string, callee string, pos int, obj string")
+    results = spark.createDataFrame([("f", 1, "r")], "callee string, pos int, result string")
+    calls = spark.createDataFrame([("c", 3, 8)], "call_id string, enter int, leave int")
+    assert {tuple(r) for r in graph.call_pairs(args, params, taken, results, calls).collect()} == {("x", "p", 3), ("p", "x", 8), ("r", "y", 8)}
+
+
+def test_prefix_pairs(spark):
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "p string")
+    pairs = {tuple(r) for r in graph.prefix_pairs(rows("db.t", "db.t.ID", "db", "d", "db.t.x.y"), rows("db.t.IDCard", "db.t.ID", "db.t.x", "db.t.x.y.z", "dc")).collect()}
+    names = ("db.t", "db.t.ID", "db", "d", "db.t.x.y")
+    assert pairs == {(u, l) for u in names for l in ("db.t.IDCard", "db.t.ID", "db.t.x", "db.t.x.y.z", "dc") if l.startswith(u)}
