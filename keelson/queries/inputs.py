@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names, paths
 from ..operators import detectors, references, taints
 from ..plans.config import AnalysisConfig
-from ..plans.facts import SCHEMAS, is_primary, is_unique
+from ..plans.facts import is_primary, is_unique
 from ..plans.staging import scratch_path, stage, write_file
 from ..sinks import writers
 from ..sources import ddl, files, wiring
@@ -76,50 +76,40 @@ def alias_redirect(spark, d):
     return joined.select("p_partkey", paths.resolve_alias(F.col("p"), F.col("canonical")).alias("path"))
 
 
-_SUPPRESSIONS = """# what is known
-app: shop
-ignore_cascade:
-  - database: orders   # always
-    entity: order
-  - database: carts
-    entity: cart
-    trigger_database: users
-    trigger_entity: user
-  - database: logs
-    entity: log
-    trigger_database: users
-"""
+#: Suppressions: one file a nation, one item a supplier.
+_SUPPLIED = "s AS (SELECT *, 's' || s_suppkey AS db, 'u' || (s_suppkey % 4) AS trigger FROM supplier)"
 
 
-@query("suppression_file", "SELECT * FROM (VALUES ('shop', 'orders', 'order', NULL, NULL), ('shop', 'carts', 'cart', 'users', 'user'), ('shop', 'logs', 'log', NULL, NULL)) v(app, db, entity, trigger_db, trigger_entity)")
+@query("suppression_file", f"WITH {_SUPPLIED} SELECT 'app' || s_nationkey AS app, db, 'entity' || s_nationkey AS entity, CASE WHEN s_suppkey % 3 = 1 THEN trigger END AS trigger_db, CASE WHEN s_suppkey % 3 = 1 THEN 'user' END AS trigger_entity FROM s")
 def suppression_file(spark, d):
-    """Suppressions of a file; a trigger needs database and entity."""
-    return files.suppressions_of_file(spark, _file(spark, "suppressions.yaml", _SUPPRESSIONS), "shop")
+    """Suppressions of files, one for each application; a trigger needs database and entity."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    item = F.concat(text("  - database: s", key, "   # always\n    entity: 'entity", nation, "'\n"), F.when(key % 3 > 0, text("    trigger_database: u", key % 4, "\n")).otherwise(""), F.when(key % 3 == 1, "    trigger_entity: user\n").otherwise(""))
+    content = F.concat(text("# what is known\napp: app", nation, "\nignore_cascade:\n"), F.array_join(F.array_sort(F.collect_list(item)), ""))
+    path = scratch_path(spark, "suppressions")
+    table(spark, d, "supplier").groupBy(nation).agg(content.alias("value")).write.partitionBy("s_nationkey").text(path)
+    return files.suppressions(files.whole_texts(spark, path))
 
 
-_REGISTRY = """apps:
-  - name: shop
-    app_root: host.org/examples/shop
-    package_path: workflow/shop
-    spec_name: shop_docker
-    spec_path: wiring/specs
-    sql_tables: db/shop.sql
-  - name: my-mail
-    app_root: "host.org/examples/mail"
-    spec_name: 'my-mail_plain'
-    spec_path: wiring/specs
-"""
-_APPS = "(VALUES ('shop', 'host.org/examples/shop', 'workflow/shop', 'shop_docker', 'wiring/specs', 'db/shop.sql', CAST(NULL AS VARCHAR)), ('my-mail', 'host.org/examples/mail', NULL, 'my-mail_plain', 'wiring/specs', NULL, NULL)) v(name, app_root, package_path, spec_name, spec_path, sql_tables, nosql_path)"
+#: Applications: one a supplier, in as many registry files as there are parts.
+_APPS = """(SELECT 'my-app' || s_suppkey AS name, 'host.org/examples/a' || s_suppkey AS app_root, CASE WHEN s_suppkey % 2 = 0 THEN 'workflow/a' || s_nationkey END AS package_path, 'my-app' || s_suppkey || '_' || CASE WHEN s_suppkey % 3 = 0 THEN 'docker' ELSE 'plain' END AS spec_name,
+    'wiring/specs' AS spec_path, CASE WHEN s_suppkey % 5 = 0 THEN 'db/a.sql' END AS sql_tables, CAST(NULL AS VARCHAR) AS nosql_path FROM supplier) v"""
+_METHOD_OF = "CASE WHEN ends_with(spec_name, 'docker') THEN 'Docker' ELSE 'Plain' END"
 
 
 @query("app_registry", f"SELECT * FROM {_APPS}")
 def app_registry(spark, d):
-    """Applications of a registry file."""
-    return files.app_registry_of_file(spark, _file(spark, "apps.yaml", _REGISTRY))
+    """Applications of registry files."""
+    key = F.col("s_suppkey")
+    item = F.concat(
+        text("  - name: my-app", key, "\n    app_root: \"host.org/examples/a", key, "\"\n"), F.when(key % 2 == 0, text("    package_path: workflow/a", F.col("s_nationkey"), "\n")).otherwise(""),
+        text("    spec_name: 'my-app", key, "_"), F.when(key % 3 == 0, "docker").otherwise("plain"), F.lit("'\n    spec_path: wiring/specs"), F.when(key % 5 == 0, "\n    sql_tables: db/a.sql").otherwise(""),
+    )
+    return files.app_registry(files.whole_texts(spark, _written(table(spark, d, "supplier").select(item), "registry")))
 
 
 @query("registry_source", f"""SELECT 'import' AS part, name, chr(9) || 'specs_' || replace(name, '-', '_') || ' "' || app_root || '/' || spec_path || '"' AS line FROM {_APPS}
-    UNION ALL SELECT 'case', name, chr(9) || 'case "' || name || '": return specs_' || replace(name, '-', '_') || '.' || CASE name WHEN 'shop' THEN 'Docker' ELSE 'Plain' END FROM {_APPS}""")
+    UNION ALL SELECT 'case', name, chr(9) || 'case "' || name || '": return specs_' || replace(name, '-', '_') || '.' || {_METHOD_OF} FROM {_APPS}""")
 def registry_source(spark, d):
     """Generated registry lines of the applications, written and read back."""
     rows = writers.registry_source(app_registry(spark, d))
@@ -128,7 +118,7 @@ def registry_source(spark, d):
     return spark.read.schema(rows.schema).json(path)
 
 
-@query("registry_names", f"""SELECT name, 'specs_' || replace(name, '-', '_') AS alias, CASE name WHEN 'shop' THEN 'Docker' ELSE 'Plain' END AS method, app_root || '/wiring' AS wiring, app_root || '/workflow' AS workflow,
+@query("registry_names", f"""SELECT name, 'specs_' || replace(name, '-', '_') AS alias, {_METHOD_OF} AS method, app_root || '/wiring' AS wiring, app_root || '/workflow' AS workflow,
     './blueprint/examples/' || split_part(app_root, '/', 3) AS folder, 'out/' || name || '.go' AS output, app_root || '/' || coalesce(package_path, '') AS package FROM {_APPS}""")
 def registry_names(spark, d):
     """Names derived for generated registries, and packages of applications."""
@@ -237,12 +227,6 @@ def datastore_calls(spark, d):
     return wiring.datastore_calls(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", pick(0).alias("kind"), pick(1).alias("method"))).select("l_orderkey", "l_linenumber", "kind", "method", "op")
 
 
-@query("method_catalogue", "SELECT * FROM (VALUES ('Cache', 3), ('NoSQLDatabase', 10), ('Queue', 2), ('RelationalDB', 3)) v(kind, n_methods)")
-def method_catalogue(spark, d):
-    """Methods of the catalogue by kind of datastore."""
-    return wiring.method_catalogue(spark).groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n_methods"))
-
-
 @query("fact_files", "SELECT 'app' AS app, CAST(s_suppkey % 20 AS INT) AS req, s_name AS entry FROM supplier")
 def fact_files(spark, d):
     """A fact table written as JSON lines and read by its declared schema."""
@@ -440,8 +424,7 @@ def first_operation_pairs(spark, d):
     return references.unordered_pairs(ops_of(spark, d).where("op = 'R'"))
 
 
-@query("fact_schemas", "SELECT 'constraint' AS name, 5 AS n_columns UNION ALL SELECT 'taint', 11 UNION ALL SELECT 'op', 8")
+@query("fact_schemas", f"WITH {_OPS} SELECT 'events' AS app, CAST(req AS INT) AS req, CAST(NULL AS INT) AS req_idx, CAST(seq AS INT) AS seq, CAST(NULL AS VARCHAR) AS edge_id, op, db, split_part(field, '.', 2) AS schema FROM ops")
 def fact_schemas(spark, d):
-    """Columns of fact tables by their declared schemas."""
-    rows = [(n, len(files.facts_from_rows(spark, n, []).columns)) for n in SCHEMAS if n in ("constraint", "taint", "op")]
-    return spark.createDataFrame(rows, "name string, n_columns int")
+    """Operations as the fact table of that name, by its declared schema."""
+    return files.as_facts(ops_of(spark, d).select(F.lit("events").alias("app"), "req", "seq", "op", "db", paths.schema_name(F.col("field")).alias("schema"), "event_id"), "op")

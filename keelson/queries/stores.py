@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, emission, statements
+from ..sources import wiring
 from .integrity import query, table
 from .program import text
 
@@ -105,6 +106,13 @@ def cache_namespaces(spark, d):
     return emission.cache_namespaces(_arguments(_calls(spark, d)))
 
 
+@query("method_catalogue", f"WITH {_CALLS} SELECT kind, count(DISTINCT method) AS n_methods, count(*) AS n_calls, count(*) FILTER (op IN ('read', 'read_many')) AS n_reads FROM k GROUP BY kind")
+def method_catalogue(spark, d):
+    """Methods of the catalogue that calls use, by kind of datastore."""
+    calls = wiring.datastore_calls(_calls(spark, d))
+    return calls.groupBy("kind").agg(F.countDistinct("method").alias("n_methods"), F.count(F.lit(1)).alias("n_calls"), F.count_if(F.col("op").isin("read", "read_many")).alias("n_reads"))
+
+
 #: Statements with marks for a table, a column and another table, and (placeholder, item, op, path, role) of what they touch.
 STATEMENTS = (
     ("Exec", "INSERT INTO `T@` (id, \"C@\", note) VALUES (?, ?, 'n?')", ((1, None, "write", "T@.id", "value"), (2, None, "write", "T@.C@", "value"))),

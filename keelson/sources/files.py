@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.names import bson_name
 from ..plans.config import AnalysisConfig
@@ -36,62 +35,44 @@ def primary_keys_from_tags(tags: DataFrame) -> DataFrame:
     return named.where("name = '_id'").select("db", "collection", F.concat_ws(".", "db", "collection", "field").alias("alias"), F.concat_ws(".", "db", "collection", "name").alias("path"))
 
 
-def _scalar(text: str):
-    return text.strip().strip("\"'")
-
-
-def parse_mapping_lists(text: str) -> dict:
-    """The part of YAML that the inputs use: top-level scalars, and lists of flat mappings."""
-    out: dict = {}
-    current: list | None = None
-    for raw in text.splitlines():
-        line = raw.split(" #")[0].rstrip()
-        if not line or line.lstrip().startswith("#"):
-            continue
-        body = line.strip()
-        if not line[0].isspace() and not body.startswith("-"):
-            key, _, value = body.partition(":")
-            current = None if value.strip() else []
-            out[key.strip()] = _scalar(value) if value.strip() else current
-        elif current is not None:
-            if body.startswith("-"):
-                current.append({})
-                body = body[1:].strip()
-            if body and ":" in body:
-                key, _, value = body.partition(":")
-                current[-1][key.strip()] = _scalar(value)
-    return out
-
-
-def suppressions(spark: SparkSession, text: str, app: str) -> DataFrame:
-    """``ignore_cascade`` facts; the file has to be for this application, and a trigger needs database and entity."""
-    doc = parse_mapping_lists(text)
-    if doc.get("app") != app:
-        raise ValueError(f"suppressions are for {doc.get('app')}, not for {app}")
-    rows = []
-    for r in doc.get("ignore_cascade") or []:
-        trigger = (r.get("trigger_database"), r.get("trigger_entity"))
-        rows.append((app, r["database"], r["entity"], *(trigger if all(trigger) else (None, None))))
-    return spark.createDataFrame(rows, SCHEMAS["ignore_cascade"])
-
-
-def app_registry(spark: SparkSession, text: str) -> DataFrame:
-    """Applications of a registry file, one row each."""
-    columns = ("name", "app_root", "package_path", "spec_name", "spec_path", "sql_tables", "nosql_path")
-    return spark.createDataFrame([tuple(a.get(c) for c in columns) for a in parse_mapping_lists(text)["apps"]], ", ".join(f"{c} string" for c in columns))
+def mapping_items(texts: DataFrame) -> DataFrame:
+    """(file, item, pos, key, value) of files (file, value: the whole text) in the part of YAML that the inputs use: top-level scalars (item 0), and lists of flat mappings (items from 1).
+
+    Texts are cut into lines and each line is read by itself; a running count of dashes numbers the items of a file.  Comments, quotes around values and lines that are no ``key: value`` are left out.
+    """
+    lines = texts.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    body = F.regexp_replace("line", r"(^|\s)#.*$", "")
+    cut = lines.withColumns({"body": F.rtrim(body), "dash": F.rlike(body, F.lit(r"^\s*-(\s|$)")).cast("int")}).where("body <> ''")
+    numbered = cut.withColumn("item", F.sum("dash").over(Window.partitionBy("file").orderBy("pos")).cast("int"))
+    pair = r"^(\s*(?:-\s+)?)([^\s:][^:]*?)\s*:(?:\s+(.*))?$"
+    found = numbered.where(F.rlike("body", F.lit(pair))).select("file", "item", "pos", F.regexp_extract("body", pair, 2).alias("key"), F.regexp_replace(F.regexp_extract("body", pair, 3), r"^[\"'](.*)[\"']$", "$1").alias("value"), (F.regexp_extract("body", pair, 1) == "").alias("is_top"))
+    return found.select("file", F.when(F.col("is_top"), 0).otherwise(F.col("item")).alias("item"), "pos", "key", "value").where("value <> ''")
 
 
-def read_whole(spark: SparkSession, path: str) -> str:
-    """The text of one small file."""
-    return spark.read.text(path, wholetext=True).first()[0]
+def _wide(items: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row (file, item, a column a key) for each item."""
+    return items.where("item > 0").groupBy("file", "item").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys))
 
 
-def suppressions_of_file(spark: SparkSession, path: str, app: str) -> DataFrame:
-    return suppressions(spark, read_whole(spark, path), app)
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
-def app_registry_of_file(spark: SparkSession, path: str) -> DataFrame:
-    return app_registry(spark, read_whole(spark, path))
+def suppressions(texts: DataFrame, app: str | None = None) -> DataFrame:
+    """``ignore_cascade`` facts of files (file, value), each of the application that it names; a trigger needs database and entity.  With ``app`` a file of another application is an error."""
+    items = mapping_items(texts)
+    apps = items.where("item = 0 AND key = 'app'").select("file", F.col("value").alias("app"))
+    if app is not None and (other := apps.where(F.col("app") != app).first()):
+        raise ValueError(f"suppressions are for {other['app']}, not for {app}")
+    rows = _wide(items, ("database", "entity", "trigger_database", "trigger_entity")).join(apps, "file")
+    whole = F.col("trigger_database").isNotNull() & F.col("trigger_entity").isNotNull()
+    return rows.select("app", F.col("database").alias("db"), "entity", F.when(whole, F.col("trigger_database")).alias("trigger_db"), F.when(whole, F.col("trigger_entity")).alias("trigger_entity"))
+
+
+def app_registry(texts: DataFrame) -> DataFrame:
+    """Applications of registry files (file, value), one row each."""
+    columns = ("name", "app_root", "package_path", "spec_name", "spec_path", "sql_tables", "nosql_path")
+    return _wide(mapping_items(texts), columns).select(*columns)
 
 
 def previous_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -105,8 +86,10 @@ def changed_lines(old: DataFrame, new: DataFrame) -> DataFrame:
     return mark(new.exceptAll(old), "added").unionByName(mark(old.exceptAll(new), "removed")).unionByName(mark(new.intersectAll(old), "unmodified"))
 
 
-def facts_from_rows(spark: SparkSession, name: str, rows: Iterable[tuple]) -> DataFrame:
-    return spark.createDataFrame(list(rows), SCHEMAS[name])
+def as_facts(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a fact table: the columns of its declared schema, by name and type; missing ones are null."""
+    declared = StructType.fromDDL(SCHEMAS[name])
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared))
 
 
 def read_facts(spark: SparkSession, folder: str, name: str, kind: str = "parquet") -> DataFrame:

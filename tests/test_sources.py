@@ -40,13 +40,15 @@ def test_json_schema_and_lines(spark, tmp_path):
 
 
 def test_suppressions_and_registry(spark):
-    text = "app: shop\nignore_cascade:\n  - database: inventory_db\n    entity: inventory\n  - database: a\n    entity: b\n    trigger_database: c\n    trigger_entity: d\n"
-    rows = [tuple(r) for r in files.suppressions(spark, text, "shop").collect()]
-    assert rows == [("shop", "inventory_db", "inventory", None, None), ("shop", "a", "b", "c", "d")]
+    shop = "# known\napp: shop\nignore_cascade:\n  - database: orders   # always\n    entity: 'order'\n  - entity: cart\n    database: carts\n    trigger_database: users\n    trigger_entity: user\n  - database: logs\n    entity: log\n    trigger_database: users\n\n"
+    texts = lambda *t: spark.createDataFrame(list(enumerate(t)), "file int, value string")
+    rows = {tuple(r) for r in files.suppressions(texts(shop, "app: mail\nignore_cascade:\n- database: a\n  entity: b"), None).collect()}
+    assert rows == {("shop", "orders", "order", None, None), ("shop", "carts", "cart", "users", "user"), ("shop", "logs", "log", None, None), ("mail", "a", "b", None, None)}
     with pytest.raises(ValueError):
-        files.suppressions(spark, text, "other")
-    apps = files.app_registry(spark, "build_tag: x\napps:\n  - name: shop\n    app_root: r\n").collect()
-    assert [(r.name, r.app_root, r.sql_tables) for r in apps] == [("shop", "r", None)]
+        files.suppressions(texts(shop), "other")
+    assert files.suppressions(texts(shop), "shop").count() == 3 and files.suppressions(texts(), "shop").count() == 0
+    apps = files.app_registry(texts("build_tag: x\napps:\n  - name: shop\n    app_root: \"r:8/x\"\n  -\n    name: mail\n")).collect()
+    assert {(r.name, r.app_root, r.spec_name) for r in apps} == {("shop", "r:8/x", None), ("mail", None, None)}
 
 
 def test_wiring(spark):
