@@ -74,6 +74,16 @@ def prepend_after_root(p: Column, part: Column) -> Column:
     return F.concat(F.lit("_obj"), part, F.substring(p, F.lit(5), F.length(p)))
 
 
+def append_to_call(call: Column, suffix: Column) -> Column:
+    """A call's path with a part behind it."""
+    return F.concat(call, suffix)
+
+
+def prepend_to_call(call: Column, prefix: Column) -> Column:
+    """A call's path with the path of the call around it before it."""
+    return F.concat_ws(".", prefix, call)
+
+
 def trace_argument(p: Column) -> Column:
     """Name of the argument in a service path, without element mark."""
     return F.split(F.try_element_at(F.split(p, r"\.", 4), F.lit(3)), r"\[\*\]")[0]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import keyed_row_number
+
 #: Every fact table by name, as a DDL string.
 SCHEMAS = {
     "database": "app string, db string, kind string",
@@ -29,9 +31,11 @@ SCHEMAS = {
 FIELDS, DATABASES, QUEUE_DB = 24, 6, "db5"
 
 
-def operation_facts(events: DataFrame, daily: bool = False) -> DataFrame:
+def operation_facts(events: DataFrame, daily: bool = False, ranged: bool = False) -> DataFrame:
     """One operation per event: a user's events are one request, in time order; with ``daily`` those of one day are.
 
+    With ``ranged`` operations are numbered by ranges, so that a user with very many events is no single task; without it by one window over a user.
+
     click reads by key, view reads a value, purchase writes, signup updates, error deletes; ``k`` of the properties chooses database and
     field, and events of one whole value act on one object.
     """
@@ -40,9 +44,13 @@ def operation_facts(events: DataFrame, daily: bool = False) -> DataFrame:
     op = F.when(kind.isin("click", "view"), "R").when(kind == "purchase", "W").when(kind == "signup", "U").when(kind == "error", "D")
     db = F.concat(F.lit("db"), (k % DATABASES).cast("string"))
     req = F.col("user_id") * 100_000 + F.unix_date(F.to_date("ts")) if daily else F.col("user_id")
-    seq = F.row_number().over(Window.partitionBy(req).orderBy("ts", "event_id")).cast("long")
-    return events.select(
-        req.alias("req"), seq.alias("seq"), "event_id", op.alias("op"), (kind == "click").alias("rk"), (kind == "view").alias("rv"),
+    placed = events.withColumn("req", req)
+    if ranged:
+        placed = keyed_row_number(placed.select("req", "ts", "event_id", "event_type", "props", "value"), "seq", "req", "ts", "event_id")
+    else:
+        placed = placed.withColumn("seq", F.row_number().over(Window.partitionBy("req").orderBy("ts", "event_id")).cast("long"))
+    return placed.select(
+        "req", "seq", "event_id", op.alias("op"), (kind == "click").alias("rk"), (kind == "view").alias("rv"),
         k.alias("k"), db.alias("db"), F.concat(db, F.lit(".c.f"), (k % FIELDS).cast("string")).alias("field"), F.floor("value").cast("long").alias("obj"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
-from ..operators import detectors, references, taints
+from ..operators import detectors, graph, references, taints
 from ..plans.config import AnalysisConfig
 from ..plans.facts import is_primary, is_unique
 from ..plans.staging import scratch_path, stage, write_file
@@ -193,6 +193,51 @@ def service_lookups(spark, d):
     return wiring.lookups(s, wanted)
 
 
+@query("database_lookups", "SELECT 'd' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN CASE s_suppkey % 3 WHEN 0 THEN 'Cache' WHEN 1 THEN 'Queue' ELSE 'NoSQLDatabase' END END AS kind, s_suppkey % 2 = 0 AS is_known FROM supplier")
+def database_lookups(spark, d):
+    """Databases by name, and names that are none."""
+    key = F.col("s_suppkey")
+    s = table(spark, d, "supplier").select(key, text("d", key).alias("db"), F.when(key % 3 == 0, "Cache").when(key % 3 == 1, "Queue").otherwise("NoSQLDatabase").alias("kind"))
+    return wiring.database_lookups(s.where(key % 2 == 0), s.select(F.col("db").alias("name")))
+
+
+#: A deployment: nations are containers with one process each, suppliers handlers in them, every fifth behind an address; parts are arguments.
+_ARG_TYPES = ("*redis.RedisGoClient", "*mongodb.MongoDBGoClient", "*workflow.WorkflowClient", "*ir.IRValue", "*zap.Logger")
+
+
+@query("wiring_tree", f"""WITH h AS (SELECT 'svc' || s_suppkey AS service, s_suppkey FROM supplier WHERE s_nationkey % 4 <> 3), a AS (SELECT h.service, p_partkey, 'a' || (p_partkey % 50) AS name, p_partkey % {len(_ARG_TYPES)} AS t FROM part JOIN h ON s_suppkey = p_size)
+    SELECT 'service' AS what, service, NULL AS name FROM h UNION SELECT 'frontend', 'svc' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 5 = 0 UNION SELECT 'dependency', service, name FROM a WHERE t = 2
+    UNION SELECT 'database', CASE t WHEN 0 THEN 'Cache' ELSE 'NoSQLDatabase' END, name FROM a WHERE t < 2 UNION SELECT 'unknown', service, name FROM a WHERE t = 4""")
+def wiring_tree(spark, d):
+    """Services, frontends, dependencies and databases of a deployment tree."""
+    n, s, p = (table(spark, d, t) for t in ("nation", "supplier", "part"))
+    nation, key, part = F.col("n_nationkey"), F.col("s_suppkey"), F.col("p_partkey")
+    node = lambda df, i, parent, kind, name: df.select(F.lit("app").alias("app"), i.alias("id"), parent.alias("parent"), F.lit(kind).alias("kind"), name.alias("name"))
+    none = F.lit(None).cast("string")
+    nodes = node(n.where(nation % 4 != 3), text("c", nation), none, "Container", none).unionByName(node(n, text("p", nation), text("c", nation), "Process", none))
+    nodes = nodes.unionByName(node(s, text("h", key), text("p", F.col("s_nationkey")), "WorkflowHandler", text("svc", key)))
+    shown = s.where(key % 5 == 0)
+    nodes = nodes.unionByName(node(shown, text("addr", key), none, "Address", none)).unionByName(node(shown, text("http", key), text("addr", key), "GolangHttpServer", none)).unionByName(node(shown, text("w", key), text("http", key), "WorkflowHandler", text("svc", key)))
+    kind = F.element_at(F.array(*map(F.lit, _ARG_TYPES)), (part % len(_ARG_TYPES) + 1).cast("int"))
+    args = p.select(F.lit("app").alias("app"), text("h", F.col("p_size")).alias("handler"), part.alias("pos"), kind.alias("type"), text("a", part % 50).alias("name"))
+    found = wiring.deployed(nodes, args)
+    row = lambda what, df, service, name: df.select(F.lit(what).alias("what"), service.alias("service"), name.cast("string").alias("name")).distinct()
+    out = row("service", found["services"], F.col("service"), none).unionByName(row("frontend", found["frontends"], F.col("service"), none)).unionByName(row("dependency", found["dependencies"], F.col("service"), F.col("dependency")))
+    return out.unionByName(row("database", found["databases"], F.col("kind"), F.col("db"))).unionByName(row("unknown", found["arguments"].where("what = 'unknown'"), F.col("service"), F.col("name")))
+
+
+@query("call_pairs", """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey AS callee, l_linenumber AS pos, 'x' || l_partkey AS obj, l_linenumber * 2 AS enter, l_linenumber * 2 + 1 AS leave FROM lineitem),
+    m AS (SELECT a.*, 'p' || s_suppkey AS param, 'r' || s_suppkey AS result FROM a JOIN supplier ON callee = s_suppkey AND pos = s_nationkey % 7 + 1)
+    SELECT src, dst, time, count(*) AS n FROM (SELECT obj AS src, param AS dst, enter AS time FROM m UNION ALL SELECT param, obj, leave FROM m UNION ALL SELECT result, obj || 'y', leave FROM m) GROUP BY ALL""")
+def call_pairs(spark, d):
+    """Arguments with parameters and results with what callers take out of calls, by position, at the times when calls are entered and left."""
+    at = F.col("l_linenumber")
+    calls = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + at).alias("call_id"), F.col("l_suppkey").alias("callee"), at.alias("pos"), text("x", F.col("l_partkey")).alias("obj"), (at * 2).alias("enter"), (at * 2 + 1).alias("leave"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("callee"), (F.col("s_nationkey") % 7 + 1).alias("pos"), text("p", F.col("s_suppkey")).alias("param"), text("r", F.col("s_suppkey")).alias("result"))
+    pairs = graph.call_pairs(calls, s, calls.withColumn("obj", F.concat("obj", F.lit("y"))), s, calls.select("call_id", "enter", "leave").distinct())
+    return pairs.groupBy("src", "dst", "time").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("constructor_bindings", "SELECT 'svc' || s_nationkey AS service, 'f' || (s_suppkey % 5) AS field, 'wired' || s_suppkey AS wiring_name FROM supplier WHERE s_suppkey % 3 <> 0")
 def constructor_bindings(spark, d):
     """Fields of services that constructors store their parameters in."""

@@ -61,8 +61,8 @@ def staged_refs_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def staged_ops_of(spark: SparkSession, d: str) -> DataFrame:
-    """The operations, numbered and written once for a query that reads them several times."""
-    return stage(ops_of(spark, d), "operations")
+    """The operations, numbered by ranges and written once for a query that reads them several times."""
+    return stage(operation_facts(table(spark, d, "events"), ranged=True), "operations")
 
 
 def ops_and_refs_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -507,14 +507,14 @@ def path_relations(spark, d):
     )
 
 
-@query("path_edits", f"WITH {_OPS} SELECT event_id, field || '.ID' AS appended, CASE WHEN k % 2 = 0 THEN '_obj.A' ELSE '_obj.A.B' END AS cut, '_obj.P' || CASE WHEN k % 2 = 0 THEN '.A.B' ELSE '.A.B.C' END AS prepended, CASE WHEN k % 3 = 0 THEN 'db' || (k % 6) || '.c._id' ELSE field END AS resolved, 'c' AS schema FROM ops")
+@query("path_edits", f"WITH {_OPS} SELECT event_id, field || '.ID' AS appended, CASE WHEN k % 2 = 0 THEN '_obj.A' ELSE '_obj.A.B' END AS cut, '_obj.P' || CASE WHEN k % 2 = 0 THEN '.A.B' ELSE '.A.B.C' END AS prepended, CASE WHEN k % 3 = 0 THEN 'db' || (k % 6) || '.c._id' ELSE field END AS resolved, 'c' AS schema, 'S.M.t' || k || '.ret' AS call_appended, 'S' || (k % 3) || '.S.M.t' || k AS call_prepended FROM ops")
 def path_edits(spark, d):
     """Paths with parts appended, cut and put in, names resolved, element marks dropped."""
     k = F.col("k")
     p = F.when(k % 2 == 0, "_obj.A.B").otherwise("_obj.A.B.C")
     marked = F.concat(F.col("db"), F.lit(".c[*].x"))
     alias = F.when(k % 3 == 0, F.concat("db", F.lit(".c._id")))
-    return ops_of(spark, d).select("event_id", paths.append_suffix(F.col("field"), F.lit(".ID")).alias("appended"), paths.cut_suffix(p, F.when(k % 2 == 0, ".B").otherwise(".C")).alias("cut"), paths.prepend_after_root(p, F.lit(".P")).alias("prepended"), paths.resolve_alias(F.col("field"), alias).alias("resolved"), paths.schema_name(marked).alias("schema"))
+    return ops_of(spark, d).select("event_id", paths.append_suffix(F.col("field"), F.lit(".ID")).alias("appended"), paths.cut_suffix(p, F.when(k % 2 == 0, ".B").otherwise(".C")).alias("cut"), paths.prepend_after_root(p, F.lit(".P")).alias("prepended"), paths.resolve_alias(F.col("field"), alias).alias("resolved"), paths.schema_name(marked).alias("schema"), paths.append_to_call(text("S.M.t", k), F.lit(".ret")).alias("call_appended"), paths.prepend_to_call(text("S.M.t", k), text("S", k % 3)).alias("call_prepended"))
 
 
 _DUAL = _REFS.replace("ORDER BY req, seq2, seq1", "ORDER BY rule = 'R4', req, seq2, seq1").replace("(r.req, r.seq2, r.seq1) >= (f.req, f.seq2, f.seq1)", "(r.rule = 'R4', r.req, r.seq2, r.seq1) >= (f.rule = 'R4', f.req, f.seq2, f.seq1)")

@@ -48,6 +48,32 @@ def lookups(services: DataFrame, wanted: DataFrame) -> DataFrame:
     return first.select("name", "f.service", "f.found_by")
 
 
+def database_lookups(dbs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, kind, is_known) of the wanted names: the database of that name, if there is one."""
+    known = dbs.groupBy(F.col("db").alias("name")).agg(F.min("kind").alias("kind")).withColumn("is_known", F.lit(True))
+    return wanted.select("name").distinct().join(known, "name", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
+
+
+def deployed(nodes: DataFrame, args: DataFrame) -> dict[str, DataFrame]:
+    """What a deployment tree holds: ``services`` (app, service, handler), ``arguments`` (app, service, pos, name, what), ``databases`` (app, db, kind), ``dependencies`` (app, service, dependency), ``frontends`` (app, service).
+
+    ``nodes`` (app, id, parent, kind, name): services are the handlers in processes in containers; an address leads to an http server that wraps a handler, which is a frontend.  ``args``
+    (app, handler, pos, type, name): clients of datastores, clients of services (``WorkflowClient``), values (``IRValue``); others are ``unknown``.  A service without arguments is one as well.
+    """
+    of = lambda kind, *cs: nodes.where(F.col("kind") == kind).select("app", *cs)
+    containers = of("Container", F.col("id").alias("container"))
+    processes = of("Process", F.col("id").alias("process"), F.col("parent").alias("container")).join(containers, ["app", "container"])
+    handlers = of("WorkflowHandler", F.col("id").alias("handler"), F.col("parent").alias("process"), F.col("name").alias("service"))
+    services = handlers.join(processes, ["app", "process"]).select("app", "service", "handler").distinct()
+    servers = of("GolangHttpServer", F.col("id").alias("server"), F.col("parent").alias("address")).join(of("Address", F.col("id").alias("address")), ["app", "address"])
+    frontends = servers.join(handlers.withColumnRenamed("process", "server"), ["app", "server"]).select("app", "service").distinct()
+    what = F.coalesce(*(F.when(F.contains("type", F.lit(k)), F.lit("database")) for k in STORE_KINDS), F.when(F.contains("type", F.lit("WorkflowClient")), "service"), F.when(F.contains("type", F.lit("IRValue")), "value"), F.lit("unknown"))
+    arguments = args.join(services, ["app", "handler"]).select("app", "service", "pos", "name", what.alias("what"), "type")
+    found = databases(arguments.where("what = 'database'").select("app", "name", F.col("type").alias("client_type")))
+    needs = arguments.where("what = 'service'").select("app", "service", F.col("name").alias("dependency")).distinct()
+    return {"services": services, "arguments": arguments.drop("type"), "databases": found, "dependencies": needs, "frontends": frontends}
+
+
 def databases(clients: DataFrame) -> DataFrame:
     """(app, db, kind) from client instances (app, name, client_type)."""
     kind = F.coalesce(*(F.when(F.contains("client_type", F.lit(k)), F.lit(v)) for k, v in STORE_KINDS.items()))

@@ -89,3 +89,14 @@ def test_prefix_pairs(spark):
     pairs = {tuple(r) for r in graph.prefix_pairs(rows("db.t", "db.t.ID", "db", "d", "db.t.x.y"), rows("db.t.IDCard", "db.t.ID", "db.t.x", "db.t.x.y.z", "dc")).collect()}
     names = ("db.t", "db.t.ID", "db", "d", "db.t.x.y")
     assert pairs == {(u, l) for u in names for l in ("db.t.IDCard", "db.t.ID", "db.t.x", "db.t.x.y.z", "dc") if l.startswith(u)}
+
+
+def test_keyed_numbers(spark):
+    from keelson.plans.ranking import keyed_row_number
+
+    rows = [("hot" if i % 10 else f"u{i % 30}", (i * 7919) % 5000, i) for i in range(4000)] + [(None, 1, -1), (None, 0, -2)]
+    df = spark.createDataFrame(rows, "u string, t int, id int")
+    want: dict = {}
+    for u in {r[0] for r in rows}:
+        want |= {r[2]: n + 1 for n, r in enumerate(sorted((r for r in rows if r[0] == u), key=lambda r: r[1:]))}
+    assert {r.id: r.n for r in keyed_row_number(df, "n", "u", "t", "id").collect()} == want
