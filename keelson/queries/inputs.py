@@ -281,11 +281,11 @@ def fact_files(spark, d):
 
 
 @query("app_json", f"""WITH {_METHOD}, s AS (SELECT service, list(method ORDER BY method) AS methods FROM m GROUP BY service),
-    d AS (SELECT list({{'db': 'd' || n_nationkey, 'kind': 'Cache'}} ORDER BY 'd' || n_nationkey) AS databases FROM nation WHERE n_nationkey < 3)
+    d AS (SELECT list({{'db': 'd' || n_nationkey, 'kind': 'Cache'}} ORDER BY 'd' || n_nationkey) AS databases FROM nation)
     SELECT 'app' AS app, CAST(to_json({{'app': 'app', 'services': (SELECT list({{'service': service, 'deps': ['dep' || substr(service, 2), 'dep' || (CAST(substr(service, 2) AS INT) + 1)], 'fields': ['fa' || substr(service, 2), 'fb'], 'methods': methods}} ORDER BY service) FROM s), 'databases': databases}}) AS VARCHAR) AS value FROM d""")
 def app_json(spark, d):
     """The application document, written and read back."""
-    dbs = table(spark, d, "nation").where("n_nationkey < 3").select(F.lit("app").alias("app"), text("d", F.col("n_nationkey")).alias("db"), F.lit("Cache").alias("kind"))
+    dbs = table(spark, d, "nation").select(F.lit("app").alias("app"), text("d", F.col("n_nationkey")).alias("db"), F.lit("Cache").alias("kind"))
     path = _written(writers.app_json(_services(spark, d), dbs).select("value"), "app.json")
     return spark.read.text(path).select(F.get_json_object("value", "$.app").alias("app"), "value")
 
@@ -414,6 +414,20 @@ def report_statuses(spark, d):
     return saved.groupBy("report", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CALLED = "'Svc' || (req % 7) || '.Handle' || (req % 11) AS entry, 'Svc' || (req % 7) || '.M.t' || event_id AS call"
+
+
+@query("report_order", f"""WITH {_UNIQUE}, e AS (SELECT *, {_CALLED} FROM uniq), x AS (SELECT *, row_number() OVER (ORDER BY entry, call, req, event_id) AS n FROM e)
+    SELECT n, 'write #' || n || ': ' || req || '.' || event_id || ', field (constrained): ' || field || ' (UNIQUE), affected writes=' || n_affected AS line FROM x""")
+def report_order(spark, d):
+    """A report in the order of entries and call strings."""
+    ops = ops_of(spark, d)
+    service = text("Svc", F.col("req") % 7)
+    requests = ops.select("req").distinct().select("req", F.concat(service, text(".Handle", F.col("req") % 11)).alias("entry"))
+    calls = ops.select("event_id", F.concat(service, text(".M.t", F.col("event_id"))).alias("call"))
+    return writers.unique_report(writers.with_entries(detectors.unique_conflicts(ops), requests, calls))
+
+
 @query("call_names", """SELECT s_suppkey, 'S.M.t' || s_suppkey AS call_id, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE -1 END AS number, 'store' || s_suppkey AS store, 'topic' || s_nationkey AS literal, 'i' || md5('f|' || s_suppkey) AS instruction,
     CASE WHEN s_suppkey % 2 = 0 THEN 'reviews' ELSE '*' END AS namespace, 'a\\"b' || s_suppkey || '\\nc' AS label, 'a_b_' || s_suppkey AS dot_id FROM supplier""")
 def call_names(spark, d):

@@ -72,27 +72,37 @@ def registry_source(apps: DataFrame) -> DataFrame:
     return imports.unionByName(cases)
 
 
+def _numbered(findings: DataFrame, *ids: str) -> DataFrame:
+    """Findings with their number ``n`` in report order: by the entry of the request and the call string, where findings have them (entry, call), then by their ids."""
+    return global_row_number(findings, "n", *(c for c in ("entry", "call") if c in findings.columns), *ids)
+
+
+def with_entries(findings: DataFrame, requests: DataFrame, calls: DataFrame, key: str = "event_id") -> DataFrame:
+    """Findings with the entry of their request (req, entry) and the string of their call (``key``, call)."""
+    return findings.join(requests.select("req", "entry"), "req").join(calls.select(F.col("event_id").alias(key), "call"), key)
+
+
 def cascade_report(findings: DataFrame) -> DataFrame:
     """Numbered lines (n, line) of missing cascades, by request, delete and database."""
-    f = global_row_number(findings, "n", "req", "seq", "pending_db")
+    f = _numbered(findings, "req", "seq", "pending_db")
     return f.select("n", F.format_string("delete %d.%d: %s\tmissing cascade #%d: database={%s}, pending_fields={%s}", "req", "seq", "db", "n", "pending_db", "fields").alias("line"))
 
 
 def race_report(findings: DataFrame) -> DataFrame:
     """Numbered lines of deletes that race with writes of other requests."""
-    f = global_row_number(findings, "n", "req", "event_id", "db")
+    f = _numbered(findings, "req", "event_id", "db")
     return f.select("n", F.format_string("delete #%d: %d.%d, database={%s}, writes=%d, written_fields={%s}", "n", "req", "event_id", "db", "n_writes", "fields").alias("line"))
 
 
 def coordination_report(findings: DataFrame, primary: bool) -> DataFrame:
     """Numbered lines of uncoordinated reads of primary keys or along references."""
-    f = global_row_number(findings, "n", "req", "e1", "e2", "f1", "f2")
+    f = _numbered(findings, "req", "e1", "e2", "f1", "f2")
     return f.select("n", F.format_string(("PRIMARY" if primary else "FOREIGN") + " KEY READS #%d: request %d, READ %d: %s, READ %d: %s", "n", "req", "e1", "f1", "e2", "f2").alias("line"))
 
 
 def unique_report(findings: DataFrame) -> DataFrame:
     """Numbered lines of writes of unique fields that taint later writes."""
-    f = global_row_number(findings, "n", "req", "event_id")
+    f = _numbered(findings, "req", "event_id")
     return f.select("n", F.format_string("write #%d: %d.%d, field (constrained): %s (UNIQUE), affected writes=%d", "n", "req", "event_id", "field", "n_affected").alias("line"))
 
 
