@@ -4,16 +4,18 @@ Texts become sets of hashed word 5-grams; texts with equal sets are one class fr
 The join follows the chosen-path scheme: every set takes, by a hash that is the same for all sets, the ``BRANCH`` least
 of its tokens and goes into the bucket of each; a bucket that is too large is split again, each of its sets taking tokens by a hash
 that depends on the path so far.  Similar sets keep choosing tokens they share.  Runs with other hashes are repeated until
-``recall_of`` reaches ``RECALL`` at the threshold.
+``recall_of``, which counts what the sketch loses, reaches ``RECALL`` at the threshold.
 
 Tokens are drawn from a bottom sketch of ``SKETCH`` hashes per set, itself a sample of the set that is consistent over
 all sets.  Buckets of at most ``BUCKET`` sets, and those that don't split any more, are compared by brute force on the
 sketches, in tiles of ``TILE`` sets, so that a bucket with a third of all rows is many tasks.  A bucket returns links of a spanning
 forest, not pairs: that is enough to bring all members of a group together.
 
-Groups are then compared exactly: all pairs inside a group, in tiles again, by a product of the incidence matrix
-of the tokens that two sets share.  This gives each set's number of links and the links of the final classes.  A pair is in one
-group only, so nothing is counted twice; copies are counted by multiplicity.
+Groups are then compared exactly, in tiles again, by a product of the incidence matrices of the tokens that two tiles
+share.  This gives each set's number of links and the links of the final classes.  A pair is in one group only, so nothing is counted
+twice; copies are counted by multiplicity.  A group that fits one tile travels as texts.  A larger one is cut by size first: sets whose sizes
+differ by more than the threshold allows are no link, so tiles of a size class meet only those of the same class and of its two neighbours.  Tiles
+hold at most ``TILE`` sets and on average at most ``TILE_SHINGLES`` shingles, so long texts are few to a tile; their sets are hashed once, before they are dealt out.
 
 Components are found in rounds of star operations, all in DataFrames.
 
@@ -28,10 +30,11 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import pairwise
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 SKETCH = 64
 BRANCH = 3
-RUNS = 2
 RECALL = 0.999
 BUCKET = 64
 #: Levels after which a bucket is compared even if it still splits.
@@ -53,10 +55,14 @@ STUCK = 0.7
 #: Sketches this far below the threshold are no candidates: five standard deviations of 64 draws at 0.8.
 SKETCH_MARGIN = 0.25
 TILE = 512
+#: Shingles that the sets of one tile have together, on average; a longer set is a tile of its own.
+TILE_SHINGLES = 1 << 20
+#: Sets of a link are in the same size class or in neighbouring ones: classes are a little wider than the threshold asks for, whatever rounding does.
+CLASS_WIDTH = log(1 / THRESHOLD) * (1 + 1e-6)
 
 
-def recall_of(similarity: float, branch: int = BRANCH, depth: int = MAX_DEPTH, runs: int = RUNS) -> float:
-    """Chance that two sets of this similarity meet, if they have to share a path of ``depth`` tokens.
+def _path_share(similarity: float, branch: int, depth: int) -> float:
+    """Chance that two sets of this similarity share a path of ``depth`` tokens.
 
     In one bucket the least ``branch`` tokens of both are disjoint only if so many unshared tokens come first.
     """
@@ -67,8 +73,24 @@ def recall_of(similarity: float, branch: int = BRANCH, depth: int = MAX_DEPTH, r
         for b in range(3 * branch):
             if a >= branch or b >= branch:
                 miss += comb(a + b, a) * own ** (a + b) * similarity
-    meet = 1 - miss
-    return 1 - (1 - meet**depth) ** runs
+    return max(0.0, 1 - miss) ** depth
+
+
+def recall_of(similarity: float, branch: int = BRANCH, depth: int = MAX_DEPTH, runs: int = 1, sketch: int = SKETCH) -> float:
+    """Chance that two sets of this similarity meet in one of the runs, if they have to share a path of ``depth`` tokens.
+
+    All runs draw from the same sketches, so the mean is taken over what these hold: a binomial number of ``sketch`` tokens is shared.
+    """
+    weight = lambda x: comb(sketch, x) * similarity**x * (1 - similarity) ** (sketch - x)
+    return sum(weight(x) * (1 - (1 - _path_share(x / sketch, branch, depth)) ** runs) for x in range(1, sketch + 1))
+
+
+def runs_for(similarity: float = THRESHOLD, recall: float = RECALL, most: int = 16) -> int:
+    """Runs that reach this recall."""
+    for runs in range(1, most + 1):
+        if recall_of(similarity, runs=runs) >= recall:
+            return runs
+    raise ValueError(f"{most} runs don't reach a recall of {recall}")
 
 
 def shingle_hashes(hasher: Hasher, text: bytes | None) -> np.ndarray:
@@ -118,7 +140,7 @@ def _children(run_salt: int):
 
 def _paths(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Leaf buckets (path, id, n: how many sets the bucket has), and the staged tables they are read from."""
-    level = sets.select("id", F.explode(F.array(*(F.lit(r + 1).cast("long") for r in range(RUNS)))).alias("path"), "sketch")
+    level = sets.select("id", F.explode(F.array(*(F.lit(r + 1).cast("long") for r in range(runs_for())))).alias("path"), "sketch")
     leaves, open_rows, parents, staged = [], None, None, []
     for depth in range(MAX_DEPTH):
         rows = stage(arrow_map(level, _children(depth), "id long, parent long, path long"), "paths")
@@ -151,6 +173,32 @@ def _tiles(members: DataFrame, group: str, count: str, tile: int = TILE) -> Data
     return members.withColumn("tile", mine).withColumn("p", F.explode(pairs)).select("*", "p.a", "p.b").drop("p", count)
 
 
+def _size_plan(members: DataFrame) -> DataFrame:
+    """(comp, plan): the tiles of each group by size class, an array of (cls, k: tiles of the class, first: number of its first tile); the
+    classes of all sizes that an int holds are fewer than a hundred."""
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.least(F.ceil(F.col("shingles") / TILE_SHINGLES), F.col("n"))).cast("int")
+    counted = members.groupBy("comp", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    classes = counted.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("cls", tiles.alias("k")))).alias("c"))
+    before = lambda i: F.aggregate(F.slice("c", F.lit(1), i), F.lit(0), lambda acc, x: acc + x["k"])
+    return classes.select("comp", F.transform("c", lambda x, i: F.struct(x["cls"].alias("cls"), x["k"].alias("k"), before(i).alias("first"))).alias("plan"))
+
+
+def _size_tiles(members: DataFrame, plans: DataFrame) -> DataFrame:
+    """``members`` with ``tile`` and ``near``: the tiles (first, k) of its own size class and of the two beside it; null where the group is one tile."""
+    near = F.filter("plan", lambda x: F.abs(x["cls"] - F.col("cls")) <= 1)
+    own = F.element_at(F.filter("plan", lambda x: x["cls"] == F.col("cls")), 1)
+    joined = members.join(plans, "comp", "left").withColumn("own", own)
+    tile = F.coalesce(F.col("own.first") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("own.k")).cast("int"), F.lit(0))
+    return joined.withColumn("tile", tile).withColumn("near", F.transform(near, lambda x: F.struct(x["first"].alias("first"), x["k"].alias("k")))).drop("plan", "own", "cls")
+
+
+def _pairs_of_tiles(members: DataFrame) -> DataFrame:
+    """A row of each member for every pair (a, b) of tiles that its tile is part of."""
+    others = F.flatten(F.transform("near", lambda x: F.sequence(x["first"], x["first"] + x["k"] - 1)))
+    pairs = F.transform(F.coalesce(others, F.array(F.lit(0))), lambda o: F.struct(F.least(o, F.col("tile")).alias("a"), F.greatest(o, F.col("tile")).alias("b")))
+    return members.withColumn("p", F.explode(pairs)).select("*", "p.a", "p.b").drop("p", "near")
+
+
 def _dealt(pairs: DataFrame, group: str) -> DataFrame:
     """Rows of ``_tiles`` sorted by pair, each pair whole in one task; the pairs of one group go to tasks one after the other, so none gets two before all have one."""
     tasks = input_tasks(pairs.sparkSession)
@@ -197,20 +245,24 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 PART_VALUES = 1 << 21
 
 
-def shared_counts(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many values each pair of sets has in common, as a dense matrix."""
+def shared_counts(values: np.ndarray, offsets: np.ndarray, left: int | None = None) -> np.ndarray:
+    """How many values each pair of sets has in common, as a dense matrix; with ``left``, of each of the first ``left`` sets and each of the others."""
     sets = len(offsets) - 1
     owner = np.repeat(np.arange(sets), np.diff(offsets))
     if (parts := len(values) // PART_VALUES + 1) == 1:
-        return _shared_counts(values, owner, sets)
+        return _shared_counts(values, owner, sets, left)
     turn = values % np.uint64(parts)
-    return sum(_shared_counts(values[turn == i], owner[turn == i], sets) for i in range(parts))
+    return sum(_shared_counts(values[turn == i], owner[turn == i], sets, left) for i in range(parts))
 
 
-def _shared_counts(values: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+def _shared_counts(values: np.ndarray, owner: np.ndarray, sets: int, left: int | None) -> np.ndarray:
     uniq, column, counts = np.unique(values, return_inverse=True, return_counts=True)
-    out = np.zeros((sets, sets), np.float32)
-    keep = np.flatnonzero(counts > 1)
+    out = np.zeros((sets, sets) if left is None else (left, sets - left))
+    if left is None:
+        keep = np.flatnonzero(counts > 1)
+    else:  # values on both sides
+        ours = np.bincount(column[owner < left], minlength=len(uniq))
+        keep = np.flatnonzero((ours > 0) & (ours < counts))
     number = np.full(len(uniq), -1)
     number[keep] = np.arange(len(keep))
     column = number[column]
@@ -221,7 +273,7 @@ def _shared_counts(values: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarr
         a, b = np.searchsorted(column, [start, start + 4096])
         m = np.zeros((sets, min(4096, len(keep) - start)), np.float32)
         m[owner[a:b], column[a:b] - start] = 1
-        out += m @ m.T
+        out += m @ m.T if left is None else m[:left] @ m[left:].T
     return out
 
 
@@ -296,22 +348,44 @@ def components(links: DataFrame) -> DataFrame:
         unstage(new)
 
 
+_HASHED_SQL = "comp long, id long, copies long, tile int, near array<struct<first:int,k:int>>, text string, shingles array<long>"
+
+
+def _hash_large(batches):
+    """Columns comp, id, copies, tile, near, text: the text of a group of several tiles becomes its sorted shingles, others have none yet."""
+    hasher, none = Hasher(), np.zeros(0, np.int64)
+    for b in batches:
+        large = b.column(4).is_valid()
+        shingles = [shingle_hashes(hasher, t).view(np.int64) if x else none for t, x in zip(utf8_values(b.column(5)), large.to_pylist(), strict=True)]
+        text = pc.if_else(large, pa.scalar(None, b.column(5).type), b.column(5))
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], text, pa.array(shingles, pa.list_(pa.int64()))], names=["comp", "id", "copies", "tile", "near", "text", "shingles"])
+
+
 def _exact(batches):
-    """Columns comp, a, b, tile, id, copies, text: link counts and forest links of one pair of tiles."""
+    """Columns comp, a, b, tile, id, copies, text, shingles: link counts and forest links of one pair of tiles."""
     hasher = Hasher()
     for group in _by_group(batches, 3):
         a, b = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-        ids, at = np.unique(group.column(4).to_numpy(), return_index=True)
+        _, at = np.unique(group.column(4).to_numpy(), return_index=True)
+        at = at[np.argsort(group.column(3).to_numpy()[at], kind="stable")]  # the tile with the lower number first
         group = group.take(pa.array(at))
-        tile, copies = group.column(3).to_numpy(), group.column(5).to_numpy()
-        sets = [shingle_hashes(hasher, t) for t in group.column(6).combine_chunks().cast(pa.binary()).to_pylist()]
+        ids, copies = group.column(4).to_numpy(), group.column(5).to_numpy()
+        ready, ends = _lists(group.column(7))
+        texts = utf8_values(group.column(6).combine_chunks())
+        sets = [ready[ends[i] : ends[i + 1]] if t is None else shingle_hashes(hasher, t) for i, t in enumerate(texts)]
         sizes = np.array([len(s) for s in sets], np.float64)
         offsets = np.concatenate([[0], np.cumsum(sizes).astype(np.int64)])
-        both = shared_counts(np.concatenate(sets), offsets).astype(np.float64)
-        close = both >= THRESHOLD * (sizes[:, None] + sizes[None, :] - both) - 1e-9
-        np.fill_diagonal(close, False)
-        if a != b:  # links inside a tile are counted where it meets itself
-            close &= tile[:, None] != tile[None, :]
+        similar = lambda both, x, y: both >= THRESHOLD * (x[:, None] + y[None, :] - both) - 1e-9
+        if a == b:
+            close = similar(shared_counts(np.concatenate(sets), offsets), sizes, sizes)
+            np.fill_diagonal(close, False)
+        else:  # links inside a tile are counted where it meets itself
+            left = int((group.column(3).to_numpy() == a).sum())
+            if not 0 < left < len(ids):
+                continue
+            close = np.zeros((len(ids), len(ids)), bool)
+            close[:left, left:] = similar(shared_counts(np.concatenate(sets), offsets, left), sizes[:left], sizes[left:])
+            close |= close.T
         linked = close @ copies.astype(np.float64)
         src, dst = forest(close)
         kind = np.concatenate([np.zeros(len(ids), np.int64), np.ones(len(src), np.int64)])
@@ -335,13 +409,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash (xxhash64), class_id and class_hash (those of the least row of its
     class), n_links (other documents at ``THRESHOLD`` or above)."""
-    if recall_of(THRESHOLD) < RECALL:
-        raise ValueError("more runs are needed for this recall")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("th"), F.col(f"`{text_col}`").alias("text"))
     rows = stage(arrow_map(texts, _set_rows, _SETS_SQL), "sets")
     # One set per class of equal sets; its id is a hash of its 128-bit name.
     named = F.xxhash64("low", "high")
-    sets = rows.where("low IS NOT NULL").groupBy(named.alias("id"), "low", "high").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th")).alias("one"), F.first("sketch").alias("sketch"))
+    sets = rows.where("low IS NOT NULL").groupBy(named.alias("id"), "low", "high").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th")).alias("one"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     sets = stage(sets, "distinct-sets")
     buckets, staged = _paths(sets)
     leaves = _tiles(buckets, "path", "n").join(sets.select("id", "sketch"), "id").select("path", "a", "b", "tile", "id", "sketch")
@@ -349,17 +421,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unstage(*staged)
     groups = stage(components(links), "groups")
     # Sizes and leads are written by themselves, so that joins can split a large group over tasks.
-    sizes = stage(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
-    sized = groups.join(sizes, "comp")
+    sizes = stage(groups.join(sets.select("id", "size"), "id").groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")), "group-sizes")
+    sized = groups.join(sizes.withColumn("large", (F.col("n") > TILE) | (F.col("shingles") > TILE_SHINGLES)), "comp").drop("n", "shingles")
     # One text stands for each set: that of its least (id, text hash).  Where rows repeat it, one of them is taken before texts are dealt out.
     repeats = rows.groupBy(F.col("doc").alias("rd"), F.col("th").alias("rh")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    wanted = sized.join(sets.select("id", "copies", F.col("one.doc").alias("wd"), F.col("one.th").alias("wh")), "id")
+    wanted = sized.join(sets.select("id", "copies", "size", F.floor(F.log("size") / CLASS_WIDTH).cast("int").alias("cls"), F.col("one.doc").alias("wd"), F.col("one.th").alias("wh")), "id")
     wanted = stage(wanted.join(repeats, F.col("wd").eqNullSafe(F.col("rd")) & (F.col("wh") == F.col("rh")), "left").drop("rd", "rh"), "wanted-texts")
+    plans = stage(_size_plan(wanted.where("large")), "tile-plans")
+    placed = _size_tiles(wanted, plans).select("comp", "id", "copies", "tile", "near", "wd", "wh", "rows")
     # The list grows with the input, so it is not broadcast, whatever its size looks like.
-    text_of = lambda w: texts.join(w.hint("merge"), F.col("doc").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wh"))).select("comp", "id", "n", "copies", "text")
-    repeated = wanted.where("rows IS NOT NULL")
-    once = text_of(wanted) if repeated.isEmpty() else text_of(wanted.where("rows IS NULL")).unionByName(text_of(repeated).dropDuplicates(["id"]))
-    tiles = _tiles(once, "comp", "n").select("comp", "a", "b", "tile", "id", "copies", "text")
+    text_of = lambda w: texts.join(w.hint("merge"), F.col("doc").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wh"))).select("comp", "id", "copies", "tile", "near", "text")
+    repeated = placed.where("rows IS NOT NULL")
+    if wanted.where("rows IS NOT NULL").isEmpty():
+        once = text_of(placed)
+    else:
+        once = text_of(placed.where("rows IS NULL")).unionByName(text_of(repeated).dropDuplicates(["id"]))
+    tiles = _pairs_of_tiles(arrow_map(once, _hash_large, _HASHED_SQL)).select("comp", "a", "b", "tile", "id", "copies", "text", "shingles")
     found = stage(arrow_map(_dealt(tiles, "comp"), _exact, "kind long, x long, y long"), "exact")
     counts = found.where("kind = 0").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("linked"))
     classes = stage(components(found.where("kind = 1").select("x", "y")), "classes")
@@ -372,5 +449,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("doc").alias("doc_id"), F.col("th").alias("text_hash"), F.when(alone, F.col("doc")).otherwise(F.col("lead.doc")).alias("class_id"),
         F.when(alone, F.col("th")).otherwise(F.col("lead.th")).alias("class_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    unstage(links, groups, sizes, wanted)
+    unstage(links, groups, sizes, wanted, plans)
     return result
