@@ -24,8 +24,9 @@ EDGE_RULES = {
     "LOOKUP_MAP": ("pop", "push"), "LOOKUP_MAP_INDEX": ("pop", "push"), "BINOP_X": ("copy", "stop"), "BINOP_Y": ("copy", "stop"),
     "ARG_ON_CALL": ("copy", "stop"), "RETURN_ON": ("stop", "stop"), "EXTRACT": ("stop", "stop"), "PARAMETER": ("stop", "stop"),
 }
-#: Calls that hand their arguments' taints on; and comparisons, whose results carry none.
-FLOWING_CALLS = ("append", "copy", "delete", "FormatInt", "Itoa", "Atoi", "ParseInt", "ParseFloat")
+#: Conversions whose result is their first argument; calls that hand their arguments' taints on; and comparisons, whose results carry none.
+CONVERSIONS = ("FormatInt", "Itoa", "Atoi", "ParseInt", "ParseFloat")
+FLOWING_CALLS = ("append", "copy", "delete", *CONVERSIONS)
 COMPARISONS = ("==", "!=", "<", "<=", ">", ">=")
 
 
@@ -113,6 +114,18 @@ def earliest_arrivals(seed: DataFrame, moves: DataFrame, at: str, on: str, name:
 
 
 _MARKS = "array<struct<at:string,segment:string>>"
+#: Path part of map entries whose key is no literal.
+DYNAMIC_KEY = ".MapKey"
+
+
+def _outside(moves: DataFrame, blocked: DataFrame | None, ends: tuple[str, str]) -> DataFrame:
+    """``moves`` without those from or to a value of ``blocked`` (id)."""
+    if blocked is None:
+        return moves
+    inside = blocked.select("id").distinct()
+    for end in ends:
+        moves = moves.join(inside.withColumnRenamed("id", end), end, "left_anti")
+    return moves
 
 
 def edge_moves(edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
@@ -122,25 +135,54 @@ def edge_moves(edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """
     rules = edges.sparkSession.createDataFrame([(k, d, r) for k, pair in EDGE_RULES.items() for d, r in zip(("f", "b"), pair, strict=True)], "etype string, dir string, how string")
     usable = edges.where(~(F.col("etype").isin("BINOP_X", "BINOP_Y") & F.col("op").isin(*COMPARISONS)) & ~((F.col("etype") == "ARG_ON_CALL") & ~F.col("op").isin(*FLOWING_CALLS)))
-    if blocked is not None:
-        inside = blocked.select("id").distinct()
-        for end in ("src", "dst"):
-            usable = usable.join(inside.withColumnRenamed("id", end), end, "left_anti")
+    usable = _outside(usable, blocked, ("src", "dst"))
     side = lambda d, a, b: usable.select("etype", F.lit(d).alias("dir"), F.col(a).alias("a"), F.col(b).alias("b"), "segment")
     both = side("f", "src", "dst").unionByName(side("b", "dst", "src"))
     return both.join(F.broadcast(rules), ["etype", "dir"]).where("how <> 'stop'").select("a", "b", "segment", "how").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
+def instruction_moves(updates: DataFrame, lookups: DataFrame, args: DataFrame, upwards: bool = False) -> DataFrame:
+    """(a, b, segment, how): the steps that taints take between the operands of map updates, look-ups and calls.
+
+    ``updates`` (map, key, value, literal) and ``lookups`` (map, key, result, literal): an entry lies below its ``literal`` key, or below ``DYNAMIC_KEY`` if that is null; its key and its value lie below the entry.  A look-up is read
+    both ways.  An update hands taints to the map; from the map only those of entries with a dynamic key come back, and none if taints go ``upwards``.  ``args`` (call, name, pos, arg, result): ``append`` joins its arguments and its
+    result, ``copy`` its two arguments, ``delete`` a map (position 0) with the key of a dynamic entry (1), a conversion its first argument and its result; other calls join nothing.  ``cut`` takes a segment away and, unlike
+    ``pop``, lets no taint of the whole object pass.  Operands that are null (constants) take no part; of arguments with one position in a call the least counts.
+    """
+    entry = F.coalesce(F.concat(F.lit("."), F.col("literal")), F.lit(DYNAMIC_KEY))
+    move = lambda df, a, b, segment, how: df.select(F.col(a).alias("a"), F.col(b).alias("b"), segment.alias("segment"), F.lit(how).alias("how"))
+    key, val = (lambda of: F.concat(of, F.lit(".Key"))), (lambda of: F.concat(of, F.lit(".Val")))
+    dynamic, none = F.lit(DYNAMIC_KEY), F.lit("")
+    name = F.col("name")
+    two = args.where(name.isin("copy", "delete")).groupBy("call", "name").agg(*(F.min(F.when(F.col("pos") == i, F.col("arg"))).alias(f"arg{i}") for i in (0, 1)))
+    through = args.where((name == "append") | (name.isin(*CONVERSIONS) & (F.col("pos") == 0)))
+    copied, deleted = two.where(name == "copy"), two.where(name == "delete")
+    moves = [
+        move(updates, "key", "map", key(entry), "push"), move(updates, "value", "map", val(entry), "push"),
+        move(lookups, "key", "map", key(entry), "push"), move(lookups, "result", "map", val(entry), "push"),
+        move(lookups, "map", "key", key(entry), "cut"), move(lookups, "map", "result", val(entry), "cut"),
+        move(through, "arg", "result", none, "copy"), move(through, "result", "arg", none, "copy"),
+        move(copied, "arg0", "arg1", none, "copy"), move(copied, "arg1", "arg0", none, "copy"),
+        move(deleted, "arg0", "arg1", key(dynamic), "cut"), move(deleted, "arg1", "arg0", key(dynamic), "push"),
+    ]
+    if not upwards:
+        moves += [move(updates, "map", "key", key(dynamic), "cut"), move(updates, "map", "value", val(dynamic), "cut")]
+    return reduce(DataFrame.unionByName, moves).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, calls: DataFrame | None = None, instructions: DataFrame | None = None) -> DataFrame:
     """Taints (id, objpath, fieldpath, stamp) that reach each value over value-flow edges and out of callees.
 
     ``edges`` (etype, src, dst, segment, op): ``segment`` is the path part that field, index and map edges add or remove, ``op`` names the operator or callee of BINOP and ARG edges.  ``calls`` (inner, outer, site): a taint of a
-    callee's ``inner`` becomes one of the caller's ``outer``, its stamp begins with the site of the call, and from there it spreads inside the caller.
+    callee's ``inner`` becomes one of the caller's ``outer``, its stamp begins with the site of the call, and from there it spreads inside the caller.  ``instructions`` are further moves, of ``instruction_moves``.
 
     There is one state for each value and path, however many routes lead to it: it keeps the stamp and the open pushes of the first round that reaches it, the least of them.  Paths have no greatest length; only a
     cycle that would lengthen one without end is cut where it repeats: a value does not get the same segment again while the first one is still in the path.
     """
-    moves = edge_moves(edges, blocked).withColumn("site", F.lit(None).cast("int"))
+    moves = edge_moves(edges, blocked)
+    if instructions is not None:
+        moves = moves.unionByName(_outside(instructions, blocked, ("a", "b")).select(*moves.columns))
+    moves = moves.withColumn("site", F.lit(None).cast("int"))
     if calls is not None:
         moves = moves.unionByName(calls.select(F.col("inner").alias("a"), F.col("outer").alias("b"), F.lit("").alias("segment"), F.lit("copy").alias("how"), F.col("site").cast("int").alias("site")))
     moves = stage(moves.distinct(), "moves")
@@ -148,7 +190,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | None = No
     def step(front: DataFrame) -> DataFrame:
         rest = F.substring(F.col("objpath"), F.lit(5), F.length("objpath"))
         at_root, is_push, is_pop = F.col("objpath") == "_obj", F.col("how") == "push", F.col("how") == "pop"
-        fits = is_pop & ~at_root & F.startswith(rest, F.col("segment"))
+        fits = (is_pop | (F.col("how") == "cut")) & ~at_root & F.startswith(rest, F.col("segment"))
         is_deep = is_pop & at_root
         path = (
             F.when((F.col("how") == "copy") | is_deep, F.col("objpath"))

@@ -209,6 +209,46 @@ def value_taints(spark, d):
     return found.select(F.col("id").cast("long").alias("id"), "objpath", "fieldpath")
 
 
+#: Map updates, look-ups and calls: ten values in a row are a function; the even ones up to the sixth are operands together with the next two, the last two are a struct and its field.
+_CALLED = ["append", "copy", "delete", "Itoa", "Println"]
+_INSTRUCTIONS = f"""ins AS (
+    SELECT c_custkey AS a, c_custkey + 1 AS b, c_custkey + 2 AS c, c_nationkey % 3 AS kind, {_list(_CALLED)}[c_nationkey % {len(_CALLED)} + 1] AS name,
+           CASE WHEN c_custkey % 4 = 0 THEN '.k' || (c_nationkey % 2) ELSE '.MapKey' END AS entry
+    FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 10 <= 6),
+    moves AS (
+        SELECT b AS a, a AS z, entry || '.Key' AS segment, 'push' AS how FROM ins WHERE kind IN (0, 1) UNION SELECT c, a, entry || '.Val', 'push' FROM ins WHERE kind IN (0, 1)
+        UNION SELECT a, b, '.MapKey.Key', 'cut' FROM ins WHERE kind = 0 UNION SELECT a, c, '.MapKey.Val', 'cut' FROM ins WHERE kind = 0
+        UNION SELECT a, b, entry || '.Key', 'cut' FROM ins WHERE kind = 1 UNION SELECT a, c, entry || '.Val', 'cut' FROM ins WHERE kind = 1
+        UNION SELECT unnest([a, c, b, c, a, b]), unnest([c, a, c, b, b, a]), '', 'copy' FROM ins WHERE kind = 2 AND name = 'append'
+        UNION SELECT unnest([a, b]), unnest([b, a]), '', 'copy' FROM ins WHERE kind = 2 AND name = 'copy'
+        UNION SELECT a, b, '.MapKey.Key', 'cut' FROM ins WHERE kind = 2 AND name = 'delete' UNION SELECT b, a, '.MapKey.Key', 'push' FROM ins WHERE kind = 2 AND name = 'delete'
+        UNION SELECT unnest([a, c]), unnest([c, a]), '', 'copy' FROM ins WHERE kind = 2 AND name = 'Itoa'
+        UNION SELECT c_custkey, c_custkey + 1, '.f' || (c_nationkey % 3), 'pop' FROM customer WHERE c_custkey % 10 = 8
+        UNION SELECT c_custkey + 1, c_custkey, '.f' || (c_nationkey % 3), 'push' FROM customer WHERE c_custkey % 10 = 8)"""
+
+
+def _instructions(spark: SparkSession, d: str) -> DataFrame:
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    name = F.element_at(F.array(*map(F.lit, _CALLED)), (nation % len(_CALLED) + 1).cast("int"))
+    literal = F.when(key % 4 == 0, text("k", nation % 2))
+    ids = [(key + i).cast("string").alias(c) for i, c in enumerate("abc")]
+    ins = table(spark, d, "customer").where((key % 2 == 0) & (key % 10 <= 6)).select(*ids, (nation % 3).alias("kind"), name.alias("name"), literal.alias("literal"))
+    of = lambda kind, *names: ins.where(F.col("kind") == kind).select(*(F.col(c).alias(n) for c, n in zip("abc", names, strict=True)), "literal")
+    args = ins.where("kind = 2").select(F.col("a").alias("call"), "name", F.posexplode(F.array("a", "b")).alias("pos", "arg"), F.col("c").alias("result"))
+    return graph.instruction_moves(of(0, "map", "key", "value"), of(1, "map", "key", "result"), args)
+
+
+@query("map_taints", f"""WITH RECURSIVE {_INSTRUCTIONS}, r AS (SELECT c_custkey AS id, '_obj' AS objpath, 'db.c.f' || (c_custkey % 5) AS fieldpath FROM customer UNION {_STEP.replace("how <> 'pop' OR objpath = '_obj'", "how IN ('copy', 'push') OR (how = 'pop' AND objpath = '_obj')").replace("WHEN objpath = '_obj' THEN", "WHEN how = 'pop' AND objpath = '_obj' THEN")})
+    SELECT id, objpath, fieldpath FROM r""")
+def map_taints(spark, d):
+    """Taints of every value over map entries under literal and dynamic keys, look-ups, built-in calls and conversions."""
+    customer, key = table(spark, d, "customer"), F.col("c_custkey")
+    fields = customer.where(key % 10 == 8).select(F.lit("FIELD").alias("etype"), key.cast("string").alias("src"), (key + 1).cast("string").alias("dst"), text(".f", F.col("c_nationkey") % 3).alias("segment"), F.lit(None).cast("string").alias("op"))
+    seeds = customer.select(key.cast("string").alias("id"), F.lit("_obj").alias("objpath"), text("db.c.f", key % 5).alias("fieldpath"))
+    found = graph.propagate(fields, seeds, instructions=_instructions(spark, d))
+    return found.select(F.col("id").cast("long").alias("id"), "objpath", "fieldpath")
+
+
 @query("flow_edges_of_kind", f"WITH {_FLOW} SELECT fn, src, dst, etype FROM flow WHERE etype IN ('FIELD', 'INDEX')")
 def flow_edges_of_kind(spark, d):
     """Edges by kind."""

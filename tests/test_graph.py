@@ -100,3 +100,43 @@ def test_keyed_numbers(spark):
     for u in {r[0] for r in rows}:
         want |= {r[2]: n + 1 for n, r in enumerate(sorted((r for r in rows if r[0] == u), key=lambda r: r[1:]))}
     assert {r.id: r.n for r in keyed_row_number(df, "n", "u", "t", "id").collect()} == want
+
+
+UPDATE, LOOKUP, ARG = "map string, key string, value string, literal string", "map string, key string, result string, literal string", "call string, name string, pos int, arg string, result string"
+EDGE, SEED = "etype string, src string, dst string, segment string, op string", "id string, objpath string, fieldpath string"
+
+
+def reached(spark, seeds, updates=(), lookups=(), args=(), blocked=None, **options):
+    df = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    moves = graph.instruction_moves(df(updates, UPDATE), df(lookups, LOOKUP), df(args, ARG), **options)
+    found = graph.propagate(df([], EDGE), df(seeds, SEED), None if blocked is None else df(blocked, "id string"), instructions=moves)
+    return {(r.id, r.objpath) for r in found.collect()}
+
+
+def test_entries_under_literal_keys_are_read_by_the_same_literal_only(spark):
+    updates, lookups = [("m", None, "v", "a")], [("m", None, "r", "a"), ("m", None, "s", "b"), ("m", "i", "d", None)]
+    assert reached(spark, [("v", "_obj.x", "db.t.f")], updates, lookups) == {("v", "_obj.x"), ("m", "_obj.a.Val.x"), ("r", "_obj.x")}
+
+
+def test_dynamic_entries_come_back_from_the_map_unless_taints_go_upwards(spark):
+    updates, lookups = [("m", "k", "v", None)], [("m", "i", "r", None)]
+    there = {("k", "_obj"), ("m", "_obj.MapKey.Key"), ("i", "_obj")}
+    assert reached(spark, [("k", "_obj", "db.t.f")], updates, lookups) == there
+    assert reached(spark, [("i", "_obj", "db.t.f")], updates, lookups) == there
+    assert reached(spark, [("i", "_obj", "db.t.f")], updates, lookups, upwards=True) == there - {("k", "_obj")}
+    assert reached(spark, [("m", "_obj", "db.t.f")], updates, lookups) == {("m", "_obj")}
+
+
+def test_built_in_calls_and_conversions(spark):
+    args = [
+        ("1", "append", 0, "a", "b"), ("1", "append", 1, "c", "b"), ("2", "Itoa", 0, "b", "d"), ("2", "Itoa", 1, "no", "d"), ("3", "copy", 0, "d", "n"), ("3", "copy", 1, "e", "n"),
+        ("4", "Println", 0, "e", "f"), ("5", "delete", 0, "m", "n"), ("5", "delete", 1, "e", "n"), ("6", "append", 0, None, "a"),
+    ]
+    copies = {(x, "_obj") for x in "abcde"}
+    assert reached(spark, [("a", "_obj", "db.t.f")], args=args) == copies | {("m", "_obj.MapKey.Key")}
+    assert reached(spark, [("m", "_obj.MapKey.Key", "db.t.f")], args=args) == copies | {("m", "_obj.MapKey.Key")}
+    assert reached(spark, [("a", "_obj", "db.t.f")], args=args, blocked=[("b",)]) == {("a", "_obj")}
+
+
+def test_a_map_stored_in_itself_ends(spark):
+    assert reached(spark, [("m", "_obj", "db.t.f")], [("m", None, "v", None)], args=[("1", "append", 0, "m", "v")]) == {("m", "_obj"), ("v", "_obj"), ("m", "_obj.MapKey.Val"), ("v", "_obj.MapKey.Val")}
