@@ -61,3 +61,14 @@ def test_taints_follow_the_order_of_the_walk(spark):
     hops = spark.createDataFrame([("c", "q", 3), ("b", "q", 3)], "src string, dst string, time long")
     found = {(r.obj_id, r.fieldpath, r.at, r.primary) for r in taints.request_taints(t, pairs, hops).collect()}
     assert found == {("a", "db.a", 0, True), ("b", "db.a", 2, False), ("c", "db.a", 4, False), ("c", "db.c", 0, True), ("b", "db.c", 7, False), ("q", "db.c", 3, False)}
+
+
+def test_arguments_are_listed_above_the_join(spark):
+    """One row a trace and block passes the join, on keys dealt out below call and name; equal traces, equal arguments and null ones stay."""
+    traces = spark.createDataFrame([(i % 50, "c1", "S.M.t4") for i in range(60)], "obj_id int, sv_call_id string, svpath string")
+    args = spark.createDataFrame([("c1", "t4", i) for i in (*range(40), 1, None)], "call_id string, name string, obj_id int")
+    found = taints.traces_to_arguments(traces, args)
+    rows = found.collect()
+    assert len(rows) == 60 * 42 and sum(r.target is None for r in rows) == 60 and sum((r.obj_id, r.target) == (3, 1) for r in rows) == 4
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join Inner") and "_salt" in plan[plan.index("Join Inner"):].splitlines()[0]
