@@ -30,9 +30,13 @@ def traces_to_arguments(traces: DataFrame, args: DataFrame) -> DataFrame:
 
 
 def traces_to_traces(traces: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of objects (obj_id, target) whose traces have the same call and service path."""
-    o = others.select(F.col("obj_id").alias("target"), "sv_call_id", "svpath")
-    return traces.select("obj_id", "sv_call_id", "svpath").join(o, ["sv_call_id", "svpath"]).where("obj_id <> target").select("obj_id", "target").distinct()
+    """Pairs of objects (obj_id, target) whose traces have the same call and service path.
+
+    Equal rows of both sides are met once: only pairs of different objects are listed.
+    """
+    t = traces.select("obj_id", "sv_call_id", "svpath").distinct()
+    o = others.select(F.col("obj_id").alias("target"), "sv_call_id", "svpath").distinct()
+    return t.join(o, ["sv_call_id", "svpath"]).where("obj_id <> target").select("obj_id", "target").distinct()
 
 
 def union_of_traces(*tables: DataFrame) -> DataFrame:

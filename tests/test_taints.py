@@ -72,3 +72,12 @@ def test_arguments_are_listed_above_the_join(spark):
     assert len(rows) == 60 * 42 and sum(r.target is None for r in rows) == 60 and sum((r.obj_id, r.target) == (3, 1) for r in rows) == 4
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate inline") < plan.index("Join Inner") and "_salt" in plan[plan.index("Join Inner"):].splitlines()[0]
+
+
+def test_partners_meet_once(spark):
+    """Equal rows of both sides fold before the join."""
+    traces = spark.createDataFrame([("o1", "c1", "S.M.t4")] * 9 + [("o2", "c1", "S.M.t4")], "obj_id string, sv_call_id string, svpath string")
+    found = taints.traces_to_traces(traces, traces)
+    assert sorted(map(tuple, found.collect())) == [("o1", "o2"), ("o2", "o1")]
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    assert below.count("Aggregate") == 2
