@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import input_tasks, stage
 
 #: Operators of documents that are no field names and carry nothing.
 IGNORED = ("$each", "$position", "$addToSet")
@@ -26,7 +26,8 @@ def document_values(documents: DataFrame, document: str = "document") -> DataFra
     stands for its outer field; ``IGNORED`` operators carry nothing.  ``value`` is the leaf as text, null for an empty document.  A text that is no JSON has no rows.
     """
     spark = documents.sparkSession
-    texts = documents.select(F.col(f"`{document}`").alias("document")).where("document IS NOT NULL").distinct()
+    # Dealt by number: the planner would join tasks by their compressed size, and equal texts compress well.
+    texts = documents.select(F.col(f"`{document}`").alias("document")).where("document IS NOT NULL").repartition(input_tasks(spark), "document").distinct()
     front = stage(texts.select("document", F.lit(None).cast("string").alias("field"), F.lit("").alias("mark"), F.array().cast("array<int>").alias("order"), F.try_parse_json("document").alias("v")).where("v IS NOT NULL"), "documents")
     leaves = []
     while True:
@@ -50,7 +51,9 @@ def document_values(documents: DataFrame, document: str = "document") -> DataFra
 
 def with_fields(rows: DataFrame, document: str, name: str = "fields") -> DataFrame:
     """``rows`` with the distinct fields of their document, in the order of its keys; an empty array if it has none."""
-    found = document_values(rows, document).groupBy(F.col("document").alias("_document"), "field").agg(F.min("order").alias("order"))
+    tasks = input_tasks(rows.sparkSession)
+    values = document_values(rows, document).select(F.col("document").alias("_document"), "field", "order").repartition(tasks, "_document")
+    found = values.groupBy("_document", "field").agg(F.min("order").alias("order"))
     fields = found.groupBy("_document").agg(F.array_sort(F.collect_list(F.struct("order", "field")))["field"].alias("_fields"))
-    joined = rows.join(fields, F.col(f"`{document}`") == F.col("_document"), "left").drop("_document")
+    joined = rows.repartition(tasks, F.col(f"`{document}`")).join(fields, F.col(f"`{document}`") == F.col("_document"), "left").drop("_document")
     return joined.withColumn(name, F.coalesce("_fields", F.array().cast("array<string>"))).drop("_fields")

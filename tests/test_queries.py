@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from keelson import catalog
+from keelson.plans.staging import input_tasks
 
 DATA = os.environ.get("KEELSON_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -65,3 +66,9 @@ def test_no_query_cuts_its_tables():
     cut = re.compile(r"\b(?:obj|event_id|\w+key|req)\b\s*<\s*\d+|\.limit\(|\bLIMIT \d|TABLESAMPLE|\.sample\(")
     found = [(p.name, m[0]) for p in folder.glob("*.py") for m in cut.finditer(p.read_text())]
     assert found == []
+
+
+def test_large_joins_are_dealt_by_number(spark):
+    """The planner does not join tasks by their compressed size where rows of few texts meet."""
+    for name in ("document_fields",):
+        assert catalog.QUERIES[name](spark, DATA).rdd.getNumPartitions() == input_tasks(spark)
