@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import input_tasks
 from .documents import document_values
 from .statements import OPERATIONS, bound_arguments
 
@@ -115,7 +116,8 @@ def relational_taints(calls: DataFrame, arguments: DataFrame, destinations: Data
     of_call = known.select("call_id", "db", F.when(F.col("method") == "Exec", op).otherwise("read").alias("call_op"))
     path = F.concat("db", F.lit("."), F.regexp_replace("path", r"\.\*$", ""))
     read_val = (F.col("pos") == 0)
-    return bound.join(of_call, "call_id").select("call_id", "id", F.lit("_obj").alias("objpath"), path.alias("fieldpath"), F.col("call_op").alias("op"), (~read_val).alias("read_key"), read_val.alias("read_val")).distinct()
+    tasks = input_tasks(calls.sparkSession)
+    return bound.repartition(tasks, "call_id").join(of_call.repartition(tasks, "call_id"), "call_id").select("call_id", "id", F.lit("_obj").alias("objpath"), path.alias("fieldpath"), F.col("call_op").alias("op"), (~read_val).alias("read_key"), read_val.alias("read_val")).distinct()
 
 
 def seeds(taints: DataFrame, calls: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import input_tasks
+
 _PART = r"(?:[A-Za-z_]\w*|\"[^\"]*\"|`[^`]*`)"
 #: Literals, names of one or more parts, numbers, placeholders, operators.
 TOKEN = rf"'(?:[^']|'')*'|{_PART}(?:\s*\.\s*(?:{_PART}|\*))*|\d+(?:\.\d+)?|\?|<>|!=|<=|>=|[-+*/%(),;=<>]"
@@ -140,8 +142,10 @@ def bound_arguments(calls: DataFrame, arguments: DataFrame, destinations: DataFr
     column, or the whole row if that is ``*``.
     """
     columns = statement_columns(calls)
-    found = calls.select("call_id", "statement").join(columns, "statement")
-    placed = found.where("placeholder IS NOT NULL AND path IS NOT NULL").withColumnRenamed("placeholder", "n").join(arguments.select("call_id", "n", "id"), ["call_id", "n"])
-    read = found.where("item = 1").join(destinations.select("call_id", "id"), "call_id").withColumn("n", F.lit(0))
+    found = calls.select("call_id", "statement").join(columns, "statement").drop("statement")
+    # Dealt by number: the planner would join tasks by their compressed size, and rows of few statements compress well.
+    dealt = lambda df, *keys: df.repartition(input_tasks(df.sparkSession), *keys)
+    placed = dealt(found.where("placeholder IS NOT NULL AND path IS NOT NULL").withColumnRenamed("placeholder", "n"), "call_id", "n").join(dealt(arguments.select("call_id", "n", "id"), "call_id", "n"), ["call_id", "n"])
+    read = dealt(found.where("item = 1"), "call_id").join(dealt(destinations.select("call_id", "id"), "call_id"), "call_id").withColumn("n", F.lit(0))
     out = lambda df: df.select("call_id", "id", "path", "role", "op", F.col("n").alias("pos"))
     return out(placed).unionByName(out(read))

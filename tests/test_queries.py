@@ -70,5 +70,5 @@ def test_no_query_cuts_its_tables():
 
 def test_large_joins_are_dealt_by_number(spark):
     """The planner does not join tasks by their compressed size where rows of few texts meet."""
-    for name in ("document_fields",):
+    for name in ("document_fields", "relational_taints"):
         assert catalog.QUERIES[name](spark, DATA).rdd.getNumPartitions() == input_tasks(spark)
