@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_read, is_write, is_write_or_update
 from ..plans.config import AnalysisConfig
+from ..plans.staging import input_tasks
 
 PAIR_COLUMNS = ("req", "obj", "seq1", "seq2", "e1", "e2", "op1", "op2", "rk1", "rk2", "rv1", "rv2", "f1", "f2", "db1", "db2")
 
@@ -137,18 +138,26 @@ class ReferenceFold:
     """The inference in creation order, with transitive replacement and the "no reference yet" test of key-read pairs.
 
     Both depend on what exists when a pair is met, so this is a fold over the pairs of one application in their order.
+    Requests come one after the other, so only the last request of a reference is kept, and whether all earlier ones voted true; with ``dual_pass`` requests come twice, and all are kept.
     """
 
     config: AnalysisConfig = field(default_factory=AnalysisConfig)
     votes: dict[tuple[str, str], dict[int, bool]] = field(default_factory=dict)
+    #: References that a request voted against which is no longer kept.
+    refused: set[tuple[str, str]] = field(default_factory=set)
     transitive: set[tuple[str, str]] = field(default_factory=set)
     targets: dict[str, list[str]] = field(default_factory=dict)
 
     def mandatory(self, key: tuple[str, str]) -> bool:
-        return bool(self.votes[key]) and all(self.votes[key].values())
+        return key not in self.refused and bool(self.votes[key]) and all(self.votes[key].values())
 
     def _vote(self, key: tuple[str, str], req: int, value: bool) -> None:
-        self.votes[key][req] = value or self.votes[key].get(req, False)
+        kept = self.votes[key]
+        if kept and req not in kept and not self.config.dual_pass:
+            if not all(kept.values()):
+                self.refused.add(key)
+            kept.clear()
+        kept[req] = value or kept.get(req, False)
 
     def _create(self, src: str, dst: str, req: int, value: bool, transitive: bool = False) -> None:
         if (src, dst) not in self.votes:
@@ -193,11 +202,31 @@ def fold_references(pairs: Iterable[dict], config: AnalysisConfig = AnalysisConf
 
 
 def folded_references(rules: DataFrame, app: str = "app", config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """(app, src, dst, mandatory, transitive): the ordered fold, one application per group; applications don't share references."""
-    import pandas as pd
+    """(app, src, dst, mandatory, transitive): the ordered fold, one application after the other; applications don't share references.
 
-    def run(key, pdf):
-        ordered = pdf.sort_values(["turn", "req", "seq2", "seq1"]).to_dict("records")
-        return pd.DataFrame([(key[0], *r) for r in fold_references(ordered, config).rows()], columns=[app, "src", "dst", "mandatory", "transitive"])
-
-    return rules.groupBy(app).applyInPandas(run, f"{app} string, src string, dst string, mandatory boolean, transitive boolean")
+    Spark sorts the pairs of an application, on disk if need be, and the fold reads them in batches: Python holds one batch and the references.
+    """
+    import pyarrow as pa
+
+    schema = f"{app} string, src string, dst string, mandatory boolean, transitive boolean"
+    needed = ("req", "f1", "f2", "op1", "op2", "rule", "src", "dst", "creates")
+    types = pa.schema([(app, pa.string()), ("src", pa.string()), ("dst", pa.string()), ("mandatory", pa.bool_()), ("transitive", pa.bool_())])
+
+    def rows_of(name, fold):
+        return pa.RecordBatch.from_pylist([dict(zip(types.names, (name, *r), strict=True)) for r in fold.rows()], types)
+
+    def run(batches):
+        name = fold = None
+        for batch in batches:
+            for pair in batch.to_pylist():
+                if fold is None or pair[app] != name:
+                    if fold is not None:
+                        yield rows_of(name, fold)
+                    name, fold = pair[app], ReferenceFold(config)
+                fold.add(pair)
+        if fold is not None:
+            yield rows_of(name, fold)
+
+    order = (app, "turn", "req", "seq2", "seq1")
+    dealt = rules.repartition(input_tasks(rules.sparkSession), app).sortWithinPartitions(*order)
+    return dealt.select(app, *needed).mapInArrow(run, schema)

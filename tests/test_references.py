@@ -139,3 +139,15 @@ def test_extreme_pairs_stand_for_all_pairs(spark):
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(firsts) == key(references.first_references(references.pair_rules(references.extreme_pairs(facts, True))))
     assert key(references.reference_votes(rules, firsts)) == key(references.infer_votes(facts))
+
+
+def test_the_ordered_fold_keeps_one_request_a_reference(spark):
+    """Pairs reach the fold sorted, in batches; earlier requests leave only whether one refused."""
+    pair = lambda req, op1, op2: {"f1": "da.c.x", "f2": "db.c.y", "rule": "R1" if op1 == "W" else "R2", "req": req, "op1": op1, "op2": op2, "src": "db.c.y", "dst": "da.c.x", "creates": True}
+    fold = references.fold_references([pair(i, "R" if i == 7 else "W", "W") for i in range(50)])
+    assert fold.rows() == [("db.c.y", "da.c.x", False, False)] and len(fold.votes["db.c.y", "da.c.x"]) == 1
+    assert references.fold_references([pair(1, "R", "W"), pair(1, "W", "W"), pair(2, "W", "W")]).rows() == [("db.c.y", "da.c.x", True, False)]
+    columns = "app string, turn int, req int, seq1 int, seq2 int, f1 string, f2 string, rule string, op1 string, op2 string, src string, dst string, creates boolean"
+    rows = [(app, 0, i, 1, 2, *(pair(i, op, "W")[c] for c in ("f1", "f2", "rule", "op1", "op2", "src", "dst", "creates"))) for app, bad in (("a", 3), ("b", None)) for i in reversed(range(20)) for op in ["R" if i == bad else "W"]]
+    found = references.folded_references(spark.createDataFrame(rows, columns))
+    assert sorted(map(tuple, found.collect())) == [("a", "db.c.y", "da.c.x", False, False), ("b", "db.c.y", "da.c.x", True, False)]
