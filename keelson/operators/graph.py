@@ -42,6 +42,12 @@ def neighbours(nodes: DataFrame, edges: DataFrame, outgoing: bool = True) -> Dat
     return nodes.select("node").join(edges.select(F.col(near).alias("node"), F.col(far).alias("neighbour")), "node")
 
 
+def _met_again(seen: DataFrame, moved: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``seen`` with keys that ``moved`` has.  Few rows of ``moved``, as late rounds have, are broadcast: what was seen is read where it lies and not dealt out once a round."""
+    m = moved.select(*(F.col(k).alias(f"_moved_{k}") for k in keys))
+    return seen.join(m, [F.col(k).eqNullSafe(F.col(f"_moved_{k}")) for k in keys], "left_semi")
+
+
 def fixpoint(seed: DataFrame, step, name: str = "fixpoint") -> DataFrame:
     """All rows reachable from ``seed`` by ``step``: each round extends only the rows that the last one found."""
     columns = seed.columns
@@ -95,13 +101,14 @@ def earliest_arrivals(seed: DataFrame, moves: DataFrame, at: str, on: str, name:
     least = lambda df: df.groupBy(*keys).agg(F.min(at).alias(at))
     frontier = stage(least(seed), name)
     seen, parts = frontier, [frontier]
-    m = moves.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("time").alias("_time")).distinct()
+    m = stage(moves.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("time").alias("_time")).distinct(), "moves")
     while True:
         met = frontier.join(m, (F.col(on) == F.col("_src")) & (F.col(at) < F.col("_time")))
-        moved = least(met.withColumns({on: F.col("_dst"), at: F.col("_time")}).select(*seed.columns))
-        known = seen.select(*(F.col(c).alias(f"_{c}") for c in seed.columns))
+        moved = stage(least(met.withColumns({on: F.col("_dst"), at: F.col("_time")}).select(*seed.columns)), name)
+        known = _met_again(seen, moved, keys).select(*(F.col(c).alias(f"_{c}") for c in seed.columns))
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
         new = stage(moved.join(known, [*same, F.col(f"_{at}") <= F.col(at)], "left_anti"), name)
+        unstage(moved)
         if new.isEmpty():
             unstage(new)
             return least(seen)

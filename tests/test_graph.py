@@ -140,3 +140,15 @@ def test_built_in_calls_and_conversions(spark):
 
 def test_a_map_stored_in_itself_ends(spark):
     assert reached(spark, [("m", "_obj", "db.t.f")], [("m", None, "v", None)], args=[("1", "append", 0, "m", "v")]) == {("m", "_obj"), ("v", "_obj"), ("m", "_obj.MapKey.Val"), ("v", "_obj.MapKey.Val")}
+
+
+def test_timed_moves_are_made_once(spark, monkeypatch):
+    """Rounds read what was staged of the moves and of what they reached; they do not derive them anew."""
+    names = []
+    stage = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: names.append(name) or stage(df, name))
+    seed = spark.createDataFrame([("a", 0), ("b", 9)], "id string, at long")
+    moves = spark.createDataFrame([("a", "b", 2), ("b", "c", 3), ("c", "d", 1), ("b", "e", 10)], "src string, dst string, time long")
+    found = graph.earliest_arrivals(seed, moves, "at", "id", "arrivals")
+    assert sorted(map(tuple, found.collect())) == [("a", 0), ("b", 2), ("c", 3), ("e", 10)]
+    assert names.count("moves") == 1 and names.count("arrivals") == 1 + 2 * 3
