@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.paths import ancestors, is_prefix, upper_path
 from ..plans.config import AnalysisConfig
 from ..plans.ranking import global_row_number
-from ..plans.staging import input_tasks, stage, unstage
+from ..plans.staging import bucketed_keys, dealt_by, input_tasks, scratch_path, stage, stage_bucketed, unstage
 
 #: Rounds after which the tables of a fixpoint are written together, so that a long one does not read ever more of them.
 COMPACT_ROUNDS = 16
+#: The same where rounds lie in buckets: each adds a file a bucket, and writing them together deals all rows out again.
+BUCKETED_ROUNDS = 64
 
 #: How each kind of value-flow edge hands a taint on: forward, backward.  ``copy`` keeps the object path, ``push``
 #: appends the edge's segment to it, ``pop`` removes it, ``stop`` ends the walk.
@@ -48,22 +50,32 @@ def _met_again(seen: DataFrame, moved: DataFrame, keys: list[str]) -> DataFrame:
     return seen.join(m, [F.col(k).eqNullSafe(F.col(f"_moved_{k}")) for k in keys], "left_semi")
 
 
-def fixpoint(seed: DataFrame, step, name: str = "fixpoint") -> DataFrame:
-    """All rows reachable from ``seed`` by ``step``: each round extends only the rows that the last one found."""
-    columns = seed.columns
-    frontier = stage(seed.distinct(), name)
-    seen, parts = frontier, [frontier]
+def _rounds(seed: DataFrame, step, settle, keys: list[str], name: str) -> DataFrame:
+    """``seed`` and all rows that ``step`` makes of those that the round before found; ``settle`` folds rows of equal ``keys``, and those whose keys are known are left out.
+
+    What was seen lies in buckets by the keys: a round deals out the rows that it makes, never those of earlier rounds.
+    """
+    root = scratch_path(seed.sparkSession, name)
+    settled = lambda df: settle(dealt_by(df.select(*seed.columns), keys))
+    frontier = stage_bucketed(settled(seed), f"{root}/0", keys)
+    parts, n = [frontier], 0
     while True:
-        new = stage(step(frontier).select(*columns).distinct().join(seen, columns, "left_anti"), name)
+        n += 1
+        new = stage_bucketed(settled(step(frontier)).join(bucketed_keys(frontier, root, keys), keys, "left_anti"), f"{root}/{n}", keys)
         if new.isEmpty():
             unstage(new)
-            return seen
+            return reduce(DataFrame.unionByName, parts)
+        if len(parts) == BUCKETED_ROUNDS:
+            together = stage_bucketed(dealt_by(reduce(DataFrame.unionByName, parts), keys), f"{root}/to-{n}", keys)
+            unstage(*parts)
+            parts = [together]
         parts.append(new)
-        seen, frontier = seen.unionByName(new), new
-        if len(parts) == COMPACT_ROUNDS:
-            seen = stage(seen, name)
-            unstage(*parts[:-1])
-            parts = [seen]
+        frontier = new
+
+
+def fixpoint(seed: DataFrame, step, name: str = "fixpoint") -> DataFrame:
+    """All rows reachable from ``seed`` by ``step``: each round extends only the rows that the last one found."""
+    return _rounds(seed, step, lambda df: df.distinct(), seed.columns, name)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -76,20 +88,7 @@ def closure(edges: DataFrame) -> DataFrame:
 def first_arrivals(seed: DataFrame, step, label: str, name: str) -> DataFrame:
     """All keys (every column but ``label``) that ``step`` reaches from ``seed``, one row each: a key keeps the least label of the round that reaches it first."""
     keys = [c for c in seed.columns if c != label]
-    least = lambda df: df.groupBy(*keys).agg(F.min(label).alias(label))
-    frontier = stage(least(seed), name)
-    seen, parts = frontier, [frontier]
-    while True:
-        new = stage(least(step(frontier)).join(seen.select(*keys), keys, "left_anti"), name)
-        if new.isEmpty():
-            unstage(new)
-            return seen
-        parts.append(new)
-        seen, frontier = seen.unionByName(new), new
-        if len(parts) == COMPACT_ROUNDS:
-            seen = stage(seen, name)
-            unstage(*parts[:-1])
-            parts = [seen]
+    return _rounds(seed, step, lambda df: df.groupBy(*keys).agg(F.min(label).alias(label)), keys, name)
 
 
 def earliest_arrivals(seed: DataFrame, moves: DataFrame, at: str, on: str, name: str) -> DataFrame:
