@@ -88,16 +88,18 @@ def dangerous_deletes(ops: DataFrame, refs: DataFrame, config: AnalysisConfig =
     write, sorted.
 
     Writes are counted per database, and per field, over all requests and in each one; what other requests write is the difference.  A
-    delete meets the counts of its database, never single writes.
+    delete meets the counts and the list of fields of its database, never single writes or fields: off the list come those that only its own request writes.
     """
     hits = _hits(ops, refs, config)
     writes = hits.groupBy("req", "event_id", "db").agg(F.count(F.lit(1)).alias("n")).groupBy("req", "db").agg(F.count(F.lit(1)).alias("own"))
-    fields = hits.groupBy("req", "db", "field").agg(F.count(F.lit(1)).alias("own_field"))
-    n_writes, per_field = writes.groupBy("db").agg(F.sum("own").alias("total")), fields.groupBy("db", "field").agg(F.sum("own_field").alias("all_field"))
-    deletes = ops.where(is_delete(F.col("op"))).select("req", "event_id", "db")
-    counted = deletes.join(n_writes, "db").join(writes, ["req", "db"], "left").withColumn("n_writes", F.col("total") - F.coalesce("own", F.lit(0))).where("n_writes > 0")
-    written = counted.join(per_field, "db").join(fields, ["req", "db", "field"], "left").where(F.col("all_field") > F.coalesce("own_field", F.lit(0)))
-    return written.groupBy("req", "event_id", "db", "n_writes").agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields"))
+    fields = hits.select("req", "db", "field").distinct()
+    by_field = fields.groupBy("db", "field").agg(F.count(F.lit(1)).alias("n"), F.min("req").alias("req"))
+    alone = by_field.where("n = 1").groupBy("req", "db").agg(F.collect_set("field").alias("alone"))
+    of_db = writes.groupBy("db").agg(F.sum("own").alias("total")).join(by_field.groupBy("db").agg(F.array_sort(F.collect_set("field")).alias("listed")), "db")
+    deletes = ops.where(is_delete(F.col("op"))).select("req", "event_id", "db").distinct()
+    counted = deletes.join(writes, ["req", "db"], "left").join(alone, ["req", "db"], "left").join(of_db, "db").withColumn("n_writes", F.col("total") - F.coalesce("own", F.lit(0))).where("n_writes > 0")
+    others = F.when(F.col("alone").isNull(), F.col("listed")).otherwise(F.array_except("listed", "alone"))
+    return counted.where(F.size(others) > 0).select("req", "event_id", "db", "n_writes", F.array_join(others, ", ").alias("fields"))
 
 
 def conflicting_writes(ops: DataFrame, refs: DataFrame, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:

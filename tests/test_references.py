@@ -151,3 +151,12 @@ def test_the_ordered_fold_keeps_one_request_a_reference(spark):
     rows = [(app, 0, i, 1, 2, *(pair(i, op, "W")[c] for c in ("f1", "f2", "rule", "op1", "op2", "src", "dst", "creates"))) for app, bad in (("a", 3), ("b", None)) for i in reversed(range(20)) for op in ["R" if i == bad else "W"]]
     found = references.folded_references(spark.createDataFrame(rows, columns))
     assert sorted(map(tuple, found.collect())) == [("a", "db.c.y", "da.c.x", False, False), ("b", "db.c.y", "da.c.x", True, False)]
+
+
+def test_deletes_do_not_meet_fields_one_by_one(spark):
+    """A delete gets the list of its database's fields without those that only its own request writes; fields are no rows beside it."""
+    known = refs(spark, [("b.x.f", "a.c.f", False, []), ("b.x.g", "a.c.f", False, [])])
+    facts = ops(spark, [(1, 1, "D", "a.c.f"), (1, 2, "W", "b.x.f"), (2, 1, "W", "b.x.g"), (3, 1, "D", "a.c.f")])
+    found = detectors.dangerous_deletes(facts, known)
+    assert sorted((r.req, r.n_writes, r.fields) for r in found.collect()) == [(1, 1, "b.x.g"), (3, 2, "b.x.f, b.x.g")]
+    assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")

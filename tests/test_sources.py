@@ -135,3 +135,11 @@ def test_sinks(spark, tmp_path):
         pass
     m.write(spark, str(tmp_path / "m"))
     assert "step_s" in spark.read.text(str(tmp_path / "m")).first().value
+
+
+def test_reports_are_compared_in_one_pass(spark):
+    """Lines keep their multiplicity, and each report is read and dealt out once."""
+    old, new = (spark.createDataFrame([(x,) for x in rows], "line string") for rows in (["a", "a", "b", None], ["a", "b", "b", "c", None]))
+    found = files.changed_lines(old, new)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(((r.status, r.line) for r in found.collect()), key=repr) == sorted([("removed", "a"), ("unmodified", "a"), ("unmodified", "b"), ("added", "b"), ("added", "c"), ("unmodified", None)], key=repr)
