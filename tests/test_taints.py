@@ -1,4 +1,5 @@
 from keelson.operators import taints
+from keelson.plans.staging import input_tasks
 
 TAINT = "obj_id string, objpath string, fieldpath string, call_id string, op string, primary boolean, traced boolean"
 
@@ -74,6 +75,25 @@ def test_arguments_are_listed_above_the_join(spark):
     assert plan.index("Generate inline") < plan.index("Join Inner") and "_salt" in plan[plan.index("Join Inner"):].splitlines()[0]
 
 
+def test_listing_is_dealt_by_number(spark):
+    """Rows are listed in a number of tasks, whatever their bytes; no test for nulls works out paths below the traces, and nulls meet nothing."""
+    traces = spark.createDataFrame([("o1", "c1", "S.M.t4"), ("o2", None, "S.M.t4"), ("o3", "c1", None), ("o4", "c1", "S.M"), ("o5", "c2", "S.M.t4[*].F")], "obj_id string, sv_call_id string, svpath string").distinct()
+    args = spark.createDataFrame([("c1", "t4", 1), (None, "t4", 2), ("c1", None, 3), (None, None, 4), ("c2", "t4", 5)], "call_id string, name string, obj_id int")
+    found = taints.traces_to_arguments(traces, args)
+    assert sorted((r.obj_id, r.at, r.target) for r in found.collect()) == [("o1", "_obj", 1), ("o5", "_obj.F", 5)]
+    assert found.rdd.getNumPartitions() == taints.LISTING_TASKS * input_tasks(spark)
+    assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "svpath" in x]
+
+
+def test_blocks_of_arguments_have_one_size(spark, monkeypatch):
+    """A name with more arguments has more blocks, not longer ones."""
+    monkeypatch.setattr(taints, "ARGUMENT_BLOCK", 10)
+    args = spark.range(4001).selectExpr("'c' AS call_id", "if(id < 4000, 't', 'u') AS name", "nullif(id, 7) AS obj_id")
+    blocks = [(r.name, [t.target for t in r._targets]) for r in taints.argument_blocks(args).collect()]
+    assert 350 < len(blocks) <= 401 and max(len(t) for _, t in blocks) < 40
+    assert sorted((n, -1 if i is None else i) for n, t in blocks for i in t) == sorted((*(("t", -1 if i == 7 else i) for i in range(4000)), ("u", 4000)))
+
+
 def test_partners_meet_once(spark):
     """Equal rows of both sides fold before the join."""
     traces = spark.createDataFrame([("o1", "c1", "S.M.t4")] * 9 + [("o2", "c1", "S.M.t4")], "obj_id string, sv_call_id string, svpath string")
